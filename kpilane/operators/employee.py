@@ -78,10 +78,14 @@ def employee_rank(scores: DataFrame, ties: str = "rank", method: str = "range")
 def employee_scorecard_long(ranked: DataFrame, excluded_role: str = "Teller") -> DataFrame:
     """One row per employee, month and pillar with a non-NULL ratio.
 
+    Works on the ranked view (rank columns are carried along) or on the plain
+    score view.
+
     Lending and Investing rows also require ``role != excluded_role`` (a NULL
     role therefore loses them, as the inequality is not true for NULL).
     """
     ids = [c for c in ranked.columns if c not in PCT_COLUMNS]
+    ranks = [c for c in RANK_CONTEXTS if c in ranked.columns]
     long = ranked.unpivot(ids, PCT_COLUMNS, "_pillar", "pct_to_target")
     labels = F.lit(None).cast("string")
     for p in reversed(EMPLOYEE_PILLARS):
@@ -91,4 +95,4 @@ def employee_scorecard_long(ranked: DataFrame, excluded_role: str = "Teller") ->
     guarded = F.col("_pillar").isin(*[f"{p.key}_pct_to_target" for p in EMPLOYEE_PILLARS if p.teller_excluded])
     long = long.filter(keep & (~guarded | F.coalesce(role_ok, F.lit(False))))
     return long.select(*EMPLOYEE_KEYS, labels.alias("pillar_name"), "pct_to_target",
-                       "weighted_total_score", "rank_within_role", "rank_within_branch")
+                       "weighted_total_score", *ranks)

@@ -1,19 +1,35 @@
-"""Named queries over the driver tables: ``name -> fn(spark, sf_dir) -> DataFrame``."""
+"""Named queries over the driver tables: ``name -> fn(spark, sf_dir) -> DataFrame``.
+
+Every query starts from the driver's Parquet tables through the star adapter,
+so its work grows with them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kpilane.functions.scoring import pct_to_target, rag_status
 from kpilane.operators import branch as br
 from kpilane.operators import employee as emp
+from kpilane.operators import measures as ms
+from kpilane.operators import planning as pl
+from kpilane.operators import quality as qa
+from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import manager_weights, role_weights_pivot
+from kpilane.plans import reports as rp
+from kpilane.session import scratch_path
 from kpilane.sources.adapter import star_from_tpch
+from kpilane.sources.star import read_csv_typed, write_csv
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _STARS: dict[tuple[int, str], dict[str, DataFrame]] = {}
 
+LEADERBOARD_N = 10
+H1 = (1, 6)
+
 
 def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The adapted star for ``sf_dir`` (lazy frames, built once per session)."""
@@ -23,70 +39,273 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _STARS[key]
 
 
-def _q_employee_monthly_score(spark, d):
-    return emp.employee_monthly_score(star(spark, d))
+def _scores(spark, d, **kw):
+    return emp.employee_monthly_score(star(spark, d), **kw)
 
 
-def _q_employee_rank(spark, d):
-    return emp.employee_rank(emp.employee_monthly_score(star(spark, d)))
+def _ranked(spark, d, **kw):
+    return emp.employee_rank(_scores(spark, d), **kw)
 
 
-def _q_employee_rank_dense(spark, d):
-    return emp.employee_rank(emp.employee_monthly_score(star(spark, d)), ties="dense")
+def _branch(spark, d):
+    return br.branch_monthly_score(star(spark, d))
 
 
-def _q_employee_scorecard_long(spark, d):
-    return emp.employee_scorecard_long(emp.employee_rank(emp.employee_monthly_score(star(spark, d))))
+def _pacing(spark, d):
+    return br.branch_pacing(_branch(spark, d))
 
 
-def _q_role_weights_pivot(spark, d):
-    return role_weights_pivot(star(spark, d)["dim_role_weights"])
+def _table(name):
+    return lambda spark, d: star(spark, d)[name]
 
 
-def _q_manager_weights(spark, d):
-    return manager_weights(star(spark, d)["dim_role_weights"])
+# --- views --------------------------------------------------------------------
 
+def q_employee_rag(spark, d):
+    s = _scores(spark, d)
+    return s.select("employee_id", "branch_id", "role", "month_number", "weighted_total_score",
+                    rag_status("weighted_total_score").alias("rag_status"))
 
-def _q_branch_sales(spark, d):
-    return br.branch_sales(star(spark, d)["fact_sales"])
 
+def q_safe_divide(spark, d):
+    s = star(spark, d)
+    j = s["fact_sales"].join(s["fact_targets"], ["employee_id", "month_number"])
+    return j.select("employee_id", "month_number",
+                    pct_to_target("lending_actual", "target_lending").alias("lending_ratio"),
+                    pct_to_target("investing_actual", "target_investing").alias("investing_ratio"),
+                    pct_to_target("banking_units_actual", "target_banking_units").alias("banking_units_ratio"),
+                    pct_to_target("lei_actual", "target_lei").alias("lei_ratio"))
 
-def _q_branch_targets(spark, d):
-    return br.branch_targets(star(spark, d)["fact_targets"])
 
+# --- reports ------------------------------------------------------------------
 
-def _q_branch_monthly_score(spark, d):
-    return br.branch_monthly_score(star(spark, d))
+def q_top3_advisors(spark, d):
+    return rp.top_advisors(_ranked(spark, d), n=3)
 
 
-def _q_branch_pacing(spark, d):
-    return br.branch_pacing(br.branch_monthly_score(star(spark, d)))
+def q_pillar_detail(spark, d):
+    long = emp.employee_scorecard_long(_scores(spark, d))
+    return rp.pillar_detail(long, star(spark, d)["dim_role_weights"])
 
 
-def _q_branch_rank(spark, d):
-    return br.branch_rank(br.branch_pacing(br.branch_monthly_score(star(spark, d))))
+def q_branch_team(spark, d):
+    return rp.branch_team(_ranked(spark, d), br.branch_rank(_pacing(spark, d)))
 
 
-def _table(name):
-    return lambda spark, d: star(spark, d)[name]
+def q_province_performance(spark, d):
+    return ms.measure_by_grain(star(spark, d), ["province", "month_number"])
+
+
+def q_branch_rank_in_province(spark, d):
+    return rp.branch_rank_in_province(star(spark, d), _pacing(spark, d))
+
+
+# --- measures and rank contexts --------------------------------------------------
+
+def q_measure_by_grain(spark, d):
+    # H1 score per tier: ratio of sums over the first half-year
+    return ms.measure_by_grain(star(spark, d), ["tier"], where=F.col("month_number").between(*H1))
+
+
+def q_measure_rollup(spark, d):
+    return ms.measure_rollup(star(spark, d), ["month_number", "province", "tier"])
+
+
+def q_rank_all_except(spark, d):
+    # rank within role over all months, then show the second half-year
+    r = ms.rank_all_except(_scores(spark, d), ["role"], "weighted_total_score",
+                           F.col("month_number") > H1[1], "rank_in_role")
+    return r.select("employee_id", "role", "month_number", "weighted_total_score", "rank_in_role")
+
+
+def q_rank_all_selected(spark, d):
+    # rank within role among second half-year rows only
+    r = ms.rank_all_selected(_scores(spark, d), ["role"], "weighted_total_score",
+                             F.col("month_number") > H1[1], "rank_in_role")
+    return r.select("employee_id", "role", "month_number", "weighted_total_score", "rank_in_role")
+
+
+def q_rank_distributed(spark, d):
+    r = rank_by(_scores(spark, d), ["role"], "weighted_total_score", "rank_in_role_all_months")
+    return r.select("employee_id", "role", "month_number", "weighted_total_score", "rank_in_role_all_months")
+
+
+# --- quality ------------------------------------------------------------------------
+
+def q_view_row_counts(spark, d):
+    scores = _scores(spark, d)
+    ranked = emp.employee_rank(scores)
+    branch = _branch(spark, d)
+    return qa.view_row_counts({
+        "vw_employee_monthly_score": scores,
+        "vw_employee_rank": ranked,
+        "vw_employee_scorecard_long": emp.employee_scorecard_long(ranked),
+        "vw_branch_monthly_score": branch,
+        "vw_branch_pacing": br.branch_pacing(branch),
+    })
+
+
+def q_referential_integrity(spark, d):
+    s = star(spark, d)
+    em, sa, ta = ["employee_id"], s["fact_sales"], s["fact_targets"]
+    return qa.referential_integrity([
+        ("fact_sales", sa, "dim_employee", s["dim_employee"], em),
+        ("fact_sales", sa, "fact_targets", ta, ["employee_id", "month_number"]),
+        ("fact_targets", ta, "fact_sales", sa, ["employee_id", "month_number"]),
+        ("fact_targets", ta, "dim_employee", s["dim_employee"], em),
+        ("fact_lei_survey", s["fact_lei_survey"], "dim_employee", s["dim_employee"], em),
+        ("fact_compliance", s["fact_compliance"], "dim_branch", s["dim_branch"], ["branch_id"]),
+        ("dim_employee", s["dim_employee"], "dim_branch", s["dim_branch"], ["branch_id"]),
+    ])
+
+
+RANGE_CHECKS = {
+    "fact_targets": [("target_lending", 0.0, 1e9), ("target_investing", 0.0, 1e9),
+                     ("target_banking_units", 0.0, 1e9), ("target_lei", 1.0, 5.0),
+                     ("target_compliance", 0.0, 100.0)],
+    "fact_sales": [("lei_actual", 1.0, 5.0)],
+    "fact_lei_survey": [("lei_score", 1.0, 5.0)],
+    "fact_compliance": [("compliance_score", 80.0, 100.0), ("risk_score", 0.0, 25.0)],
+}
+
+
+def q_target_range_check(spark, d):
+    s = star(spark, d)
+    return qa.target_range_check([(t, s[t], b) for t, b in RANGE_CHECKS.items()])
+
+
+def q_key_uniqueness(spark, d):
+    s = star(spark, d)
+    lineitem = spark.read.parquet(f"{d.rstrip('/')}/lineitem.parquet")
+    return qa.key_uniqueness([
+        ("dim_branch", s["dim_branch"], ["branch_id"]),
+        ("dim_employee", s["dim_employee"], ["employee_id"]),
+        ("fact_sales", s["fact_sales"], ["employee_id", "month_number"]),
+        ("fact_targets", s["fact_targets"], ["employee_id", "month_number"]),
+        ("fact_compliance", s["fact_compliance"], ["branch_id", "month_number"]),
+        ("lineitem", lineitem, ["l_orderkey", "l_linenumber"]),
+    ])
+
+
+def q_join_fanout(spark, d):
+    s = star(spark, d)
+    sa, ta = s["fact_sales"], s["fact_targets"]
+    return qa.join_fanout([
+        ("fact_sales x fact_targets on employee_id, month_number", sa, ta, ["employee_id", "month_number"]),
+        ("fact_sales x fact_targets on employee_id", sa, ta, ["employee_id"]),
+        ("fact_sales x fact_compliance on branch_id, month_number", sa, s["fact_compliance"],
+         ["branch_id", "month_number"]),
+        ("fact_sales x dim_employee on employee_id", sa, s["dim_employee"], ["employee_id"]),
+    ])
+
+
+def q_totals_reconciliation(spark, d):
+    s = star(spark, d)
+    bs, bt = br.branch_sales(s["fact_sales"]), br.branch_targets(s["fact_targets"])
+    return qa.totals_reconciliation([
+        ("lending: fact_sales vs branch_sales", s["fact_sales"], "lending_actual", bs, "lending_actual"),
+        ("investing: fact_sales vs branch_sales", s["fact_sales"], "investing_actual", bs, "investing_actual"),
+        ("target_lending: fact_targets vs branch_targets", s["fact_targets"], "target_lending", bt,
+         "target_lending"),
+    ])
+
+
+def q_reconcile_4dp(spark, d):
+    keys = ["branch_id", "month_number"]
+    cols = ms.MEASURE_COLUMNS
+    return qa.reconcile(ms.measure_by_grain(star(spark, d), keys), _branch(spark, d), keys, cols)
+
+
+def q_weight_sum_check(spark, d):
+    return qa.weight_sum_check(star(spark, d)["dim_role_weights"])
+
+
+def q_headcount_check(spark, d):
+    s = star(spark, d)
+    return qa.headcount_check(s["dim_branch"], s["dim_employee"])
+
+
+# --- planning and I/O ---------------------------------------------------------------
+
+def q_target_plan(spark, d):
+    return pl.target_plan(star(spark, d)["dim_employee"], pl.base_targets_frame(spark))
+
+
+def q_month_calendar(spark, d):
+    return pl.month_calendar(spark.read.parquet(f"{d.rstrip('/')}/lineitem.parquet"), "l_shipdate")
+
+
+def q_branch_labels(spark, d):
+    return pl.branch_labels(star(spark, d)["dim_branch"])
+
+
+def q_enrich_facts(spark, d):
+    s = star(spark, d)
+    return pl.enrich_facts(s["fact_sales"], s["dim_employee"])
+
+
+def q_clamp_scores(spark, d):
+    return pl.clamp_scores(star(spark, d)["fact_compliance"])
+
+
+def q_csv_roundtrip(spark, d):
+    path = scratch_path(spark, "csv-fact-sales")
+    write_csv(star(spark, d)["fact_sales"], path)
+    return read_csv_typed(spark, path, "fact_sales")
 
 
 QUERIES: dict[str, QueryFn] = {
+    # sources: the adapted star
     "dim_branch": _table("dim_branch"),
     "dim_employee": _table("dim_employee"),
     "fact_sales": _table("fact_sales"),
     "fact_targets": _table("fact_targets"),
     "fact_compliance": _table("fact_compliance"),
     "fact_lei_survey": _table("fact_lei_survey"),
-    "employee_monthly_score": _q_employee_monthly_score,
-    "employee_rank": _q_employee_rank,
-    "employee_rank_dense": _q_employee_rank_dense,
-    "employee_scorecard_long": _q_employee_scorecard_long,
-    "role_weights_pivot": _q_role_weights_pivot,
-    "manager_weights": _q_manager_weights,
-    "branch_sales": _q_branch_sales,
-    "branch_targets": _q_branch_targets,
-    "branch_monthly_score": _q_branch_monthly_score,
-    "branch_pacing": _q_branch_pacing,
-    "branch_rank": _q_branch_rank,
+    # views
+    "employee_monthly_score": lambda s, d: _scores(s, d),
+    "employee_rank": lambda s, d: _ranked(s, d),
+    "employee_rank_dense": lambda s, d: _ranked(s, d, ties="dense"),
+    "employee_scorecard_long": lambda s, d: emp.employee_scorecard_long(_ranked(s, d)),
+    "role_weights_pivot": lambda s, d: role_weights_pivot(star(s, d)["dim_role_weights"]),
+    "manager_weights": lambda s, d: manager_weights(star(s, d)["dim_role_weights"]),
+    "branch_sales": lambda s, d: br.branch_sales(star(s, d)["fact_sales"]),
+    "branch_targets": lambda s, d: br.branch_targets(star(s, d)["fact_targets"]),
+    "branch_monthly_score": _branch,
+    "branch_pacing": _pacing,
+    "branch_rank": lambda s, d: br.branch_rank(_pacing(s, d)),
+    "employee_rag": q_employee_rag,
+    "score_normalized": lambda s, d: _scores(s, d, normalize="applicable"),
+    "safe_divide": q_safe_divide,
+    # reports
+    "top3_advisors_latest_month": q_top3_advisors,
+    "leaderboard_employees": lambda s, d: rp.leaderboard_employees(_scores(s, d), LEADERBOARD_N),
+    "leaderboard_branches": lambda s, d: rp.leaderboard_branches(_branch(s, d), LEADERBOARD_N),
+    "pillar_detail": q_pillar_detail,
+    "branch_team": q_branch_team,
+    "province_performance": q_province_performance,
+    "branch_rank_in_province": q_branch_rank_in_province,
+    # measures and rank contexts
+    "measure_by_grain": q_measure_by_grain,
+    "measure_rollup": q_measure_rollup,
+    "rank_all_except": q_rank_all_except,
+    "rank_all_selected": q_rank_all_selected,
+    "rank_distributed": q_rank_distributed,
+    # quality
+    "view_row_counts": q_view_row_counts,
+    "referential_integrity": q_referential_integrity,
+    "target_range_check": q_target_range_check,
+    "key_uniqueness": q_key_uniqueness,
+    "join_fanout": q_join_fanout,
+    "totals_reconciliation": q_totals_reconciliation,
+    "reconcile_4dp": q_reconcile_4dp,
+    "weight_sum_check": q_weight_sum_check,
+    "headcount_check": q_headcount_check,
+    # planning and I/O
+    "target_plan": q_target_plan,
+    "month_calendar": q_month_calendar,
+    "branch_labels": q_branch_labels,
+    "enrich_facts": q_enrich_facts,
+    "clamp_scores": q_clamp_scores,
+    "csv_roundtrip": q_csv_roundtrip,
 }

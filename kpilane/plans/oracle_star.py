@@ -241,6 +241,7 @@ vw_branch_rank AS (
 )"""
 
 
-def with_views(select_sql: str) -> str:
-    """A full oracle query: the star and view CTEs followed by ``select_sql``."""
-    return f"WITH {STAR_CTES},{VIEW_CTES}\n{select_sql}"
+def with_views(select_sql: str, extra_ctes: str = "") -> str:
+    """A full oracle query: the star and view CTEs (plus ``extra_ctes``) and ``select_sql``."""
+    extra = f",\n{extra_ctes}" if extra_ctes else ""
+    return f"WITH {STAR_CTES},{VIEW_CTES}{extra}\n{select_sql}"
