@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpilane.functions.scoring import pct_to_target, weighted_total
-from kpilane.operators.joins import bounded_broadcast, join_null_safe
-from kpilane.operators.ranking import rank_by, rank_table
+from kpilane.operators.joins import bounded_broadcast
+from kpilane.operators.ranking import rank_many
 from kpilane.operators.weights import role_weights_pivot
 from kpilane.schemas import EMPLOYEE_PILLARS
 
@@ -39,7 +39,8 @@ def employee_monthly_score(star: Mapping[str, DataFrame], normalize: str = "fixe
                                           *[p.target for p in EMPLOYEE_PILLARS])
     employees = star["dim_employee"].select("employee_id", "branch_code", "role", "first_name",
                                             "last_name")
-    weights = bounded_broadcast(role_weights_pivot(star["dim_role_weights"]))
+    # one row per role: never more rows than the weights table itself
+    weights = bounded_broadcast(role_weights_pivot(star["dim_role_weights"]), bound_by=star["dim_role_weights"])
 
     rows = (sales.join(targets, ["employee_id", "month_number"])
             .join(employees, "employee_id")
@@ -62,17 +63,10 @@ def employee_rank(scores: DataFrame, ties: str = "rank", method: str = "range")
     With ``method="range"`` the scores are first materialised once (reliable
     checkpoint) because both rank contexts and the final join read them.
     """
-    score = "weighted_total_score"
-    if method == "window":
-        out = scores
-        for col, keys in RANK_CONTEXTS.items():
-            out = rank_by(out, keys, score, col, ties=ties, method="window")
-        return out.select(*SCORE_COLUMNS, *RANK_CONTEXTS)
-    base = scores.checkpoint(eager=True)
-    out = base
-    for col, keys in RANK_CONTEXTS.items():
-        out = join_null_safe(out, rank_table(base, keys, score, col, ties), keys + [score])
-    return out.select(*SCORE_COLUMNS, *RANK_CONTEXTS)
+    if method == "range":
+        scores = scores.checkpoint(eager=True)
+    ranked = rank_many(scores, RANK_CONTEXTS, "weighted_total_score", ties=ties, method=method)
+    return ranked.select(*SCORE_COLUMNS, *RANK_CONTEXTS)
 
 
 def employee_scorecard_long(ranked: DataFrame, excluded_role: str = "Teller") -> DataFrame:

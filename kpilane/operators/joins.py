@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 100_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
+                      bound_by: DataFrame | None = None) -> DataFrame:
     """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
 
-    The check is a ``limit(max_rows + 1).count()`` job on the (small) relation.
-    Above the bound the frame is returned unchanged and the planner / AQE pick
-    a shuffle join (and split skewed partitions) instead.
+    The check is a ``limit(max_rows + 1).count()`` job on ``bound_by`` (default
+    ``df`` itself); pass the input of an aggregate whose output cannot have more
+    rows than its input to check the cheaper side.  Above the bound the frame is
+    returned unchanged and the planner / AQE pick a shuffle join (and split
+    skewed partitions) instead.
     """
-    n = df.limit(max_rows + 1).count()
+    n = (bound_by if bound_by is not None else df).limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
 
 

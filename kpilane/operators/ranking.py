@@ -7,7 +7,8 @@ workforce.  ``rank_by(method="range")`` computes the same numbers with bounded
 tasks:
 
 1. histogram: ``(keys, score) -> rows`` with a partial (map-side) aggregate, so
-   a score shared by millions of rows becomes one row;
+   a score shared by millions of rows becomes one row (several rank contexts
+   over the same score are stacked into one histogram);
 2. range-partition the histogram on ``(keys, score desc)`` (distinct keys, so
    the ranges are balanced) and pin the partition ids with a reliable
    checkpoint;
@@ -24,7 +25,7 @@ small, and used by the tests as the reference for the range method).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,64 +46,132 @@ def _rank_fn(ties: str):
 def rank_by(df: DataFrame, keys: Sequence[str], score: str, out_col: str,
             ties: str = "rank", method: str = "range", num_partitions: int | None = None) -> DataFrame:
     """Add ``out_col`` (bigint) = RANK/DENSE_RANK of ``score`` DESC NULLS LAST within ``keys``."""
-    keys = list(keys)
+    return rank_many(df, {out_col: keys}, score, ties, method, num_partitions)
+
+
+def rank_many(df: DataFrame, contexts: Mapping[str, Sequence[str]], score: str, ties: str = "rank",
+              method: str = "range", num_partitions: int | None = None) -> DataFrame:
+    """Add one rank column per ``{out_col: keys}`` context, all over the same ``score``.
+
+    With ``method="range"`` every context shares one histogram, one range
+    partitioning and one checkpoint (the contexts are stacked, keyed by a
+    context number and the context's keys as text).
+    """
+    if ties not in RANK_TIES:
+        raise ValueError(f"ties must be one of {RANK_TIES}, got {ties!r}")
     if method == "window":
-        w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last())
-        return df.withColumn(out_col, _rank_fn(ties).over(w).cast("bigint"))
+        out = df
+        for col, keys in contexts.items():
+            w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last())
+            out = out.withColumn(col, _rank_fn(ties).over(w).cast("bigint"))
+        return out
     if method != "range":
         raise ValueError(f"method must be 'range' or 'window', got {method!r}")
-    table = rank_table(df, keys, score, out_col, ties, num_partitions)
-    return join_null_safe(df, table, keys + [score], "inner")
+    tables = rank_tables(df, contexts, score, ties, num_partitions)
+    out = df
+    for col, keys in contexts.items():
+        out = _join_on_text_keys(out, tables[col], list(keys), score)
+    return out
 
 
-def rank_table(df: DataFrame, keys: Sequence[str], score: str, out_col: str,
-               ties: str = "rank", num_partitions: int | None = None) -> DataFrame:
-    """``(keys, score, out_col)`` for every distinct key and score (range method)."""
-    if ties not in RANK_TIES:
-        raise ValueError(f"ties must be one of {RANK_TIES}, got {ties!r}")
-    table = score_rank_table(df, keys, score, num_partitions)
+def _join_on_text_keys(df: DataFrame, table: DataFrame, keys: list[str], score: str) -> DataFrame:
+    tmp = [f"_jk{i}" for i in range(len(keys))]
+    left = df.select("*", *[F.col(k).cast("string").alias(t) for k, t in zip(keys, tmp)])
+    joined = join_null_safe(left, table, tmp + [score], "inner")
+    return joined.drop(*tmp)
+
+
+def rank_tables(df: DataFrame, contexts: Mapping[str, Sequence[str]], score: str, ties: str = "rank",
+                num_partitions: int | None = None) -> dict[str, DataFrame]:
+    """Per context: ``(_jk0.., score, out_col)`` for every distinct key and score (keys as text)."""
     pick = "_rank" if ties == "rank" else "_dense"
-    return table.select(*keys, score, F.col(pick).alias(out_col))
+    table = score_rank_table(df, list(contexts.values()), score, num_partitions)
+    width = max(len(k) for k in contexts.values())
+    out = {}
+    for i, (col, keys) in enumerate(contexts.items()):
+        t = table.filter(F.col("_ctx") == F.lit(i))
+        out[col] = t.select(*[F.col(f"_k{j}").alias(f"_jk{j}") for j in range(len(keys))], score,
+                            F.col(pick).alias(col))
+    return out
 
 
-def score_rank_table(df: DataFrame, keys: Sequence[str], score: str,
+def score_rank_table(df: DataFrame, contexts: Sequence[Sequence[str]], score: str,
                      num_partitions: int | None = None) -> DataFrame:
-    """One row per distinct ``(keys, score)`` with its ``_rank`` and ``_dense`` (bigint)."""
-    keys = list(keys)
+    """One row per context, distinct key and score with its ``_rank`` and ``_dense`` (bigint).
+
+    Columns: ``_ctx`` (context number), ``_k0.._k{w-1}`` (the context's keys as
+    text, NULL-padded), ``score``, ``_rank``, ``_dense``.
+    """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(k).asc_nulls_first() for k in keys] + [F.col(score).desc_nulls_last()]
-
-    hist = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n"))
+    width = max(len(k) for k in contexts)
+    kcols = [f"_k{j}" for j in range(width)]
+
+    # stack the contexts row-wise: one (context, keys) entry per context per row
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("_ctx"),
+                 *[(F.col(keys[j]).cast("string") if j < len(keys) else F.lit(None).cast("string")).alias(f"_k{j}")
+                   for j in range(width)])
+        for i, keys in enumerate(contexts)])
+    stacked = df.select(F.col(score), F.explode(entries).alias("_e")).select("_e.*", score)
+    group = ["_ctx", *kcols]
+
+    hist = stacked.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n"))
+    order = [F.col(c).asc_nulls_first() for c in group] + [F.col(score).desc_nulls_last()]
     ranged = (hist.repartitionByRange(n, *order)
               .withColumn("_pid", F.spark_partition_id())
               .checkpoint(eager=True))
 
-    ahead = (Window.partitionBy("_pid", *keys).orderBy(F.col(score).desc_nulls_last())
+    ahead = (Window.partitionBy("_pid", *group).orderBy(F.col(score).desc_nulls_last())
              .rowsBetween(Window.unboundedPreceding, -1))
     local = ranged.select(
-        "_pid", *keys, score,
+        "_pid", *group, score,
         F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_ahead_rows"),
         F.coalesce(F.count(F.lit(1)).over(ahead), F.lit(0)).alias("_ahead_keys"),
     )
 
-    totals = ranged.groupBy("_pid", *keys).agg(
+    totals = ranged.groupBy("_pid", *group).agg(
         F.sum("_n").alias("_part_rows"), F.count(F.lit(1)).alias("_part_keys"))
-    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        "_pid", *keys,
+        "_pid", *group,
         F.coalesce(F.sum("_part_rows").over(before), F.lit(0)).alias("_off_rows"),
         F.coalesce(F.sum("_part_keys").over(before), F.lit(0)).alias("_off_keys"),
     )
 
-    joined = join_null_safe(local, offsets, ["_pid"] + keys, "inner")
+    joined = join_null_safe(local, offsets, ["_pid", *group], "inner")
     return joined.select(
-        *keys, score,
+        *group, score,
         (F.lit(1) + F.col("_off_rows") + F.col("_ahead_rows")).cast("bigint").alias("_rank"),
         (F.lit(1) + F.col("_off_keys") + F.col("_ahead_keys")).cast("bigint").alias("_dense"),
     )
 
 
+def rank_of_rows(candidates: DataFrame, population: DataFrame, keys: Sequence[str], score: str,
+                 out_col: str, id_cols: Sequence[str], ties: str = "rank") -> DataFrame:
+    """RANK/DENSE_RANK of a few ``candidates`` rows within ``population``.
+
+    ``rank = 1 + #rows of the same keys whose score comes strictly first``
+    (DESC NULLS LAST); ``dense`` counts distinct such scores.  The candidates
+    must be a small, bounded set (e.g. the output of a ``limit``): they are
+    broadcast, so the population is scanned once and never shuffled by key.
+    ``id_cols`` identify a candidate row.
+    """
+    if ties not in RANK_TIES:
+        raise ValueError(f"ties must be one of {RANK_TIES}, got {ties!r}")
+    keys, id_cols = list(keys), list(id_cols)
+    cand = candidates.select(*[F.col(c).alias(f"_id_{c}") for c in id_cols],
+                             *[F.col(k).alias(f"_c_{k}") for k in keys], F.col(score).alias("_c_score"))
+    pop = population.select(*keys, F.col(score).alias("_p_score"))
+    first = F.col("_p_score").isNotNull() & (F.col("_c_score").isNull() | (F.col("_p_score") > F.col("_c_score")))
+    cond = [pop[k].eqNullSafe(F.col(f"_c_{k}")) for k in keys]
+    ahead = pop.join(F.broadcast(cand), cond, "inner").filter(first)
+    counted = ahead.groupBy(*[F.col(f"_id_{c}").alias(c) for c in id_cols]).agg(
+        (F.count(F.lit(1)) if ties == "rank" else F.count_distinct("_p_score")).alias("_ahead"))
+    out = candidates.join(counted, id_cols, "left")
+    return out.withColumn(out_col, (F.lit(1) + F.coalesce(F.col("_ahead"), F.lit(0))).cast("bigint")).drop("_ahead")
+
+
 def top_n_by_rank(df: DataFrame, keys: Sequence[str], score: str, n: int, out_col: str = "rank",
                   ties: str = "rank") -> DataFrame:
     """Rows whose RANK within ``keys`` is at most ``n`` (leaderboards).

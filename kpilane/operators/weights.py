@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS, Pillar
 
 
+def _weight_of(p: Pillar) -> Column:
+    return F.max(F.when(F.col("metric_name") == p.weight_metric, F.col("weight_pct"))).alias(f"{p.key}_weight")
+
+
 def role_weights_pivot(weights: DataFrame, pillars: Sequence[Pillar] = EMPLOYEE_PILLARS) -> DataFrame:
-    """One row per role with ``<pillar>_weight`` columns (MAX on duplicate rows, NULL if absent)."""
-    labels = [p.weight_metric for p in pillars]
-    wide = weights.groupBy("role").pivot("metric_name", labels).agg(F.max("weight_pct"))
-    return wide.select("role", *[F.col(f"`{p.weight_metric}`").alias(f"{p.key}_weight") for p in pillars])
+    """One row per role with ``<pillar>_weight`` columns (MAX on duplicate rows, NULL if absent).
+
+    A conditional aggregate per pillar: a pivot over a fixed value list in a
+    single hash aggregate (``groupBy().pivot()`` would add a second one).
+    """
+    return weights.groupBy("role").agg(*[_weight_of(p) for p in pillars])
 
 
 def manager_weights(weights: DataFrame, pillars: Sequence[Pillar] = BRANCH_PILLARS,
                     role: str = "Manager") -> DataFrame:
     """Global aggregate over the Manager's rows: always exactly one row (all NULL if none)."""
-    w = weights.filter(F.col("role") == role)
-    return w.agg(*[F.max(F.when(F.col("metric_name") == p.weight_metric, F.col("weight_pct")))
-                   .alias(f"{p.key}_weight") for p in pillars])
+    return weights.filter(F.col("role") == role).agg(*[_weight_of(p) for p in pillars])
 
 
 def weight_scalars(weights: DataFrame, pillars: Sequence[Pillar] = BRANCH_PILLARS,

@@ -6,6 +6,7 @@ so its work grows with them.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,20 +23,28 @@ from kpilane.operators.weights import manager_weights, role_weights_pivot
 from kpilane.plans import reports as rp
 from kpilane.session import scratch_path
 from kpilane.sources.adapter import star_from_tpch
-from kpilane.sources.star import read_csv_typed, write_csv
+from kpilane.sources.star import materialize_star, read_csv_typed, write_csv
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-_STARS: dict[tuple[int, str], dict[str, DataFrame]] = {}
+_STARS: dict[tuple[int, str, bool], dict[str, DataFrame]] = {}
 
 LEADERBOARD_N = 10
 H1 = (1, 6)
 
 
 def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The adapted star for ``sf_dir`` (lazy frames, built once per session)."""
-    key = (id(spark), sf_dir)
+    """The star for ``sf_dir``, loaded once per session.
+
+    Like the scorecard's own load step, the seven tables are derived from the
+    driver tables once and written as Parquet to the shared checkpoint folder;
+    queries read them from there.  ``KPILANE_LAZY_STAR=1`` keeps every query a
+    single plan over the raw driver tables instead (for plan inspection).
+    """
+    lazy = os.environ.get("KPILANE_LAZY_STAR") == "1"
+    key = (id(spark), sf_dir, lazy)
     if key not in _STARS:
-        _STARS[key] = star_from_tpch(spark, sf_dir)
+        adapted = star_from_tpch(spark, sf_dir)
+        _STARS[key] = adapted if lazy else materialize_star(spark, adapted, scratch_path(spark, "star"))
     return _STARS[key]
 
 
@@ -80,7 +89,7 @@ def q_safe_divide(spark, d):
 # --- reports ------------------------------------------------------------------
 
 def q_top3_advisors(spark, d):
-    return rp.top_advisors(_ranked(spark, d), n=3)
+    return rp.top_advisors(_scores(spark, d), n=3)
 
 
 def q_pillar_detail(spark, d):

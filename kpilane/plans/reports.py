@@ -9,23 +9,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpilane.operators.joins import bounded_broadcast
-from kpilane.operators.ranking import rank_by, top_n_by_rank
+from kpilane.operators.ranking import rank_by, rank_of_rows, top_n_by_rank
 from kpilane.operators.weights_long import weights_long
 
 
-def top_advisors(ranked: DataFrame, n: int = 3, role: str = "Advisor") -> DataFrame:
-    """Top ``n`` of ``role`` in the latest month that role has scores for.
+def top_advisors(scores: DataFrame, n: int = 3, role: str = "Advisor") -> DataFrame:
+    """Top ``n`` of ``role`` in the latest month that role has scores for, with both ranks.
 
-    The latest month is a scalar subquery; the top-k is a ``TakeOrderedAndProject``
-    (each task keeps ``n`` rows).  Ties broken by employee id.
+    The latest month is a scalar subquery and the top-k a ``TakeOrderedAndProject``
+    (each task keeps ``n`` rows; ties broken by employee id).  The two ranks of
+    those ``n`` rows are then counted against the whole month (a broadcast of
+    ``n`` rows), so no full ranking of the workforce is needed.
     """
-    of_role = ranked.filter(F.col("role") == role)
+    of_role = scores.filter(F.col("role") == role)
     latest = of_role.agg(F.max("month_number")).scalar()
-    return (of_role.filter(F.col("month_number") == latest)
-            .orderBy(F.col("weighted_total_score").desc_nulls_last(), F.col("employee_id").asc())
-            .limit(n)
-            .select("employee_id", "branch_id", "branch_code", "first_name", "last_name",
-                    "weighted_total_score", "rank_within_role", "rank_within_branch"))
+    top = (of_role.filter(F.col("month_number") == latest)
+           .orderBy(F.col("weighted_total_score").desc_nulls_last(), F.col("employee_id").asc())
+           .limit(n))
+    ids = ["employee_id", "month_number"]
+    with_role = rank_of_rows(top, scores, ["role", "month_number"], "weighted_total_score",
+                             "rank_within_role", ids)
+    ranked = rank_of_rows(with_role, scores, ["branch_id", "month_number"], "weighted_total_score",
+                          "rank_within_branch", ids)
+    return ranked.select("employee_id", "branch_id", "branch_code", "first_name", "last_name",
+                         "weighted_total_score", "rank_within_role", "rank_within_branch")
 
 
 def pillar_detail(long: DataFrame, weights: DataFrame) -> DataFrame:
@@ -34,7 +41,7 @@ def pillar_detail(long: DataFrame, weights: DataFrame) -> DataFrame:
     Joining through the weights (inner) drops every pillar the role has no
     weight row for; ``contribution = pct * weight / 100`` sums to the score.
     """
-    wl = bounded_broadcast(weights_long(weights).select("role", "pillar_name", "weight_pct"))
+    wl = bounded_broadcast(weights_long(weights).select("role", "pillar_name", "weight_pct"), bound_by=weights)
     return long.join(wl, ["role", "pillar_name"]).select(
         "employee_id", "branch_id", "role", "month_number", "pillar_name", "pct_to_target",
         "weight_pct", (F.col("pct_to_target") * F.col("weight_pct") / F.lit(100.0)).alias("contribution"),

@@ -4,6 +4,7 @@ from kpilane.sources.adapter import star_from_tpch
 from kpilane.sources.star import (
     export_views,
     load_star,
+    materialize_star,
     read_csv_typed,
     role_weights_frame,
     save_star,
@@ -13,6 +14,7 @@ from kpilane.sources.star import (
 __all__ = [
     "export_views",
     "load_star",
+    "materialize_star",
     "read_csv_typed",
     "role_weights_frame",
     "save_star",

@@ -68,8 +68,8 @@ def _in_year(ts: str, year: int) -> Column:
 
 
 def _scaled_share(part: str, whole: str, scale: int) -> Column:
-    """floor(scale * part / whole) as an exact integer."""
-    return F.expr(f"({scale} * {part}) div {whole}")
+    """floor(scale * part / whole) as an exact integer (NULL when whole is 0)."""
+    return F.expr(f"({scale} * {part}) div nullif({whole}, 0)")
 
 
 def branch_base(tables: dict[str, DataFrame]) -> DataFrame:

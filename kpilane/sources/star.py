@@ -80,6 +80,17 @@ def save_star(star: Mapping[str, DataFrame], folder: str, fmt: str = "parquet")
             raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
 
 
+def materialize_star(spark: SparkSession, star: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
+    """Write the seven tables once (Parquet) and return frames that read them.
+
+    This is the load step of the scorecard: every view then reads compact,
+    column-pruned Parquet instead of re-deriving the tables from raw data.
+    ``folder`` must be on shared storage.
+    """
+    save_star(star, folder)
+    return load_star(spark, folder)
+
+
 def export_views(views: Mapping[str, DataFrame], folder: str,
                  partition_by: str | None = "month_number") -> dict[str, str]:
     """Write each view as Parquet for BI extracts, partitioned by month when it has one.

@@ -46,3 +46,16 @@ def test_top_n_keeps_ties_and_uses_group_limit(spark):
     assert sorted(r.r for r in top.collect()) == [1, 1, 3, 3]
     plan = top._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_rank_of_rows_matches_window(spark):
+    data = [(i, "g" if i % 3 else "h", 1, float(i % 5) if i % 11 else None) for i in range(120)]
+    df = spark.createDataFrame(data, "id long, g string, m int, s double")
+    want = dict(_ranks(df, "window", "rank", 4))
+    wantd = dict(_ranks(df, "window", "dense", 4))
+    from kpilane.operators.ranking import rank_of_rows
+    cand = df.filter("id in (0, 1, 5, 11, 22, 37)")
+    got = {r.id: r.r for r in rank_of_rows(cand, df, ["g", "m"], "s", "r", ["id"]).collect()}
+    gotd = {r.id: r.r for r in rank_of_rows(cand, df, ["g", "m"], "s", "r", ["id"], ties="dense").collect()}
+    assert got == {i: want[i] for i in got} and len(got) == 6
+    assert gotd == {i: wantd[i] for i in gotd}
