@@ -92,11 +92,11 @@ def materialize_star(spark: SparkSession, star: Mapping[str, DataFrame], folder:
 
 
 def export_views(views: Mapping[str, DataFrame], folder: str,
-                 partition_by: str | None = "month_number") -> dict[str, str]:
+                 partition_by: str | None = "month_number", dynamic: bool = False) -> dict[str, str]:
     """Write each view as Parquet for BI extracts, partitioned by month when it has one.
 
-    With ``spark.sql.sources.partitionOverwriteMode=dynamic`` a rerun for some
-    months replaces only those month folders.
+    With ``dynamic=True`` a rerun for some months replaces only those month
+    folders (dynamic partition overwrite).
     """
     folder = folder.rstrip("/")
     paths = {}
@@ -105,6 +105,8 @@ def export_views(views: Mapping[str, DataFrame], folder: str,
         w = df.write.mode("overwrite")
         if partition_by and partition_by in df.columns:
             w = w.partitionBy(partition_by)
+            if dynamic:
+                w = w.option("partitionOverwriteMode", "dynamic")
         w.parquet(path)
         paths[name] = path
     return paths
