@@ -31,6 +31,11 @@ def manager_weights(weights: DataFrame, pillars: Sequence[Pillar] = BRANCH_PILLA
 
 def weight_scalars(weights: DataFrame, pillars: Sequence[Pillar] = BRANCH_PILLARS,
                    role: str = "Manager") -> dict[str, Column]:
-    """The one-row Manager weights as scalar-subquery columns (no join needed)."""
+    """The one-row Manager weights as scalar-subquery columns (no join needed).
+
+    One struct-valued subquery referenced once per pillar: Spark evaluates the
+    identical subquery once and reuses it.
+    """
     mw = manager_weights(weights, pillars, role)
-    return {p.key: mw.select(f"{p.key}_weight").scalar() for p in pillars}
+    packed = mw.select(F.struct(*[f"{p.key}_weight" for p in pillars]).alias("w")).scalar()
+    return {p.key: packed.getField(f"{p.key}_weight") for p in pillars}
