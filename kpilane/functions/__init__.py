@@ -8,6 +8,7 @@ from kpilane.functions.labels import (
     month_name,
     parse_integer,
     parse_real,
+    to_iso_date,
 )
 from kpilane.functions.scoring import (
     clamp,
@@ -31,5 +32,6 @@ __all__ = [
     "pct_to_target",
     "rag_status",
     "safe_divide",
+    "to_iso_date",
     "weighted_total",
 ]

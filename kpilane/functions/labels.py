@@ -44,6 +44,11 @@ def iso_date(year: Column | str, month: Column | str, day: Column | str) -> Colu
     return F.format_string("%04d-%02d-%02d", _c(year), _c(month), _c(day))
 
 
+def to_iso_date(text: Column | str) -> Column:
+    """ISO ``YYYY-MM-DD`` text (e.g. ``hire_date``) as a DATE; malformed text -> NULL."""
+    return F.try_to_date(_c(text), "yyyy-MM-dd")
+
+
 def parse_integer(text: Column | str) -> Column:
     """CSV integer cell: blank -> NULL, '3.7' -> 3, '-3.7' -> -3, malformed -> error (ANSI)."""
     t = _c(text)

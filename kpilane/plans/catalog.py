@@ -21,6 +21,7 @@ from kpilane.operators import quality as qa
 from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import manager_weights, role_weights_pivot
 from kpilane.plans import reports as rp
+from kpilane.plans.views import build_views
 from kpilane.session import scratch_path
 from kpilane.sources.adapter import star_from_tpch
 from kpilane.sources.star import materialize_star, read_csv_typed, write_csv
@@ -142,16 +143,7 @@ def q_rank_distributed(spark, d):
 # --- quality ------------------------------------------------------------------------
 
 def q_view_row_counts(spark, d):
-    scores = _scores(spark, d)
-    ranked = emp.employee_rank(scores)
-    branch = _branch(spark, d)
-    return qa.view_row_counts({
-        "vw_employee_monthly_score": scores,
-        "vw_employee_rank": ranked,
-        "vw_employee_scorecard_long": emp.employee_scorecard_long(ranked),
-        "vw_branch_monthly_score": branch,
-        "vw_branch_pacing": br.branch_pacing(branch),
-    })
+    return qa.view_row_counts(build_views(star(spark, d)))
 
 
 def q_referential_integrity(spark, d):

@@ -92,9 +92,13 @@ def materialize_star(spark: SparkSession, star: Mapping[str, DataFrame], folder:
 
 
 def export_views(views: Mapping[str, DataFrame], folder: str,
-                 partition_by: str | None = "month_number", dynamic: bool = False) -> dict[str, str]:
+                 partition_by: str | None = "month_number", dynamic: bool = False,
+                 order_by: Mapping[str, list[str]] | None = None) -> dict[str, str]:
     """Write each view as Parquet for BI extracts, partitioned by month when it has one.
 
+    ``order_by`` gives a view its presentation order (e.g. employee, month):
+    views stay unordered inside the plan and are sorted only at the sink.
+
     With ``dynamic=True`` a rerun for some months replaces only those month
     folders (dynamic partition overwrite).
     """
@@ -102,6 +106,10 @@ def export_views(views: Mapping[str, DataFrame], folder: str,
     paths = {}
     for name, df in views.items():
         path = f"{folder}/{name}"
+        keys = (order_by or {}).get(name)
+        if keys:
+            # presentation order (the views' ORDER BY), applied only here at the sink
+            df = df.orderBy(*keys)
         w = df.write.mode("overwrite")
         if partition_by and partition_by in df.columns:
             w = w.partitionBy(partition_by)
