@@ -30,14 +30,20 @@ def orphans(child: DataFrame, parent: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def referential_integrity(pairs: Sequence[tuple[str, DataFrame, str, DataFrame, Sequence[str]]]) -> DataFrame:
-    """check, child_rows, orphan_rows for each ``(child_name, child, parent_name, parent, keys)``."""
+    """check, child_rows, orphan_rows for each ``(child_name, child, parent_name, parent, keys)``.
+
+    Child rows are counted per key before the join, so a key holding most of
+    the child rows is one row when it meets the (distinct) parent keys.
+    """
     reports = []
     for child_name, child, parent_name, parent, keys in pairs:
-        flagged = child.select(*keys).join(
-            parent.select(*keys).distinct().withColumn("_found", F.lit(True)), list(keys), "left")
+        per_key = child.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        flagged = per_key.join(parent.select(*keys).distinct().withColumn("_found", F.lit(True)),
+                               list(keys), "left")
         reports.append(flagged.agg(
-            F.count(F.lit(1)).alias("child_rows"),
-            F.count_if(F.col("_found").isNull()).alias("orphan_rows"),
+            F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("child_rows"),
+            F.coalesce(F.sum(F.when(F.col("_found").isNull(), F.col("_n"))), F.lit(0)).cast("bigint")
+            .alias("orphan_rows"),
         ).select(F.lit(f"{child_name} -> {parent_name} on {', '.join(keys)}").alias("check_name"),
                  "child_rows", "orphan_rows"))
     return _union(reports)

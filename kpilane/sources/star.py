@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,17 +68,31 @@ def load_star(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[st
     raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
 
 
-def save_star(star: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> None:
-    """Write each table, replacing what is there (drop-and-recreate semantics)."""
+def save_star(star: Mapping[str, DataFrame], folder: str, fmt: str = "parquet",
+              concurrent: bool = True) -> None:
+    """Write each table, replacing what is there (drop-and-recreate semantics).
+
+    The seven writes are independent jobs; with ``concurrent=True`` they are
+    submitted from a small thread pool so the scheduler can run them side by side.
+    """
+    if fmt not in ("parquet", "csv"):
+        raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
     folder = folder.rstrip("/")
-    for t in STAR_TABLES:
+
+    def write(t: str) -> None:
         df = star[t].select(*SCHEMAS[t].fieldNames())
         if fmt == "parquet":
             df.write.mode("overwrite").parquet(f"{folder}/{t}")
-        elif fmt == "csv":
-            write_csv(df, f"{folder}/{t}")
         else:
-            raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
+            write_csv(df, f"{folder}/{t}")
+
+    if not concurrent:
+        for t in STAR_TABLES:
+            write(t)
+        return
+    with ThreadPoolExecutor(max_workers=len(STAR_TABLES)) as pool:
+        for f in [pool.submit(write, t) for t in STAR_TABLES]:
+            f.result()
 
 
 def materialize_star(spark: SparkSession, star: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
