@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from kpilane.functions.scoring import pct_to_target, weighted_total
 from kpilane.operators.branch import exact_sum
-from kpilane.operators.joins import bounded_broadcast, join_null_safe
+from kpilane.operators.joins import bounded_broadcast
 from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import weight_scalars
 from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS
@@ -41,27 +41,38 @@ def _check_grain(by: Sequence[str]) -> None:
 
 
 def measure_sums(star: Mapping[str, DataFrame], by: Sequence[str], where: Column | None = None,
-                 grouping: str = "groupby") -> dict[str, DataFrame]:
-    """The three summed inputs (actuals, targets, compliance) at the grain."""
+                 grouping: str = "groupby") -> DataFrame:
+    """Σ actuals, Σ targets and Σ compliance at the grain, in one aggregate.
+
+    The three facts are stacked (``unionByName``; each source fills only its
+    own columns) and summed together, so there is one shuffle and no join.  A
+    grain key is kept only when all three sources have rows for it, which is
+    what joining three separate aggregates would give.
+    """
     _check_grain(by)
     branches = star["dim_branch"]
     inputs = {
-        "actuals": (star["fact_sales"], [p.actual for p in EMPLOYEE_PILLARS]),
-        "targets": (star["fact_targets"], [p.target for p in BRANCH_PILLARS]),
-        "compliance": (star["fact_compliance"], ["compliance_score"]),
+        "_a": (star["fact_sales"], [p.actual for p in EMPLOYEE_PILLARS]),
+        "_t": (star["fact_targets"], [p.target for p in BRANCH_PILLARS]),
+        "_c": (star["fact_compliance"], ["compliance_score"]),
     }
-    out = {}
-    for name, (df, cols) in inputs.items():
+    parts = []
+    for tag, (df, cols) in inputs.items():
         d = _with_branch_attrs(df, branches)
         if where is not None:
             d = d.filter(where)
-        aggs = [exact_sum(c).alias(c) for c in cols]
-        if grouping == "rollup":
-            g = d.rollup(*by).agg(*aggs, F.grouping_id().alias("grouping_level"))
-        else:
-            g = d.groupBy(*by).agg(*aggs)
-        out[name] = g
-    return out
+        parts.append(d.select(*by, *cols, F.lit(1).alias(tag)))
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p, allowMissingColumns=True)
+    measures = [c for _, cols in inputs.values() for c in cols]
+    aggs = [exact_sum(c).alias(c) for c in measures] + [F.count(tag).alias(f"{tag}_rows") for tag in inputs]
+    if grouping == "rollup":
+        g = stacked.rollup(*by).agg(*aggs, F.grouping_id().alias("grouping_level"))
+    else:
+        g = stacked.groupBy(*by).agg(*aggs)
+    covered = (F.col("_a_rows") > 0) & (F.col("_t_rows") > 0) & (F.col("_c_rows") > 0)
+    return g.filter(covered).drop(*[f"{tag}_rows" for tag in inputs])
 
 
 def _score(df: DataFrame, star: Mapping[str, DataFrame], keys: Sequence[str]) -> DataFrame:
@@ -76,10 +87,7 @@ def measure_by_grain(star: Mapping[str, DataFrame], by: Sequence[str],
                      where: Column | None = None) -> DataFrame:
     """Pillar ratios and Manager-weighted score at grain ``by`` under filter ``where``."""
     by = list(by)
-    s = measure_sums(star, by, where)
-    rows = (join_null_safe(s["actuals"], s["targets"], by)
-            .transform(lambda d: join_null_safe(d, s["compliance"], by)))
-    return _score(rows, star, by)
+    return _score(measure_sums(star, by, where), star, by)
 
 
 def measure_rollup(star: Mapping[str, DataFrame], by: Sequence[str],
@@ -90,11 +98,7 @@ def measure_rollup(star: Mapping[str, DataFrame], by: Sequence[str],
     which also tells a rolled-up NULL from a NULL key value.
     """
     by = list(by)
-    s = measure_sums(star, by, where, grouping="rollup")
-    keys = by + ["grouping_level"]
-    rows = (join_null_safe(s["actuals"], s["targets"], keys)
-            .transform(lambda d: join_null_safe(d, s["compliance"], keys)))
-    return _score(rows, star, keys)
+    return _score(measure_sums(star, by, where, grouping="rollup"), star, by + ["grouping_level"])
 
 
 def rank_all_except(df: DataFrame, keep: Sequence[str], score: str, where: Column | None,
