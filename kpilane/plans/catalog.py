@@ -27,7 +27,7 @@ from kpilane.sources.adapter import star_from_tpch
 from kpilane.sources.star import materialize_star, read_csv_typed, write_csv
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-_STARS: dict[tuple[int, str, bool], dict[str, DataFrame]] = {}
+_STARS: dict[tuple[str, int, str, bool], tuple[SparkSession, dict[str, DataFrame]]] = {}
 
 LEADERBOARD_N = 10
 H1 = (1, 6)
@@ -42,11 +42,13 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     single plan over the raw driver tables instead (for plan inspection).
     """
     lazy = os.environ.get("KPILANE_LAZY_STAR") == "1"
-    key = (id(spark), sf_dir, lazy)
-    if key not in _STARS:
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, lazy)
+    cached = _STARS.get(key)
+    if cached is None or cached[0] is not spark:
         adapted = star_from_tpch(spark, sf_dir)
-        _STARS[key] = adapted if lazy else materialize_star(spark, adapted, scratch_path(spark, "star"))
-    return _STARS[key]
+        tables = adapted if lazy else materialize_star(spark, adapted, scratch_path(spark, "star"))
+        cached = _STARS[key] = (spark, tables)
+    return cached[1]
 
 
 def _scores(spark, d, **kw):
