@@ -147,29 +147,43 @@ def score_rank_table(df: DataFrame, contexts: Sequence[Sequence[str]], score: st
     )
 
 
-def rank_of_rows(candidates: DataFrame, population: DataFrame, keys: Sequence[str], score: str,
-                 out_col: str, id_cols: Sequence[str], ties: str = "rank") -> DataFrame:
-    """RANK/DENSE_RANK of a few ``candidates`` rows within ``population``.
+def rank_of_rows(candidates: DataFrame, population: DataFrame, contexts: Mapping[str, Sequence[str]],
+                 score: str, id_cols: Sequence[str], ties: str = "rank") -> DataFrame:
+    """RANK/DENSE_RANK of a few ``candidates`` rows within ``population``, per context.
 
     ``rank = 1 + #rows of the same keys whose score comes strictly first``
     (DESC NULLS LAST); ``dense`` counts distinct such scores.  The candidates
     must be a small, bounded set (e.g. the output of a ``limit``): they are
-    broadcast, so the population is scanned once and never shuffled by key.
-    ``id_cols`` identify a candidate row.
+    broadcast and joined on the keys all contexts share, so the population is
+    scanned once, never shuffled by key, and each row meets only the
+    candidates of its shared keys.  ``id_cols`` identify a candidate row.
     """
     if ties not in RANK_TIES:
         raise ValueError(f"ties must be one of {RANK_TIES}, got {ties!r}")
-    keys, id_cols = list(keys), list(id_cols)
-    cand = candidates.select(*[F.col(c).alias(f"_id_{c}") for c in id_cols],
-                             *[F.col(k).alias(f"_c_{k}") for k in keys], F.col(score).alias("_c_score"))
-    pop = population.select(*keys, F.col(score).alias("_p_score"))
+    id_cols = list(id_cols)
+    shared = [k for k in next(iter(contexts.values())) if all(k in ks for ks in contexts.values())]
+    if not shared:
+        raise ValueError("rank contexts share no key; rank them one context at a time")
+    used = sorted({k for ks in contexts.values() for k in ks})
+    cand = F.broadcast(candidates.select(*[F.col(c).alias(f"_id_{c}") for c in id_cols],
+                                         *[F.col(k).alias(f"_c_{k}") for k in used],
+                                         F.col(score).alias("_c_score")))
+    pop = population.select(*used, F.col(score).alias("_p_score"))
     first = F.col("_p_score").isNotNull() & (F.col("_c_score").isNull() | (F.col("_p_score") > F.col("_c_score")))
-    cond = [pop[k].eqNullSafe(F.col(f"_c_{k}")) for k in keys]
-    ahead = pop.join(F.broadcast(cand), cond, "inner").filter(first)
-    counted = ahead.groupBy(*[F.col(f"_id_{c}").alias(c) for c in id_cols]).agg(
-        (F.count(F.lit(1)) if ties == "rank" else F.count_distinct("_p_score")).alias("_ahead"))
-    out = candidates.join(counted, id_cols, "left")
-    return out.withColumn(out_col, (F.lit(1) + F.coalesce(F.col("_ahead"), F.lit(0))).cast("bigint")).drop("_ahead")
+    joined = pop.join(cand, [pop[k].eqNullSafe(F.col(f"_c_{k}")) for k in shared], "inner").filter(first)
+    counts = []
+    for col, keys in contexts.items():
+        same = first
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"_c_{k}"))
+        if ties == "rank":
+            counts.append(F.count_if(same).alias(col))
+        else:
+            counts.append(F.count_distinct(F.when(same, F.col("_p_score"))).alias(col))
+    ahead = joined.groupBy(*[F.col(f"_id_{c}").alias(c) for c in id_cols]).agg(*counts)
+    out = candidates.join(ahead, id_cols, "left")
+    return out.select(*[c for c in candidates.columns],
+                      *[(F.lit(1) + F.coalesce(F.col(col), F.lit(0))).cast("bigint").alias(col) for col in contexts])
 
 
 def top_n_by_rank(df: DataFrame, keys: Sequence[str], score: str, n: int, out_col: str = "rank",

@@ -26,11 +26,9 @@ def top_advisors(scores: DataFrame, n: int = 3, role: str = "Advisor") -> DataFr
     top = (of_role.filter(F.col("month_number") == latest)
            .orderBy(F.col("weighted_total_score").desc_nulls_last(), F.col("employee_id").asc())
            .limit(n))
-    ids = ["employee_id", "month_number"]
-    with_role = rank_of_rows(top, scores, ["role", "month_number"], "weighted_total_score",
-                             "rank_within_role", ids)
-    ranked = rank_of_rows(with_role, scores, ["branch_id", "month_number"], "weighted_total_score",
-                          "rank_within_branch", ids)
+    contexts = {"rank_within_role": ["role", "month_number"],
+                "rank_within_branch": ["branch_id", "month_number"]}
+    ranked = rank_of_rows(top, scores, contexts, "weighted_total_score", ["employee_id", "month_number"])
     return ranked.select("employee_id", "branch_id", "branch_code", "first_name", "last_name",
                          "weighted_total_score", "rank_within_role", "rank_within_branch")
 

@@ -55,7 +55,19 @@ def test_rank_of_rows_matches_window(spark):
     wantd = dict(_ranks(df, "window", "dense", 4))
     from kpilane.operators.ranking import rank_of_rows
     cand = df.filter("id in (0, 1, 5, 11, 22, 37)")
-    got = {r.id: r.r for r in rank_of_rows(cand, df, ["g", "m"], "s", "r", ["id"]).collect()}
-    gotd = {r.id: r.r for r in rank_of_rows(cand, df, ["g", "m"], "s", "r", ["id"], ties="dense").collect()}
+    got = {r.id: r.r for r in rank_of_rows(cand, df, {"r": ["g", "m"]}, "s", ["id"]).collect()}
+    gotd = {r.id: r.r for r in rank_of_rows(cand, df, {"r": ["g", "m"]}, "s", ["id"], ties="dense").collect()}
     assert got == {i: want[i] for i in got} and len(got) == 6
     assert gotd == {i: wantd[i] for i in gotd}
+
+
+def test_rank_of_rows_two_contexts_one_pass(spark):
+    data = [(i, "g" if i % 3 else "h", 1 + i % 2, float(i % 5) if i % 11 else None) for i in range(120)]
+    df = spark.createDataFrame(data, "id long, g string, m int, s double")
+    from kpilane.operators.ranking import rank_of_rows
+    by_gm = {r.id: r.r for r in rank_by(df, ["g", "m"], "s", "r", method="window").collect()}
+    by_m = {r.id: r.r for r in rank_by(df, ["m"], "s", "r", method="window").collect()}
+    cand = df.filter("id in (0, 1, 5, 11, 22, 37, 64)")
+    got = rank_of_rows(cand, df, {"r_gm": ["g", "m"], "r_m": ["m"]}, "s", ["id"]).collect()
+    assert {r.id: (r.r_gm, r.r_m) for r in got} == {r.id: (by_gm[r.id], by_m[r.id]) for r in got}
+    assert len(got) == 7
