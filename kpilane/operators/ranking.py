@@ -95,13 +95,11 @@ def rank_tables(df: DataFrame, contexts: Mapping[str, Sequence[str]], score: str
     return out
 
 
-def score_rank_table(df: DataFrame, contexts: Sequence[Sequence[str]], score: str,
-                     num_partitions: int | None = None) -> DataFrame:
-    """One row per context, distinct key and score with its ``_rank`` and ``_dense`` (bigint).
-
-    Columns: ``_ctx`` (context number), ``_k0.._k{w-1}`` (the context's keys as
-    text, NULL-padded), ``score``, ``_rank``, ``_dense``.
-    """
+def range_histogram(df: DataFrame, contexts: Sequence[Sequence[str]], score: str,
+                    num_partitions: int | None = None) -> DataFrame:
+    """Steps 1-2: the stacked ``(_ctx, _k.., score) -> _n`` histogram, range-partitioned
+    on ``(_ctx, _k.., score desc)`` with its partition id ``_pid`` pinned by a
+    reliable checkpoint."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     width = max(len(k) for k in contexts)
@@ -118,9 +116,21 @@ def score_rank_table(df: DataFrame, contexts: Sequence[Sequence[str]], score: st
 
     hist = stacked.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n"))
     order = [F.col(c).asc_nulls_first() for c in group] + [F.col(score).desc_nulls_last()]
-    ranged = (hist.repartitionByRange(n, *order)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    return (hist.repartitionByRange(n, *order)
+            .withColumn("_pid", F.spark_partition_id())
+            .checkpoint(eager=True))
+
+
+def score_rank_table(df: DataFrame, contexts: Sequence[Sequence[str]], score: str,
+                     num_partitions: int | None = None) -> DataFrame:
+    """One row per context, distinct key and score with its ``_rank`` and ``_dense`` (bigint).
+
+    Columns: ``_ctx`` (context number), ``_k0.._k{w-1}`` (the context's keys as
+    text, NULL-padded), ``score``, ``_rank``, ``_dense``.
+    """
+    ranged = range_histogram(df, contexts, score, num_partitions)
+    width = max(len(k) for k in contexts)
+    group = ["_ctx", *[f"_k{j}" for j in range(width)]]
 
     ahead = (Window.partitionBy("_pid", *group).orderBy(F.col(score).desc_nulls_last())
              .rowsBetween(Window.unboundedPreceding, -1))

@@ -42,7 +42,11 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     single plan over the raw driver tables instead (for plan inspection).
     """
     lazy = os.environ.get("KPILANE_LAZY_STAR") == "1"
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir, lazy)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # remote session
+        app = ""
+    key = (app, id(spark), sf_dir, lazy)
     cached = _STARS.get(key)
     if cached is None or cached[0] is not spark:
         adapted = star_from_tpch(spark, sf_dir)

@@ -44,7 +44,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     gets a private temporary folder; a cluster session without one is an error,
     because a machine-local folder is not visible to other executors.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Spark Connect) session: the server owns the folder
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder") from None
     current = sc.getCheckpointDir()
     if current:
         return current
