@@ -36,23 +36,30 @@ def branch_targets(fact_targets: DataFrame, keys: list[str] = BRANCH_KEYS) -> Da
     return fact_targets.groupBy(*keys).agg(*[exact_sum(p.target).alias(p.target) for p in BRANCH_PILLARS])
 
 
-def branch_monthly_score(star: Mapping[str, DataFrame]) -> DataFrame:
-    """Ratio of sums per branch and month, scored with the Manager's weights.
+def branch_monthly_score(star: Mapping[str, DataFrame], period_cols=("month_number",)) -> DataFrame:
+    """Ratio of sums per branch and period, scored with the Manager's weights.
 
     No COALESCE: one NULL ratio or weight makes the total NULL.  The Manager
-    weights are scalar subqueries over the one-row global aggregate.
+    weights are one scalar subquery over the one-row global aggregate.
+    ``period_cols`` must include ``month_number``; extra ones (a year) come out
+    just before it.
     """
-    bs = branch_sales(star["fact_sales"])
-    bt = branch_targets(star["fact_targets"])
+    period = list(period_cols)
+    if "month_number" not in period:
+        raise ValueError("period_cols must include month_number")
+    extra = [c for c in period if c != "month_number"]
+    keys = ["branch_id", *period]
+    bs = branch_sales(star["fact_sales"], keys)
+    bt = branch_targets(star["fact_targets"], keys)
     db = bounded_broadcast(star["dim_branch"].select("branch_id", "branch_code", "branch_name", "tier"))
-    fc = star["fact_compliance"].select("branch_id", "month_number", "month_name", "compliance_score")
+    fc = star["fact_compliance"].select(*keys, "month_name", "compliance_score")
     w = weight_scalars(star["dim_role_weights"])
 
-    rows = bs.join(bt, BRANCH_KEYS).join(db, "branch_id").join(fc, BRANCH_KEYS)
+    rows = bs.join(bt, keys).join(db, "branch_id").join(fc, keys)
     ratios = {p.key: pct_to_target(F.col(p.actual), F.col(p.target)) for p in BRANCH_PILLARS}
     score = weighted_total([(ratios[p.key], w[p.key]) for p in BRANCH_PILLARS], null_as_zero=False)
     return rows.select(
-        "branch_id", "branch_code", "branch_name", "tier", "month_number", "month_name",
+        "branch_id", "branch_code", "branch_name", "tier", *extra, "month_number", "month_name",
         *[ratios[p.key].alias(f"{p.key}_pct_to_target") for p in BRANCH_PILLARS],
         score.alias("weighted_total_score"))
 
@@ -64,6 +71,10 @@ def branch_pacing(branch_scores: DataFrame, green: float = GREEN_AT, amber: floa
 
 def branch_rank(pacing: DataFrame, ties: str = "rank", method: str = "range",
                 keys: list[str] | None = None, out_col: str = "branch_rank") -> DataFrame:
-    """Rank branches company-wide per month by weighted score (NULL scores last)."""
-    return rank_by(pacing, keys or ["month_number"], "weighted_total_score", out_col,
+    """Rank branches company-wide per period by weighted score (NULL scores last).
+
+    ``keys`` defaults to the period: ``month_number``, plus ``year`` when present.
+    """
+    default = ["year", "month_number"] if "year" in pacing.columns else ["month_number"]
+    return rank_by(pacing, keys or default, "weighted_total_score", out_col,
                    ties=ties, method=method)

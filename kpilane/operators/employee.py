@@ -21,28 +21,46 @@ RANK_CONTEXTS = {
     "rank_within_role": ["role", "month_number"],
     "rank_within_branch": ["branch_id", "month_number"],
 }
+# The reference keys periods by month number alone; data spanning several years
+# passes e.g. ("year", "month_number") so joins and ranks do not mix years.
+PERIOD = ("month_number",)
+
+
+def _period(period_cols) -> tuple[list[str], list[str]]:
+    period = list(period_cols)
+    if "month_number" not in period:
+        raise ValueError("period_cols must include month_number")
+    return period, [c for c in period if c != "month_number"]
+
+
+def rank_contexts(period_cols=PERIOD) -> dict[str, list[str]]:
+    period, _ = _period(period_cols)
+    return {"rank_within_role": ["role", *period], "rank_within_branch": ["branch_id", *period]}
 
 
 def employee_monthly_score(star: Mapping[str, DataFrame], normalize: str = "fixed",
-                           excluded_role: str = "Teller") -> DataFrame:
+                           excluded_role: str = "Teller", period_cols=PERIOD) -> DataFrame:
     """Pillar percent-to-target and the role-weighted total per employee and month.
 
     Sales join targets on (employee, month) and the employee dimension on
     employee (inner: orphans drop out); weights join by role (left: a role
     without weight rows scores 0).  The excluded role gets NULL Lending and
     Investing ratios.  ``normalize`` is passed to :func:`weighted_total`.
+    ``period_cols`` are the period keys of the fact join (extra ones, such as a
+    year, come out just before ``month_number``).
     """
+    period, extra = _period(period_cols)
     sales = star["fact_sales"].select(
-        "employee_id", "branch_id", "month_number", "month_name",
+        "employee_id", "branch_id", *period, "month_name",
         *[p.actual for p in EMPLOYEE_PILLARS])
-    targets = star["fact_targets"].select("employee_id", "month_number",
+    targets = star["fact_targets"].select("employee_id", *period,
                                           *[p.target for p in EMPLOYEE_PILLARS])
     employees = star["dim_employee"].select("employee_id", "branch_code", "role", "first_name",
                                             "last_name")
     # one row per role: never more rows than the weights table itself
     weights = bounded_broadcast(role_weights_pivot(star["dim_role_weights"]), bound_by=star["dim_role_weights"])
 
-    rows = (sales.join(targets, ["employee_id", "month_number"])
+    rows = (sales.join(targets, ["employee_id", *period])
             .join(employees, "employee_id")
             .join(weights, "role", "left"))
 
@@ -54,19 +72,23 @@ def employee_monthly_score(star: Mapping[str, DataFrame], normalize: str = "fixe
         pcts.append(ratio.alias(f"{p.key}_pct_to_target"))
         terms.append((ratio, F.col(f"{p.key}_weight")))
     score = weighted_total(terms, null_as_zero=True, normalize=normalize)
-    return rows.select(*EMPLOYEE_KEYS, *pcts, score.alias("weighted_total_score"))
+    keys = EMPLOYEE_KEYS[:6] + extra + EMPLOYEE_KEYS[6:]
+    return rows.select(*keys, *pcts, score.alias("weighted_total_score"))
 
 
-def employee_rank(scores: DataFrame, ties: str = "rank", method: str = "range") -> DataFrame:
-    """Add rank_within_role (role, month) and rank_within_branch (branch, month), score DESC.
+def employee_rank(scores: DataFrame, ties: str = "rank", method: str = "range",
+                  period_cols=PERIOD) -> DataFrame:
+    """Add rank_within_role (role, period) and rank_within_branch (branch, period), score DESC.
 
     With ``method="range"`` the scores are first materialised once (reliable
     checkpoint) because both rank contexts and the final join read them.
     """
+    contexts = rank_contexts(period_cols)
+    columns = scores.columns
     if method == "range":
         scores = scores.checkpoint(eager=True)
-    ranked = rank_many(scores, RANK_CONTEXTS, "weighted_total_score", ties=ties, method=method)
-    return ranked.select(*SCORE_COLUMNS, *RANK_CONTEXTS)
+    ranked = rank_many(scores, contexts, "weighted_total_score", ties=ties, method=method)
+    return ranked.select(*columns, *contexts)
 
 
 def employee_scorecard_long(ranked: DataFrame, excluded_role: str = "Teller") -> DataFrame:
@@ -80,6 +102,7 @@ def employee_scorecard_long(ranked: DataFrame, excluded_role: str = "Teller") ->
     """
     ids = [c for c in ranked.columns if c not in PCT_COLUMNS]
     ranks = [c for c in RANK_CONTEXTS if c in ranked.columns]
+    keys = [c for c in ids if c not in ranks and c != "weighted_total_score"]
     long = ranked.unpivot(ids, PCT_COLUMNS, "_pillar", "pct_to_target")
     labels = F.lit(None).cast("string")
     for p in reversed(EMPLOYEE_PILLARS):
@@ -88,5 +111,5 @@ def employee_scorecard_long(ranked: DataFrame, excluded_role: str = "Teller") ->
     keep = F.col("pct_to_target").isNotNull()
     guarded = F.col("_pillar").isin(*[f"{p.key}_pct_to_target" for p in EMPLOYEE_PILLARS if p.teller_excluded])
     long = long.filter(keep & (~guarded | F.coalesce(role_ok, F.lit(False))))
-    return long.select(*EMPLOYEE_KEYS, labels.alias("pillar_name"), "pct_to_target",
+    return long.select(*keys, labels.alias("pillar_name"), "pct_to_target",
                        "weighted_total_score", *ranks)
