@@ -103,13 +103,13 @@ def measure_rollup(star: Mapping[str, DataFrame], by: Sequence[str],
 
 def rank_all_except(df: DataFrame, keep: Sequence[str], score: str, where: Column | None,
                     out_col: str = "rank") -> DataFrame:
-    """RANKX(ALLEXCEPT(keep)): rank over every row within ``keep``, then apply the filter."""
+    """Rank in an 'all except keep' filter context: rank every row within ``keep``, then filter."""
     ranked = rank_by(df, list(keep), score, out_col)
     return ranked if where is None else ranked.filter(where)
 
 
 def rank_all_selected(df: DataFrame, keep: Sequence[str], score: str, where: Column | None,
                       out_col: str = "rank") -> DataFrame:
-    """RANKX(ALLSELECTED): filter first, then rank among the selected rows within ``keep``."""
+    """Rank in an 'all selected' filter context: filter first, then rank the selected rows."""
     selected = df if where is None else df.filter(where)
     return rank_by(selected, list(keep), score, out_col)
