@@ -265,6 +265,15 @@ def q_clamp_scores(spark, d):
     return pl.clamp_scores(star(spark, d)["fact_compliance"])
 
 
+def q_clamp_survey(spark, d):
+    return pl.clamp_survey(star(spark, d)["fact_lei_survey"])
+
+
+def q_sales_without_targets(spark, d):
+    s = star(spark, d)
+    return qa.orphans(s["fact_sales"], s["fact_targets"], ["employee_id", "month_number"])
+
+
 def q_csv_roundtrip(spark, d):
     path = scratch_path(spark, "csv-fact-sales")
     write_csv(star(spark, d)["fact_sales"], path)
@@ -324,5 +333,7 @@ QUERIES: dict[str, QueryFn] = {
     "branch_labels": q_branch_labels,
     "enrich_facts": q_enrich_facts,
     "clamp_scores": q_clamp_scores,
+    "clamp_survey": q_clamp_survey,
+    "sales_without_targets": q_sales_without_targets,
     "csv_roundtrip": q_csv_roundtrip,
 }

@@ -364,5 +364,11 @@ ORACLE: dict[str, str] = {
         "printf('%s Branch %03d', tier, branch_id) AS branch_name FROM dim_branch"),
     "enrich_facts": ENRICH_FACTS,
     "clamp_scores": CLAMP_SCORES,
+    "clamp_survey": with_views(
+        f"SELECT employee_id, month_number, lei_score, {_clamp('lei_score', 1.0, 5.0)} AS lei_clamped, "
+        f"{_oor('lei_score', 1.0, 5.0)} AS lei_out_of_range FROM fact_lei_survey"),
+    "sales_without_targets": with_views(
+        "SELECT s.* FROM fact_sales s WHERE NOT EXISTS (SELECT 1 FROM fact_targets t "
+        "WHERE t.employee_id = s.employee_id AND t.month_number = s.month_number)"),
     "csv_roundtrip": _all("fact_sales"),
 }
