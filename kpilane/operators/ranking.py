@@ -99,9 +99,8 @@ def range_histogram(df: DataFrame, contexts: Sequence[Sequence[str]], score: str
                     num_partitions: int | None = None) -> DataFrame:
     """Steps 1-2: the stacked ``(_ctx, _k.., score) -> _n`` histogram, range-partitioned
     on ``(_ctx, _k.., score desc)`` with its partition id ``_pid`` pinned by a
-    reliable checkpoint."""
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reliable checkpoint.  ``num_partitions`` fixes the range count; by default it
+    follows ``spark.sql.shuffle.partitions`` and AQE's partition sizing."""
     width = max(len(k) for k in contexts)
     kcols = [f"_k{j}" for j in range(width)]
 
@@ -116,9 +115,11 @@ def range_histogram(df: DataFrame, contexts: Sequence[Sequence[str]], score: str
 
     hist = stacked.groupBy(*group, score).agg(F.count(F.lit(1)).alias("_n"))
     order = [F.col(c).asc_nulls_first() for c in group] + [F.col(score).desc_nulls_last()]
-    return (hist.repartitionByRange(n, *order)
-            .withColumn("_pid", F.spark_partition_id())
-            .checkpoint(eager=True))
+    # Without an explicit count AQE may merge adjacent range partitions to its
+    # advisory size; merged ranges stay in order, so the pinned ids stay valid.
+    ranged = (hist.repartitionByRange(num_partitions, *order) if num_partitions
+              else hist.repartitionByRange(*order))
+    return ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
 
 
 def score_rank_table(df: DataFrame, contexts: Sequence[Sequence[str]], score: str,
