@@ -86,7 +86,6 @@ def rank_tables(df: DataFrame, contexts: Mapping[str, Sequence[str]], score: str
     """Per context: ``(_jk0.., score, out_col)`` for every distinct key and score (keys as text)."""
     pick = "_rank" if ties == "rank" else "_dense"
     table = score_rank_table(df, list(contexts.values()), score, num_partitions)
-    width = max(len(k) for k in contexts.values())
     out = {}
     for i, (col, keys) in enumerate(contexts.items()):
         t = table.filter(F.col("_ctx") == F.lit(i))
