@@ -48,8 +48,11 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (app, id(spark), sf_dir, lazy)
     cached = _STARS.get(key)
     if cached is None or cached[0] is not spark:
-        adapted = star_from_tpch(spark, sf_dir)
-        tables = adapted if lazy else materialize_star(spark, adapted, scratch_path(spark, "star"))
+        if lazy:
+            tables = star_from_tpch(spark, sf_dir)
+        else:
+            folder = scratch_path(spark, "star")
+            tables = materialize_star(spark, star_from_tpch(spark, sf_dir, stage_dir=f"{folder}/_stage"), folder)
         cached = _STARS[key] = (spark, tables)
     return cached[1]
 
