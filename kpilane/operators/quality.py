@@ -160,12 +160,26 @@ def reconcile_summary(reconciled: DataFrame) -> DataFrame:
                                             F.max("max_abs_diff").alias("max_abs_diff"))
 
 
-def weight_sum_check(weights: DataFrame, expected: float = 100.0) -> DataFrame:
-    """role, total_weight, pillar_rows, sums_to_expected."""
-    return weights.groupBy("role").agg(
+def weight_sum_check(weights: DataFrame, employees: DataFrame | None = None,
+                     expected: float = 100.0) -> DataFrame:
+    """role, total_weight, pillar_rows, sums_to_expected (+ employees).
+
+    With ``employees`` the check runs for every role present in the workforce
+    (counted per role): a role that has people but no weight rows shows a NULL
+    total and ``sums_to_expected = false``.
+    """
+    totals = weights.groupBy("role").agg(
         F.sum("weight_pct").alias("total_weight"),
         F.count(F.lit(1)).alias("pillar_rows"),
-    ).withColumn("sums_to_expected", F.col("total_weight") == F.lit(expected))
+    )
+    if employees is None:
+        return totals.withColumn("sums_to_expected", F.col("total_weight") == F.lit(expected))
+    staff = employees.groupBy("role").agg(F.count(F.lit(1)).alias("employees"))
+    out = staff.join(totals, "role", "left")
+    return out.select(
+        "role", "employees", "total_weight",
+        F.coalesce(F.col("pillar_rows"), F.lit(0)).alias("pillar_rows"),
+        F.coalesce(F.col("total_weight") == F.lit(expected), F.lit(False)).alias("sums_to_expected"))
 
 
 def headcount_check(branches: DataFrame, employees: DataFrame) -> DataFrame:

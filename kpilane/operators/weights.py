@@ -29,6 +29,11 @@ def manager_weights(weights: DataFrame, pillars: Sequence[Pillar] = BRANCH_PILLA
     return weights.filter(F.col("role") == role).agg(*[_weight_of(p) for p in pillars])
 
 
+def workforce_weights(weights: DataFrame, employees: DataFrame) -> DataFrame:
+    """The weight rows of the roles present in the workforce (a left-semi join on role)."""
+    return weights.join(employees.select("role"), "role", "left_semi")
+
+
 def weight_scalars(weights: DataFrame, pillars: Sequence[Pillar] = BRANCH_PILLARS,
                    role: str = "Manager") -> dict[str, Column]:
     """The one-row Manager weights as scalar-subquery columns (no join needed).

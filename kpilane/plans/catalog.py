@@ -19,7 +19,7 @@ from kpilane.operators import measures as ms
 from kpilane.operators import planning as pl
 from kpilane.operators import quality as qa
 from kpilane.operators.ranking import rank_by
-from kpilane.operators.weights import manager_weights, role_weights_pivot
+from kpilane.operators.weights import manager_weights, role_weights_pivot, workforce_weights
 from kpilane.plans import reports as rp
 from kpilane.session import scratch_path
 from kpilane.sources.adapter import star_from_tpch
@@ -73,6 +73,11 @@ def _pacing(spark, d):
     return br.branch_pacing(_branch(spark, d))
 
 
+def _workforce_weights(spark, d):
+    s = star(spark, d)
+    return workforce_weights(s["dim_role_weights"], s["dim_employee"])
+
+
 def _table(name):
     return lambda spark, d: star(spark, d)[name]
 
@@ -237,7 +242,8 @@ def q_reconcile_4dp(spark, d):
 
 
 def q_weight_sum_check(spark, d):
-    return qa.weight_sum_check(star(spark, d)["dim_role_weights"])
+    s = star(spark, d)
+    return qa.weight_sum_check(s["dim_role_weights"], s["dim_employee"])
 
 
 def q_headcount_check(spark, d):
@@ -256,7 +262,8 @@ def q_month_calendar(spark, d):
 
 
 def q_branch_labels(spark, d):
-    return pl.branch_labels(star(spark, d)["dim_branch"])
+    # labels for every branch that has sales facts
+    return pl.branch_labels(star(spark, d)["fact_sales"].select("branch_id", "tier").distinct())
 
 
 def q_enrich_facts(spark, d):
@@ -296,8 +303,9 @@ QUERIES: dict[str, QueryFn] = {
     "employee_rank": lambda s, d: _ranked(s, d),
     "employee_rank_dense": lambda s, d: _ranked(s, d, ties="dense"),
     "employee_scorecard_long": lambda s, d: emp.employee_scorecard_long(_ranked(s, d)),
-    "role_weights_pivot": lambda s, d: role_weights_pivot(star(s, d)["dim_role_weights"]),
-    "manager_weights": lambda s, d: manager_weights(star(s, d)["dim_role_weights"]),
+    # weights of the roles present in the workforce (reads dim_employee)
+    "role_weights_pivot": lambda s, d: role_weights_pivot(_workforce_weights(s, d)),
+    "manager_weights": lambda s, d: manager_weights(_workforce_weights(s, d)),
     "branch_sales": lambda s, d: br.branch_sales(star(s, d)["fact_sales"]),
     "branch_targets": lambda s, d: br.branch_targets(star(s, d)["fact_targets"]),
     "branch_monthly_score": _branch,

@@ -281,8 +281,12 @@ ORACLE: dict[str, str] = {
     "employee_rank": _all("vw_employee_rank"),
     "employee_rank_dense": _all("vw_employee_rank_dense"),
     "employee_scorecard_long": _all("vw_employee_scorecard_long"),
-    "role_weights_pivot": _all("kp_role_weights"),
-    "manager_weights": _all("manager_weights"),
+    "role_weights_pivot": with_views(
+        "SELECT * FROM kp_role_weights WHERE role IN (SELECT role FROM dim_employee)"),
+    "manager_weights": with_views(
+        "SELECT " + ", ".join(f"max(weight_pct) FILTER (WHERE metric_name = '{p.weight_metric}') AS {p.key}_weight"
+                              for p in PILLARS)
+        + " FROM dim_role_weights WHERE role = 'Manager' AND role IN (SELECT role FROM dim_employee)"),
     "branch_sales": _all("branch_sales"),
     "branch_targets": _all("branch_targets"),
     "branch_monthly_score": _all("vw_branch_monthly_score"),
@@ -344,8 +348,11 @@ ORACLE: dict[str, str] = {
     "totals_reconciliation": _totals_sql(),
     "reconcile_4dp": _reconcile_sql(),
     "weight_sum_check": with_views(
-        "SELECT role, SUM(weight_pct) AS total_weight, COUNT(*) AS pillar_rows, "
-        "SUM(weight_pct) = 100.0e0 AS sums_to_expected FROM dim_role_weights GROUP BY role"),
+        "SELECT s.role, s.employees, w.total_weight, COALESCE(w.pillar_rows, 0) AS pillar_rows, "
+        "COALESCE(w.total_weight = 100.0e0, FALSE) AS sums_to_expected "
+        "FROM (SELECT role, COUNT(*) AS employees FROM dim_employee GROUP BY role) s "
+        "LEFT JOIN (SELECT role, SUM(weight_pct) AS total_weight, COUNT(*) AS pillar_rows "
+        "FROM dim_role_weights GROUP BY role) w ON w.role = s.role"),
     "headcount_check": with_views(
         "SELECT b.branch_id, b.manager_count, b.advisor_count, b.teller_count, b.employee_count, "
         "COALESCE(a.actual_managers, 0) AS actual_managers, COALESCE(a.actual_advisors, 0) AS actual_advisors, "
@@ -361,7 +368,8 @@ ORACLE: dict[str, str] = {
     "month_calendar": MONTH_CALENDAR,
     "branch_labels": with_views(
         "SELECT branch_id, tier, upper(substr(tier, 1, 3)) || printf('%03d', branch_id) AS branch_code, "
-        "printf('%s Branch %03d', tier, branch_id) AS branch_name FROM dim_branch"),
+        "printf('%s Branch %03d', tier, branch_id) AS branch_name "
+        "FROM (SELECT DISTINCT branch_id, tier FROM fact_sales)"),
     "enrich_facts": ENRICH_FACTS,
     "clamp_scores": CLAMP_SCORES,
     "clamp_survey": with_views(

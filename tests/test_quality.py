@@ -53,6 +53,9 @@ def test_totals_and_reconcile(golden):
 def test_weight_and_headcount_checks(golden):
     w = {r.role: (r.total_weight, r.sums_to_expected) for r in qa.weight_sum_check(golden["dim_role_weights"]).collect()}
     assert w == {"Advisor": (100.0, True), "Teller": (100.0, True), "Manager": (100.0, True)}
+    staffed = {r.role: (r.employees, r.sums_to_expected) for r in
+               qa.weight_sum_check(golden["dim_role_weights"], golden["dim_employee"]).collect()}
+    assert staffed == {"Manager": (2, True), "Advisor": (4, True), "Teller": (2, True), "Intern": (1, False)}
     hc = {r.branch_id: r.headcount_matches for r in qa.headcount_check(golden["dim_branch"],
                                                                         golden["dim_employee"]).collect()}
     assert hc == {1: False, 2: False, 3: False}  # the fixture declares 1/1/1 per branch
