@@ -241,6 +241,16 @@ def q_reconcile_4dp(spark, d):
     return qa.reconcile(ms.measure_by_grain(star(spark, d), keys), _branch(spark, d), keys, cols)
 
 
+def q_reconcile_ranks(spark, d):
+    # the measure-style rank ("all except role, month") against the ranked view
+    scores = _scores(spark, d)
+    measured = ms.rank_all_except(scores, ["role", "month_number"], "weighted_total_score", None,
+                                  "rank_within_role")
+    view = emp.employee_rank(scores)
+    keys = ["employee_id", "month_number"]
+    return qa.reconcile(measured, view, keys, ["rank_within_role"], tol=0.0)
+
+
 def q_weight_sum_check(spark, d):
     s = star(spark, d)
     return qa.weight_sum_check(s["dim_role_weights"], s["dim_employee"])
@@ -336,6 +346,7 @@ QUERIES: dict[str, QueryFn] = {
     "join_fanout": q_join_fanout,
     "totals_reconciliation": q_totals_reconciliation,
     "reconcile_4dp": q_reconcile_4dp,
+    "reconcile_ranks": q_reconcile_ranks,
     "weight_sum_check": q_weight_sum_check,
     "headcount_check": q_headcount_check,
     # planning and I/O

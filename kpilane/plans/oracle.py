@@ -347,6 +347,18 @@ ORACLE: dict[str, str] = {
     "join_fanout": _fanout_sql(),
     "totals_reconciliation": _totals_sql(),
     "reconcile_4dp": _reconcile_sql(),
+    "reconcile_ranks": with_views(
+        "SELECT CASE WHEN m.present IS NULL THEN v.employee_id ELSE m.employee_id END AS employee_id, "
+        "CASE WHEN m.present IS NULL THEN v.month_number ELSE m.month_number END AS month_number, "
+        "CASE WHEN v.present IS NULL THEN 'left_only' WHEN m.present IS NULL THEN 'right_only' "
+        "WHEN COALESCE((m.r IS NULL AND v.r IS NULL) OR ABS(m.r - v.r) <= 0.0, FALSE) THEN 'match' "
+        "ELSE 'differ' END AS status, "
+        "CAST(COALESCE(ABS(m.r - v.r), 0) AS DOUBLE) AS max_abs_diff "
+        "FROM (SELECT employee_id, month_number, RANK() OVER (PARTITION BY role, month_number "
+        "ORDER BY weighted_total_score DESC NULLS LAST) AS r, TRUE AS present FROM vw_employee_monthly_score) m "
+        "FULL OUTER JOIN (SELECT employee_id, month_number, rank_within_role AS r, TRUE AS present "
+        "FROM vw_employee_rank) v ON m.employee_id IS NOT DISTINCT FROM v.employee_id "
+        "AND m.month_number IS NOT DISTINCT FROM v.month_number"),
     "weight_sum_check": with_views(
         "SELECT s.role, s.employees, w.total_weight, COALESCE(w.pillar_rows, 0) AS pillar_rows, "
         "COALESCE(w.total_weight = 100.0e0, FALSE) AS sums_to_expected "
