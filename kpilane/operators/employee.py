@@ -91,6 +91,23 @@ def employee_rank(scores: DataFrame, ties: str = "rank", method: str = "range",
     return ranked.select(*columns, *contexts)
 
 
+def _long_keep(pillar_key: str, pct: str, excluded_role: str):
+    """Whether a pillar's ratio becomes a row of the long view (NULL counts as no)."""
+    keep = F.col(pct).isNotNull()
+    if any(p.key == pillar_key and p.teller_excluded for p in EMPLOYEE_PILLARS):
+        keep = keep & F.coalesce(F.col("role") != F.lit(excluded_role), F.lit(False))
+    return keep
+
+
+def long_rows_per_score(excluded_role: str = "Teller"):
+    """Number of long-view rows one score row turns into (for counting without unpivoting)."""
+    total = None
+    for p in EMPLOYEE_PILLARS:
+        one = F.when(_long_keep(p.key, f"{p.key}_pct_to_target", excluded_role), F.lit(1)).otherwise(F.lit(0))
+        total = one if total is None else total + one
+    return total
+
+
 def employee_scorecard_long(ranked: DataFrame, excluded_role: str = "Teller") -> DataFrame:
     """One row per employee, month and pillar with a non-NULL ratio.
 
@@ -107,9 +124,10 @@ def employee_scorecard_long(ranked: DataFrame, excluded_role: str = "Teller") ->
     labels = F.lit(None).cast("string")
     for p in reversed(EMPLOYEE_PILLARS):
         labels = F.when(F.col("_pillar") == f"{p.key}_pct_to_target", F.lit(p.long_label)).otherwise(labels)
-    role_ok = F.col("role") != F.lit(excluded_role)
-    keep = F.col("pct_to_target").isNotNull()
-    guarded = F.col("_pillar").isin(*[f"{p.key}_pct_to_target" for p in EMPLOYEE_PILLARS if p.teller_excluded])
-    long = long.filter(keep & (~guarded | F.coalesce(role_ok, F.lit(False))))
+    keep = None
+    for p in EMPLOYEE_PILLARS:
+        this = (F.col("_pillar") == f"{p.key}_pct_to_target") & _long_keep(p.key, "pct_to_target", excluded_role)
+        keep = this if keep is None else keep | this
+    long = long.filter(keep)
     return long.select(*keys, labels.alias("pillar_name"), "pct_to_target",
                        "weighted_total_score", *ranks)

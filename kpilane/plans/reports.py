@@ -21,6 +21,8 @@ def top_advisors(scores: DataFrame, n: int = 3, role: str = "Advisor") -> DataFr
     those ``n`` rows are then counted against the whole month (a broadcast of
     ``n`` rows), so no full ranking of the workforce is needed.
     """
+    # read three times (latest month, top-k, rank counts): materialise once
+    scores = scores.checkpoint(eager=True)
     of_role = scores.filter(F.col("role") == role)
     latest = of_role.agg(F.max("month_number")).scalar()
     top = (of_role.filter(F.col("month_number") == latest)
