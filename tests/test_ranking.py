@@ -94,3 +94,10 @@ def test_range_histogram_is_balanced_under_a_hot_key(spark):
     got = dict((r.id, r.r) for r in rank_by(df, ["g", "m"], "s", "r", num_partitions=16).filter("g = 'hot'").collect())
     want = dict((r.id, r.r) for r in rank_by(df, ["g", "m"], "s", "r", method="window").filter("g = 'hot'").collect())
     assert got == want
+
+
+def test_empty_inputs(spark):
+    from kpilane.operators.ranking import rank_of_rows
+    empty = spark.createDataFrame([], "id long, g string, m int, s double")
+    assert rank_by(empty, ["g", "m"], "s", "r").count() == 0
+    assert rank_of_rows(empty, empty, {"r": ["g", "m"]}, "s", ["id"]).count() == 0
