@@ -17,8 +17,6 @@ BRANCH_KEYS = ["branch_id", "month_number"]
 # Sums go through an exact decimal so a total never depends on how rows were
 # split across partitions (double addition is not associative).
 EXACT_SUM = "decimal(38,6)"
-BRANCH_COLUMNS = (["branch_id", "branch_code", "branch_name", "tier", "month_number", "month_name"]
-                  + [f"{p.key}_pct_to_target" for p in BRANCH_PILLARS] + ["weighted_total_score"])
 
 
 def exact_sum(col: str | Column) -> Column:

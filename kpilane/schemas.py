@@ -126,8 +126,6 @@ MONTH_NAMES = (
     "July", "August", "September", "October", "November", "December",
 )
 
-TIERS = ("Small", "Medium", "Large")
-
 # Base monthly targets per tier and role: lending, investing, banking, compliance
 # (None = pillar not targeted for that role; counts as 0 in a plan).
 BASE_TARGETS: tuple[tuple[str, str, float | None, float | None, float | None, float | None], ...] = (
@@ -156,10 +154,3 @@ BASE_TARGETS_SCHEMA = _schema(
     "tier string, role string, base_lending double, base_investing double, "
     "base_banking_units double, base_compliance double"
 )
-
-
-def pillar(key: str) -> Pillar:
-    for p in PILLARS:
-        if p.key == key:
-            return p
-    raise KeyError(key)

@@ -39,6 +39,8 @@ def test_totals_and_reconcile(golden):
     rec = qa.reconcile(ms.measure_by_grain(golden, keys), br.branch_monthly_score(golden), keys,
                        ms.MEASURE_COLUMNS)
     assert {r.status for r in rec.collect()} == {"match"}
+    summary = {r.status: r.key_count for r in qa.reconcile_summary(rec).collect()}
+    assert summary == {"match": 3}
     shifted = br.branch_monthly_score(golden).withColumn(
         "weighted_total_score", F.col("weighted_total_score") + F.lit(1e-3))
     rec2 = {r.branch_id: r.status for r in qa.reconcile(br.branch_monthly_score(golden), shifted, keys,
