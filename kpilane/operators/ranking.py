@@ -70,26 +70,24 @@ def rank_many(df: DataFrame, contexts: Mapping[str, Sequence[str]], score: str,
     tables = rank_tables(df, contexts, score, ties, num_partitions)
     out = df
     for col, keys in contexts.items():
-        out = _join_on_text_keys(out, tables[col], list(keys), score)
+        out = join_null_safe(out, tables[col], [*keys, score], "inner")
     return out
 
 
-def _join_on_text_keys(df: DataFrame, table: DataFrame, keys: list[str], score: str) -> DataFrame:
-    tmp = [f"_jk{i}" for i in range(len(keys))]
-    left = df.select("*", *[F.col(k).cast("string").alias(t) for k, t in zip(keys, tmp)])
-    joined = join_null_safe(left, table, tmp + [score], "inner")
-    return joined.drop(*tmp)
-
-
 def rank_tables(df: DataFrame, contexts: Mapping[str, Sequence[str]], score: str, ties: str = "rank",
                 num_partitions: int | None = None) -> dict[str, DataFrame]:
-    """Per context: ``(_jk0.., score, out_col)`` for every distinct key and score (keys as text)."""
+    """Per context: ``(keys.., score, out_col)`` for every distinct key and score.
+
+    The stacked histogram carries keys as text; the (small) rank table casts
+    them back to the input's types, so the join back is on the native columns.
+    """
     pick = "_rank" if ties == "rank" else "_dense"
     table = score_rank_table(df, list(contexts.values()), score, num_partitions)
+    types = {f.name: f.dataType for f in df.schema.fields}
     out = {}
     for i, (col, keys) in enumerate(contexts.items()):
         t = table.filter(F.col("_ctx") == F.lit(i))
-        out[col] = t.select(*[F.col(f"_k{j}").alias(f"_jk{j}") for j in range(len(keys))], score,
+        out[col] = t.select(*[F.col(f"_k{j}").cast(types[k]).alias(k) for j, k in enumerate(keys)], score,
                             F.col(pick).alias(col))
     return out
 
