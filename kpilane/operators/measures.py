@@ -3,8 +3,10 @@
 A measure is a ratio of sums: numerators and denominators are summed at the
 requested grain *after* the filter, then divided.  At (branch_id, month_number)
 it reproduces the branch view exactly.  Grains are built from the branch
-attributes carried by the facts (branch_id, branch_code, tier, province, city)
-and month_number; the score uses the Manager's weights, as the branch view does.
+dimension's attributes (branch_id, branch_code, tier, province, city),
+month_number and role.  Without a role the score uses the Manager's weights, as
+the branch view does; with a role it uses that role's weights (see
+:func:`measure_by_grain`).
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from kpilane.functions.scoring import pct_to_target, weighted_total
 from kpilane.operators.branch import exact_sum
 from kpilane.operators.joins import bounded_broadcast
 from kpilane.operators.ranking import rank_by
-from kpilane.operators.weights import weight_scalars
+from kpilane.operators.weights import role_weights_pivot, weight_scalars
 from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS
 
-GRAIN_COLUMNS = ("branch_id", "branch_code", "tier", "province", "city", "month_number")
+GRAIN_COLUMNS = ("branch_id", "branch_code", "tier", "province", "city", "month_number", "role")
 MEASURE_COLUMNS = [f"{p.key}_pct_to_target" for p in BRANCH_PILLARS] + ["weighted_total_score"]
 
 
@@ -85,11 +87,49 @@ def _score(df: DataFrame, star: Mapping[str, DataFrame], keys: Sequence[str]) ->
 
 def measure_by_grain(star: Mapping[str, DataFrame], by: Sequence[str],
                      where: Column | None = None) -> DataFrame:
-    """Pillar ratios and Manager-weighted score at grain ``by`` under filter ``where``."""
+    """Pillar ratios and weighted score at grain ``by`` under filter ``where``.
+
+    Grains without a role use the Manager's weights and all five pillars, as
+    the branch view does.  A grain containing ``role`` scores like an employee
+    of that role: four pillars, that role's weights, NULL-as-zero, Lending and
+    Investing NULL for Tellers; compliance (a branch-level fact) is NULL there.
+    """
     by = list(by)
+    if "role" in by:
+        return _role_measure(star, by, where)
     return _score(measure_sums(star, by, where), star, by)
 
 
+def _role_measure(star: Mapping[str, DataFrame], by: list[str], where: Column | None,
+                  excluded_role: str = "Teller") -> DataFrame:
+    _check_grain(by)
+    branches = star["dim_branch"]
+    parts = []
+    for tag, table, cols in (("_a", "fact_sales", [p.actual for p in EMPLOYEE_PILLARS]),
+                             ("_t", "fact_targets", [p.target for p in EMPLOYEE_PILLARS])):
+        d = _with_branch_attrs(star[table], branches)
+        if where is not None:
+            d = d.filter(where)
+        parts.append(d.select(*by, *cols, F.lit(1).alias(tag)))
+    stacked = parts[0].unionByName(parts[1], allowMissingColumns=True)
+    measures = [p.actual for p in EMPLOYEE_PILLARS] + [p.target for p in EMPLOYEE_PILLARS]
+    sums = (stacked.groupBy(*by)
+            .agg(*[exact_sum(c).alias(c) for c in measures], F.count("_a").alias("_na"), F.count("_t").alias("_nt"))
+            .filter((F.col("_na") > 0) & (F.col("_nt") > 0)))
+    weights = star["dim_role_weights"]
+    pivot = bounded_broadcast(role_weights_pivot(weights), bound_by=weights)
+    rows = sums.join(pivot, "role", "left")
+    terms, pcts = [], []
+    for p in EMPLOYEE_PILLARS:
+        ratio = pct_to_target(F.col(p.actual), F.col(p.target))
+        if p.teller_excluded:
+            ratio = F.when(F.col("role") == excluded_role, F.lit(None).cast("double")).otherwise(ratio)
+        pcts.append(ratio.alias(f"{p.key}_pct_to_target"))
+        terms.append((ratio, F.col(f"{p.key}_weight")))
+    return rows.select(*by, *pcts, F.lit(None).cast("double").alias("compliance_pct_to_target"),
+                       weighted_total(terms, null_as_zero=True).alias("weighted_total_score"))
+
+
 def measure_rollup(star: Mapping[str, DataFrame], by: Sequence[str],
                    where: Column | None = None) -> DataFrame:
     """Like :func:`measure_by_grain` for every prefix of ``by`` in one pass (ROLLUP).
@@ -98,6 +138,8 @@ def measure_rollup(star: Mapping[str, DataFrame], by: Sequence[str],
     which also tells a rolled-up NULL from a NULL key value.
     """
     by = list(by)
+    if "role" in by:
+        raise ValueError("measure_rollup supports branch and period grains; use measure_by_grain for role")
     return _score(measure_sums(star, by, where, grouping="rollup"), star, by + ["grouping_level"])
 
 

@@ -73,6 +73,29 @@ def measure_sql(by: list[str], where: str | None = None, rollup: bool = False) -
             f"CROSS JOIN manager_weights mw")
 
 
+def measure_role_sql(by: list[str]) -> str:
+    """Role-grain measures: employee formula with the role's weights (compliance NULL)."""
+    keys = ", ".join(by)
+    parts = {}
+    for alias, (table, cols) in (("a", _MEASURE_INPUTS["a"]),
+                                 ("t", ("fact_targets", ["target_lending", "target_investing",
+                                                         "target_banking_units", "target_lei"]))):
+        sums = ", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) AS {c}" for c in cols)
+        src = (f"SELECT f.role, f.branch_id, f.month_number, {', '.join('f.' + c for c in cols)}, "
+               f"db.branch_code, db.tier, db.province, db.city "
+               f"FROM {table} f JOIN dim_branch db ON db.branch_id = f.branch_id")
+        parts[alias] = f"(SELECT {keys}, {sums} FROM ({src}) x GROUP BY {keys})"
+    on = " AND ".join(f"a.{k} IS NOT DISTINCT FROM t.{k}" for k in by)
+    ratio = {k: f"({n} / NULLIF({d}, 0))" for k, (n, d) in _RATIO.items() if k != "compliance"}
+    for k in ("lending", "investing"):
+        ratio[k] = f"(CASE WHEN a.role = 'Teller' THEN NULL ELSE {ratio[k]} END)"
+    score = " + ".join(f"COALESCE({ratio[k]}, 0.0e0) * COALESCE(w.{k}_weight, 0.0e0)" for k in _PCT5[:4])
+    return (f"SELECT {', '.join('a.' + k for k in by)}, "
+            + ", ".join(f"{ratio[k]} AS {k}_pct_to_target" for k in _PCT5[:4])
+            + f", CAST(NULL AS DOUBLE) AS compliance_pct_to_target, ({score}) / 100.0e0 AS weighted_total_score "
+            f"FROM {parts['a']} a JOIN {parts['t']} t ON {on} LEFT JOIN kp_role_weights w ON w.role = a.role")
+
+
 # --- reports ------------------------------------------------------------------------
 
 _PILLAR_LABELS = ", ".join(f"('{p.key}', '{p.long_label}', '{p.weight_metric}')" for p in PILLARS)
@@ -332,6 +355,7 @@ ORACLE: dict[str, str] = {
         "ON db.branch_id = p.branch_id"),
     "measure_by_grain": with_views(measure_sql(["tier"], where=f"month_number BETWEEN {H1[0]} AND {H1[1]}")),
     "measure_rollup": with_views(measure_sql(["month_number", "province", "tier"], rollup=True)),
+    "measure_by_role": with_views(measure_role_sql(["role", "month_number"])),
     "rank_all_except": _rank_in_role(f"month_number > {H1[1]}", None),
     "rank_all_selected": _rank_in_role(None, f"month_number > {H1[1]}"),
     "rank_distributed": with_views(

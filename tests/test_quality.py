@@ -106,3 +106,15 @@ def test_rank_contexts(golden):
                                 F.col("branch_id") == 1).collect()}
     assert after == {1: 2, 2: 3, 3: 2, 10: 4}   # company-wide ranks, shown for branch 1
     assert sel == {1: 1, 2: 1, 3: 1, 10: 2}     # ranks among branch 1 only
+
+
+def test_measure_at_role_grain(golden):
+    rows = {r.role: r for r in ms.measure_by_grain(golden, ["role", "month_number"]).collect()}
+    m = rows["Manager"]
+    want = (30 * 1.0 + 30 * 1.0 + 15 * (660 + 740) / (600 + 740) + 10 * (3 + 4) / (4 + 4)) / 100
+    assert abs(m.weighted_total_score - want) < 1e-12
+    assert m.compliance_pct_to_target is None
+    assert rows["Teller"].lending_pct_to_target is None and rows["Teller"].banking_units_pct_to_target is not None
+    assert rows["Intern"].weighted_total_score == 0.0
+    # orphan facts keep their (NULL) role: no weights, score 0
+    assert rows[None].weighted_total_score == 0.0
