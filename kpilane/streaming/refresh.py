@@ -15,30 +15,39 @@ from kpilane.sources.star import load_star
 MONTH_TABLES = ("fact_sales", "fact_targets", "fact_lei_survey", "fact_compliance")
 
 
-def _restrict(star: Mapping[str, DataFrame], months: DataFrame) -> dict[str, DataFrame]:
-    """The star with every fact limited to ``months`` (a left-semi join; no collect)."""
+def _restrict(star: Mapping[str, DataFrame], periods: DataFrame, period_cols) -> dict[str, DataFrame]:
+    """The star with every fact limited to ``periods`` (a left-semi join; no collect)."""
     out = dict(star)
     for t in MONTH_TABLES:
-        out[t] = star[t].join(months, "month_number", "left_semi")
+        out[t] = star[t].join(periods, list(period_cols), "left_semi")
     return out
 
 
-def default_views(star: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    scores = emp.employee_monthly_score(star)
-    branch = br.branch_pacing(br.branch_monthly_score(star))
-    return {"vw_employee_rank": emp.employee_rank(scores), "vw_branch_pacing": br.branch_rank(branch)}
+def default_views(star: Mapping[str, DataFrame], period_cols=("month_number",)) -> dict[str, DataFrame]:
+    scores = emp.employee_monthly_score(star, period_cols=period_cols)
+    branch = br.branch_pacing(br.branch_monthly_score(star, period_cols=period_cols))
+    return {"vw_employee_rank": emp.employee_rank(scores, period_cols=period_cols),
+            "vw_branch_pacing": br.branch_rank(branch, keys=list(period_cols))}
 
 
 def refresh_months(star: Mapping[str, DataFrame], months: DataFrame, out_dir: str,
-                   views: Callable[[Mapping[str, DataFrame]], dict[str, DataFrame]] = default_views) -> None:
-    """Recompute the views for ``months`` and replace only those month partitions."""
-    for name, df in views(_restrict(star, months)).items():
+                   views: Callable[..., dict[str, DataFrame]] = default_views,
+                   period_cols=("month_number",)) -> None:
+    """Recompute the views for the periods in ``months`` and replace only those partitions.
+
+    Rewriting a period is idempotent, so a micro-batch replayed after a failure
+    leaves the same result.  With ``period_cols=("year", "month_number")`` the
+    partitions are per year and month.
+    """
+    periods = months.select(*period_cols).distinct()
+    for name, df in views(_restrict(star, periods, period_cols), period_cols=period_cols).items():
         (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("month_number").parquet(f"{out_dir.rstrip('/')}/{name}"))
+         .partitionBy(*period_cols).parquet(f"{out_dir.rstrip('/')}/{name}"))
 
 
 def start_monthly_refresh(spark: SparkSession, star_dir: str, out_dir: str, checkpoint: str,
-                          landing_table: str = "fact_sales", available_now: bool = True) -> StreamingQuery:
+                          landing_table: str = "fact_sales", available_now: bool = True,
+                          period_cols=("month_number",)) -> StreamingQuery:
     """Stream new ``landing_table`` Parquet files under ``star_dir``; refresh their months.
 
     Each micro-batch reduces to its distinct months (at most the number of
@@ -46,12 +55,14 @@ def start_monthly_refresh(spark: SparkSession, star_dir: str, out_dir: str, chec
     those month partitions of every view.  ``checkpoint`` must be on shared
     storage; the stream then restarts where it stopped after a failure.
     """
-    stream = (spark.readStream.schema(SCHEMAS[landing_table])
-              .parquet(f"{star_dir.rstrip('/')}/{landing_table}"))
+    schema = SCHEMAS[landing_table]
+    for c in period_cols:
+        if c not in schema.fieldNames():
+            schema = schema.add(c, "int")
+    stream = spark.readStream.schema(schema).parquet(f"{star_dir.rstrip('/')}/{landing_table}")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        months = batch.select("month_number").distinct()
-        refresh_months(load_star(spark, star_dir), months, out_dir)
+        refresh_months(load_star(spark, star_dir), batch, out_dir, period_cols=period_cols)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

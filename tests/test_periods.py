@@ -49,3 +49,20 @@ def test_period_cols_keep_years_apart(golden):
         r = b[(bid, 2025)]
         assert r.rag_status == band and r.branch_rank == rank
         assert (score is None and r.weighted_total_score is None) or abs(r.weighted_total_score - score) < 1e-12
+
+
+def test_refresh_partitions_by_year_and_month(spark, golden):
+    import os
+    import tempfile
+
+    from kpilane.streaming import refresh_months
+    star = _two_years(golden)
+    out = tempfile.mkdtemp(prefix="kpilane-refresh-")
+    refresh_months(star, star["fact_sales"].filter("year = 2025"), out, period_cols=PERIOD)
+    refresh_months(star, star["fact_sales"].filter("year = 2024"), out, period_cols=PERIOD)
+    refresh_months(star, star["fact_sales"].filter("year = 2025"), out, period_cols=PERIOD)  # replay
+    parts = sorted(p for p in os.listdir(os.path.join(out, "vw_employee_rank")) if p.startswith("year="))
+    assert parts == ["year=2024", "year=2025"]
+    got = spark.read.parquet(os.path.join(out, "vw_employee_rank"))
+    assert got.count() == 2 * len(EXPECTED_EMPLOYEE)
+    assert spark.read.parquet(os.path.join(out, "vw_branch_pacing")).count() == 6
