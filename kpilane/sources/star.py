@@ -122,11 +122,15 @@ def export_views(views: Mapping[str, DataFrame], folder: str,
     for name, df in views.items():
         path = f"{folder}/{name}"
         keys = (order_by or {}).get(name)
+        partitioned = bool(partition_by and partition_by in df.columns)
         if keys:
-            # presentation order (the views' ORDER BY), applied only here at the sink
+            # presentation order (the views' ORDER BY), applied only here at the
+            # sink; the partition column leads so the writer keeps the order
+            if partitioned:
+                keys = [partition_by, *[k for k in keys if k != partition_by]]
             df = df.orderBy(*keys)
         w = df.write.mode("overwrite")
-        if partition_by and partition_by in df.columns:
+        if partitioned:
             w = w.partitionBy(partition_by)
             if dynamic:
                 w = w.option("partitionOverwriteMode", "dynamic")

@@ -27,6 +27,12 @@ def test_ordered_export(spark, golden):
     back = spark.read.parquet(os.path.join(d, "vw_employee_rank"))
     ids = [r.employee_id for r in back.collect()]
     assert ids == sorted(ids)
+    part = tempfile.mkdtemp(prefix="kpilane-export-")
+    export_views({"vw_employee_rank": views["vw_employee_rank"]}, part,
+                 order_by={"vw_employee_rank": ["employee_id", "month_number"]})
+    month = spark.read.parquet(os.path.join(part, "vw_employee_rank", "month_number=1"))
+    ids = [r.employee_id for r in month.collect()]
+    assert ids == sorted(ids) and len(ids) == 9
 
 
 def test_hire_date(spark, golden):
