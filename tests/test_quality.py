@@ -118,3 +118,13 @@ def test_measure_at_role_grain(golden):
     assert rows["Intern"].weighted_total_score == 0.0
     # orphan facts keep their (NULL) role: no weights, score 0
     assert rows[None].weighted_total_score == 0.0
+
+
+def test_company_grain_equals_rollup_grand_total(golden):
+    company = ms.measure_by_grain(golden, []).collect()
+    assert len(company) == 1
+    roll = {r.grouping_level: r for r in ms.measure_rollup(golden, ["month_number", "tier"]).collect()}
+    top = roll[3]
+    for c in ms.MEASURE_COLUMNS:
+        a, b = company[0][c], top[c]
+        assert (a is None and b is None) or abs(a - b) < 1e-12, c
