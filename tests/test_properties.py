@@ -48,3 +48,28 @@ def test_rag_is_monotone(spark, scores):
     df = spark.createDataFrame([(s,) for s in sorted(scores)], "s double")
     bands = [order[r.b] for r in df.select(rag_status("s").alias("b")).collect()]
     assert bands == sorted(bands)
+
+
+@settings(max_examples=4, deadline=None)
+@given(facts=st.lists(FACT, min_size=len(EMPLOYEES), max_size=len(EMPLOYEES)),
+       compliance=st.lists(VALUE, min_size=3, max_size=3))
+def test_measure_at_branch_grain_equals_branch_view(spark, golden, facts, compliance):
+    from kpilane.operators import branch as br
+    from kpilane.operators import measures as ms
+    sales, targets = [], []
+    for (e, (b, role)), f in zip(sorted(EMPLOYEES.items()), facts):
+        sales.append((e, b, None, role, None, 1, "January", *f[:4]))
+        targets.append((e, b, None, role, None, 1, "January", *f[4:], 10.0 if role == "Manager" else 0.0))
+    star = dict(golden)
+    star["fact_sales"] = spark.createDataFrame(sales, SCHEMAS["fact_sales"])
+    star["fact_targets"] = spark.createDataFrame(targets, SCHEMAS["fact_targets"])
+    star["fact_compliance"] = spark.createDataFrame(
+        [(b, None, 1, "January", None, None, None, c, 100.0 - c, 0) for b, c in zip((1, 2, 3), compliance)],
+        SCHEMAS["fact_compliance"])
+    keys = ["branch_id", "month_number"]
+    m = {r.branch_id: r for r in ms.measure_by_grain(star, keys).collect()}
+    v = {r.branch_id: r for r in br.branch_monthly_score(star).collect()}
+    assert set(m) == set(v)
+    for b in v:
+        for c in ms.MEASURE_COLUMNS:
+            assert m[b][c] == v[b][c], (b, c, m[b][c], v[b][c])
