@@ -134,6 +134,10 @@ def q_measure_by_role(spark, d):
     return ms.measure_by_grain(star(spark, d), ["role", "month_number"])
 
 
+def q_measure_company(spark, d):
+    return ms.measure_by_grain(star(spark, d), [])
+
+
 def q_measure_rollup(spark, d):
     return ms.measure_rollup(star(spark, d), ["month_number", "province", "tier"])
 
@@ -342,6 +346,7 @@ QUERIES: dict[str, QueryFn] = {
     "measure_by_grain": q_measure_by_grain,
     "measure_rollup": q_measure_rollup,
     "measure_by_role": q_measure_by_role,
+    "measure_company": q_measure_company,
     "rank_all_except": q_rank_all_except,
     "rank_all_selected": q_rank_all_selected,
     "rank_distributed": q_rank_distributed,

@@ -49,6 +49,8 @@ _RATIO = {
 
 def measure_sql(by: list[str], where: str | None = None, rollup: bool = False) -> str:
     """Subquery text: ratio-of-sums measures at grain ``by`` (Manager weights)."""
+    if not by:
+        return _company_measure_sql(where)
     keys = ", ".join(by)
     parts = {}
     for alias, (table, cols) in _MEASURE_INPUTS.items():
@@ -73,6 +75,24 @@ def measure_sql(by: list[str], where: str | None = None, rollup: bool = False) -
             f"CROSS JOIN manager_weights mw")
 
 
+def _company_measure_sql(where: str | None) -> str:
+    """The company-wide grain: one global aggregate per source, kept when all have rows."""
+    parts = {}
+    for alias, (table, cols) in _MEASURE_INPUTS.items():
+        sums = ", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) AS {c}" for c in cols)
+        src = (f"SELECT f.branch_id, f.month_number, {', '.join('f.' + c for c in cols)}, "
+               f"db.branch_code, db.tier, db.province, db.city "
+               f"FROM {table} f JOIN dim_branch db ON db.branch_id = f.branch_id")
+        cond = f" WHERE {where}" if where else ""
+        parts[alias] = f"(SELECT {sums}, COUNT(*) AS n FROM ({src}) x{cond})"
+    ratios = {k: f"({n} / NULLIF({d}, 0))" for k, (n, d) in _RATIO.items()}
+    score = " + ".join(f"{ratios[k]} * mw.{k}_weight" for k in _PCT5)
+    return ("SELECT " + ", ".join(f"{ratios[k]} AS {k}_pct_to_target" for k in _PCT5)
+            + f", ({score}) / 100.0e0 AS weighted_total_score "
+            f"FROM {parts['a']} a, {parts['t']} t, {parts['c']} c, manager_weights mw "
+            f"WHERE a.n > 0 AND t.n > 0 AND c.n > 0")
+
+
 def measure_role_sql(by: list[str]) -> str:
     """Role-grain measures: employee formula with the role's weights (compliance NULL)."""
     keys = ", ".join(by)
@@ -356,6 +376,7 @@ ORACLE: dict[str, str] = {
     "measure_by_grain": with_views(measure_sql(["tier"], where=f"month_number BETWEEN {H1[0]} AND {H1[1]}")),
     "measure_rollup": with_views(measure_sql(["month_number", "province", "tier"], rollup=True)),
     "measure_by_role": with_views(measure_role_sql(["role", "month_number"])),
+    "measure_company": with_views(measure_sql([])),
     "rank_all_except": _rank_in_role(f"month_number > {H1[1]}", None),
     "rank_all_selected": _rank_in_role(None, f"month_number > {H1[1]}"),
     "rank_distributed": with_views(
