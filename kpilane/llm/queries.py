@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpilane.llm import html_density, language_id, licenses, lz_fingerprint, packing, topk, toxicity
+from kpilane.llm import (html_density, language_id, licenses, lz_fingerprint, ngram_join, packing,
+                         sentencepiece_viterbi, topk, toxicity)
 from kpilane.llm.common import fold, ship_package, table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,14 @@ def op3_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_density.main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.round_trip(table(spark, sf_dir, "documents"), PIECE_FILE)
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language_id.fit(docs.filter(fold("doc_id", 4) != 2))
@@ -58,5 +68,6 @@ def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[
 
 
 QUERIES = {q.__name__: _with_package(q) for q in (
-    op1_lz_fingerprint, op2_toxicity, op3_html_density, op6_language_id, op8_topk, op9_licenses, op10_packing)}
+    op1_lz_fingerprint, op2_toxicity, op3_html_density, op4_sentencepiece, op5_ngram_join, op6_language_id, op8_topk,
+    op9_licenses, op10_packing)}
 ORACLE = {"op8_topk": topk.oracle_sql(), "op9_licenses": licenses.oracle_sql()}
