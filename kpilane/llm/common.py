@@ -119,6 +119,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values (a plain sort: several times as fast as numpy's ``unique`` on 64-bit hashes)."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]])]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit integers that spreads every input bit (the splitmix64 finaliser)."""
     x = np.asarray(x, np.uint64)

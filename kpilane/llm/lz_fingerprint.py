@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpilane.llm.common import shuffle_partitions, slices
+from kpilane.llm.common import distinct, shuffle_partitions, slices
 
 SIGNATURE = 128
 RANGES_PER_PARTITION = 4
@@ -60,7 +60,7 @@ def hashes(phrases: set[str]) -> np.ndarray:
     if not phrases:
         return np.zeros(0, np.uint32)
     values = pd.util.hash_array(np.array(list(phrases), dtype=object), categorize=False)
-    return smallest(np.unique((values >> np.uint64(32)).astype(np.uint32)))
+    return smallest(distinct((values >> np.uint64(32)).astype(np.uint32)))
 
 
 def smallest(values: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def smallest(values: np.ndarray) -> np.ndarray:
 
 
 def union(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return smallest(np.unique(np.concatenate((a, b))))
+    return smallest(distinct(np.concatenate((a, b))))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

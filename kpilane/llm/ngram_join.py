@@ -17,13 +17,16 @@ are paired at once. Of many, each is first tried against one pivot, which
 finds large groups of copies in linear time; then only pairs from different components are left. A
 subset for which even those are many is too costly (a passage that many documents
 share) and is left out, as empty segments are. A set may lose up to SLACK segments
-this way: its partners still share another one with it.
+this way: its partners still share another one with it. Sets that lost more are gathered
+along the costly subsets they share, dealt to blocks by size, and block meets
+block: one matrix product counts the common shingles of all their pairs, of which only a
+spanning forest of the links leaves the task.
 
-*One-deletion neighbourhoods.* Of sets that lost more than that, which only matter to each
-other, every segment is indexed in full and with each one shingle left out; a subset
-meets the neighbourhoods it equals. If fewer than H / 2 segments were lost, one of the others
-differs in at most one shingle, so the pair is found. Sets that lost more are paired by
-every segment in full.
+*One-deletion neighbourhoods.* Two sets whose equal segments are all empty have more
+than SLACK empty ones each. Of such sets every segment is indexed in full and with each
+one shingle left out, and a subset meets the neighbourhoods it equals: if fewer than
+H / 2 segments are empty, one of the others differs in at most one shingle. Sets
+with more empty ones are paired by every segment in full.
 
 Every candidate pair is verified on the whole sets, and verified links give the
 components. No candidate is dropped. Candidates travel as pairs of set ids and
@@ -46,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpilane.llm.common import mix, require_checkpoint_dir, shuffle_partitions, slices, utf8_buffer, word_hashes
+from kpilane.llm.common import distinct, mix, require_checkpoint_dir, shuffle_partitions, slices, utf8_buffer, word_hashes
 from kpilane.llm.components import components
 
 SHINGLE = 4
@@ -54,9 +57,13 @@ SIMILARITY = 85
 BAND_GROWTH = 1.4
 PAIRED = 4  # sets under one subset hash that are all paired at once
 PIVOT_SHARED = 3  # subset hashes that a set must share with a pivot to be tried against it
-CROSS_PAIRS = 16  # pairs from different components, per set under the hash, beyond which a subset is costly
+CROSS_PAIRS = 4  # pairs from different components, per set under the hash, beyond which a subset is costly
+BLOCK_SETS = 1024
+BLOCK_SHINGLES = 1_000_000
+DENSE = 8  # sets of a block pair that share a shingle from which it is a column of the matrix product
 SIZE_BITS = 18
 FILTER_BITS = 26
+UNBANDED = 1 << 30  # slack of a set that no band holds
 TOKEN_BITS = 54
 _SIZE_MASK = (1 << SIZE_BITS) - 1
 _FACTORS = np.random.default_rng(97).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
@@ -94,6 +101,8 @@ def token_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np
     raw, offsets = utf8_buffer(column)
     words, bounds = word_hashes(raw, offsets)
     rows = len(bounds) - 1
+    if rows > 1 << (64 - TOKEN_BITS):
+        raise ValueError("too many texts at once")
     number = np.diff(bounds)
     row_of = np.repeat(np.arange(rows), number)
     starts = np.flatnonzero(np.arange(len(words)) + shingle <= np.repeat(bounds[1:], number))
@@ -106,7 +115,7 @@ def token_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np
                           % (1 << 64) for r in short], np.uint64)
     owner = np.concatenate([row_of[starts], short]).astype(np.uint64)
     hashed = mix(np.concatenate([value, whole])) >> np.uint64(64 - TOKEN_BITS)
-    key = np.unique((owner << np.uint64(TOKEN_BITS)) | hashed)
+    key = distinct((owner << np.uint64(TOKEN_BITS)) | hashed)
     tokens = key & np.uint64((1 << TOKEN_BITS) - 1)
     return tokens, np.searchsorted(key >> np.uint64(TOKEN_BITS), np.arange(rows + 1).astype(np.uint64))
 
@@ -152,7 +161,7 @@ def _space(band: np.ndarray, segment: np.ndarray) -> np.ndarray:
 
 def subset_hashes(tokens: np.ndarray, offsets: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, place of the set) of every non-empty segment, and the slack each set has left."""
-    left = np.full(len(offsets) - 1, 1 << 30)
+    left = np.full(len(offsets) - 1, UNBANDED)
     hashes, owners = [], []
     for places, band in bands.memberships(np.diff(offsets)):
         which, segment, bounds, own = _segments(tokens, offsets, places, band, bands)
@@ -226,42 +235,57 @@ def _allocate(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa
                  np.ones(len(large), int))
 
 
-def _cross(batches: Iterator[pa.RecordBatch], similarity: int, all_pairs: bool) -> Iterator[pa.RecordBatch]:
-    """A partition of (subset hash, set, component): pairs from different components, or rows of costly subsets.
-
-    ``all_pairs``: no subset is too costly; then the fourth column says which of two kinds a row is, and only rows of different
-    kinds, or both of kind 2, are paired.
-    """
-    key, ids, component, kind = _gather(batches, 4)
+def _cross(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
+    """A partition of (subset hash, set, component): pairs from different components, and rows of costly subsets."""
+    key, ids, component = _gather(batches, 3)
     order = np.lexsort((ids, component, key))
-    key, ids, component, kind = key[order], ids[order], component[order], kind[order]
+    key, ids, component = key[order], ids[order], component[order]
     starts, sizes, _ = _runs(key)
+    a, b, costly = [], [], np.zeros(len(key), bool)
     for start, size in zip(starts.tolist(), sizes.tolist()):
         if component[start] == component[start + size - 1]:
             continue
-        mine, parts, kinds = ids[start:start + size], component[start:start + size], kind[start:start + size]
-        _, part_sizes, part = _runs(parts)
-        cross = (size * size - int((part_sizes.astype(np.int64) ** 2).sum())) // 2
-        if not all_pairs and cross > CROSS_PAIRS * size:
-            yield _batch(["kind", "a", "b", "times"], np.full(size, SHARED), key[start:start + size], mine,
-                         np.ones(size, int))
+        mine = ids[start:start + size]
+        _, part_sizes, part = _runs(component[start:start + size])
+        if (size * size - int((part_sizes ** 2).sum())) // 2 > CROSS_PAIRS * size:
+            costly[start:start + size] = True
             continue
         ends = np.cumsum(part_sizes)[part]
         for row in range(size):  # with the rows of the components after its own
-            others = mine[ends[row]:]
-            keep = _similar_sizes(mine[row], others, similarity)
-            if all_pairs:
-                keep &= (kinds[ends[row]:] != kinds[row]) | (kinds[row] == BOTH)
-            others = others[keep]
-            if len(others):
-                yield _batch(["kind", "a", "b", "times"], np.full(len(others), PAIR), np.minimum(mine[row], others),
-                             np.maximum(mine[row], others), np.ones(len(others), int))
+            a.append(np.full(size - ends[row], mine[row]))
+            b.append(mine[ends[row]:])
+    if a:
+        a, b = np.concatenate(a), np.concatenate(b)
+        near = _similar_sizes(a, b, similarity)
+        yield _counted(PAIR, np.minimum(a, b)[near], np.maximum(a, b)[near])
+    lost = np.flatnonzero(costly)
+    yield _batch(["kind", "a", "b", "times"], np.full(len(lost), SHARED), key[lost], ids[lost], np.ones(len(lost), int))
+
+
+def _meet(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
+    """A partition of (hash, set, kind): pairs of a full segment and a neighbourhood, or of two rows of kind BOTH."""
+    key, ids, kind = _gather(batches, 3)
+    order = np.lexsort((kind, key))
+    key, ids, kind = key[order], ids[order], kind[order]
+    starts, sizes, _ = _runs(key)
+    a, b = [], []
+    for start, size in zip(starts.tolist(), sizes.tolist()):
+        mine, kinds = ids[start:start + size], kind[start:start + size]
+        full = int((kinds == FULL).sum())
+        for row in range(size if kinds[0] == BOTH else full):
+            others = mine[row + 1:] if kinds[0] == BOTH else mine[full:]
+            a.append(np.full(len(others), mine[row]))
+            b.append(others)
+    if a:
+        a, b = np.concatenate(a), np.concatenate(b)
+        near = _similar_sizes(a, b, similarity) & (a != b)
+        yield _counted(PAIR, np.minimum(a, b)[near], np.maximum(a, b)[near])
 
 
 FULL, DELETED, BOTH = 0, 1, 2
 
 
-def _neighbourhoods(tokens: np.ndarray, costly: int, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+def _neighbourhoods(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(hash, kind) of every segment of one set, full and with each one shingle left out."""
     hashes, kinds = [], []
     offsets = np.array([0, len(tokens)])
@@ -279,7 +303,7 @@ def _neighbourhoods(tokens: np.ndarray, costly: int, bands: Bands) -> tuple[np.n
             deleted = mix(mix(sums[owner] - mix(own) + space[owner]))
             hashes += [full, deleted]
             kinds += [np.full(len(full), FULL), np.full(len(deleted), DELETED)]
-            if 2 * (len(segment) - costly) <= bands.difference[band[0]]:
+            if 2 * len(segment) <= bands.difference[band[0]]:
                 hashes.append(mix(full))
                 kinds.append(np.full(len(full), BOTH))
     return np.concatenate(hashes), np.concatenate(kinds)
@@ -303,7 +327,7 @@ class Join:
             for batch in slices(batches):
                 tokens, offsets = token_sets(batch.column(1), shingle)
                 sizes = np.diff(offsets)
-                left = np.full(len(sizes), 1 << 30)
+                left = np.full(len(sizes), UNBANDED)
                 for places, band in bands.memberships(sizes):
                     which, _, _, _ = _segments(tokens, offsets, places, band, bands)
                     empty = bands.segments[band] - np.bincount(which, minlength=len(places))
@@ -382,54 +406,149 @@ class Join:
                  .agg(F.min("kind").alias("kind"), F.sum("times").alias("times"))
                  .filter((F.col("kind") == PAIR) | (F.col("times") >= PIVOT_SHARED)).select("a", "b").checkpoint())
         shared = allocated.filter(F.col("kind") == SHARED).select(F.col("a").alias("key"), F.col("b").alias("set"))
-        sets = self.sets(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(shared.select("set")))
+        bare = documents.filter("left < 0").select("set").distinct()
+        sets = self.sets(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(shared.select("set"))
+                         .union(bare))
         links = self.verify(pairs, sets).checkpoint()
 
         # subsets that many sets share: what the links so far leave open
-        crossed = (self._with_components(shared, links).withColumn("kind", F.lit(0).cast("long"))
-                   .repartition(parts, "key")
-                   .mapInArrow(lambda b: _cross(b, similarity, False), row).checkpoint())
+        crossed = (self._with_components(shared, links).repartition(parts, "key")
+                   .mapInArrow(lambda b: _cross(b, similarity), row).checkpoint())
         more = crossed.filter(F.col("kind") == PAIR).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.union(self.verify(more, sets)).checkpoint()
+        links = links.union(self.verify(more, sets))
 
-        # sets that lost more segments than their slack
-        costly = crossed.filter(F.col("kind") == SHARED).groupBy(F.col("b").alias("set")).agg(F.count("*").alias("lost"))
-        poor = (documents.select("set", "left").filter(F.col("left") < 1 << 30).dropDuplicates(["set"])
-                .join(costly, "set", "left").withColumn("lost", F.coalesce("lost", F.lit(0)))
-                .filter(F.col("lost") > F.col("left")).checkpoint())
-        if poor.isEmpty():
-            return links
-        return links.union(self._poor_links(poor, links)).checkpoint()
+        # sets that lost more segments than their slack, by costly subsets or by empty segments alone
+        costly = crossed.filter(F.col("kind") == SHARED).select(F.col("a").alias("key"), F.col("b").alias("set"))
+        left = documents.filter(F.col("left") < UNBANDED).groupBy("set").agg(F.min("left").alias("left"))
+        poor = (costly.groupBy("set").agg(F.count("*").alias("lost")).join(left, "set")
+                .filter(F.col("lost") > F.col("left")).select("set"))
+        links = links.union(self._block_links(costly.join(poor, "set", "left_semi"), sets))
+        return links.union(self.verify(self._neighbours(bare, sets), sets)).checkpoint()
 
     def _with_components(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         known = components(links).withColumnRenamed("node", "set")
         return rows.join(known, "set", "left").select("key", "set", F.coalesce("component", "set").alias("component"))
 
-    def _poor_links(self, poor: DataFrame, links: DataFrame) -> DataFrame:
+    def _neighbours(self, bare: DataFrame, sets: DataFrame) -> DataFrame:
+        """Candidate pairs of the sets with many empty segments."""
         bands, similarity = self.bands, self.similarity
-        sets = self.sets(poor).join(poor, "set")
 
         def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for own_id, payload, costly in zip(*(batch.column(i) for i in range(3))):
-                    hashes, kinds = _neighbourhoods(unpack(payload), costly.as_py(), bands)
-                    yield _batch(["key", "set", "kind"], hashes.astype(np.int64),
-                                 np.full(len(hashes), own_id.as_py()), kinds)
-
-        rows = sets.select("set", "payload", "lost").mapInArrow(neighbourhoods, "key long, set long, kind long")
-        known = components(links).withColumnRenamed("node", "set")
-        met = (rows.join(known, "set", "left")
-               .select("key", "set", F.coalesce("component", "set").alias("component"), "kind")
-               .repartition(self.parts, "key")
-               .mapInArrow(lambda b: _cross(b, similarity, True), "kind long, a long, b long, times long"))
-        return self.verify(met.select("a", "b").distinct(), sets.select("set", "payload"))
+                for own_id, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    hashes, kinds = _neighbourhoods(unpack(payload), bands)
+                    yield _batch(["key", "set", "kind"], hashes.astype(np.int64), np.full(len(hashes), own_id), kinds)
+
+        return (sets.join(bare, "set", "left_semi").select("set", "payload")
+                .mapInArrow(neighbourhoods, "key long, set long, kind long").repartition(self.parts, "key")
+                .mapInArrow(lambda b: _meet(b, similarity), "kind long, a long, b long, times long")
+                .select("a", "b").distinct())
+
+    def _block_links(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links among the sets of (key, set) rows, all pairs of a gathering of sets that keys connect."""
+        similarity, first = self.similarity, self.bands.first
+        hubs = rows.groupBy("key").agg(F.min("set").alias("u")).join(rows, "key").select("u", F.col("set").alias("v"))
+        gathered = components(hubs)
+        band = F.size(F.filter(F.array(*[F.lit(int(f)) for f in first if f < _SIZE_MASK]),
+                               lambda f: f <= F.col("size")))
+        members = (gathered.select(F.col("component").alias("cluster"), F.col("node").alias("set"),
+                                   F.col("node").bitwiseAND(F.lit(_SIZE_MASK)).alias("size"))
+                   .withColumn("band", band))
+        sizes = members.groupBy("cluster", "band").agg(F.ceil(F.greatest(
+            F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        blocks = (members.join(sizes, ["cluster", "band"])
+                  .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+                  .join(sets, "set").select("cluster", "band", "block", "set", "payload")
+                  .groupBy("cluster", "band", "block").applyInArrow(_pack_block, "cluster long, band int, block int, "
+                                                                                 "packed binary").checkpoint())
+        numbered = sizes.select("cluster", "band", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "blocks")
+        same = numbered.select("cluster", "band", "block", F.col("band").alias("band_b"),
+                               F.explode(F.expr("sequence(block, blocks - 1)")).alias("block_b"))
+        after = sizes.select("cluster", (F.col("band") - 1).alias("band"), F.col("blocks").alias("blocks_b"))
+        next_band = (numbered.join(after, ["cluster", "band"])
+                     .select("cluster", "band", "block", (F.col("band") + 1).alias("band_b"),
+                             F.explode(F.expr("sequence(0, blocks_b - 1)")).alias("block_b")))
+        met = (same.union(next_band).join(blocks, ["cluster", "band", "block"])
+               .join(blocks.toDF("cluster", "band_b", "block_b", "packed_b"), ["cluster", "band_b", "block_b"])
+               .select("packed", "packed_b"))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x, y in zip(batch.column(0), batch.column(1)):
+                    u, v = block_forest(x.as_buffer(), y.as_buffer(), similarity)
+                    yield _batch(["u", "v"], u, v)
+
+        return met.mapInArrow(compare, "u long, v long")
+
+
+def _pack_block(table: pa.Table) -> pa.Table:
+    """The sets of a block as one row: their number, ids, sizes and shingles."""
+    payloads = table["payload"].to_pylist()
+    sizes = np.array([len(p) // 7 for p in payloads], "<i8")
+    packed = len(payloads).to_bytes(8, "little") + table["set"].to_numpy().astype("<i8").tobytes() + sizes.tobytes() \
+        + b"".join(payloads)
+    return pa.table({c: table[c].slice(0, 1) for c in ("cluster", "band", "block")} | {"packed": pa.array([packed])})
+
+
+def _unpack_block(data: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(memoryview(data)[:8], "little")
+    ids, sizes = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n)
+    return ids, sizes, _widen(np.frombuffer(data, np.uint8, offset=8 + 16 * n))
+
+
+def block_forest(x: pa.Buffer, y: pa.Buffer, similarity: int = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (u, v) of the similar pairs between two blocks (or within one)."""
+    (ids_x, sizes_x, tokens_x), (ids_y, sizes_y, tokens_y) = _unpack_block(x), _unpack_block(y)
+    nx, ny = len(ids_x), len(ids_y)
+    tokens = np.concatenate((tokens_x, tokens_y))
+    owner = np.repeat(np.arange(nx + ny), np.concatenate((sizes_x, sizes_y)))
+    order = np.argsort(tokens, kind="stable")
+    owner = owner[order]
+    starts, counts, run = _runs(tokens[order])
+    common = np.zeros((nx, ny), np.float32)
+    # shingles of few sets: every pair of an owner in x and one in y
+    rare = counts[run] < DENSE
+    for gap in range(1, DENSE):
+        at = np.flatnonzero(rare[gap:] & (run[gap:] == run[:-gap])) if len(run) > gap else np.zeros(0, int)
+        left, right = owner[at], owner[at + gap] - nx
+        between = (left < nx) & (right >= 0)
+        common += np.bincount(left[between] * ny + right[between], minlength=nx * ny).reshape(nx, ny)
+    # the others: columns of a matrix product
+    many = np.flatnonzero(counts >= DENSE)
+    for at in range(0, len(many), 4096):
+        part = many[at:at + 4096]
+        index = np.repeat(starts[part] - (np.cumsum(counts[part]) - counts[part]), counts[part]) \
+            + np.arange(counts[part].sum())
+        matrix = np.zeros((nx + ny, len(part)), np.float32)
+        matrix[owner[index], np.repeat(np.arange(len(part)), counts[part])] = 1
+        common += matrix[:nx] @ matrix[nx:].T
+    linked = 100 * common >= similarity * (sizes_x[:, None] + sizes_y - common)
+    linked &= ids_x[:, None] != ids_y
+    u, v = [], []
+    fresh_x, fresh_y = linked.any(axis=1), linked.any(axis=0)
+    for root in np.flatnonzero(fresh_x):
+        if not fresh_x[root]:
+            continue
+        fresh_x[root] = False
+        waiting = [(int(root), True)]
+        while waiting:
+            node, in_x = waiting.pop()
+            found = np.flatnonzero(linked[node] & fresh_y) if in_x else np.flatnonzero(linked[:, node] & fresh_x)
+            (fresh_y if in_x else fresh_x)[found] = False
+            u += [(ids_x if in_x else ids_y)[node]] * len(found)
+            v += (ids_y if in_x else ids_x)[found].tolist()
+            waiting += [(int(f), not in_x) for f in found]
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _widen(narrow: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(narrow) // 7, 8), np.uint8)
+    wide[:, :7] = narrow.reshape(-1, 7)
+    return wide.view("<u8").ravel()
 
 
 def unpack(payload: pa.BinaryScalar) -> np.ndarray:
-    narrow = np.frombuffer(payload.as_buffer(), np.uint8).reshape(-1, 7)
-    wide = np.zeros((len(narrow), 8), np.uint8)
-    wide[:, :7] = narrow
-    return wide.view("<u8").ravel()
+    return _widen(np.frombuffer(payload.as_buffer(), np.uint8))
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: int = SIMILARITY) -> bool:
