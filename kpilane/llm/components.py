@@ -18,26 +18,30 @@ def _with_least(links: DataFrame) -> DataFrame:
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     return (_with_least(both).filter(F.col("v") > F.col("u"))
-            .select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v").distinct())
+            .select(F.col("v").alias("u"), F.col("least").alias("v")).filter("u <> v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    starred = _with_least(down)
+    starred = _with_least(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     return (starred.select(F.col("v").alias("u"), F.col("least").alias("v"))
             .union(starred.select("u", F.col("least").alias("v"))).filter("u <> v").distinct())
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    ends = (links.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into"))
+            .union(links.select("v", F.lit(0), F.lit(1))))
+    return (ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+            .filter("out > 1 or (out = 1 and into = 1)").isEmpty())
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (columns u and v); the component is its least node."""
     require_checkpoint_dir(links.sparkSession)
-    links = links.filter("u <> v").distinct().checkpoint()
-    before = None
+    links = links.filter("u <> v")
     while True:
         links = _small_star(_large_star(links)).checkpoint()
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        if _all_stars(links):
             break
-        before = state
     leaves = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.union(leaves.select("component", "component").distinct())

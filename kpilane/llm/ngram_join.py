@@ -445,15 +445,17 @@ class Join:
                 .select("a", "b").distinct())
 
     def _block_links(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links among the sets of (key, set) rows, all pairs of a gathering of sets that keys connect."""
+        """Links among the sets of (key, set) rows that share a key.
+
+        Sets are gathered by the least set of each of their keys; keys of one group of texts mostly have the
+        same few least sets.
+        """
         similarity, first = self.similarity, self.bands.first
-        hubs = rows.groupBy("key").agg(F.min("set").alias("u")).join(rows, "key").select("u", F.col("set").alias("v"))
-        gathered = components(hubs)
+        gathered = (rows.groupBy("key").agg(F.min("set").alias("cluster")).join(rows, "key")
+                    .select("cluster", "set").distinct())
         band = F.size(F.filter(F.array(*[F.lit(int(f)) for f in first if f < _SIZE_MASK]),
                                lambda f: f <= F.col("size")))
-        members = (gathered.select(F.col("component").alias("cluster"), F.col("node").alias("set"),
-                                   F.col("node").bitwiseAND(F.lit(_SIZE_MASK)).alias("size"))
-                   .withColumn("band", band))
+        members = gathered.withColumn("size", F.col("set").bitwiseAND(F.lit(_SIZE_MASK))).withColumn("band", band)
         sizes = members.groupBy("cluster", "band").agg(F.ceil(F.greatest(
             F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         blocks = (members.join(sizes, ["cluster", "band"])
