@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpilane.llm import (html_density, language_id, licenses, lz_fingerprint, ngram_join, packing,
+from kpilane.llm import (html_density, language_id, licenses, lz_fingerprint, maxent_lm, ngram_join, packing,
                          sentencepiece_viterbi, topk, toxicity)
 from kpilane.llm.common import fold, ship_package, table
 
@@ -47,6 +47,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -68,6 +72,6 @@ def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[
 
 
 QUERIES = {q.__name__: _with_package(q) for q in (
-    op1_lz_fingerprint, op2_toxicity, op3_html_density, op4_sentencepiece, op5_ngram_join, op6_language_id, op8_topk,
-    op9_licenses, op10_packing)}
+    op1_lz_fingerprint, op2_toxicity, op3_html_density, op4_sentencepiece, op5_ngram_join, op6_language_id, op7_maxent_lm,
+    op8_topk, op9_licenses, op10_packing)}
 ORACLE = {"op8_topk": topk.oracle_sql(), "op9_licenses": licenses.oracle_sql()}
