@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpilane.llm.common import require_checkpoint_dir
+from kpilane.llm.common import require_checkpoint_dir, shuffle_partitions
 
 
 def _with_least(links: DataFrame) -> DataFrame:
@@ -38,9 +38,10 @@ def _all_stars(links: DataFrame) -> bool:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (columns u and v); the component is its least node."""
     require_checkpoint_dir(links.sparkSession)
-    links = links.filter("u <> v")
+    few = -(-shuffle_partitions(links.sparkSession) // 8)  # links are far smaller than the texts behind them
+    links = links.filter("u <> v").checkpoint()
     while True:
-        links = _small_star(_large_star(links)).checkpoint()
+        links = _small_star(_large_star(links)).coalesce(few).checkpoint()
         if _all_stars(links):
             break
     leaves = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

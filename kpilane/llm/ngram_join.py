@@ -318,6 +318,7 @@ class Join:
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.shingle, self.similarity, self.bands = shingle, similarity, Bands(similarity)
         self.parts = shuffle_partitions(self.spark)
+        self.few = -(-self.parts // 8)  # for pairs of ids, which are far smaller than the texts
 
     def documents(self) -> DataFrame:
         """doc_id, size and set id of every row, and the slack its set has left by its empty segments."""
@@ -379,7 +380,8 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(payloads, pa.binary())],
                                                  names=["set", "payload"])
 
-        return self.texts.select("text").mapInArrow(run, "set long, payload binary").dropDuplicates(["set"]).checkpoint()
+        return self.texts.select("text").mapInArrow(run, "set long, payload binary").dropDuplicates(["set"]).coalesce(
+            self.few).checkpoint()
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar, as links (u, v)."""
@@ -401,29 +403,32 @@ class Join:
         similarity, parts = self.similarity, self.parts
         row = "kind long, a long, b long, times long"
         allocated = (self.index().repartition(parts, "key")
-                     .mapInArrow(lambda b: _allocate(b, similarity), row).checkpoint())
+                     .mapInArrow(lambda b: _allocate(b, similarity), row).checkpoint().coalesce(self.few))
         pairs = (allocated.filter(F.col("kind") != SHARED).groupBy("a", "b")
                  .agg(F.min("kind").alias("kind"), F.sum("times").alias("times"))
-                 .filter((F.col("kind") == PAIR) | (F.col("times") >= PIVOT_SHARED)).select("a", "b").checkpoint())
+                 .filter((F.col("kind") == PAIR) | (F.col("times") >= PIVOT_SHARED)).select("a", "b")
+                 .coalesce(self.few).checkpoint())
         shared = allocated.filter(F.col("kind") == SHARED).select(F.col("a").alias("key"), F.col("b").alias("set"))
-        bare = documents.filter("left < 0").select("set").distinct()
-        sets = self.sets(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).union(shared.select("set"))
-                         .union(bare))
-        links = self.verify(pairs, sets).checkpoint()
+        sets = self.sets(pairs.select(F.col("a").alias("set")).union(pairs.select("b")))
+        links = self.verify(pairs, sets).coalesce(self.few).checkpoint()
 
         # subsets that many sets share: what the links so far leave open
         crossed = (self._with_components(shared, links).repartition(parts, "key")
-                   .mapInArrow(lambda b: _cross(b, similarity), row).checkpoint())
+                   .mapInArrow(lambda b: _cross(b, similarity), row).checkpoint().coalesce(self.few))
         more = crossed.filter(F.col("kind") == PAIR).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        links = links.union(self.verify(more, sets))
-
         # sets that lost more segments than their slack, by costly subsets or by empty segments alone
         costly = crossed.filter(F.col("kind") == SHARED).select(F.col("a").alias("key"), F.col("b").alias("set"))
         left = documents.filter(F.col("left") < UNBANDED).groupBy("set").agg(F.min("left").alias("left"))
         poor = (costly.groupBy("set").agg(F.count("*").alias("lost")).join(left, "set")
                 .filter(F.col("lost") > F.col("left")).select("set"))
-        links = links.union(self._block_links(costly.join(poor, "set", "left_semi"), sets))
-        return links.union(self.verify(self._neighbours(bare, sets), sets)).checkpoint()
+        costly = costly.join(poor, "set", "left_semi").select("key", "set").coalesce(self.few).checkpoint()
+        bare = documents.filter("left < 0").select("set").distinct()
+        more = more.coalesce(self.few).checkpoint()
+        sets = self.sets(more.select(F.col("a").alias("set")).union(more.select("b")).union(costly.select("set"))
+                         .union(bare))
+        more = more.union(self._neighbours(bare, sets)).distinct()
+        return links.union(self.verify(more, sets).coalesce(self.few)).union(
+            self._block_links(costly, sets).coalesce(self.few))
 
     def _with_components(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         known = components(links).withColumnRenamed("node", "set")
@@ -442,7 +447,7 @@ class Join:
         return (sets.join(bare, "set", "left_semi").select("set", "payload")
                 .mapInArrow(neighbourhoods, "key long, set long, kind long").repartition(self.parts, "key")
                 .mapInArrow(lambda b: _meet(b, similarity), "kind long, a long, b long, times long")
-                .select("a", "b").distinct())
+                .select("a", "b"))
 
     def _block_links(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
         """Links among the sets of (key, set) rows that share a key.
