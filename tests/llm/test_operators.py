@@ -278,7 +278,7 @@ def test_licence_scan(spark):
         (12, 3, 3, 7, "apache-2,mit", "apache-2,mit", 1.0), (1, 0, None, None, "", "", 0.0)]
     assert got[2] == got[3] == [(0, 0, None, None, "", "", 0.0)]
     assert got[4] == [(12, 0, None, None, "", "gpl-3", 1.0)]
-    assert got[5] == [(7, 2, 0, 3, "cc-by-nc", "cc-by-nc", 1.0)]
+    assert got[5] == [(8, 2, 0, 3, "cc-by-nc", "cc-by-nc", 1.0)]
     assert got[6][0][1] == 0 and got[7] == [(1002, 1, 1000, 1000, "mit", "mit", 1.0)]
 
 
