@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpilane.functions.scoring import pct_to_target, rag_status, weighted_total
-from kpilane.operators.joins import bounded_broadcast
 from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import weight_scalars
 from kpilane.schemas import AMBER_AT, BRANCH_PILLARS, EMPLOYEE_PILLARS, GREEN_AT
@@ -49,7 +48,7 @@ def branch_monthly_score(star: Mapping[str, DataFrame], period_cols=("month_numb
     keys = ["branch_id", *period]
     bs = branch_sales(star["fact_sales"], keys)
     bt = branch_targets(star["fact_targets"], keys)
-    db = bounded_broadcast(star["dim_branch"].select("branch_id", "branch_code", "branch_name", "tier"))
+    db = star["dim_branch"].select("branch_id", "branch_code", "branch_name", "tier")
     fc = star["fact_compliance"].select(*keys, "month_name", "compliance_score")
     w = weight_scalars(star["dim_role_weights"])
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpilane.functions.scoring import pct_to_target, weighted_total
-from kpilane.operators.joins import bounded_broadcast
 from kpilane.operators.ranking import rank_many
 from kpilane.operators.weights import role_weights_pivot
 from kpilane.schemas import EMPLOYEE_PILLARS
@@ -58,7 +57,7 @@ def employee_monthly_score(star: Mapping[str, DataFrame], normalize: str = "fixe
     employees = star["dim_employee"].select("employee_id", "branch_code", "role", "first_name",
                                             "last_name")
     # one row per role: never more rows than the weights table itself
-    weights = bounded_broadcast(role_weights_pivot(star["dim_role_weights"]), bound_by=star["dim_role_weights"])
+    weights = role_weights_pivot(star["dim_role_weights"])
 
     rows = (sales.join(targets, ["employee_id", *period])
             .join(employees, "employee_id")

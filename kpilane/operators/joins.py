@@ -1,37 +1,10 @@
-"""Join helpers: size-checked broadcast and NULL-safe equi-joins."""
+"""Join helpers: NULL-safe equi-joins."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-# Largest relation (rows) this library broadcasts on its own initiative.
-DEFAULT_BROADCAST_ROWS = 100_000
-# bound checks already run, per checked DataFrame object (kept alive with it)
-_CHECKED: dict[int, tuple[DataFrame, int, bool]] = {}
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS,
-                      bound_by: DataFrame | None = None) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    The check is a ``limit(max_rows + 1).count()`` job on ``bound_by`` (default
-    ``df`` itself); pass the input of an aggregate whose output cannot have more
-    rows than its input to check the cheaper side.  Above the bound the frame is
-    returned unchanged and the planner / AQE pick a shuffle join (and split
-    skewed partitions) instead.  The answer is remembered per checked frame
-    (DataFrames are immutable plans over fixed inputs).
-    """
-    source = bound_by if bound_by is not None else df
-    seen = _CHECKED.get(id(source))
-    if seen is not None and seen[0] is source and seen[1] == max_rows:
-        small = seen[2]
-    else:
-        small = source.limit(max_rows + 1).count() <= max_rows
-        _CHECKED[id(source)] = (source, max_rows, small)
-    return F.broadcast(df) if small else df
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from kpilane.functions.scoring import pct_to_target, weighted_total
 from kpilane.operators.branch import exact_sum
-from kpilane.operators.joins import bounded_broadcast
 from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import role_weights_pivot, weight_scalars
 from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS
@@ -33,7 +32,7 @@ _BRANCH_ATTRS = ("branch_code", "tier", "province", "city")
 def _with_branch_attrs(facts: DataFrame, branches: DataFrame) -> DataFrame:
     """Facts with the branch dimension's attributes (facts without a branch drop out)."""
     own = facts.drop(*[c for c in _BRANCH_ATTRS if c in facts.columns])
-    return own.join(bounded_broadcast(branches.select("branch_id", *_BRANCH_ATTRS)), "branch_id")
+    return own.join(branches.select("branch_id", *_BRANCH_ATTRS), "branch_id")
 
 
 def _check_grain(by: Sequence[str]) -> None:
@@ -117,7 +116,7 @@ def _role_measure(star: Mapping[str, DataFrame], by: list[str], where: Column |
             .agg(*[exact_sum(c).alias(c) for c in measures], F.count("_a").alias("_na"), F.count("_t").alias("_nt"))
             .filter((F.col("_na") > 0) & (F.col("_nt") > 0)))
     weights = star["dim_role_weights"]
-    pivot = bounded_broadcast(role_weights_pivot(weights), bound_by=weights)
+    pivot = role_weights_pivot(weights)
     rows = sums.join(pivot, "role", "left")
     terms, pcts = [], []
     for p in EMPLOYEE_PILLARS:

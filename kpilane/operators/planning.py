@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from kpilane.functions.labels import branch_code, branch_name, month_factor, month_name
 from kpilane.functions.scoring import clamp, out_of_range
-from kpilane.operators.joins import bounded_broadcast
 from kpilane.schemas import BASE_TARGETS, BASE_TARGETS_SCHEMA, SCORE_BOUNDS, TARGET_LEI
 
 
@@ -24,7 +23,7 @@ def target_plan(employees: DataFrame, base_targets: DataFrame, months: int = 12)
     constant.  Each employee row is expanded to ``months`` rows in place
     (``explode(sequence)``), so the plan is as parallel as the employee table.
     """
-    base = bounded_broadcast(base_targets)
+    base = base_targets
     e = employees.select("employee_id", "branch_id", "branch_code", "role", "tier")
     rows = (e.join(base, ["tier", "role"], "left")
             .withColumn("month_number", F.explode(F.sequence(F.lit(1), F.lit(months)))))

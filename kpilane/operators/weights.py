@@ -30,8 +30,8 @@ def manager_weights(weights: DataFrame, pillars: Sequence[Pillar] = BRANCH_PILLA
 
 
 def workforce_weights(weights: DataFrame, employees: DataFrame) -> DataFrame:
-    """The weight rows of the roles present in the workforce (a left-semi join on role)."""
-    return weights.join(employees.select("role"), "role", "left_semi")
+    """The weight rows of the roles present in the workforce (a left-semi join on its distinct roles)."""
+    return weights.join(employees.select("role").distinct(), "role", "left_semi")
 
 
 def weight_scalars(weights: DataFrame, pillars: Sequence[Pillar] = BRANCH_PILLARS,

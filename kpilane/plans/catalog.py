@@ -21,6 +21,8 @@ from kpilane.operators import quality as qa
 from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import manager_weights, role_weights_pivot, workforce_weights
 from kpilane.plans import reports as rp
+from kpilane.plans.views import build_views
+from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS
 from kpilane.session import scratch_path
 from kpilane.sources.adapter import star_from_tpch
 from kpilane.sources.star import materialize_star, read_csv_typed, write_csv
@@ -164,20 +166,7 @@ def q_rank_distributed(spark, d):
 # --- quality ------------------------------------------------------------------------
 
 def q_view_row_counts(spark, d):
-    # Two aggregates instead of five views: ranking never adds or drops rows,
-    # the long view has one row per kept pillar of each score row, and pacing
-    # only adds a column to the branch view.
-    e = _scores(spark, d).agg(F.count(F.lit(1)).alias("n"),
-                              F.coalesce(F.sum(emp.long_rows_per_score()), F.lit(0)).cast("bigint").alias("n_long"))
-    b = _branch(spark, d).agg(F.count(F.lit(1)).alias("n"))
-
-    def rows(df, pairs):
-        return df.select(F.inline(F.array(*[F.struct(F.lit(v).alias("view_name"), F.col(c).alias("row_count"))
-                                            for v, c in pairs])))
-
-    return rows(e, [("vw_employee_monthly_score", "n"), ("vw_employee_rank", "n"),
-                    ("vw_employee_scorecard_long", "n_long")]).unionByName(
-        rows(b, [("vw_branch_monthly_score", "n"), ("vw_branch_pacing", "n")]))
+    return qa.view_row_counts(build_views(star(spark, d)))
 
 
 def q_referential_integrity(spark, d):
@@ -236,13 +225,10 @@ def q_join_fanout(spark, d):
 
 def q_totals_reconciliation(spark, d):
     s = star(spark, d)
-    bs, bt = br.branch_sales(s["fact_sales"]), br.branch_targets(s["fact_targets"])
+    sides = [("fact_sales", "branch_sales", br.branch_sales(s["fact_sales"]), [p.actual for p in EMPLOYEE_PILLARS]),
+             ("fact_targets", "branch_targets", br.branch_targets(s["fact_targets"]), [p.target for p in BRANCH_PILLARS])]
     return qa.totals_reconciliation([
-        ("lending: fact_sales vs branch_sales", s["fact_sales"], "lending_actual", bs, "lending_actual"),
-        ("investing: fact_sales vs branch_sales", s["fact_sales"], "investing_actual", bs, "investing_actual"),
-        ("target_lending: fact_targets vs branch_targets", s["fact_targets"], "target_lending", bt,
-         "target_lending"),
-    ])
+        (f"{c}: {fact} vs {total}", s[fact], c, totals, c) for fact, total, totals, columns in sides for c in columns])
 
 
 def q_reconcile_4dp(spark, d):

@@ -222,11 +222,12 @@ def _fanout_sql() -> str:
     return with_views("\nUNION ALL\n".join(parts))
 
 
-_TOTALS = [("lending: fact_sales vs branch_sales", "fact_sales", "lending_actual", "branch_sales", "lending_actual"),
-           ("investing: fact_sales vs branch_sales", "fact_sales", "investing_actual", "branch_sales",
-            "investing_actual"),
-           ("target_lending: fact_targets vs branch_targets", "fact_targets", "target_lending", "branch_targets",
-            "target_lending")]
+_TOTALS = [
+    (f"{c}: {fact} vs {total}", fact, c, total, c) for fact, total, columns in (
+        ("fact_sales", "branch_sales", "lending_actual investing_actual banking_units_actual lei_actual"),
+        ("fact_targets", "branch_targets",
+         "target_lending target_investing target_banking_units target_lei target_compliance"))
+    for c in columns.split()]
 
 
 def _totals_sql() -> str:

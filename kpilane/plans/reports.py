@@ -8,11 +8,14 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpilane.operators.joins import bounded_broadcast
 from kpilane.operators.ranking import rank_by, rank_of_rows, top_n_by_rank
 from kpilane.operators.weights_long import weights_long
 
 
+TOP_ADVISOR_COLUMNS = ("employee_id", "branch_id", "branch_code", "first_name", "last_name",
+                       "weighted_total_score", "rank_within_role", "rank_within_branch")
+
+
 def top_advisors(scores: DataFrame, n: int = 3, role: str = "Advisor") -> DataFrame:
     """Top ``n`` of ``role`` in the latest month that role has scores for, with both ranks.
 
@@ -31,8 +34,7 @@ def top_advisors(scores: DataFrame, n: int = 3, role: str = "Advisor") -> DataFr
     contexts = {"rank_within_role": ["role", "month_number"],
                 "rank_within_branch": ["branch_id", "month_number"]}
     ranked = rank_of_rows(top, scores, contexts, "weighted_total_score", ["employee_id", "month_number"])
-    return ranked.select("employee_id", "branch_id", "branch_code", "first_name", "last_name",
-                         "weighted_total_score", "rank_within_role", "rank_within_branch")
+    return ranked.select(*TOP_ADVISOR_COLUMNS)
 
 
 def pillar_detail(long: DataFrame, weights: DataFrame) -> DataFrame:
@@ -41,7 +43,7 @@ def pillar_detail(long: DataFrame, weights: DataFrame) -> DataFrame:
     Joining through the weights (inner) drops every pillar the role has no
     weight row for; ``contribution = pct * weight / 100`` sums to the score.
     """
-    wl = bounded_broadcast(weights_long(weights).select("role", "pillar_name", "weight_pct"), bound_by=weights)
+    wl = weights_long(weights).select("role", "pillar_name", "weight_pct")
     return long.join(wl, ["role", "pillar_name"]).select(
         "employee_id", "branch_id", "role", "month_number", "pillar_name", "pct_to_target",
         "weight_pct", (F.col("pct_to_target") * F.col("weight_pct") / F.lit(100.0)).alias("contribution"),
@@ -80,7 +82,7 @@ def leaderboard_branches(branch_scores: DataFrame, n: int = 10) -> DataFrame:
 
 def branch_rank_in_province(star: Mapping[str, DataFrame], pacing: DataFrame) -> DataFrame:
     """Branches ranked within their province and month."""
-    prov = bounded_broadcast(star["dim_branch"].select("branch_id", "province"))
+    prov = star["dim_branch"].select("branch_id", "province")
     with_prov = pacing.join(prov, "branch_id")
     ranked = rank_by(with_prov, ["province", "month_number"], "weighted_total_score", "province_rank")
     return ranked.select("province", "month_number", "province_rank", "branch_id", "branch_code",

@@ -73,23 +73,6 @@ class Pillar:
 
 
 # --- fixed values (must equal the scorecard definition) ---------------------
-# Columns a CSV extract types as integers (truncating ``int(float(v))``) and as
-# reals; everything else stays text.
-INTEGER_COLUMNS = frozenset(
-    {
-        "branch_id",
-        "employee_id",
-        "month_number",
-        "manager_count",
-        "advisor_count",
-        "teller_count",
-        "employee_count",
-        "opening_year",
-        "survey_response_count",
-        "exceptions_count",
-    }
-)
-
 # Pillars in the order their terms are added up in the weighted score.
 PILLARS: tuple[Pillar, ...] = (
     Pillar("lending", "Lending", "Lending", "lending_actual", "target_lending", True),
@@ -153,3 +136,7 @@ BASE_TARGETS_SCHEMA = _schema(
     "tier string, role string, base_lending double, base_investing double, "
     "base_banking_units double, base_compliance double"
 )
+
+# Columns a CSV extract types as integers (truncating ``int(float(v))``); other numbers are reals.
+INTEGER_COLUMNS = frozenset(f.name for schema in SCHEMAS.values() for f in schema.fields
+                            if f.dataType.typeName() in ("integer", "long"))

@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpilane.functions.labels import branch_code, branch_name, iso_date, month_name
-from kpilane.operators.joins import bounded_broadcast
 from kpilane.sources.star import role_weights_frame
 
 SALES_YEAR = 1998
@@ -96,7 +95,7 @@ def dim_employee(tables: dict[str, DataFrame], branches: DataFrame) -> DataFrame
     s = tables["supplier"]
     # one row per nation: small, and broadcast so a nation holding most
     # suppliers never lands in one join task
-    managers = bounded_broadcast(s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("_mgr_key")))
+    managers = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("_mgr_key"))
     k = F.col("s_suppkey")
     role = (F.when(k == F.col("_mgr_key"), F.lit("Manager"))
             .when(k % 2 == 0, F.lit("Advisor"))
@@ -210,8 +209,7 @@ def fact_compliance(tables: dict[str, DataFrame], branches: DataFrame,
          .agg(F.sum("_orders").alias("_orders"), F.sum("_ok").alias("_ok"),
               F.sum("_exceptions").alias("_exceptions")))
     scaled = _scaled_share("_ok", "_orders", 1_000_000)
-    b = bounded_broadcast(branches.select("branch_id", "branch_code", "tier", "province", "city"),
-                          bound_by=branches_bound)
+    b = branches.select("branch_id", "branch_code", "tier", "province", "city")
     return g.join(b, "branch_id", "left").select(
         "branch_id", "branch_code", "month_number",
         month_name("month_number").alias("month_name"),
@@ -247,7 +245,7 @@ def star_from_tpch(spark: SparkSession, sf_dir: str, stage_dir: str | None = Non
         sales_months, target_months = _stage(
             spark, {"sales_months": sales_months, "target_months": target_months}, stage_dir)
     unhinted = branch_base(tables)
-    base = bounded_broadcast(unhinted)
+    base = unhinted
     employees = dim_employee(tables, base)
     # one row per base branch (left join to per-branch counts): same bound as the base
     branches = dim_branch(base, employees)

@@ -26,14 +26,20 @@ def read_csv_typed(spark: SparkSession, path: str, table: str,
     numeric columns of the table's schema) become integers when their name is
     an integer column (``'3.7' -> 3``), otherwise doubles; blanks become NULL
     and malformed numbers fail the job (ANSI casts).  Text columns keep an
-    empty cell as ``''``.  The result has the table's schema order when the
-    header matches it, otherwise the header's order.
+    empty cell as ``''``; quotes are doubled inside a quoted cell, which may
+    hold line breaks.  Cells go to columns by the header's names: a file whose
+    header differs from the first file's fails the job instead of swapping
+    columns.  The result has the table's schema order when the header matches
+    it, otherwise the header's order.
     """
     schema = SCHEMAS[table]
-    header = spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+
+    def reader():
+        return spark.read.options(header=True, encoding="UTF-8", multiLine=True, escape='"')
+
+    header = reader().option("inferSchema", False).csv(path).columns
     text_schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = (spark.read.option("header", True).option("encoding", "UTF-8")
-           .option("mode", "FAILFAST").schema(text_schema).csv(path))
+    raw = reader().option("mode", "FAILFAST").option("enforceSchema", False).schema(text_schema).csv(path)
     if numeric_columns is None:
         numeric_columns = {f.name for f in schema.fields if not isinstance(f.dataType, T.StringType)}
     cols = []
@@ -53,9 +59,10 @@ def read_csv_typed(spark: SparkSession, path: str, table: str,
 
 
 def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Header CSV extract with a fixed column order (one folder of part files)."""
+    """Header CSV extract with a fixed column order (one folder of part files); text is kept as it is."""
     out = df.select(*(columns or df.columns))
-    out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    out.write.mode("overwrite").options(header=True, encoding="UTF-8", escape='"', ignoreLeadingWhiteSpace=False,
+                                        ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def load_star(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:

@@ -46,8 +46,7 @@ def refresh_months(star: Mapping[str, DataFrame], months: DataFrame, out_dir: st
 
 
 def start_monthly_refresh(spark: SparkSession, star_dir: str, out_dir: str, checkpoint: str,
-                          landing_table: str = "fact_sales", available_now: bool = True,
-                          period_cols=("month_number",)) -> StreamingQuery:
+                          landing_table: str = "fact_sales", available_now: bool = True) -> StreamingQuery:
     """Stream new ``landing_table`` Parquet files under ``star_dir``; refresh their months.
 
     Each micro-batch reduces to its distinct months (at most the number of
@@ -55,14 +54,10 @@ def start_monthly_refresh(spark: SparkSession, star_dir: str, out_dir: str, chec
     those month partitions of every view.  ``checkpoint`` must be on shared
     storage; the stream then restarts where it stopped after a failure.
     """
-    schema = SCHEMAS[landing_table]
-    for c in period_cols:
-        if c not in schema.fieldNames():
-            schema = schema.add(c, "int")
-    stream = spark.readStream.schema(schema).parquet(f"{star_dir.rstrip('/')}/{landing_table}")
+    stream = spark.readStream.schema(SCHEMAS[landing_table]).parquet(f"{star_dir.rstrip('/')}/{landing_table}")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        refresh_months(load_star(spark, star_dir), batch, out_dir, period_cols=period_cols)
+        refresh_months(load_star(spark, star_dir), batch, out_dir)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -87,3 +87,24 @@ def test_enrich_and_clamp(golden):
     assert e[3].lending_actual == 0.0 and e[8].employee_found is False and e[1].role == "Manager"
     c = {r.branch_id: r for r in pl.clamp_scores(golden["fact_compliance"]).collect()}
     assert c[2].compliance_out_of_range is False and c[2].risk_from_compliance == 19.0
+
+
+def test_csv_text_round_trips_as_written(spark, tmp_path):
+    from kpilane.sources.star import read_csv_typed, write_csv
+
+    rows = [('A "x", b', "two\nlines", 1.5), ("  pad ", "", None)]
+    path = str(tmp_path / "weights")
+    write_csv(spark.createDataFrame(rows, "role string, metric_name string, weight_pct double"), path)
+    back = read_csv_typed(spark, path, "dim_role_weights")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+
+
+def test_csv_files_with_other_headers_fail(spark, tmp_path):
+    import pytest
+
+    from kpilane.sources.star import read_csv_typed
+
+    (tmp_path / "a.csv").write_text("role,metric_name,weight_pct\nr,m,1\n")
+    (tmp_path / "b.csv").write_text("metric_name,role,weight_pct\nm,r,1\n")
+    with pytest.raises(Exception):
+        read_csv_typed(spark, str(tmp_path), "dim_role_weights").collect()
