@@ -10,26 +10,33 @@ from pyspark.sql import functions as F
 from kpilane.functions.scoring import pct_to_target, rag_status, weighted_total
 from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import weight_scalars
-from kpilane.schemas import AMBER_AT, BRANCH_PILLARS, EMPLOYEE_PILLARS, GREEN_AT
+from kpilane.schemas import AMBER_AT, BRANCH_PILLARS, EMPLOYEE_PILLARS, GREEN_AT, period_columns
 
-BRANCH_KEYS = ["branch_id", "month_number"]
-# Sums go through an exact decimal so a total never depends on how rows were
-# split across partitions (double addition is not associative).
 EXACT_SUM = "decimal(38,6)"
 
 
 def exact_sum(col: str | Column) -> Column:
+    """Sum of doubles without lost digits.
+
+    Where every value of the group has at most six decimals, the sum goes through an exact
+    decimal, so it does not depend on how rows were split across partitions (double addition
+    is not associative). A group with finer values is summed as doubles.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    return F.sum(c.cast(EXACT_SUM)).cast("double")
+    exact = c.try_cast(EXACT_SUM)
+    fits = c.isNull() | F.coalesce(exact.cast("double") == c, F.lit(False))
+    return F.when(F.bool_and(fits), F.sum(exact).cast("double")).otherwise(F.sum(c))
 
 
-def branch_sales(fact_sales: DataFrame, keys: list[str] = BRANCH_KEYS) -> DataFrame:
-    """Σ actuals per branch and month (partial aggregate before the shuffle)."""
+def branch_sales(fact_sales: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Σ actuals per branch and period (partial aggregate before the shuffle)."""
+    keys = keys or ["branch_id", *period_columns(fact_sales)]
     return fact_sales.groupBy(*keys).agg(*[exact_sum(p.actual).alias(p.actual) for p in EMPLOYEE_PILLARS])
 
 
-def branch_targets(fact_targets: DataFrame, keys: list[str] = BRANCH_KEYS) -> DataFrame:
-    """Σ targets (including the compliance target) per branch and month."""
+def branch_targets(fact_targets: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Σ targets (including the compliance target) per branch and period."""
+    keys = keys or ["branch_id", *period_columns(fact_targets)]
     return fact_targets.groupBy(*keys).agg(*[exact_sum(p.target).alias(p.target) for p in BRANCH_PILLARS])
 
 
@@ -72,6 +79,5 @@ def branch_rank(pacing: DataFrame, ties: str = "rank", method: str = "range",
 
     ``keys`` defaults to the period: ``month_number``, plus ``year`` when present.
     """
-    default = ["year", "month_number"] if "year" in pacing.columns else ["month_number"]
-    return rank_by(pacing, keys or default, "weighted_total_score", out_col,
+    return rank_by(pacing, keys or period_columns(pacing), "weighted_total_score", out_col,
                    ties=ties, method=method)

@@ -78,14 +78,9 @@ def employee_monthly_score(star: Mapping[str, DataFrame], normalize: str = "fixe
 def employee_rank(scores: DataFrame, ties: str = "rank", method: str = "range",
                   period_cols=PERIOD) -> DataFrame:
     """Add rank_within_role (role, period) and rank_within_branch (branch, period), score DESC.
-
-    With ``method="range"`` the scores are first materialised once (reliable
-    checkpoint) because both rank contexts and the final join read them.
     """
     contexts = rank_contexts(period_cols)
     columns = scores.columns
-    if method == "range":
-        scores = scores.checkpoint(eager=True)
     ranked = rank_many(scores, contexts, "weighted_total_score", ties=ties, method=method)
     return ranked.select(*columns, *contexts)
 

@@ -4,7 +4,7 @@ A measure is a ratio of sums: numerators and denominators are summed at the
 requested grain *after* the filter, then divided.  At (branch_id, month_number)
 it reproduces the branch view exactly.  Grains are built from the branch
 dimension's attributes (branch_id, branch_code, tier, province, city),
-month_number and role.  Without a role the score uses the Manager's weights, as
+year, month_number, role and, with the role, employee_id.  Without a role the score uses the Manager's weights, as
 the branch view does; with a role it uses that role's weights (see
 :func:`measure_by_grain`).
 """
@@ -16,13 +16,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpilane.functions.scoring import pct_to_target, weighted_total
+from kpilane.functions.scoring import pct_to_target, rag_status, weighted_total
 from kpilane.operators.branch import exact_sum
 from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import role_weights_pivot, weight_scalars
 from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS
 
-GRAIN_COLUMNS = ("branch_id", "branch_code", "tier", "province", "city", "month_number", "role")
+GRAIN_COLUMNS = ("employee_id", "branch_id", "branch_code", "tier", "province", "city", "year", "month_number", "role")
 MEASURE_COLUMNS = [f"{p.key}_pct_to_target" for p in BRANCH_PILLARS] + ["weighted_total_score"]
 
 
@@ -81,12 +81,12 @@ def _score(df: DataFrame, star: Mapping[str, DataFrame], keys: Sequence[str]) ->
     ratios = {p.key: pct_to_target(F.col(p.actual), F.col(p.target)) for p in BRANCH_PILLARS}
     score = weighted_total([(ratios[p.key], w[p.key]) for p in BRANCH_PILLARS], null_as_zero=False)
     return df.select(*keys, *[ratios[p.key].alias(f"{p.key}_pct_to_target") for p in BRANCH_PILLARS],
-                     score.alias("weighted_total_score"))
+                     score.alias("weighted_total_score"), rag_status(score).alias("rag_status"))
 
 
 def measure_by_grain(star: Mapping[str, DataFrame], by: Sequence[str],
                      where: Column | None = None) -> DataFrame:
-    """Pillar ratios and weighted score at grain ``by`` under filter ``where``.
+    """Pillar ratios, weighted score and its RAG band at grain ``by`` under filter ``where``.
 
     Grains without a role use the Manager's weights and all five pillars, as
     the branch view does.  A grain containing ``role`` scores like an employee
@@ -96,6 +96,8 @@ def measure_by_grain(star: Mapping[str, DataFrame], by: Sequence[str],
     by = list(by)
     if "role" in by:
         return _role_measure(star, by, where)
+    if "employee_id" in by:
+        raise ValueError("an employee is scored with their role's weights: add role to the grain")
     return _score(measure_sums(star, by, where), star, by)
 
 
@@ -125,8 +127,9 @@ def _role_measure(star: Mapping[str, DataFrame], by: list[str], where: Column |
             ratio = F.when(F.col("role") == excluded_role, F.lit(None).cast("double")).otherwise(ratio)
         pcts.append(ratio.alias(f"{p.key}_pct_to_target"))
         terms.append((ratio, F.col(f"{p.key}_weight")))
+    score = weighted_total(terms, null_as_zero=True)
     return rows.select(*by, *pcts, F.lit(None).cast("double").alias("compliance_pct_to_target"),
-                       weighted_total(terms, null_as_zero=True).alias("weighted_total_score"))
+                       score.alias("weighted_total_score"), rag_status(score).alias("rag_status"))
 
 
 def measure_rollup(star: Mapping[str, DataFrame], by: Sequence[str],
@@ -137,7 +140,7 @@ def measure_rollup(star: Mapping[str, DataFrame], by: Sequence[str],
     which also tells a rolled-up NULL from a NULL key value.
     """
     by = list(by)
-    if "role" in by:
+    if "role" in by or "employee_id" in by:
         raise ValueError("measure_rollup supports branch and period grains; use measure_by_grain for role")
     return _score(measure_sums(star, by, where, grouping="rollup"), star, by + ["grouping_level"])
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kpilane.functions.labels import branch_code, branch_name, month_factor, month_name
 from kpilane.functions.scoring import clamp, out_of_range
-from kpilane.schemas import BASE_TARGETS, BASE_TARGETS_SCHEMA, SCORE_BOUNDS, TARGET_LEI
+from kpilane.schemas import BASE_TARGETS, BASE_TARGETS_SCHEMA, SCORE_BOUNDS, TARGET_LEI, period_columns
 
 
 def base_targets_frame(spark: SparkSession) -> DataFrame:
@@ -73,7 +73,8 @@ def enrich_facts(facts: DataFrame, employees: DataFrame, guarded_role: str = "Te
     e = employees.select("employee_id", F.col("branch_id").alias("emp_branch_id"),
                          F.col("branch_code").alias("emp_branch_code"), F.col("role").alias("emp_role"),
                          F.col("tier").alias("emp_tier"), F.lit(True).alias("_found"))
-    j = facts.select("employee_id", "month_number", "month_name", "lending_actual", "investing_actual",
+    period = period_columns(facts)
+    j = facts.select("employee_id", *period, "month_name", "lending_actual", "investing_actual",
                      "banking_units_actual", "lei_actual").join(e, "employee_id", "left")
     guarded = F.col("emp_role") == F.lit(guarded_role)
 
@@ -82,7 +83,7 @@ def enrich_facts(facts: DataFrame, employees: DataFrame, guarded_role: str = "Te
 
     return j.select(
         "employee_id", F.col("emp_branch_id").alias("branch_id"), F.col("emp_branch_code").alias("branch_code"),
-        F.col("emp_role").alias("role"), F.col("emp_tier").alias("tier"), "month_number", "month_name",
+        F.col("emp_role").alias("role"), F.col("emp_tier").alias("tier"), *period, "month_name",
         measured("lending_actual").alias("lending_actual"),
         measured("investing_actual").alias("investing_actual"),
         "banking_units_actual", "lei_actual",
@@ -92,14 +93,14 @@ def enrich_facts(facts: DataFrame, employees: DataFrame, guarded_role: str = "Te
 def clamp_scores(compliance: DataFrame) -> DataFrame:
     """Bound compliance to its legal scale, derive risk as its clamped complement.
 
-    Returns branch_id, month_number, compliance_score, compliance_clamped,
+    Returns branch_id, the period, compliance_score, compliance_clamped,
     compliance_out_of_range, risk_score, risk_from_compliance, risk_out_of_range.
     """
     clo, chi = SCORE_BOUNDS["compliance_score"]
     rlo, rhi = SCORE_BOUNDS["risk_score"]
     comp = clamp("compliance_score", clo, chi)
     return compliance.select(
-        "branch_id", "month_number", "compliance_score",
+        "branch_id", *period_columns(compliance), "compliance_score",
         comp.alias("compliance_clamped"),
         out_of_range("compliance_score", clo, chi).alias("compliance_out_of_range"),
         "risk_score",
@@ -109,6 +110,6 @@ def clamp_scores(compliance: DataFrame) -> DataFrame:
 
 def clamp_survey(survey: DataFrame) -> DataFrame:
     lo, hi = SCORE_BOUNDS["lei_score"]
-    return survey.select("employee_id", "month_number", "lei_score",
+    return survey.select("employee_id", *period_columns(survey), "lei_score",
                          clamp("lei_score", lo, hi).alias("lei_clamped"),
                          out_of_range("lei_score", lo, hi).alias("lei_out_of_range"))

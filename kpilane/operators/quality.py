@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpilane.functions.scoring import out_of_range
-
-EXACT = "decimal(38,6)"
+from kpilane.operators.branch import exact_sum
+from kpilane.operators.joins import join_null_safe
 
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
@@ -115,17 +115,13 @@ def totals_reconciliation(checks: Sequence[tuple[str, DataFrame, str, DataFrame,
     """
     parts = []
     for name, a, col_a, b, col_b in checks:
-        none = F.lit(None).cast(EXACT)
-        parts.append(a.select(F.lit(name).alias("check_name"), F.col(col_a).cast(EXACT).alias("_a"),
+        none = F.lit(None).cast("double")
+        parts.append(a.select(F.lit(name).alias("check_name"), F.col(col_a).cast("double").alias("_a"),
                               none.alias("_b")))
         parts.append(b.select(F.lit(name).alias("check_name"), none.alias("_a"),
-                              F.col(col_b).cast(EXACT).alias("_b")))
-    sums = _union(parts).groupBy("check_name").agg(F.sum("_a").alias("_ta"), F.sum("_b").alias("_tb"))
-    return sums.select(
-        "check_name",
-        F.col("_ta").cast("double").alias("total_a"),
-        F.col("_tb").cast("double").alias("total_b"),
-        (F.coalesce(F.col("_ta"), F.lit(0)) - F.coalesce(F.col("_tb"), F.lit(0))).cast("double").alias("difference"))
+                              F.col(col_b).cast("double").alias("_b")))
+    sums = _union(parts).groupBy("check_name").agg(exact_sum("_a").alias("total_a"), exact_sum("_b").alias("total_b"))
+    return sums.withColumn("difference", F.coalesce("total_a", F.lit(0.0)) - F.coalesce("total_b", F.lit(0.0)))
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str],
@@ -154,6 +150,38 @@ def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[st
     return j.select(*keys, status.alias("status"), max_diff.alias("max_abs_diff"))
 
 
+def rank_consistency(ranked: DataFrame, contexts: Mapping[str, Sequence[str]], score: str) -> DataFrame:
+    """rank_column, rows_ranked, distinct_ranks, broken_ranks, unstarted for each ``{rank column: keys}``.
+
+    Checks RANK (score DESC, NULLs last) without ranking again. The ``n`` rows of rank ``r`` of a
+    key must share one score, and the rank ``r + n`` must exist with a lower score unless all rows
+    of the key are counted by then; ``broken_ranks`` are those that fail. ``unstarted`` are keys
+    without a rank 1. Joins of (key, rank) counts only: no sort, no group in one task.
+    """
+    reports = []
+    for name, keys in contexts.items():
+        keys = list(keys)
+        at = ranked.groupBy(*keys, F.col(name).alias("_rank")).agg(
+            F.count(F.lit(1)).alias("_n"), F.count(score).alias("_scored"),
+            F.min(score).alias("_low"), F.max(score).alias("_high"))
+        total = at.groupBy(*keys).agg(F.sum("_n").alias("_total"), F.min("_rank").alias("_first"))
+        after = at.select(*keys, F.col("_rank").alias("_next"), F.col("_high").alias("_next_high"),
+                          F.lit(True).alias("_found"))
+        steps = join_null_safe(at.withColumn("_next", F.col("_rank") + F.col("_n")), after, [*keys, "_next"], "left")
+        steps = join_null_safe(steps, total, keys, "inner")
+        one_score = (F.col("_scored") == 0) | ((F.col("_scored") == F.col("_n")) & (F.col("_low") == F.col("_high")))
+        falls = F.col("_found") & (F.col("_scored") > 0) & (F.col("_next_high").isNull()
+                                                            | (F.col("_next_high") < F.col("_low")))
+        follows = F.when(F.col("_next") > F.col("_total"), F.col("_found").isNull()).otherwise(
+            F.coalesce(falls, F.lit(False)))
+        broken = steps.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("rows_ranked"),
+                           F.count(F.lit(1)).alias("distinct_ranks"),
+                           F.count_if(~(one_score & follows)).alias("broken_ranks"),
+                           F.count_if((F.col("_rank") == F.col("_first")) & (F.col("_first") != 1)).alias("unstarted"))
+        reports.append(broken.select(F.lit(name).alias("rank_column"), *broken.columns))
+    return _union(reports)
+
+
 def reconcile_summary(reconciled: DataFrame) -> DataFrame:
     """status, key_count, max_abs_diff."""
     return reconciled.groupBy("status").agg(F.count(F.lit(1)).alias("key_count"),

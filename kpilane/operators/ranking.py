@@ -67,6 +67,8 @@ def rank_many(df: DataFrame, contexts: Mapping[str, Sequence[str]], score: str,
         return out
     if method != "range":
         raise ValueError(f"method must be 'range' or 'window', got {method!r}")
+    # the histogram and the join back on the score both read the rows: store them once
+    df = df.checkpoint(eager=True)
     tables = rank_tables(df, contexts, score, ties, num_partitions)
     out = df
     for col, keys in contexts.items():

@@ -22,9 +22,9 @@ from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import manager_weights, role_weights_pivot, workforce_weights
 from kpilane.plans import reports as rp
 from kpilane.plans.views import build_views
-from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS
+from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS, PERIOD_COLUMNS
 from kpilane.session import scratch_path
-from kpilane.sources.adapter import star_from_tpch
+from kpilane.sources.adapter import star_coverage, star_from_tpch
 from kpilane.sources.star import materialize_star, read_csv_typed, write_csv
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,7 @@ _STARS: dict[tuple[str, int, str, bool], tuple[SparkSession, dict[str, DataFrame
 
 LEADERBOARD_N = 10
 H1 = (1, 6)
+PERIOD = list(PERIOD_COLUMNS)
 
 
 def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -60,15 +61,15 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def _scores(spark, d, **kw):
-    return emp.employee_monthly_score(star(spark, d), **kw)
+    return emp.employee_monthly_score(star(spark, d), period_cols=PERIOD, **kw)
 
 
 def _ranked(spark, d, **kw):
-    return emp.employee_rank(_scores(spark, d), **kw)
+    return emp.employee_rank(_scores(spark, d), period_cols=PERIOD, **kw)
 
 
 def _branch(spark, d):
-    return br.branch_monthly_score(star(spark, d))
+    return br.branch_monthly_score(star(spark, d), period_cols=PERIOD)
 
 
 def _pacing(spark, d):
@@ -88,14 +89,14 @@ def _table(name):
 
 def q_employee_rag(spark, d):
     s = _scores(spark, d)
-    return s.select("employee_id", "branch_id", "role", "month_number", "weighted_total_score",
+    return s.select("employee_id", "branch_id", "role", *PERIOD, "weighted_total_score",
                     rag_status("weighted_total_score").alias("rag_status"))
 
 
 def q_safe_divide(spark, d):
     s = star(spark, d)
-    j = s["fact_sales"].join(s["fact_targets"], ["employee_id", "month_number"])
-    return j.select("employee_id", "month_number",
+    j = s["fact_sales"].join(s["fact_targets"], ["employee_id", *PERIOD])
+    return j.select("employee_id", *PERIOD,
                     pct_to_target("lending_actual", "target_lending").alias("lending_ratio"),
                     pct_to_target("investing_actual", "target_investing").alias("investing_ratio"),
                     pct_to_target("banking_units_actual", "target_banking_units").alias("banking_units_ratio"),
@@ -118,7 +119,7 @@ def q_branch_team(spark, d):
 
 
 def q_province_performance(spark, d):
-    return ms.measure_by_grain(star(spark, d), ["province", "month_number"])
+    return ms.measure_by_grain(star(spark, d), ["province", *PERIOD])
 
 
 def q_branch_rank_in_province(spark, d):
@@ -128,12 +129,12 @@ def q_branch_rank_in_province(spark, d):
 # --- measures and rank contexts --------------------------------------------------
 
 def q_measure_by_grain(spark, d):
-    # H1 score per tier: ratio of sums over the first half-year
-    return ms.measure_by_grain(star(spark, d), ["tier"], where=F.col("month_number").between(*H1))
+    # H1 score per tier and year: ratio of sums over each first half-year
+    return ms.measure_by_grain(star(spark, d), ["tier", "year"], where=F.col("month_number").between(*H1))
 
 
 def q_measure_by_role(spark, d):
-    return ms.measure_by_grain(star(spark, d), ["role", "month_number"])
+    return ms.measure_by_grain(star(spark, d), ["role", *PERIOD])
 
 
 def q_measure_company(spark, d):
@@ -141,26 +142,26 @@ def q_measure_company(spark, d):
 
 
 def q_measure_rollup(spark, d):
-    return ms.measure_rollup(star(spark, d), ["month_number", "province", "tier"])
+    return ms.measure_rollup(star(spark, d), [*PERIOD, "province", "tier"])
 
 
 def q_rank_all_except(spark, d):
-    # rank within role over all months, then show the second half-year
+    # rank within role over all months, then show the second half-years
     r = ms.rank_all_except(_scores(spark, d), ["role"], "weighted_total_score",
                            F.col("month_number") > H1[1], "rank_in_role")
-    return r.select("employee_id", "role", "month_number", "weighted_total_score", "rank_in_role")
+    return r.select("employee_id", "role", *PERIOD, "weighted_total_score", "rank_in_role")
 
 
 def q_rank_all_selected(spark, d):
     # rank within role among second half-year rows only
     r = ms.rank_all_selected(_scores(spark, d), ["role"], "weighted_total_score",
                              F.col("month_number") > H1[1], "rank_in_role")
-    return r.select("employee_id", "role", "month_number", "weighted_total_score", "rank_in_role")
+    return r.select("employee_id", "role", *PERIOD, "weighted_total_score", "rank_in_role")
 
 
 def q_rank_distributed(spark, d):
     r = rank_by(_scores(spark, d), ["role"], "weighted_total_score", "rank_in_role_all_months")
-    return r.select("employee_id", "role", "month_number", "weighted_total_score", "rank_in_role_all_months")
+    return r.select("employee_id", "role", *PERIOD, "weighted_total_score", "rank_in_role_all_months")
 
 
 # --- quality ------------------------------------------------------------------------
@@ -174,8 +175,8 @@ def q_referential_integrity(spark, d):
     em, sa, ta = ["employee_id"], s["fact_sales"], s["fact_targets"]
     return qa.referential_integrity([
         ("fact_sales", sa, "dim_employee", s["dim_employee"], em),
-        ("fact_sales", sa, "fact_targets", ta, ["employee_id", "month_number"]),
-        ("fact_targets", ta, "fact_sales", sa, ["employee_id", "month_number"]),
+        ("fact_sales", sa, "fact_targets", ta, ["employee_id", *PERIOD]),
+        ("fact_targets", ta, "fact_sales", sa, ["employee_id", *PERIOD]),
         ("fact_targets", ta, "dim_employee", s["dim_employee"], em),
         ("fact_lei_survey", s["fact_lei_survey"], "dim_employee", s["dim_employee"], em),
         ("fact_compliance", s["fact_compliance"], "dim_branch", s["dim_branch"], ["branch_id"]),
@@ -204,9 +205,9 @@ def q_key_uniqueness(spark, d):
     return qa.key_uniqueness([
         ("dim_branch", s["dim_branch"], ["branch_id"]),
         ("dim_employee", s["dim_employee"], ["employee_id"]),
-        ("fact_sales", s["fact_sales"], ["employee_id", "month_number"]),
-        ("fact_targets", s["fact_targets"], ["employee_id", "month_number"]),
-        ("fact_compliance", s["fact_compliance"], ["branch_id", "month_number"]),
+        ("fact_sales", s["fact_sales"], ["employee_id", *PERIOD]),
+        ("fact_targets", s["fact_targets"], ["employee_id", *PERIOD]),
+        ("fact_compliance", s["fact_compliance"], ["branch_id", *PERIOD]),
         ("lineitem", lineitem, ["l_orderkey", "l_linenumber"]),
     ])
 
@@ -215,10 +216,10 @@ def q_join_fanout(spark, d):
     s = star(spark, d)
     sa, ta = s["fact_sales"], s["fact_targets"]
     return qa.join_fanout([
-        ("fact_sales x fact_targets on employee_id, month_number", sa, ta, ["employee_id", "month_number"]),
+        ("fact_sales x fact_targets on employee_id, year, month_number", sa, ta, ["employee_id", *PERIOD]),
         ("fact_sales x fact_targets on employee_id", sa, ta, ["employee_id"]),
-        ("fact_sales x fact_compliance on branch_id, month_number", sa, s["fact_compliance"],
-         ["branch_id", "month_number"]),
+        ("fact_sales x fact_compliance on branch_id, year, month_number", sa, s["fact_compliance"],
+         ["branch_id", *PERIOD]),
         ("fact_sales x dim_employee on employee_id", sa, s["dim_employee"], ["employee_id"]),
     ])
 
@@ -232,19 +233,44 @@ def q_totals_reconciliation(spark, d):
 
 
 def q_reconcile_4dp(spark, d):
-    keys = ["branch_id", "month_number"]
+    keys = ["branch_id", *PERIOD]
     cols = ms.MEASURE_COLUMNS
     return qa.reconcile(ms.measure_by_grain(star(spark, d), keys), _branch(spark, d), keys, cols)
 
 
+def q_reconcile_employee_4dp(spark, d):
+    # the measures at employee grain against the employee view
+    keys = ["employee_id", *PERIOD]
+    cols = [f"{p.key}_pct_to_target" for p in EMPLOYEE_PILLARS] + ["weighted_total_score"]
+    measured = ms.measure_by_grain(star(spark, d), [*keys, "role"]).drop("role")
+    return qa.reconcile(measured, _scores(spark, d), keys, cols)
+
+
 def q_reconcile_ranks(spark, d):
-    # the measure-style rank ("all except role, month") against the ranked view
+    # the measure-style ranks ("all except" each context) against the ranked view
     scores = _scores(spark, d)
-    measured = ms.rank_all_except(scores, ["role", "month_number"], "weighted_total_score", None,
-                                  "rank_within_role")
-    view = emp.employee_rank(scores)
-    keys = ["employee_id", "month_number"]
-    return qa.reconcile(measured, view, keys, ["rank_within_role"], tol=0.0)
+    measured = scores
+    for out, keys in emp.rank_contexts(PERIOD).items():
+        measured = ms.rank_all_except(measured, keys, "weighted_total_score", None, out)
+    view = emp.employee_rank(scores, period_cols=PERIOD)
+    return qa.reconcile(measured, view, ["employee_id", *PERIOD], ["rank_within_role", "rank_within_branch"], tol=0.0)
+
+
+def q_rank_consistency(spark, d):
+    # the ranks checked by counting along them
+    ranked = _ranked(spark, d).checkpoint(eager=True)
+    return qa.rank_consistency(ranked, emp.rank_contexts(PERIOD), "weighted_total_score")
+
+
+def _tied_ranks(spark, d, ties):
+    # scores cut to one decimal, so that many employees share one
+    scores = _scores(spark, d).withColumn("weighted_total_score", F.floor(F.col("weighted_total_score") * 10) / 10.0)
+    return emp.employee_rank(scores, ties=ties, period_cols=PERIOD).select(
+        "employee_id", "branch_id", "role", *PERIOD, "weighted_total_score", "rank_within_role", "rank_within_branch")
+
+
+def q_star_coverage(spark, d):
+    return star_coverage(spark, d, star(spark, d))
 
 
 def q_weight_sum_check(spark, d):
@@ -287,7 +313,7 @@ def q_clamp_survey(spark, d):
 
 def q_sales_without_targets(spark, d):
     s = star(spark, d)
-    return qa.orphans(s["fact_sales"], s["fact_targets"], ["employee_id", "month_number"])
+    return qa.orphans(s["fact_sales"], s["fact_targets"], ["employee_id", *PERIOD])
 
 
 def q_csv_roundtrip(spark, d):
@@ -308,6 +334,8 @@ QUERIES: dict[str, QueryFn] = {
     "employee_monthly_score": lambda s, d: _scores(s, d),
     "employee_rank": lambda s, d: _ranked(s, d),
     "employee_rank_dense": lambda s, d: _ranked(s, d, ties="dense"),
+    "employee_rank_tied": lambda s, d: _tied_ranks(s, d, "rank"),
+    "employee_rank_tied_dense": lambda s, d: _tied_ranks(s, d, "dense"),
     "employee_scorecard_long": lambda s, d: emp.employee_scorecard_long(_ranked(s, d)),
     # weights of the roles present in the workforce (reads dim_employee)
     "role_weights_pivot": lambda s, d: role_weights_pivot(_workforce_weights(s, d)),
@@ -344,7 +372,10 @@ QUERIES: dict[str, QueryFn] = {
     "join_fanout": q_join_fanout,
     "totals_reconciliation": q_totals_reconciliation,
     "reconcile_4dp": q_reconcile_4dp,
+    "reconcile_employee_4dp": q_reconcile_employee_4dp,
     "reconcile_ranks": q_reconcile_ranks,
+    "rank_consistency": q_rank_consistency,
+    "star_coverage": q_star_coverage,
     "weight_sum_check": q_weight_sum_check,
     "headcount_check": q_headcount_check,
     # planning and I/O

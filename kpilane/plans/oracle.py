@@ -8,11 +8,23 @@ from __future__ import annotations
 
 import math
 
-from kpilane.plans.catalog import H1, LEADERBOARD_N, RANGE_CHECKS
 from kpilane.plans.oracle_star import month_name_sql, with_views
 from kpilane.schemas import BASE_TARGETS, PILLARS, SEASONAL_AMPLITUDE
 
-_EMP_COLS = ("employee_id, branch_id, branch_code, role, first_name, last_name, month_number, month_name, "
+# stated here, not taken from the engine
+LEADERBOARD_N = 10
+H1 = (1, 6)
+RANGE_CHECKS = {
+    "fact_targets": [("target_lending", 0, 1e9), ("target_investing", 0, 1e9), ("target_banking_units", 0, 1e9),
+                     ("target_lei", 1, 5), ("target_compliance", 0, 100)],
+    "fact_sales": [("lei_actual", 1, 5)],
+    "fact_lei_survey": [("lei_score", 1, 5)],
+    "fact_compliance": [("compliance_score", 80, 100), ("risk_score", 0, 25)],
+}
+_BAND = ("CASE WHEN weighted_total_score >= 1.0e0 THEN 'Green' WHEN weighted_total_score >= 0.9e0 THEN 'Amber' "
+         "ELSE 'Red' END AS rag_status")
+
+_EMP_COLS = ("employee_id, branch_id, branch_code, role, first_name, last_name, year, month_number, month_name, "
              "lending_pct_to_target, investing_pct_to_target, banking_units_pct_to_target, lei_pct_to_target")
 _PCT5 = ["lending", "investing", "banking_units", "lei", "compliance"]
 
@@ -48,14 +60,16 @@ _RATIO = {
 
 
 def measure_sql(by: list[str], where: str | None = None, rollup: bool = False) -> str:
-    """Subquery text: ratio-of-sums measures at grain ``by`` (Manager weights)."""
-    if not by:
-        return _company_measure_sql(where)
+    """Subquery text: ratio-of-sums measures at grain ``by`` (Manager weights), with their band."""
+    return f"SELECT *, {_BAND} FROM ({_measure_sql(by, where, rollup) if by else _company_measure_sql(where)}) banded"
+
+
+def _measure_sql(by: list[str], where: str | None, rollup: bool) -> str:
     keys = ", ".join(by)
     parts = {}
     for alias, (table, cols) in _MEASURE_INPUTS.items():
         sums = ", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) AS {c}" for c in cols)
-        src = (f"SELECT f.branch_id, f.month_number, {', '.join('f.' + c for c in cols)}, "
+        src = (f"SELECT f.branch_id, f.year, f.month_number, {', '.join('f.' + c for c in cols)}, "
                f"db.branch_code, db.tier, db.province, db.city "
                f"FROM {table} f JOIN dim_branch db ON db.branch_id = f.branch_id")
         cond = f" WHERE {where}" if where else ""
@@ -80,7 +94,7 @@ def _company_measure_sql(where: str | None) -> str:
     parts = {}
     for alias, (table, cols) in _MEASURE_INPUTS.items():
         sums = ", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) AS {c}" for c in cols)
-        src = (f"SELECT f.branch_id, f.month_number, {', '.join('f.' + c for c in cols)}, "
+        src = (f"SELECT f.branch_id, f.year, f.month_number, {', '.join('f.' + c for c in cols)}, "
                f"db.branch_code, db.tier, db.province, db.city "
                f"FROM {table} f JOIN dim_branch db ON db.branch_id = f.branch_id")
         cond = f" WHERE {where}" if where else ""
@@ -101,7 +115,7 @@ def measure_role_sql(by: list[str]) -> str:
                                  ("t", ("fact_targets", ["target_lending", "target_investing",
                                                          "target_banking_units", "target_lei"]))):
         sums = ", ".join(f"CAST(SUM(CAST({c} AS DECIMAL(38,6))) AS DOUBLE) AS {c}" for c in cols)
-        src = (f"SELECT f.role, f.branch_id, f.month_number, {', '.join('f.' + c for c in cols)}, "
+        src = (f"SELECT f.employee_id, f.role, f.branch_id, f.year, f.month_number, {', '.join('f.' + c for c in cols)}, "
                f"db.branch_code, db.tier, db.province, db.city "
                f"FROM {table} f JOIN dim_branch db ON db.branch_id = f.branch_id")
         parts[alias] = f"(SELECT {keys}, {sums} FROM ({src}) x GROUP BY {keys})"
@@ -110,10 +124,10 @@ def measure_role_sql(by: list[str]) -> str:
     for k in ("lending", "investing"):
         ratio[k] = f"(CASE WHEN a.role = 'Teller' THEN NULL ELSE {ratio[k]} END)"
     score = " + ".join(f"COALESCE({ratio[k]}, 0.0e0) * COALESCE(w.{k}_weight, 0.0e0)" for k in _PCT5[:4])
-    return (f"SELECT {', '.join('a.' + k for k in by)}, "
+    return (f"SELECT *, {_BAND} FROM (SELECT {', '.join('a.' + k for k in by)}, "
             + ", ".join(f"{ratio[k]} AS {k}_pct_to_target" for k in _PCT5[:4])
             + f", CAST(NULL AS DOUBLE) AS compliance_pct_to_target, ({score}) / 100.0e0 AS weighted_total_score "
-            f"FROM {parts['a']} a JOIN {parts['t']} t ON {on} LEFT JOIN kp_role_weights w ON w.role = a.role")
+            f"FROM {parts['a']} a JOIN {parts['t']} t ON {on} LEFT JOIN kp_role_weights w ON w.role = a.role) banded")
 
 
 # --- reports ------------------------------------------------------------------------
@@ -121,7 +135,7 @@ def measure_role_sql(by: list[str]) -> str:
 _PILLAR_LABELS = ", ".join(f"('{p.key}', '{p.long_label}', '{p.weight_metric}')" for p in PILLARS)
 
 PILLAR_DETAIL = with_views("""
-SELECT l.employee_id, l.branch_id, l.role, l.month_number, l.pillar_name, l.pct_to_target,
+SELECT l.employee_id, l.branch_id, l.role, l.year, l.month_number, l.pillar_name, l.pct_to_target,
        w.weight_pct, l.pct_to_target * w.weight_pct / 100.0e0 AS contribution, l.weighted_total_score
 FROM vw_employee_scorecard_long l JOIN kp_weights_long w ON w.role = l.role AND w.pillar_name = l.pillar_name
 """, extra_ctes=f"""
@@ -140,7 +154,7 @@ SELECT {cols} FROM (
 
 
 def _rank_in_role(where_after: str | None, where_before: str | None) -> str:
-    inner = (f"SELECT employee_id, role, month_number, weighted_total_score, "
+    inner = (f"SELECT employee_id, role, year, month_number, weighted_total_score, "
              f"RANK() OVER (PARTITION BY role ORDER BY weighted_total_score DESC NULLS LAST) AS rank_in_role "
              f"FROM vw_employee_monthly_score" + (f" WHERE {where_before}" if where_before else ""))
     return with_views(f"SELECT * FROM ({inner})" + (f" WHERE {where_after}" if where_after else ""))
@@ -150,8 +164,8 @@ def _rank_in_role(where_after: str | None, where_before: str | None) -> str:
 
 _RI_PAIRS = [
     ("fact_sales", "dim_employee", ["employee_id"]),
-    ("fact_sales", "fact_targets", ["employee_id", "month_number"]),
-    ("fact_targets", "fact_sales", ["employee_id", "month_number"]),
+    ("fact_sales", "fact_targets", ["employee_id", "year", "month_number"]),
+    ("fact_targets", "fact_sales", ["employee_id", "year", "month_number"]),
     ("fact_targets", "dim_employee", ["employee_id"]),
     ("fact_lei_survey", "dim_employee", ["employee_id"]),
     ("fact_compliance", "dim_branch", ["branch_id"]),
@@ -184,8 +198,8 @@ def _range_sql() -> str:
 
 
 _UNIQ = [("dim_branch", ["branch_id"]), ("dim_employee", ["employee_id"]),
-         ("fact_sales", ["employee_id", "month_number"]), ("fact_targets", ["employee_id", "month_number"]),
-         ("fact_compliance", ["branch_id", "month_number"]), ("lineitem", ["l_orderkey", "l_linenumber"])]
+         ("fact_sales", ["employee_id", "year", "month_number"]), ("fact_targets", ["employee_id", "year", "month_number"]),
+         ("fact_compliance", ["branch_id", "year", "month_number"]), ("lineitem", ["l_orderkey", "l_linenumber"])]
 
 
 def _uniq_sql() -> str:
@@ -200,11 +214,11 @@ def _uniq_sql() -> str:
     return with_views("\nUNION ALL\n".join(parts))
 
 
-_FANOUT = [("fact_sales x fact_targets on employee_id, month_number", "fact_sales", "fact_targets",
-            ["employee_id", "month_number"]),
+_FANOUT = [("fact_sales x fact_targets on employee_id, year, month_number", "fact_sales", "fact_targets",
+            ["employee_id", "year", "month_number"]),
            ("fact_sales x fact_targets on employee_id", "fact_sales", "fact_targets", ["employee_id"]),
-           ("fact_sales x fact_compliance on branch_id, month_number", "fact_sales", "fact_compliance",
-            ["branch_id", "month_number"]),
+           ("fact_sales x fact_compliance on branch_id, year, month_number", "fact_sales", "fact_compliance",
+            ["branch_id", "year", "month_number"]),
            ("fact_sales x dim_employee on employee_id", "fact_sales", "dim_employee", ["employee_id"])]
 
 
@@ -243,7 +257,7 @@ def _totals_sql() -> str:
 
 def _reconcile_sql() -> str:
     cols = [f"{k}_pct_to_target" for k in _PCT5] + ["weighted_total_score"]
-    keys = ["branch_id", "month_number"]
+    keys = ["branch_id", "year", "month_number"]
     on = " AND ".join(f"m.{k} IS NOT DISTINCT FROM v.{k}" for k in keys)
     sel_keys = ", ".join(f"CASE WHEN m.present IS NULL THEN v.{k} ELSE m.{k} END AS {k}" for k in keys)
     same = " AND ".join(
@@ -256,6 +270,29 @@ def _reconcile_sql() -> str:
         f"FULL OUTER JOIN (SELECT *, TRUE AS present FROM vw_branch_monthly_score) v ON {on}")
 
 
+def _reconcile_employee_sql() -> str:
+    measured = measure_role_sql(["employee_id", "role", "year", "month_number"])
+    cols = [f"{k}_pct_to_target" for k in _PCT5[:4]] + ["weighted_total_score"]
+    same = " AND ".join(f"(m.{c} IS NOT DISTINCT FROM v.{c} OR COALESCE(ABS(m.{c} - v.{c}) <= 5e-05, FALSE))"
+                        for c in cols)
+    off = ", ".join(f"COALESCE(ABS(m.{c} - v.{c}), 0.0e0)" for c in cols)
+    return with_views(
+        f"SELECT employee_id, year, month_number, CASE WHEN v.role IS NULL THEN 'left_only' WHEN m.role IS NULL "
+        f"THEN 'right_only' WHEN {same} THEN 'match' ELSE 'differ' END AS status, GREATEST({off}) AS max_abs_diff "
+        f"FROM ({measured}) m FULL JOIN vw_employee_monthly_score v USING (employee_id, year, month_number)")
+
+
+def _tied_sql(better: str) -> str:
+    """Ranks of scores cut to one decimal, as counts of better rows or better distinct scores."""
+    count = {p: f"1 + (SELECT COUNT({better}o.s) FROM cut o WHERE o.{p} = cut.{p} AND o.year = cut.year "
+                f"AND o.month_number = cut.month_number AND o.s > cut.s)" for p in ("role", "branch_id")}
+    return with_views(
+        f"SELECT employee_id, branch_id, role, year, month_number, s AS weighted_total_score, "
+        f"{count['role']} AS rank_within_role, {count['branch_id']} AS rank_within_branch FROM cut",
+        extra_ctes="cut AS (SELECT *, FLOOR(weighted_total_score * 10.0e0) / 10.0e0 AS s "
+                   "FROM vw_employee_monthly_score)")
+
+
 # --- planning -----------------------------------------------------------------------
 
 _BASE_ROWS = ", ".join(
@@ -296,24 +333,19 @@ def _oor(x: str, lo: float, hi: float) -> str:
 
 _CLAMPED = _clamp("compliance_score", 80.0, 100.0)
 CLAMP_SCORES = with_views(f"""
-SELECT branch_id, month_number, compliance_score, {_CLAMPED} AS compliance_clamped,
+SELECT branch_id, year, month_number, compliance_score, {_CLAMPED} AS compliance_clamped,
        {_oor('compliance_score', 80.0, 100.0)} AS compliance_out_of_range, risk_score,
        {_clamp(f'(100.0e0 - {_CLAMPED})', 0.0, 25.0)} AS risk_from_compliance,
        {_oor('risk_score', 0.0, 25.0)} AS risk_out_of_range
 FROM fact_compliance""")
 
 ENRICH_FACTS = with_views("""
-SELECT fs.employee_id, e.branch_id, e.branch_code, e.role, e.tier, fs.month_number, fs.month_name,
+SELECT fs.employee_id, e.branch_id, e.branch_code, e.role, e.tier, fs.year, fs.month_number, fs.month_name,
        CASE WHEN e.role = 'Teller' THEN 0.0e0 ELSE fs.lending_actual END AS lending_actual,
        CASE WHEN e.role = 'Teller' THEN 0.0e0 ELSE fs.investing_actual END AS investing_actual,
        fs.banking_units_actual, fs.lei_actual, e.employee_id IS NOT NULL AS employee_found
 FROM fact_sales fs LEFT JOIN dim_employee e ON e.employee_id = fs.employee_id""")
 
-_NORM_NUM = " + ".join(f"COALESCE({k}_pct_to_target, 0.0e0) * COALESCE({k}_weight, 0.0e0)"
-                       for k in _PCT5[:4])
-_NORM_DEN = " + ".join(f"CASE WHEN {k}_pct_to_target IS NOT NULL THEN COALESCE({k}_weight, 0.0e0) ELSE 0.0e0 END"
-                       for k in _PCT5[:4])
-
 ORACLE: dict[str, str] = {
     "dim_branch": _all("dim_branch"),
     "dim_employee": _all("dim_employee"),
@@ -324,6 +356,8 @@ ORACLE: dict[str, str] = {
     "employee_monthly_score": _all("vw_employee_monthly_score"),
     "employee_rank": _all("vw_employee_rank"),
     "employee_rank_dense": _all("vw_employee_rank_dense"),
+    "employee_rank_tied": _tied_sql(""),
+    "employee_rank_tied_dense": _tied_sql("DISTINCT "),
     "employee_scorecard_long": _all("vw_employee_scorecard_long"),
     "role_weights_pivot": with_views(
         "SELECT * FROM kp_role_weights WHERE role IN (SELECT role FROM dim_employee)"),
@@ -337,51 +371,54 @@ ORACLE: dict[str, str] = {
     "branch_pacing": _all("vw_branch_pacing"),
     "branch_rank": _all("vw_branch_rank"),
     "employee_rag": with_views(
-        "SELECT employee_id, branch_id, role, month_number, weighted_total_score, "
+        "SELECT employee_id, branch_id, role, year, month_number, weighted_total_score, "
         "CASE WHEN weighted_total_score >= 1.0e0 THEN 'Green' WHEN weighted_total_score >= 0.9e0 THEN 'Amber' "
         "ELSE 'Red' END AS rag_status FROM vw_employee_monthly_score"),
     "score_normalized": with_views(
-        f"SELECT {_EMP_COLS}, ({_NORM_NUM}) / NULLIF({_NORM_DEN}, 0) AS weighted_total_score FROM kp_emp_ratio"),
+        f"SELECT {_EMP_COLS}, (parts[1] + parts[2] + parts[3] + parts[4]) "
+        "/ NULLIF(applicable[1] + applicable[2] + applicable[3] + applicable[4], 0) AS weighted_total_score "
+        "FROM vw_employee_monthly_score JOIN (SELECT employee_id, year, month_number, parts, applicable "
+        "FROM kp_employee_lists) USING (employee_id, year, month_number)"),
     "safe_divide": with_views(
-        "SELECT fs.employee_id, fs.month_number, "
+        "SELECT fs.employee_id, fs.year, fs.month_number, "
         "fs.lending_actual / NULLIF(ft.target_lending, 0) AS lending_ratio, "
         "fs.investing_actual / NULLIF(ft.target_investing, 0) AS investing_ratio, "
         "fs.banking_units_actual / NULLIF(ft.target_banking_units, 0) AS banking_units_ratio, "
         "fs.lei_actual / NULLIF(ft.target_lei, 0) AS lei_ratio "
         "FROM fact_sales fs JOIN fact_targets ft ON ft.employee_id = fs.employee_id "
-        "AND ft.month_number = fs.month_number"),
+        "AND ft.year = fs.year AND ft.month_number = fs.month_number"),
     "top3_advisors_latest_month": with_views(
         "SELECT employee_id, branch_id, branch_code, first_name, last_name, weighted_total_score, "
         "rank_within_role, rank_within_branch FROM vw_employee_rank "
-        "WHERE role = 'Advisor' AND month_number = (SELECT MAX(month_number) FROM vw_employee_rank "
-        "WHERE role = 'Advisor') ORDER BY weighted_total_score DESC, employee_id LIMIT 3"),
+        "WHERE role = 'Advisor' AND 12 * year + month_number = (SELECT MAX(12 * year + month_number) "
+        "FROM vw_employee_rank WHERE role = 'Advisor') ORDER BY weighted_total_score DESC, employee_id LIMIT 3"),
     "leaderboard_employees": _leaderboard(
-        "vw_employee_monthly_score", "role, month_number",
-        "role, month_number, leaderboard_rank, employee_id, branch_id, branch_code, weighted_total_score"),
+        "vw_employee_monthly_score", "role, year, month_number",
+        "role, year, month_number, leaderboard_rank, employee_id, branch_id, branch_code, weighted_total_score"),
     "leaderboard_branches": _leaderboard(
-        "vw_branch_monthly_score", "month_number",
-        "month_number, leaderboard_rank, branch_id, branch_code, branch_name, tier, weighted_total_score"),
+        "vw_branch_monthly_score", "year, month_number",
+        "year, month_number, leaderboard_rank, branch_id, branch_code, branch_name, tier, weighted_total_score"),
     "pillar_detail": PILLAR_DETAIL,
     "branch_team": with_views(
-        "SELECT b.branch_id, b.month_number, b.branch_code, b.branch_name, b.tier, b.rag_status, "
+        "SELECT b.branch_id, b.year, b.month_number, b.branch_code, b.branch_name, b.tier, b.rag_status, "
         "b.weighted_total_score AS branch_score, b.branch_rank, e.employee_id, e.role, e.first_name, "
         "e.last_name, e.weighted_total_score AS employee_score, e.rank_within_branch "
         "FROM vw_branch_rank b JOIN vw_employee_rank e ON e.branch_id = b.branch_id "
-        "AND e.month_number = b.month_number"),
-    "province_performance": with_views(measure_sql(["province", "month_number"])),
+        "AND e.year = b.year AND e.month_number = b.month_number"),
+    "province_performance": with_views(measure_sql(["province", "year", "month_number"])),
     "branch_rank_in_province": with_views(
-        "SELECT db.province, p.month_number, RANK() OVER (PARTITION BY db.province, p.month_number "
+        "SELECT db.province, p.year, p.month_number, RANK() OVER (PARTITION BY db.province, p.year, p.month_number "
         "ORDER BY p.weighted_total_score DESC NULLS LAST) AS province_rank, p.branch_id, p.branch_code, "
         "p.weighted_total_score, p.rag_status FROM vw_branch_pacing p JOIN dim_branch db "
         "ON db.branch_id = p.branch_id"),
-    "measure_by_grain": with_views(measure_sql(["tier"], where=f"month_number BETWEEN {H1[0]} AND {H1[1]}")),
-    "measure_rollup": with_views(measure_sql(["month_number", "province", "tier"], rollup=True)),
-    "measure_by_role": with_views(measure_role_sql(["role", "month_number"])),
+    "measure_by_grain": with_views(measure_sql(["tier", "year"], where=f"month_number BETWEEN {H1[0]} AND {H1[1]}")),
+    "measure_rollup": with_views(measure_sql(["year", "month_number", "province", "tier"], rollup=True)),
+    "measure_by_role": with_views(measure_role_sql(["role", "year", "month_number"])),
     "measure_company": with_views(measure_sql([])),
     "rank_all_except": _rank_in_role(f"month_number > {H1[1]}", None),
     "rank_all_selected": _rank_in_role(None, f"month_number > {H1[1]}"),
     "rank_distributed": with_views(
-        "SELECT employee_id, role, month_number, weighted_total_score, RANK() OVER (PARTITION BY role "
+        "SELECT employee_id, role, year, month_number, weighted_total_score, RANK() OVER (PARTITION BY role "
         "ORDER BY weighted_total_score DESC NULLS LAST) AS rank_in_role_all_months FROM vw_employee_monthly_score"),
     "view_row_counts": with_views("\nUNION ALL\n".join(
         f"SELECT '{v}' AS view_name, COUNT(*) AS row_count FROM {v}" for v in
@@ -393,18 +430,31 @@ ORACLE: dict[str, str] = {
     "join_fanout": _fanout_sql(),
     "totals_reconciliation": _totals_sql(),
     "reconcile_4dp": _reconcile_sql(),
+    "reconcile_employee_4dp": _reconcile_employee_sql(),
     "reconcile_ranks": with_views(
-        "SELECT CASE WHEN m.present IS NULL THEN v.employee_id ELSE m.employee_id END AS employee_id, "
-        "CASE WHEN m.present IS NULL THEN v.month_number ELSE m.month_number END AS month_number, "
-        "CASE WHEN v.present IS NULL THEN 'left_only' WHEN m.present IS NULL THEN 'right_only' "
-        "WHEN COALESCE((m.r IS NULL AND v.r IS NULL) OR ABS(m.r - v.r) <= 0.0, FALSE) THEN 'match' "
-        "ELSE 'differ' END AS status, "
-        "CAST(COALESCE(ABS(m.r - v.r), 0) AS DOUBLE) AS max_abs_diff "
-        "FROM (SELECT employee_id, month_number, RANK() OVER (PARTITION BY role, month_number "
-        "ORDER BY weighted_total_score DESC NULLS LAST) AS r, TRUE AS present FROM vw_employee_monthly_score) m "
-        "FULL OUTER JOIN (SELECT employee_id, month_number, rank_within_role AS r, TRUE AS present "
-        "FROM vw_employee_rank) v ON m.employee_id IS NOT DISTINCT FROM v.employee_id "
-        "AND m.month_number IS NOT DISTINCT FROM v.month_number"),
+        "SELECT employee_id, year, month_number, CASE WHEN off_role = 0 AND off_branch = 0 THEN 'match' "
+        "ELSE 'differ' END AS status, CAST(GREATEST(off_role, off_branch) AS DOUBLE) AS max_abs_diff "
+        "FROM (SELECT employee_id, year, month_number, "
+        "ABS(rank_within_role - RANK() OVER (PARTITION BY role, year, month_number "
+        "ORDER BY weighted_total_score DESC)) AS off_role, "
+        "ABS(rank_within_branch - RANK() OVER (PARTITION BY branch_id, year, month_number "
+        "ORDER BY weighted_total_score DESC)) AS off_branch FROM vw_employee_rank)"),
+    "rank_consistency": with_views("\nUNION ALL\n".join(
+        f"SELECT '{rank}' AS rank_column, CAST(SUM(n) AS BIGINT) AS rows_ranked, COUNT(*) AS distinct_ranks, "
+        f"CAST(COUNT_IF(low <> high OR r <> 1 + ahead) AS BIGINT) AS broken_ranks, "
+        f"CAST(COUNT_IF(ahead = 0 AND r <> 1) AS BIGINT) AS unstarted FROM ("
+        f"SELECT *, COALESCE(SUM(n) OVER (PARTITION BY {part}, year, month_number ORDER BY r "
+        f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM ("
+        f"SELECT {part}, year, month_number, {rank} AS r, COUNT(*) AS n, MIN(weighted_total_score) AS low, "
+        f"MAX(weighted_total_score) AS high FROM vw_employee_rank GROUP BY {part}, year, month_number, {rank}))"
+        for rank, part in (("rank_within_role", "role"), ("rank_within_branch", "branch_id")))),
+    "star_coverage": with_views(
+        "SELECT *, star_rows + undated_rows = table_rows AS covered FROM ("
+        "SELECT 'lineitem' AS source_table, COUNT(*) AS table_rows, "
+        "CAST(COUNT_IF(l_shipdate IS NULL) AS BIGINT) AS undated_rows, "
+        "(SELECT CAST(SUM(survey_response_count) AS BIGINT) FROM fact_lei_survey) AS star_rows FROM lineitem "
+        "UNION ALL SELECT 'orders', COUNT(*), CAST(COUNT_IF(o_orderdate IS NULL) AS BIGINT), "
+        "(SELECT CAST(SUM(order_rows) AS BIGINT) FROM kp_branch_month_orders) FROM orders)"),
     "weight_sum_check": with_views(
         "SELECT s.role, s.employees, w.total_weight, COALESCE(w.pillar_rows, 0) AS pillar_rows, "
         "COALESCE(w.total_weight = 100.0e0, FALSE) AS sums_to_expected "
@@ -431,10 +481,10 @@ ORACLE: dict[str, str] = {
     "enrich_facts": ENRICH_FACTS,
     "clamp_scores": CLAMP_SCORES,
     "clamp_survey": with_views(
-        f"SELECT employee_id, month_number, lei_score, {_clamp('lei_score', 1.0, 5.0)} AS lei_clamped, "
+        f"SELECT employee_id, year, month_number, lei_score, {_clamp('lei_score', 1.0, 5.0)} AS lei_clamped, "
         f"{_oor('lei_score', 1.0, 5.0)} AS lei_out_of_range FROM fact_lei_survey"),
     "sales_without_targets": with_views(
         "SELECT s.* FROM fact_sales s WHERE NOT EXISTS (SELECT 1 FROM fact_targets t "
-        "WHERE t.employee_id = s.employee_id AND t.month_number = s.month_number)"),
+        "WHERE t.employee_id = s.employee_id AND t.year = s.year AND t.month_number = s.month_number)"),
     "csv_roundtrip": _all("fact_sales"),
 }

@@ -17,7 +17,7 @@ def month_name_sql(col: str) -> str:
     return f"CASE WHEN {col} BETWEEN 1 AND 12 THEN {_MONTHS}[{col}] END"
 
 
-_WEIGHT_ROWS = ",\n    ".join(f"('{r}', '{m}', {w!r}e0)".replace(".0e0", ".0e0") for r, m, w in ROLE_WEIGHTS)
+_WEIGHT_ROWS = ",\n    ".join(f"('{r}', '{m}', {w!r}e0)" for r, m, w in ROLE_WEIGHTS)
 
 STAR_CTES = f"""
 kp_branch_base AS (
@@ -76,7 +76,7 @@ kp_supplier_month AS (
          CAST(10000 + (40000 * count_if(l_linestatus = 'F')) // count(*) AS DOUBLE) / 10000.0e0 AS lei,
          CAST(count(*) AS INTEGER) AS lines
   FROM lineitem
-  WHERE l_shipdate >= TIMESTAMP '1997-01-01 00:00:00' AND l_shipdate < TIMESTAMP '1999-01-01 00:00:00'
+  WHERE l_shipdate IS NOT NULL
   GROUP BY l_suppkey, year(l_shipdate), month(l_shipdate)
 ),
 kp_sm_emp AS (
@@ -84,39 +84,40 @@ kp_sm_emp AS (
   FROM kp_supplier_month sm LEFT JOIN dim_employee e ON e.employee_id = sm.employee_id
 ),
 fact_sales AS (
-  SELECT employee_id, branch_id, branch_code, role, tier, month_number,
+  SELECT employee_id, branch_id, branch_code, role, tier, yr AS year, month_number,
          {month_name_sql('month_number')} AS month_name,
          lending AS lending_actual, investing AS investing_actual,
          banking_units AS banking_units_actual, lei AS lei_actual
-  FROM kp_sm_emp WHERE yr = 1998
+  FROM kp_sm_emp
 ),
 fact_targets AS (
-  SELECT employee_id, branch_id, branch_code, role, tier, month_number,
+  SELECT employee_id, branch_id, branch_code, role, tier, CAST(yr + 1 AS INTEGER) AS year, month_number,
          {month_name_sql('month_number')} AS month_name,
          lending AS target_lending, investing AS target_investing,
          banking_units AS target_banking_units, 4.0e0 AS target_lei,
          CASE WHEN role = 'Manager' THEN
               CASE WHEN tier = 'Small' THEN 60.0e0 WHEN tier = 'Medium' THEN 65.0e0 WHEN tier = 'Large' THEN 70.0e0 END
               ELSE 0.0e0 END AS target_compliance
-  FROM kp_sm_emp WHERE yr = 1997
+  FROM kp_sm_emp
 ),
 fact_lei_survey AS (
-  SELECT employee_id, branch_id, month_number,
+  SELECT employee_id, branch_id, yr AS year, month_number,
          {month_name_sql('month_number')} AS month_name,
          lines AS survey_response_count, lei AS lei_score
-  FROM kp_sm_emp WHERE yr = 1998
+  FROM kp_sm_emp
 ),
 kp_branch_month_orders AS (
   SELECT CAST(c.c_nationkey AS BIGINT) AS branch_id,
-         CAST(month(o.o_orderdate) AS INTEGER) AS month_number,
+         CAST(year(o.o_orderdate) AS INTEGER) AS year, CAST(month(o.o_orderdate) AS INTEGER) AS month_number,
+         count(*) AS order_rows,
          (1000000 * count_if(o.o_orderstatus <> 'P')) // count(*) AS ok_scaled,
          CAST(count_if(o.o_orderstatus = 'P') AS INTEGER) AS exceptions_count
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE o.o_orderdate >= TIMESTAMP '1998-01-01 00:00:00' AND o.o_orderdate < TIMESTAMP '1999-01-01 00:00:00'
-  GROUP BY c.c_nationkey, month(o.o_orderdate)
+  WHERE o.o_orderdate IS NOT NULL
+  GROUP BY c.c_nationkey, year(o.o_orderdate), month(o.o_orderdate)
 ),
 fact_compliance AS (
-  SELECT g.branch_id, b.branch_code, g.month_number,
+  SELECT g.branch_id, b.branch_code, g.year, g.month_number,
          {month_name_sql('g.month_number')} AS month_name,
          b.tier, b.province, b.city,
          CAST(g.ok_scaled AS DOUBLE) / 10000.0e0 AS compliance_score,
@@ -125,122 +126,153 @@ fact_compliance AS (
   FROM kp_branch_month_orders g LEFT JOIN kp_branch b ON b.branch_id = g.branch_id
 )"""
 
-def _weight_filters(metrics: list[tuple[str, str]]) -> str:
-    return ",\n         ".join(f"max(weight_pct) FILTER (WHERE metric_name = '{m}') AS {k}_weight"
-                               for k, m in metrics)
 
+_PILLAR_KEYS = ("lending", "investing", "banking_units", "lei", "compliance")
 
-_EMP_METRICS = [("lending", "Lending"), ("investing", "Investing"), ("banking_units", "Banking units"),
-                ("lei", "LEI customer score")]
-_ALL_METRICS = _EMP_METRICS + [("compliance", "Compliance / Risk")]
 
+def _spread(values: str, suffix: str, n: int) -> str:
+    """The first ``n`` entries of a list column as one column per pillar."""
+    return ", ".join(f"{values}[{i + 1}] AS {_PILLAR_KEYS[i]}{suffix}" for i in range(n))
 
-def _exact(col: str) -> str:
-    return f"CAST(SUM(CAST({col} AS DECIMAL(38,6))) AS DOUBLE) AS {col}"
 
+def _per_pillar(agg: str, names: list[str]) -> str:
+    return ", ".join(f"{agg} FILTER (WHERE no = {i + 1}) AS {name}" for i, name in enumerate(names))
 
+
+_ACTUALS = ["lending_actual", "investing_actual", "banking_units_actual", "lei_actual"]
+_TARGETS = ["target_lending", "target_investing", "target_banking_units", "target_lei", "target_compliance"]
+_WEIGHTS = [f"{k}_weight" for k in _PILLAR_KEYS]
+_PERSON = "employee_id, branch_id, branch_code, role, first_name, last_name, year, month_number, month_name"
+_EXACT_TOTAL = "CAST(SUM(CAST({} AS DECIMAL(38,6))) AS DOUBLE)"
+
+# The views in long form: one row per pillar (kp_*_point), folded into lists in pillar order.
+# Ranks are one more than the number of strictly better rows (or better distinct scores).
 VIEW_CTES = f"""
-kp_role_weights AS (
-  SELECT role,
-         {_weight_filters(_EMP_METRICS)}
-  FROM dim_role_weights GROUP BY role
-),
-manager_weights AS (
-  SELECT {_weight_filters(_ALL_METRICS)}
-  FROM dim_role_weights WHERE role = 'Manager'
-),
-kp_emp_ratio AS (
-  SELECT s.employee_id, s.branch_id, e.branch_code, e.role, e.first_name, e.last_name,
-         s.month_number, s.month_name,
-         IF(e.role = 'Teller', NULL, s.lending_actual / NULLIF(t.target_lending, 0)) AS lending_pct_to_target,
-         IF(e.role = 'Teller', NULL, s.investing_actual / NULLIF(t.target_investing, 0)) AS investing_pct_to_target,
-         s.banking_units_actual / NULLIF(t.target_banking_units, 0) AS banking_units_pct_to_target,
-         s.lei_actual / NULLIF(t.target_lei, 0) AS lei_pct_to_target,
-         w.lending_weight, w.investing_weight, w.banking_units_weight, w.lei_weight
-  FROM fact_sales s
-  JOIN fact_targets t USING (employee_id, month_number)
-  JOIN dim_employee e USING (employee_id)
-  LEFT JOIN kp_role_weights w ON w.role = e.role
+kp_pillar AS (
+  SELECT * FROM (VALUES (1, 'Lending', 'Lending'), (2, 'Investing', 'Investing'), (3, 'Banking', 'Banking units'),
+                        (4, 'LEI', 'LEI customer score'), (5, 'Compliance', 'Compliance / Risk'))
+    AS p(no, pillar_name, metric_name)
+),
+kp_weight AS (
+  SELECT w.role, p.no, MAX(w.weight_pct) AS weight
+  FROM dim_role_weights w JOIN kp_pillar p ON p.metric_name = w.metric_name GROUP BY w.role, p.no
+),
+kp_role_weights AS (SELECT role, {_per_pillar("MAX(weight)", _WEIGHTS[:4])} FROM kp_weight GROUP BY role),
+manager_weights AS (SELECT {_per_pillar("MAX(weight)", _WEIGHTS)} FROM kp_weight WHERE role = 'Manager'),
+kp_sale_point AS (
+  SELECT employee_id, branch_id, year, month_number, month_name, no, [{", ".join(_ACTUALS)}][no] AS actual
+  FROM fact_sales, kp_pillar WHERE no <= 4
+),
+kp_target_point AS (
+  SELECT employee_id, branch_id, year, month_number, no, [{", ".join(_TARGETS)}][no] AS target
+  FROM fact_targets, kp_pillar
+),
+kp_employee_point AS (
+  SELECT p.employee_id, p.branch_id, who.branch_code, who.role, who.first_name, who.last_name,
+         p.year, p.month_number, p.month_name, p.no,
+         CASE WHEN who.role = 'Teller' AND p.no <= 2 THEN NULL
+              WHEN goal.target <> 0 THEN p.actual / goal.target END AS pct,
+         COALESCE(kp_weight.weight, 0.0e0) AS weight
+  FROM kp_sale_point p
+  JOIN kp_target_point goal ON (goal.employee_id, goal.year, goal.month_number, goal.no)
+                             = (p.employee_id, p.year, p.month_number, p.no)
+  JOIN dim_employee who ON who.employee_id = p.employee_id
+  LEFT JOIN kp_weight ON kp_weight.role = who.role AND kp_weight.no = p.no
+),
+kp_employee_lists AS (
+  SELECT {_PERSON}, list(pct ORDER BY no) AS pcts,
+         list(COALESCE(pct, 0.0e0) * weight ORDER BY no) AS parts,
+         list(CASE WHEN pct IS NULL THEN 0.0e0 ELSE weight END ORDER BY no) AS applicable
+  FROM kp_employee_point GROUP BY {_PERSON}
 ),
 vw_employee_monthly_score AS (
-  SELECT * EXCLUDE (lending_weight, investing_weight, banking_units_weight, lei_weight),
-         (COALESCE(lending_pct_to_target, 0.0e0) * COALESCE(lending_weight, 0.0e0)
-          + COALESCE(investing_pct_to_target, 0.0e0) * COALESCE(investing_weight, 0.0e0)
-          + COALESCE(banking_units_pct_to_target, 0.0e0) * COALESCE(banking_units_weight, 0.0e0)
-          + COALESCE(lei_pct_to_target, 0.0e0) * COALESCE(lei_weight, 0.0e0)) / 100.0e0 AS weighted_total_score
-  FROM kp_emp_ratio
+  SELECT {_PERSON}, {_spread("pcts", "_pct_to_target", 4)},
+         (parts[1] + parts[2] + parts[3] + parts[4]) / 100.0e0 AS weighted_total_score
+  FROM kp_employee_lists
+),
+kp_better_in_role AS (
+  SELECT me.employee_id, me.year, me.month_number, COUNT(other.employee_id) AS better_rows,
+         COUNT(DISTINCT other.weighted_total_score) AS better_scores
+  FROM vw_employee_monthly_score me LEFT JOIN vw_employee_monthly_score other
+    ON (other.role, other.year, other.month_number) = (me.role, me.year, me.month_number)
+   AND other.weighted_total_score > me.weighted_total_score
+  GROUP BY me.employee_id, me.year, me.month_number
+),
+kp_better_in_branch AS (
+  SELECT me.employee_id, me.year, me.month_number, COUNT(other.employee_id) AS better_rows,
+         COUNT(DISTINCT other.weighted_total_score) AS better_scores
+  FROM vw_employee_monthly_score me LEFT JOIN vw_employee_monthly_score other
+    ON (other.branch_id, other.year, other.month_number) = (me.branch_id, me.year, me.month_number)
+   AND other.weighted_total_score > me.weighted_total_score
+  GROUP BY me.employee_id, me.year, me.month_number
 ),
 vw_employee_rank AS (
-  SELECT *,
-         rank() OVER by_role AS rank_within_role,
-         rank() OVER by_branch AS rank_within_branch
-  FROM vw_employee_monthly_score
-  WINDOW by_role AS (PARTITION BY role, month_number ORDER BY weighted_total_score DESC NULLS LAST),
-         by_branch AS (PARTITION BY branch_id, month_number ORDER BY weighted_total_score DESC NULLS LAST)
+  SELECT score.*, 1 + r.better_rows AS rank_within_role, 1 + b.better_rows AS rank_within_branch
+  FROM vw_employee_monthly_score score
+  JOIN kp_better_in_role r USING (employee_id, year, month_number)
+  JOIN kp_better_in_branch b USING (employee_id, year, month_number)
 ),
 vw_employee_rank_dense AS (
-  SELECT *,
-         dense_rank() OVER by_role AS rank_within_role,
-         dense_rank() OVER by_branch AS rank_within_branch
-  FROM vw_employee_monthly_score
-  WINDOW by_role AS (PARTITION BY role, month_number ORDER BY weighted_total_score DESC NULLS LAST),
-         by_branch AS (PARTITION BY branch_id, month_number ORDER BY weighted_total_score DESC NULLS LAST)
-),
-kp_unpivoted AS (
-  UNPIVOT vw_employee_rank
-  ON lending_pct_to_target, investing_pct_to_target, banking_units_pct_to_target, lei_pct_to_target
-  INTO NAME pillar_column VALUE pct_to_target
+  SELECT score.*, 1 + r.better_scores AS rank_within_role, 1 + b.better_scores AS rank_within_branch
+  FROM vw_employee_monthly_score score
+  JOIN kp_better_in_role r USING (employee_id, year, month_number)
+  JOIN kp_better_in_branch b USING (employee_id, year, month_number)
 ),
 vw_employee_scorecard_long AS (
-  SELECT employee_id, branch_id, branch_code, role, first_name, last_name, month_number, month_name,
-         CASE pillar_column WHEN 'lending_pct_to_target' THEN 'Lending'
-                            WHEN 'investing_pct_to_target' THEN 'Investing'
-                            WHEN 'banking_units_pct_to_target' THEN 'Banking'
-                            ELSE 'LEI' END AS pillar_name,
-         pct_to_target, weighted_total_score, rank_within_role, rank_within_branch
-  FROM kp_unpivoted
-  WHERE pillar_column IN ('banking_units_pct_to_target', 'lei_pct_to_target') OR role <> 'Teller'
+  SELECT p.* EXCLUDE (no, pct, weight), kp_pillar.pillar_name, p.pct AS pct_to_target,
+         ranked.weighted_total_score, ranked.rank_within_role, ranked.rank_within_branch
+  FROM kp_employee_point p
+  JOIN kp_pillar ON kp_pillar.no = p.no
+  JOIN vw_employee_rank ranked ON (ranked.employee_id, ranked.year, ranked.month_number)
+                                = (p.employee_id, p.year, p.month_number)
+  WHERE p.pct IS NOT NULL
+),
+kp_branch_sale AS (
+  SELECT branch_id, year, month_number, no, {_EXACT_TOTAL.format("actual")} AS actual
+  FROM kp_sale_point GROUP BY branch_id, year, month_number, no
+),
+kp_branch_goal AS (
+  SELECT branch_id, year, month_number, no, {_EXACT_TOTAL.format("target")} AS target
+  FROM kp_target_point GROUP BY branch_id, year, month_number, no
 ),
 branch_sales AS (
-  SELECT branch_id, month_number,
-         {_exact("lending_actual")}, {_exact("investing_actual")},
-         {_exact("banking_units_actual")}, {_exact("lei_actual")}
-  FROM fact_sales GROUP BY ALL
+  SELECT branch_id, year, month_number, {_per_pillar("MAX(actual)", _ACTUALS)}
+  FROM kp_branch_sale GROUP BY branch_id, year, month_number
 ),
 branch_targets AS (
-  SELECT branch_id, month_number,
-         {_exact("target_lending")}, {_exact("target_investing")}, {_exact("target_banking_units")},
-         {_exact("target_lei")}, {_exact("target_compliance")}
-  FROM fact_targets GROUP BY ALL
-),
-kp_branch_ratio AS (
-  SELECT a.branch_id, d.branch_code, d.branch_name, d.tier, a.month_number, c.month_name,
-         a.lending_actual / NULLIF(t.target_lending, 0) AS lending_pct_to_target,
-         a.investing_actual / NULLIF(t.target_investing, 0) AS investing_pct_to_target,
-         a.banking_units_actual / NULLIF(t.target_banking_units, 0) AS banking_units_pct_to_target,
-         a.lei_actual / NULLIF(t.target_lei, 0) AS lei_pct_to_target,
-         c.compliance_score / NULLIF(t.target_compliance, 0) AS compliance_pct_to_target
-  FROM branch_sales a
-  JOIN branch_targets t USING (branch_id, month_number)
-  JOIN dim_branch d USING (branch_id)
-  JOIN fact_compliance c USING (branch_id, month_number)
+  SELECT branch_id, year, month_number, {_per_pillar("MAX(target)", _TARGETS)}
+  FROM kp_branch_goal GROUP BY branch_id, year, month_number
+),
+kp_branch_point AS (
+  SELECT done.branch_id, done.year, done.month_number, done.no,
+         CASE WHEN goal.target <> 0 THEN done.actual / goal.target END AS pct, kp_weight.weight
+  FROM (SELECT * FROM kp_branch_sale
+        UNION ALL SELECT branch_id, year, month_number, 5, compliance_score FROM fact_compliance) done
+  JOIN kp_branch_goal goal USING (branch_id, year, month_number, no)
+  LEFT JOIN kp_weight ON kp_weight.role = 'Manager' AND kp_weight.no = done.no
+),
+kp_branch_lists AS (
+  SELECT branch_id, year, month_number, list(pct ORDER BY no) AS pcts, list(pct * weight ORDER BY no) AS parts
+  FROM kp_branch_point GROUP BY branch_id, year, month_number HAVING COUNT(*) = 5
 ),
 vw_branch_monthly_score AS (
-  SELECT r.*,
-         (r.lending_pct_to_target * m.lending_weight + r.investing_pct_to_target * m.investing_weight
-          + r.banking_units_pct_to_target * m.banking_units_weight + r.lei_pct_to_target * m.lei_weight
-          + r.compliance_pct_to_target * m.compliance_weight) / 100.0e0 AS weighted_total_score
-  FROM kp_branch_ratio r, manager_weights m
+  SELECT d.branch_id, d.branch_code, d.branch_name, d.tier, f.year, f.month_number,
+         {month_name_sql('f.month_number')} AS month_name, {_spread("pcts", "_pct_to_target", 5)},
+         (parts[1] + parts[2] + parts[3] + parts[4] + parts[5]) / 100.0e0 AS weighted_total_score
+  FROM kp_branch_lists f JOIN dim_branch d ON d.branch_id = f.branch_id
 ),
 vw_branch_pacing AS (
-  SELECT *,
-         CASE WHEN weighted_total_score >= 1.0e0 THEN 'Green'
-              WHEN weighted_total_score >= 0.9e0 THEN 'Amber' ELSE 'Red' END AS rag_status
+  SELECT *, CASE WHEN weighted_total_score >= 1.0e0 THEN 'Green'
+                 WHEN weighted_total_score >= 0.9e0 THEN 'Amber' ELSE 'Red' END AS rag_status
   FROM vw_branch_monthly_score
 ),
 vw_branch_rank AS (
-  SELECT *, rank() OVER (PARTITION BY month_number ORDER BY weighted_total_score DESC NULLS LAST) AS branch_rank
-  FROM vw_branch_pacing
+  SELECT me.*, 1 + (SELECT COUNT(*) FROM vw_branch_pacing other
+                    WHERE other.year = me.year AND other.month_number = me.month_number
+                      AND (other.weighted_total_score > me.weighted_total_score
+                           OR (me.weighted_total_score IS NULL AND other.weighted_total_score IS NOT NULL)))
+         AS branch_rank
+  FROM vw_branch_pacing me
 )"""
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kpilane.operators.ranking import rank_by, rank_of_rows, top_n_by_rank
 from kpilane.operators.weights_long import weights_long
+from kpilane.schemas import period_columns
 
 
 TOP_ADVISOR_COLUMNS = ("employee_id", "branch_id", "branch_code", "first_name", "last_name",
@@ -17,9 +18,9 @@ TOP_ADVISOR_COLUMNS = ("employee_id", "branch_id", "branch_code", "first_name",
 
 
 def top_advisors(scores: DataFrame, n: int = 3, role: str = "Advisor") -> DataFrame:
-    """Top ``n`` of ``role`` in the latest month that role has scores for, with both ranks.
+    """Top ``n`` of ``role`` in the latest period that role has scores for, with both ranks.
 
-    The latest month is a scalar subquery and the top-k a ``TakeOrderedAndProject``
+    The latest (year and) month is a scalar subquery and the top-k a ``TakeOrderedAndProject``
     (each task keeps ``n`` rows; ties broken by employee id).  The two ranks of
     those ``n`` rows are then counted against the whole month (a broadcast of
     ``n`` rows), so no full ranking of the workforce is needed.
@@ -27,13 +28,13 @@ def top_advisors(scores: DataFrame, n: int = 3, role: str = "Advisor") -> DataFr
     # read three times (latest month, top-k, rank counts): materialise once
     scores = scores.checkpoint(eager=True)
     of_role = scores.filter(F.col("role") == role)
-    latest = of_role.agg(F.max("month_number")).scalar()
-    top = (of_role.filter(F.col("month_number") == latest)
+    period = period_columns(scores)
+    latest = of_role.agg(F.max(F.struct(*period))).scalar()
+    top = (of_role.filter(F.struct(*period) == latest)
            .orderBy(F.col("weighted_total_score").desc_nulls_last(), F.col("employee_id").asc())
            .limit(n))
-    contexts = {"rank_within_role": ["role", "month_number"],
-                "rank_within_branch": ["branch_id", "month_number"]}
-    ranked = rank_of_rows(top, scores, contexts, "weighted_total_score", ["employee_id", "month_number"])
+    contexts = {"rank_within_role": ["role", *period], "rank_within_branch": ["branch_id", *period]}
+    ranked = rank_of_rows(top, scores, contexts, "weighted_total_score", ["employee_id", *period])
     return ranked.select(*TOP_ADVISOR_COLUMNS)
 
 
@@ -45,7 +46,7 @@ def pillar_detail(long: DataFrame, weights: DataFrame) -> DataFrame:
     """
     wl = weights_long(weights).select("role", "pillar_name", "weight_pct")
     return long.join(wl, ["role", "pillar_name"]).select(
-        "employee_id", "branch_id", "role", "month_number", "pillar_name", "pct_to_target",
+        "employee_id", "branch_id", "role", *period_columns(long), "pillar_name", "pct_to_target",
         "weight_pct", (F.col("pct_to_target") * F.col("weight_pct") / F.lit(100.0)).alias("contribution"),
         "weighted_total_score")
 
@@ -53,37 +54,41 @@ def pillar_detail(long: DataFrame, weights: DataFrame) -> DataFrame:
 def branch_team(ranked: DataFrame, branch_ranked: DataFrame, branch_id: int | None = None) -> DataFrame:
     """Branch page: the branch's band, score and rank next to each team member.
 
-    Both sides are keyed by (branch, month), so this is one co-partitioned join.
+    Both sides are keyed by (branch, period), so this is one co-partitioned join.
     """
+    period = period_columns(ranked)
     b = branch_ranked.select(
-        "branch_id", "month_number", "branch_code", "branch_name", "tier", "rag_status",
+        "branch_id", *period, "branch_code", "branch_name", "tier", "rag_status",
         F.col("weighted_total_score").alias("branch_score"), "branch_rank")
-    e = ranked.select("branch_id", "month_number", "employee_id", "role", "first_name", "last_name",
+    e = ranked.select("branch_id", *period, "employee_id", "role", "first_name", "last_name",
                       F.col("weighted_total_score").alias("employee_score"), "rank_within_branch")
     if branch_id is not None:
         b = b.filter(F.col("branch_id") == branch_id)
         e = e.filter(F.col("branch_id") == branch_id)
-    return b.join(e, ["branch_id", "month_number"])
+    return b.join(e, ["branch_id", *period])
 
 
 def leaderboard_employees(scores: DataFrame, n: int = 10) -> DataFrame:
-    """Top ``n`` employees per role and month (rank <= n; ties kept)."""
-    top = top_n_by_rank(scores, ["role", "month_number"], "weighted_total_score", n, "leaderboard_rank")
-    return top.select("role", "month_number", "leaderboard_rank", "employee_id", "branch_id",
+    """Top ``n`` employees per role and period (rank <= n; ties kept)."""
+    period = period_columns(scores)
+    top = top_n_by_rank(scores, ["role", *period], "weighted_total_score", n, "leaderboard_rank")
+    return top.select("role", *period, "leaderboard_rank", "employee_id", "branch_id",
                       "branch_code", "weighted_total_score")
 
 
 def leaderboard_branches(branch_scores: DataFrame, n: int = 10) -> DataFrame:
-    """Top ``n`` branches per month (rank <= n; ties kept)."""
-    top = top_n_by_rank(branch_scores, ["month_number"], "weighted_total_score", n, "leaderboard_rank")
-    return top.select("month_number", "leaderboard_rank", "branch_id", "branch_code", "branch_name",
+    """Top ``n`` branches per period (rank <= n; ties kept)."""
+    period = period_columns(branch_scores)
+    top = top_n_by_rank(branch_scores, period, "weighted_total_score", n, "leaderboard_rank")
+    return top.select(*period, "leaderboard_rank", "branch_id", "branch_code", "branch_name",
                       "tier", "weighted_total_score")
 
 
 def branch_rank_in_province(star: Mapping[str, DataFrame], pacing: DataFrame) -> DataFrame:
-    """Branches ranked within their province and month."""
+    """Branches ranked within their province and period."""
+    period = period_columns(pacing)
     prov = star["dim_branch"].select("branch_id", "province")
     with_prov = pacing.join(prov, "branch_id")
-    ranked = rank_by(with_prov, ["province", "month_number"], "weighted_total_score", "province_rank")
-    return ranked.select("province", "month_number", "province_rank", "branch_id", "branch_code",
+    ranked = rank_by(with_prov, ["province", *period], "weighted_total_score", "province_rank")
+    return ranked.select("province", *period, "province_rank", "branch_id", "branch_code",
                          "weighted_total_score", "rag_status")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 STAR_TABLES = (
@@ -139,4 +140,21 @@ BASE_TARGETS_SCHEMA = _schema(
 
 # Columns a CSV extract types as integers (truncating ``int(float(v))``); other numbers are reals.
 INTEGER_COLUMNS = frozenset(f.name for schema in SCHEMAS.values() for f in schema.fields
-                            if f.dataType.typeName() in ("integer", "long"))
+                            if f.dataType.typeName() in ("integer", "long")) | {"year"}
+
+# Months of several years carry a year before the month number.
+PERIOD_COLUMNS = ("year", "month_number")
+
+
+def period_columns(df: DataFrame) -> list[str]:
+    """The period keys ``df`` carries: ``month_number``, after ``year`` where there is one."""
+    return [c for c in PERIOD_COLUMNS if c in df.columns]
+
+
+def table_schema(table: str, columns) -> T.StructType:
+    """The table's schema; with ``year`` before ``month_number`` where ``columns`` hold one."""
+    fields = list(SCHEMAS[table].fields)
+    names = SCHEMAS[table].fieldNames()
+    if "year" in columns and "month_number" in names:
+        fields.insert(names.index("month_number"), T.StructField("year", T.IntegerType(), True))
+    return T.StructType(fields)

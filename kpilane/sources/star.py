@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpilane.functions.labels import parse_integer, parse_real
-from kpilane.schemas import INTEGER_COLUMNS, ROLE_WEIGHTS, SCHEMAS, STAR_TABLES
+from kpilane.schemas import INTEGER_COLUMNS, ROLE_WEIGHTS, SCHEMAS, STAR_TABLES, table_schema
 
 
 def role_weights_frame(spark: SparkSession) -> DataFrame:
@@ -32,12 +32,11 @@ def read_csv_typed(spark: SparkSession, path: str, table: str,
     columns.  The result has the table's schema order when the header matches
     it, otherwise the header's order.
     """
-    schema = SCHEMAS[table]
-
     def reader():
         return spark.read.options(header=True, encoding="UTF-8", multiLine=True, escape='"')
 
     header = reader().option("inferSchema", False).csv(path).columns
+    schema = table_schema(table, header)
     text_schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
     raw = reader().option("mode", "FAILFAST").option("enforceSchema", False).schema(text_schema).csv(path)
     if numeric_columns is None:
@@ -66,10 +65,15 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> Non
 
 
 def load_star(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:
-    """Load the seven tables from ``folder/<table>`` (Parquet or CSV extracts)."""
+    """Load the seven tables from ``folder/<table>`` (Parquet or CSV extracts).
+
+    A fact stored with a ``year`` keeps it.
+    """
     folder = folder.rstrip("/")
     if fmt == "parquet":
-        return {t: spark.read.schema(SCHEMAS[t]).parquet(f"{folder}/{t}") for t in STAR_TABLES}
+        stored = {t: spark.read.parquet(f"{folder}/{t}") for t in STAR_TABLES}
+        return {t: df.select(*[F.col(f.name).cast(f.dataType) for f in table_schema(t, df.columns)])
+                for t, df in stored.items()}
     if fmt == "csv":
         return {t: read_csv_typed(spark, f"{folder}/{t}", t) for t in STAR_TABLES}
     raise ValueError(f"fmt must be 'parquet' or 'csv', got {fmt!r}")
@@ -87,7 +91,7 @@ def save_star(star: Mapping[str, DataFrame], folder: str, fmt: str = "parquet",
     folder = folder.rstrip("/")
 
     def write(t: str) -> None:
-        df = star[t].select(*SCHEMAS[t].fieldNames())
+        df = star[t].select(*table_schema(t, star[t].columns).fieldNames())
         if fmt == "parquet":
             df.write.mode("overwrite").parquet(f"{folder}/{t}")
         else:
@@ -110,7 +114,8 @@ def materialize_star(spark: SparkSession, star: Mapping[str, DataFrame], folder:
     ``folder`` must be on shared storage.
     """
     save_star(star, folder)
-    return load_star(spark, folder)
+    return {t: spark.read.schema(table_schema(t, star[t].columns)).parquet(f"{folder.rstrip('/')}/{t}")
+            for t in STAR_TABLES}
 
 
 def export_views(views: Mapping[str, DataFrame], folder: str,

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kpilane.operators import branch as br
 from kpilane.operators import employee as emp
-from kpilane.schemas import SCHEMAS
+from kpilane.schemas import table_schema
 from kpilane.sources.star import load_star
 
 MONTH_TABLES = ("fact_sales", "fact_targets", "fact_lei_survey", "fact_compliance")
@@ -46,18 +46,19 @@ def refresh_months(star: Mapping[str, DataFrame], months: DataFrame, out_dir: st
 
 
 def start_monthly_refresh(spark: SparkSession, star_dir: str, out_dir: str, checkpoint: str,
-                          landing_table: str = "fact_sales", available_now: bool = True) -> StreamingQuery:
-    """Stream new ``landing_table`` Parquet files under ``star_dir``; refresh their months.
+                          landing_table: str = "fact_sales", available_now: bool = True,
+                          period_cols=("month_number",)) -> StreamingQuery:
+    """Stream new ``landing_table`` Parquet files under ``star_dir``; refresh their periods.
 
     Each micro-batch reduces to its distinct months (at most the number of
     periods), reloads the star (which now includes the new files) and rewrites
     those month partitions of every view.  ``checkpoint`` must be on shared
     storage; the stream then restarts where it stopped after a failure.
     """
-    stream = spark.readStream.schema(SCHEMAS[landing_table]).parquet(f"{star_dir.rstrip('/')}/{landing_table}")
+    stream = spark.readStream.schema(table_schema(landing_table, period_cols)).parquet(f"{star_dir.rstrip('/')}/{landing_table}")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        refresh_months(load_star(spark, star_dir), batch, out_dir)
+        refresh_months(load_star(spark, star_dir), batch, out_dir, period_cols=period_cols)
 
     writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")

@@ -6,7 +6,7 @@ import tempfile
 
 import pytest
 
-from kpilane.sources.adapter import star_from_tpch
+from kpilane.sources.adapter import star_coverage, star_from_tpch
 
 
 @pytest.fixture(scope="module")
@@ -49,23 +49,27 @@ def test_dimensions(spark, tpch_dir):
 
 def test_facts(spark, tpch_dir):
     star = star_from_tpch(spark, tpch_dir)
-    sales = {(r.employee_id, r.month_number): r for r in star["fact_sales"].collect()}
-    assert set(sales) == {(12, 1), (13, 2)}
-    s = sales[(12, 1)]
+    sales = {(r.employee_id, r.year, r.month_number): r for r in star["fact_sales"].collect()}
+    assert set(sales) == {(12, 1997, 1), (12, 1998, 1), (13, 1998, 2), (10, 1996, 5)}
+    s = sales[(12, 1998, 1)]
     assert (s.lending_actual, s.investing_actual, s.banking_units_actual) == (100.10, 50.05, 6.0)
     # 1 of 3 lines closed: 1 + 4/3 cut to 4 decimals as an exact integer share
     assert s.lei_actual == 23333 / 10000
     assert s.role == "Advisor" and s.month_name == "January"
-    targets = {(r.employee_id, r.month_number): r for r in star["fact_targets"].collect()}
-    assert set(targets) == {(12, 1)}
-    t = targets[(12, 1)]
+    targets = {(r.employee_id, r.year, r.month_number): r for r in star["fact_targets"].collect()}
+    # the same month a year earlier
+    assert set(targets) == {(12, 1998, 1), (12, 1999, 1), (13, 1999, 2), (10, 1997, 5)}
+    t = targets[(12, 1998, 1)]
     assert (t.target_lending, t.target_lei, t.target_compliance) == (200.0, 4.0, 0.0)
-    comp = {(r.branch_id, r.month_number): r for r in star["fact_compliance"].collect()}
-    c = comp[(0, 3)]
+    comp = {(r.branch_id, r.year, r.month_number): r for r in star["fact_compliance"].collect()}
+    c = comp[(0, 1998, 3)]
     assert (c.compliance_score, c.risk_score, c.exceptions_count) == (66.6666, 33.3334, 1)
-    assert comp[(1, 4)].compliance_score == 100.0 and (0, 3) in comp and len(comp) == 2
-    survey = {(r.employee_id, r.month_number): r.survey_response_count for r in star["fact_lei_survey"].collect()}
-    assert survey == {(12, 1): 3, (13, 2): 1}
+    assert comp[(1, 1998, 4)].compliance_score == 100.0 and comp[(0, 1997, 3)].exceptions_count == 1 and len(comp) == 3
+    survey = {(r.employee_id, r.year, r.month_number): r.survey_response_count for r in star["fact_lei_survey"].collect()}
+    assert survey == {(12, 1997, 1): 1, (12, 1998, 1): 3, (13, 1998, 2): 1, (10, 1996, 5): 1}
+    covered = {r.source_table: r for r in star_coverage(spark, tpch_dir, star).collect()}
+    assert covered["lineitem"].star_rows == covered["lineitem"].table_rows == 6
+    assert covered["orders"].star_rows == 5 and all(r.covered for r in covered.values())
 
 
 def test_staged_star_equals_lazy_star(spark, tpch_dir):

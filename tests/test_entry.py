@@ -9,9 +9,8 @@ import __spark_entry__ as entry
 from kpilane.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
+SF_PARITY = "/root/testdata/sf0.01"
 FORBIDDEN = ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin")
-PARITY_SAMPLE = ["employee_rank", "employee_scorecard_long", "branch_rank", "measure_rollup",
-                 "top3_advisors_latest_month", "reconcile_4dp", "target_plan"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 
@@ -33,21 +32,32 @@ def _norm(v):
     return v
 
 
-@pytest.mark.parametrize("name", PARITY_SAMPLE)
+def _nulls_first(row):
+    return [(v is not None, v) if v is not None else (False,) for v in row]
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_parity_with_duckdb(spark, name):
     con = duckdb.connect()
     for t in ("region", "nation", "supplier", "customer", "orders", "lineitem"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    sdf = entry.queries()[name](spark, SF)
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_PARITY}/{t}.parquet')")
+    sdf = entry.queries()[name](spark, SF_PARITY)
     cols = sorted(sdf.columns)
-    got = sorted(tuple(_norm(r[c]) for c in cols) for r in sdf.collect())
+    got = sorted((tuple(_norm(r[c]) for c in cols) for r in sdf.collect()), key=_nulls_first)
     rel = con.sql(entry.oracle_sql()[name])
     assert sorted(rel.columns) == cols
     idx = [rel.columns.index(c) for c in cols]
-    want = sorted(tuple(_norm(row[i]) for i in idx) for row in rel.fetchall())
+    want = sorted((tuple(_norm(row[i]) for i in idx) for row in rel.fetchall()), key=_nulls_first)
     assert got == want
 
 
+def test_tied_scores_tell_rank_from_dense_rank(spark):
+    rank, dense = (QUERIES[q](spark, SF_PARITY) for q in ("employee_rank_tied", "employee_rank_tied_dense"))
+    both = rank.join(dense.select("employee_id", "year", "month_number", dense.rank_within_role.alias("dense")),
+                     ["employee_id", "year", "month_number"])
+    assert both.filter("rank_within_role > dense").count() > 0 and both.filter("rank_within_role < dense").count() == 0
+
+
 def test_plans_stay_jvm_side_and_pairless(spark):
     for name, fn in QUERIES.items():
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -66,3 +66,30 @@ def test_refresh_partitions_by_year_and_month(spark, golden):
     got = spark.read.parquet(os.path.join(out, "vw_employee_rank"))
     assert got.count() == 2 * len(EXPECTED_EMPLOYEE)
     assert spark.read.parquet(os.path.join(out, "vw_branch_pacing")).count() == 6
+
+
+def test_stream_of_two_years_keeps_them_apart(spark, golden):
+    import os
+    import tempfile
+
+    from kpilane.schemas import SCHEMAS
+    from kpilane.sources.star import load_star, save_star
+    from kpilane.streaming import start_monthly_refresh
+    root = tempfile.mkdtemp(prefix="kpilane-years-")
+    star_dir, out = os.path.join(root, "star"), os.path.join(root, "views")
+    star = _two_years(golden)
+    save_star(star, star_dir)
+    assert "year" in load_star(spark, star_dir)["fact_targets"].columns
+    start_monthly_refresh(spark, star_dir, out, os.path.join(root, "ckpt"), period_cols=PERIOD).awaitTermination(300)
+    assert "year" not in SCHEMAS["fact_sales"].fieldNames()
+    cols = ["employee_id", *PERIOD, "weighted_total_score", "rank_within_role", "rank_within_branch"]
+    want = emp.employee_rank(emp.employee_monthly_score(star, period_cols=PERIOD), period_cols=PERIOD)
+    got = spark.read.parquet(os.path.join(out, "vw_employee_rank"))
+    assert sorted(got.select(*cols).collect()) == sorted(want.select(*cols).collect())
+
+
+def test_latest_period_is_a_year_and_month(spark, golden):
+    from kpilane.plans.reports import top_advisors
+    star = _two_years(golden)
+    both = emp.employee_monthly_score(star, period_cols=PERIOD)
+    assert top_advisors(both).collect() == top_advisors(both.filter("year = 2025")).collect()

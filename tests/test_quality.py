@@ -128,3 +128,41 @@ def test_company_grain_equals_rollup_grand_total(golden):
     for c in ms.MEASURE_COLUMNS:
         a, b = company[0][c], top[c]
         assert (a is None and b is None) or abs(a - b) < 1e-12, c
+
+
+def test_sums_keep_small_values(spark):
+    import math
+
+    from kpilane.operators.branch import exact_sum
+    tiny = spark.range(1000).select(F.lit(1e-7).alias("x"))
+    assert math.isclose(tiny.agg(exact_sum("x")).first()[0], 1e-4)
+    money = spark.createDataFrame([(0.1,), (0.2,), (None,)], "x double")
+    assert money.agg(exact_sum("x")).first()[0] == 0.3
+    assert spark.createDataFrame([(1e35,), (None,)], "x double").agg(exact_sum("x")).first()[0] == 1e35
+    assert spark.createDataFrame([], "x double").agg(exact_sum("x")).first()[0] is None
+
+
+def test_rank_consistency_finds_a_wrong_rank(spark):
+    keys = {"r": ["k"]}
+    rows = [("a", 3.0, 1), ("a", 3.0, 1), ("a", 2.0, 3), ("a", None, 4), (None, 1.0, 1)]
+    schema = "k string, s double, r long"
+    (good,) = qa.rank_consistency(spark.createDataFrame(rows, schema), keys, "s").collect()
+    assert (good.rows_ranked, good.distinct_ranks, good.broken_ranks, good.unstarted) == (5, 4, 0, 0)
+    for wrong in ([("a", 3.0, 1), ("a", 2.0, 3)], [("a", 1.0, 1), ("a", 2.0, 2)], [("a", 1.0, 1), ("a", 2.0, 1)],
+                  [("a", None, 1), ("a", 2.0, 2)]):
+        assert qa.rank_consistency(spark.createDataFrame(wrong, schema), keys, "s").first().broken_ranks > 0
+    assert qa.rank_consistency(spark.createDataFrame([("a", 3.0, 2)], schema), keys, "s").first().unstarted == 1
+
+
+def test_employee_grain_needs_the_role_and_equals_the_view(spark, golden):
+    import pytest
+
+    from kpilane.operators import employee as emp
+    with pytest.raises(ValueError):
+        ms.measure_by_grain(golden, ["employee_id", "month_number"])
+    got = ms.measure_by_grain(golden, ["employee_id", "role", "month_number"])
+    assert "rag_status" in got.columns
+    keys = ["employee_id", "month_number"]
+    statuses = {r.status for r in qa.reconcile(got, emp.employee_monthly_score(golden), keys,
+                                               ["weighted_total_score"]).collect()}
+    assert statuses <= {"match", "left_only"} and "match" in statuses
