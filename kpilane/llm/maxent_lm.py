@@ -14,8 +14,9 @@ frequency.
 
 Training: every training text is counted. The class weights start at the class
 frequencies and take ``UPDATES`` gradient updates; each sums the gradient over its own
-1 / ``PARTS`` of the training texts (by hash) in the tasks, so a growing corpus is
-trained on in proportion. An update divides the gradient by the feature's
+1 / ``UPDATES`` of the training rows (by hash of id and text) in the tasks, so the updates
+together take every training row once, and copies of one text under different ids are
+spread over the updates. An update divides the gradient by the feature's
 expected class counts, the diagonal of the curvature.
 
 Scoring: head words, classes and weights are broadcast (their sizes are parameters); a text is
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpilane.llm.common import fold, mix, require_checkpoint_dir, slices, utf8_buffer, word_hashes
@@ -44,8 +45,7 @@ HEAD = 1 << 18
 CLASSES = 32
 FEATURES = 1 << 13  # hashed features of each of the four kinds
 KINDS = 4
-UPDATES = 4
-PARTS = 8
+UPDATES = 4  # and as many parts of the training rows
 TOP_WORDS = 8  # most frequent words that are a class of their own
 PRIOR = 4.0  # expected count added to a feature's class counts
 SMOOTHING = 0.1  # of the base score
@@ -183,12 +183,17 @@ class Model:
         self.weights += np.clip(gradient / expected / KINDS, -1, 1).astype(np.float32)
 
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
+def part_of(id_col: str, text_col: str) -> Column:
+    """The update, from 0, that takes a row."""
+    return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(UPDATES))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs``, and the counts (word, n) of their whole vocabulary."""
     spark = docs.sparkSession
     require_checkpoint_dir(spark)
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counts = (texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))).checkpoint()
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), part_of(id_col, text_col).alias("part"))
+    counts = (texts.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))).checkpoint()
     steps = sorted({int(1.2 ** k) for k in range(120)})
     found = counts.agg(F.sum("n").alias("words"), F.count("*").alias("kinds"),
                        *[F.count_if(F.col("n") >= s).alias(f"from_{s}") for s in steps]).first()
@@ -199,7 +204,6 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
         "texts": texts.count(), "words": found["words"] or 0, "kinds": found["kinds"], "tail": rest[0] or 0,
         "once": rest[1] or 0, "least": least})
     columns = [f"g{k}" for k in range(CLASSES)]
-    part = F.pmod(F.xxhash64("text"), F.lit(PARTS))
     for step in range(UPDATES):
         shared = spark.sparkContext.broadcast(model)
 
@@ -213,7 +217,7 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
                 [pa.array(rows, pa.int64()), pa.array(seen[rows], pa.int64()), *(pa.array(total[rows, k]) for k in range(CLASSES))],
                 names=["feature", "seen", *columns])
 
-        summed = (texts.filter(part == step).mapInArrow(
+        summed = (texts.filter(F.col("part") == step).select("text").mapInArrow(
             gradients, "feature long, seen long, " + ", ".join(f"{c} double" for c in columns))
             .groupBy("feature").agg(F.sum("seen").alias("seen"), *[F.sum(c).alias(c) for c in columns]).toArrow())
         gradient, seen = np.zeros((KINDS * FEATURES, CLASSES)), np.zeros(KINDS * FEATURES)
@@ -280,7 +284,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
 
 def held_out_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:
     """Scores of all rows by the model of the rows outside fold 0."""
-    model, counts = train(docs.filter(fold(id_col, folds) != 0), text_col)
+    model, counts = train(docs.filter(fold(id_col, folds) != 0), id_col, text_col)
     scored = score(docs, model, counts, id_col, text_col)
     return scored.select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                          "base_score", "score")

@@ -242,6 +242,24 @@ def test_model_is_a_distribution_and_beats_the_base(spark):
     assert got[1] > got[0]
 
 
+def test_updates_take_every_training_row_once(spark, monkeypatch):
+    rows = [(i, "one hot text" if i % 3 == 0 else " ".join(invented(i, 9))) for i in range(300)] + [(None, "no id"), (400, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    tokens = sum(len(words(t)) + 1 for _, t in rows)
+    taken = []
+    update = maxent_lm.Model.update
+
+    def counted(self, gradient, seen):
+        taken.append(seen[:maxent_lm.FEATURES].sum())
+        update(self, gradient, seen)
+
+    monkeypatch.setattr(maxent_lm.Model, "update", counted)
+    maxent_lm.train(docs)
+    assert len(taken) == maxent_lm.UPDATES and sum(taken) == tokens
+    hot = docs.filter("text = 'one hot text'").groupBy(maxent_lm.part_of("doc_id", "text")).count().collect()
+    assert len(hot) == maxent_lm.UPDATES and max(r[1] for r in hot) < 50
+
+
 # --- top k
 
 def test_top_k_against_brute_force(spark):
