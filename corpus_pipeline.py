@@ -6,8 +6,8 @@ but the last return the rows they keep with the columns of ``docs``, extra ones
 - ``toxicity`` drops rows that score 0.5 or more; the models learn from the labelled rows of
   ``docs`` outside label fold 0. Without both labels nothing is dropped.
 - ``language_id`` drops rows without a letter and rows whose language is ambiguous.
-- ``near_duplicates`` keeps of every group of near duplicates the row with the smallest id (one
-  row, where that id occurs more than once). Rows without words are in no group. A row without an id
+- ``near_duplicates`` keeps of every group of near duplicates (Jaccard similarity of five-word
+  shingles at least 0.8) the row with the smallest id (one row, where that id occurs more than once). Rows without words are in no group. A row without an id
   can't be told from another such row: all of them stay.
 - ``packing`` returns the pieces of the packed sequences.
 
@@ -24,6 +24,8 @@ from kpilane.llm.common import fold, free_name, require_checkpoint_dir, ship_pac
 from kpilane.llm.queries import BPE_FILE
 
 TOXIC_FROM = 0.5
+SHINGLE = 5  # words
+SIMILARITY = 80  # percent
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    groups = ngram_join.near_duplicates(docs)
+    groups = ngram_join.near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY)
     first = groups.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))

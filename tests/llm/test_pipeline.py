@@ -1,5 +1,8 @@
 """The pipeline's stages on the smallest given tables, against what their operators decide."""
 
+import itertools
+import random
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -29,3 +32,26 @@ def test_empty_table_passes(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_near_duplicates_of_five_words_from_080(spark):
+    r = random.Random(11)
+
+    def word():
+        return "".join(r.choices("abcdefgh", k=7))
+
+    rows, between = [], 0
+    for i in range(40):
+        own = [word() for _ in range(300)]
+        n = r.choice((20, 24, 28, 30, 36, 50))  # consecutive words replaced, or more appended
+        changed = own[:100] + [word() for _ in range(n)] + own[100 + n:] if i % 2 else own + [word() for _ in range(2 * n)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(changed))]
+    sets = [{tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    dropped = set()
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        likeness = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+        between += 0.8 <= likeness < 0.85
+        dropped |= {rows[j][0]} if likeness >= 0.8 else set()
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert between >= 5 and {x["doc_id"] for x in kept.collect()} == {i for i, _ in rows} - dropped
+    assert len(dropped) < 40
