@@ -6,11 +6,12 @@ features of the history: the word before, the two words before as a pair, and, s
 the second and the third word before. In the second factor a token's only feature is itself,
 for which the maximum-entropy solution is its relative frequency in the class.
 
-Classes: the end of a text, the ``HEAD`` most frequent words at most (by descending
-count, cut into classes of equal mass), and all other words. Within the last class a
-word that the training texts lack has the probability of a word seen once there (Good and
-Turing: words seen once over words seen), and the others share the rest by
-frequency.
+Classes: the end of a text, the ``HEAD`` most frequent words at most of those seen twice or
+more (by descending count, cut into classes of equal mass), and all other words. The words
+that the training texts lack have together the mass of the words seen once (Good and
+Turing: words seen once over all tokens). They belong to the last class, as the words seen once always
+do, so their mass does not depend on ``HEAD``: the last class counts them as so many
+tokens more, in its frequency and in the gradients.
 
 Training: every training text is counted. The class weights start at the class
 frequencies and take ``UPDATES`` gradient updates; each sums the gradient over its own
@@ -139,11 +140,13 @@ class Model:
         by_hash = np.argsort(hashes)
         self.hashes, self.counts = hashes[by_hash], counts[by_hash]
         self.classes, self.within = classes[by_hash].astype(np.int8), within[by_hash]
-        per_class[0], per_class[-1] = self.texts, self.tail
+        self.novel = max(self.once, 0.5)  # tokens that stand for the unseen words
+        per_class[0], per_class[-1] = self.texts, self.tail + self.novel
+        self.last_weight = 1 + self.novel / self.tail if self.tail else 1.0  # of a token of the last class, with its share of them
         self.share = ((per_class + 0.5) / (per_class + 0.5).sum())
         self.weights = np.zeros((KINDS * FEATURES, CLASSES), np.float32)
         self.tokens = self.words + self.texts
-        self.unseen = min(max(self.once / max(self.tail, 1), 1e-6), 0.5)
+        self.unseen = self.novel / (self.tail + self.novel)
         self.base_total = self.tokens + SMOOTHING * (self.kinds + (self.texts > 0) + 1)
 
     def find(self, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -170,13 +173,15 @@ class Model:
         _, classes = self.find(tokens)
         error = -np.exp(self.log_softmax(features))
         error[np.arange(len(classes)), classes] += 1
+        weight = np.where(classes == CLASSES - 1, self.last_weight, 1.0)
+        error *= weight[:, None].astype(np.float32)
         for f in features:
             order = np.argsort(f, kind="stable")
             ordered = f[order]
             first = np.flatnonzero(np.concatenate([np.ones(min(len(f), 1), bool), ordered[1:] != ordered[:-1]]))
             if len(first):
                 total[ordered[first]] += np.add.reduceat(error[order], first, axis=0)
-                seen[ordered[first]] += np.diff(np.append(first, len(f)))
+                seen[ordered[first]] += np.add.reduceat(weight[order], first)
 
     def update(self, gradient: np.ndarray, seen: np.ndarray) -> None:
         expected = seen[:, None] * self.share[None] + PRIOR
@@ -194,12 +199,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     require_checkpoint_dir(spark)
     texts = docs.select(F.col(text_col).cast("string").alias("text"), part_of(id_col, text_col).alias("part"))
     counts = (texts.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))).checkpoint()
-    steps = sorted({int(1.2 ** k) for k in range(120)})
+    steps = sorted({max(int(1.2 ** k), 2) for k in range(120)})  # words seen once are never head words
     found = counts.agg(F.sum("n").alias("words"), F.count("*").alias("kinds"),
                        *[F.count_if(F.col("n") >= s).alias(f"from_{s}") for s in steps]).first()
     least = next(s for s in steps if found[f"from_{s}"] <= HEAD)
     head = counts.filter(F.col("n") >= least).toArrow()  # at most HEAD rows
-    rest = counts.filter(F.col("n") < least).agg(F.sum("n"), F.count_if(F.col("n") == 1)).first()
+    rest = counts.filter(F.col("n") < least).agg(F.sum("n"), F.count_if(F.col("n") == 1)).first()  # holds all words seen once
     model = Model(head["word"].to_numpy().astype(np.uint64), head["n"].to_numpy(), {
         "texts": texts.count(), "words": found["words"] or 0, "kinds": found["kinds"], "tail": rest[0] or 0,
         "once": rest[1] or 0, "least": least})
@@ -209,16 +214,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
         def gradients(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = np.zeros((KINDS * FEATURES, CLASSES))
-            seen = np.zeros(KINDS * FEATURES, np.int64)
+            seen = np.zeros(KINDS * FEATURES)
             for batch in slices(batches, BATCH):
                 shared.value.gradient(Tokens(batch.column(0)), total, seen)
             rows = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(seen[rows], pa.int64()), *(pa.array(total[rows, k]) for k in range(CLASSES))],
+                [pa.array(rows, pa.int64()), pa.array(seen[rows]), *(pa.array(total[rows, k]) for k in range(CLASSES))],
                 names=["feature", "seen", *columns])
 
         summed = (texts.filter(F.col("part") == step).select("text").mapInArrow(
-            gradients, "feature long, seen long, " + ", ".join(f"{c} double" for c in columns))
+            gradients, "feature long, seen double, " + ", ".join(f"{c} double" for c in columns))
             .groupBy("feature").agg(F.sum("seen").alias("seen"), *[F.sum(c).alias(c) for c in columns]).toArrow())
         gradient, seen = np.zeros((KINDS * FEATURES, CLASSES)), np.zeros(KINDS * FEATURES)
         rows = summed["feature"].to_numpy()
@@ -266,7 +271,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
               .mapInArrow(run, "key long, doc_id long, n_tokens long, known long, base double, model double, "
                                "tail array<long>").checkpoint())
     n = F.coalesce("n", F.lit(0))
-    spread = float(np.log10((1 - model.unseen) / max(model.tail, 1)))
+    spread = -float(np.log10(model.tail + model.novel))
     tails = (scored.select("key", F.explode("tail").alias("word")).groupBy("key", "word").agg(F.count("*").alias("times"))
              .join(counts.filter(F.col("n") < model.least), "word", "left")
              .groupBy("key").agg(

@@ -244,6 +244,7 @@ def test_model_is_a_distribution_and_beats_the_base(spark):
 
 def test_updates_take_every_training_row_once(spark, monkeypatch):
     rows = [(i, "one hot text" if i % 3 == 0 else " ".join(invented(i, 9))) for i in range(300)] + [(None, "no id"), (400, None)]
+    rows += [(i and i + 1000, t) for i, t in rows]  # no word is seen once, so every token counts once
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     tokens = sum(len(words(t)) + 1 for _, t in rows)
     taken = []
@@ -257,7 +258,28 @@ def test_updates_take_every_training_row_once(spark, monkeypatch):
     maxent_lm.train(docs)
     assert len(taken) == maxent_lm.UPDATES and sum(taken) == tokens
     hot = docs.filter("text = 'one hot text'").groupBy(maxent_lm.part_of("doc_id", "text")).count().collect()
-    assert len(hot) == maxent_lm.UPDATES and max(r[1] for r in hot) < 50
+    assert len(hot) == maxent_lm.UPDATES and max(r[1] for r in hot) < 100
+
+
+def test_scores_do_not_depend_on_head(spark, monkeypatch):
+    r = random.Random(8)
+    often, rare = sorted(set(invented(1, 60))), itertools.count()
+    rows = [(i, " ".join(f"x{next(rare)}" if r.random() < 0.1 else r.choice(often) for _ in range(30))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training = docs.filter(fold("doc_id", 10) != 0)
+    counts = collections.Counter(w for t, in training.select("text").collect() for w in words(t))
+    kinds, once = len(counts), sum(n == 1 for n in counts.values())
+    scores, unseen = [], []
+    for head in (1 << 18, kinds - once, (kinds - once) // 2):  # the whole vocabulary, all but words seen once, fewer
+        monkeypatch.setattr(maxent_lm, "HEAD", head)
+        model, vocabulary = maxent_lm.train(training)
+        scores.append(dict(map(tuple, maxent_lm.score(docs, model, vocabulary).select("doc_id", "score").collect())))
+        unseen.append(model.share[-1] * model.unseen)
+    assert scores[0] == pytest.approx(scores[1], abs=1e-4)
+    tokens = sum(counts.values()) + training.count()
+    assert unseen == pytest.approx([once / (tokens + once)] * 3, rel=0.02)
+    drift = [abs(scores[0][i] - scores[2][i]) / 31 for i in scores[0]]  # class boundaries move with HEAD, the mass does not
+    assert np.mean(drift) < 0.1
 
 
 # --- top k
