@@ -13,7 +13,10 @@ density on the path from it up to body is the threshold; every subtree off that
 whose density reaches the threshold is kept too, and so is all of an
 article or main element that encloses the core. Menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, scripts and styles are taken
-out before, by their element, role, or words of their class and id.
+out before, by their element, role, or class and id: by a listed word that is a whole
+token, and by one that is part of a token (``post-header``, ``has-sidebar``) where the element
+neither encloses the core nor holds an h1 and its text is less than ``SPARSE`` times as
+dense as the core's (characters outside links per block, a mean weighted by characters); inline ones stay.
 
 Blocks are joined in page order by an empty line; white space inside a block is
 one space. Linear in the page; each page is a row of its own, so there is no
@@ -66,6 +69,7 @@ CLOSES = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
+SPARSE = 2 / 3
 BODY_CHILD_HEADER = frozenset(["body", "html", "#root"])
 
 _TAG = re.compile(
@@ -77,13 +81,15 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total",
+                 "own_tags", "own_link_tags", "suspect")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool) -> None:
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.parts: list = []  # text and child nodes in page order
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.chars = self.tags = self.link_chars = self.link_tags = self.own_tags = self.own_link_tags = 0
         self.density = self.total = 0.0
+        self.suspect = False  # a listed word is part of a token of its class or id
 
 
 def _is_boilerplate(tag: str, attributes: str, parent: Node) -> bool:
@@ -107,11 +113,18 @@ def _is_boilerplate(tag: str, attributes: str, parent: Node) -> bool:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
         elif tag not in ("body", "html", "article", "main"):
-            if not DROPPED_WORDS.isdisjoint(_NAME_WORD.findall(_CAMEL.sub(" ", value).lower())):
+            if not DROPPED_WORDS.isdisjoint(value.lower().split()):
                 return True
     return False
 
 
+def _is_suspect(tag: str, attributes: str) -> bool:
+    if "=" not in attributes or tag in ("body", "html", "article", "main"):
+        return False
+    return any(name.lower() in ("class", "id") and not DROPPED_WORDS.isdisjoint(
+        _NAME_WORD.findall(_CAMEL.sub(" ", value.strip("\"'")).lower())) for name, value in _ATTRIBUTE.findall(attributes))
+
+
 def parse(page: str) -> Node:
     """The tree of a page's block elements with its text; dropped elements keep no text."""
     root = node = Node("#root", None, False)
@@ -148,7 +161,7 @@ def parse(page: str) -> Node:
             continue
         if tag in VOID:
             node.parts.append((" ", False) if not node.dropped else ("", False))
-            node.tags += 1
+            node.own_tags += 1
             continue
         if tag not in INLINE:
             closes, barriers = CLOSES.get(tag, (frozenset(["p"]), frozenset(["td", "th", "button", "object"])))
@@ -165,12 +178,13 @@ def parse(page: str) -> Node:
         dropped = node.dropped or _is_boilerplate(tag, attributes, node)
         if tag in INLINE and not (dropped and not node.dropped):
             stack.append((tag, node))
-            node.tags += 1
+            node.own_tags += 1
             if tag == "a":
                 links += 1
-                node.link_tags += 1
+                node.own_link_tags += 1
         elif not attributes.endswith("/") or tag in RAW:
             child = Node(tag, node, dropped)
+            child.suspect = not dropped and tag not in INLINE and _is_suspect(tag, attributes)
             node.parts.append(child)
             stack.append((tag, node))
             node = child
@@ -185,6 +199,7 @@ def _measure(root: Node) -> list[Node]:
     order, stack = [], [root]
     while stack:
         node = stack.pop()
+        node.chars, node.link_chars, node.tags, node.link_tags = 0, 0, node.own_tags, node.own_link_tags
         order.append(node)
         stack += [c for c in node.parts if isinstance(c, Node) and not c.dropped]
     order.reverse()
@@ -216,13 +231,50 @@ def _measure(root: Node) -> list[Node]:
     return order
 
 
-def _select(root: Node) -> list[Node]:
-    """The subtrees to keep, in page order."""
-    order = _measure(root)
+def _core(order: list[Node]) -> tuple[Node, list[Node]]:
+    """The subtree with the largest density sum, and the path from it up."""
     core = max(reversed(order), key=lambda n: n.total)  # of equal sums, the outermost
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    return core, path
+
+
+def _drop_suspects(order: list[Node], core: Node, path: list[Node]) -> None:
+    """Drop the elements that a part of a name and their density both speak against."""
+    around = {id(n) for n in path}
+    titled: set[int] = set()
+    sums: dict[int, list[int]] = {id(n): [0, 0] for n in order}  # of the text lengths of the blocks, and of their squares
+    for node in order:  # children before parents
+        own = sum(len(" ".join(x[0].split())) for x in node.parts if not isinstance(x, Node) and not x[1])
+        mine = sums[id(node)]
+        mine[0] += own
+        mine[1] += own * own
+        if node.parent is not None:
+            above = sums[id(node.parent)]
+            above[0] += mine[0]
+            above[1] += mine[1]
+            if node.tag == "h1" or id(node) in titled:
+                titled.add(id(node.parent))
+
+    def usual(node: Node) -> float:
+        total, squares = sums[id(node)]
+        return squares / max(total, 1)
+
+    for node in order:
+        if node.suspect and id(node) not in around and id(node) not in titled and node.tag != "h1" \
+                and usual(node) < SPARSE * usual(core):
+            node.dropped = True
+
+
+def _select(root: Node) -> list[Node]:
+    """The subtrees to keep, in page order."""
+    order = _measure(root)
+    core, path = _core(order)
+    if any(n.suspect for n in order):
+        _drop_suspects(order, core, path)
+        order = _measure(root)
+        core, path = _core(order)
     threshold = min(n.density for n in path)
     for node in reversed(path):
         if node.tag in ("article", "main"):
@@ -237,7 +289,7 @@ def _select(root: Node) -> list[Node]:
             kept.append(node)
         elif id(node) in inside:
             stack += [c for c in reversed(node.parts) if isinstance(c, Node) and not c.dropped]
-        elif node.density >= threshold and core.tag not in ("article", "main"):
+        elif node.density >= threshold:
             kept.append(node)
     return kept
 

@@ -138,6 +138,28 @@ def test_density_prefers_the_article_without_names():
     assert "link" not in text and text.count("\n\n") == 3
 
 
+def test_sibling_articles_and_parts_of_names():
+    def paragraphs(seed):
+        return [" ".join(invented(100 * seed + i, 60)) + "." for i in range(3)]
+
+    one, two, beside = map(paragraphs, (1, 2, 3))
+    links = "<ul>" + "<li><a href=1>some link</a>" * 6 + "</ul>"
+
+    def p(texts):
+        return "".join(f"<p>{t}</p>" for t in texts)
+
+    expected = "\n\n".join(one + two)
+    assert html_density.extract(f"<body><article>{p(one)}</article><article>{p(two)}</article>{links}</body>") == expected
+    text = html_density.extract(f"<body><div>{links}</div><article>{p(one)}</article><div>{p(beside)}</div></body>")
+    assert text == "\n\n".join(one + beside)
+    for name in ("has-sidebar", "no-sidebar", "layout has-sidebar", "noSidebar"):
+        page = (f'<body><div class="{name}"><article><div class="post-header"><h1>A title</h1></div>{p(one)}'
+                f'<div class="post-share">Share this</div></article><div class="sidebar">{p(beside)}</div></div></body>')
+        assert html_density.extract(page) == "\n\n".join(["A title"] + one)
+        dense = page.replace("Share this</div>", "Share this</div><div class='post-related-form'>" + p(two) + "</div>")
+        assert html_density.extract(dense) == "\n\n".join(["A title"] + one + two)
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)]
     got = html_density.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
