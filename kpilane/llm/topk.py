@@ -2,8 +2,9 @@
 
 Components x become floor(64 * x). Vectors are dealt to blocks by length, the longest
 first; ``LENGTH_CLASSES`` bounds from the data cut the lengths, and a class with many
-vectors is split by an id hash, so equal lengths (one vector copied many times) fill
-many blocks instead of one. Queries form small blocks of their own.
+vectors is split by a hash of a row number, so equal lengths (one vector copied many times) and
+equal ids fill many blocks instead of one. Queries form small blocks of their own; equal
+rows of one query are searched for once and carry their number.
 
 Every query block first meets the block of the longest vectors, which gives each
 query a threshold: its k-th best score there. Then it meets every block that can
@@ -19,9 +20,10 @@ ties are settled by the smaller id.
 Pairs of blocks are rows of an equi-join; the query set meets all rows in blocks.
 
 Defined results: vectors that are null or hold a null or non-finite component take
-no part; vectors of different length are compared as if padded with zeros; an id
-that occurs twice is no candidate of its own query, and each of its rows is a query
-with the same results; an empty table gives no rows.
+no part; vectors of different length are compared as if padded with zeros; every row is a
+candidate, also where its id or vector occurs again, but not of a query with its id; the rows
+of one query id are ranked together, a candidate once for each of them, as in the SQL;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -59,6 +61,8 @@ def _pack(table: pa.Table) -> pa.Table:
     width = 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
     payload = struct.pack("<qqq", len(x), dims, width) + table["vec_id"].to_numpy().astype("<i8").tobytes() \
         + x.astype(f"<i{width}").tobytes()
+    if "times" in table.column_names:  # of queries
+        payload += table["times"].to_numpy().astype("<i8").tobytes()
     return pa.table({"block": table["block"].slice(0, 1), "longest": table["length"].slice(0, 1),
                      "payload": pa.array([payload], pa.binary())})
 
@@ -69,6 +73,11 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.frombuffer(payload, f"<i{width}", n * dims, 24 + 8 * n).reshape(n, dims).astype(np.float64)
 
 
+def _times(payload: bytes) -> np.ndarray:
+    n = struct.unpack_from("<q", payload)[0]
+    return np.frombuffer(payload, "<i8", n, len(payload) - 8 * n)
+
+
 def _second_moments(batches: Iterator[pa.RecordBatch], dims: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros((dims, dims))
     for batch in batches:
@@ -160,7 +169,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     held = np.cumsum(values) / max(values.sum(), 1e-12)
     scorer = spark.sparkContext.broadcast(Scorer(dims, rotation, int(min(dims, np.searchsorted(held, LEADING) + 1)), k))
 
-    # blocks: length classes from the longest, each split evenly by an id hash
+    # blocks: length classes from the longest, each split evenly by a hash of the row's number
     known = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))])
     classed = rows.withColumn("class", F.size(F.filter(known, lambda b: b >= F.col("length"))))
     sizes = {r["class"]: r["count"] for r in classed.groupBy("class").count().collect()}  # one row per class
@@ -169,14 +178,15 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         first.append(n_blocks)
         splits.append(max(1, -(-sizes.get(c, 0) // BLOCK)))
         n_blocks += splits[-1] if c in sizes else 0
-    share = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*map(F.lit, splits)), F.col("class") + 1))
+    share = F.pmod(F.xxhash64("row"), F.element_at(F.array(*map(F.lit, splits)), F.col("class") + 1))
     packed = "block long, longest double, payload binary"
-    blocks = (classed.withColumn("block", F.element_at(F.array(*map(F.lit, first)), F.col("class") + 1) + share)
+    blocks = (classed.withColumn("row", F.monotonically_increasing_id())
+              .withColumn("block", F.element_at(F.array(*map(F.lit, first)), F.col("class") + 1) + share)
               .select("block", "vec_id", "length", "ints").groupBy("block").applyInArrow(_pack, packed)
               .checkpoint())
-    queries = (rows.filter(is_query)
-               .withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(-(-n_queries // QUERY_BLOCK))))
-               .select("block", "vec_id", "length", "ints").groupBy("block").applyInArrow(_pack, packed)
+    queries = (rows.filter(is_query).groupBy("vec_id", "length", "ints").agg(F.count("*").alias("times"))
+               .withColumn("block", F.pmod(F.xxhash64("vec_id", "ints"), F.lit(-(-n_queries // QUERY_BLOCK))))
+               .select("block", "vec_id", "length", "ints", "times").groupBy("block").applyInArrow(_pack, packed)
                .toDF("query_block", "query_longest", "queries"))
 
     def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +213,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             for i in range(batch.num_rows):
                 mine, floor, theirs = (batch.column(j)[i].as_py() for j in range(3))
                 query_ids, _ = _unpack(mine)
-                found = list(scorer.value.pair(mine, theirs, np.frombuffer(floor)))
+                times = np.minimum(_times(mine), k)  # more than k equal rows of a query change nothing
+                found = [(row, np.repeat(ids, times[row]), np.repeat(scores, times[row]))
+                         for row, ids, scores in scorer.value.pair(mine, theirs, np.frombuffer(floor))]
                 counts = [len(f[1]) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat(query_ids[[f[0] for f in found]], counts) if found else [], pa.int64()),
@@ -214,7 +226,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
              .join(blocks, "block")
              .filter(F.col("query_longest") * F.col("longest") * (1 + 1e-9) >= F.col("least")))
     found = (pairs.select("queries", "floor", "payload")
-             .mapInArrow(matches, "query_id long, vec_id long, score long").dropDuplicates(["query_id", "vec_id"]))
+             .mapInArrow(matches, "query_id long, vec_id long, score long"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -326,6 +326,23 @@ def test_top_k_against_brute_force(spark):
     assert topk.top_k(few).count() == 4
 
 
+def test_top_k_of_repeated_ids_against_the_oracle(spark, monkeypatch):
+    import duckdb
+
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(200)]
+    rows += [(7, [4.0] * 8)] * 30  # more than k equal best rows under one id
+    rows += [(9, [float(x) for x in r.normal(size=8) * 3]) for _ in range(40)]  # one id with different vectors
+    rows += [rows[20]] * 2 + [(40, [float(x) for x in r.normal(size=8)])]  # queries with equal and with different rows
+    embeddings = pa.table({"vec_id": [i for i, _ in rows], "embedding": [v for _, v in rows]})
+    with duckdb.connect() as con:
+        con.register("embeddings", embeddings)
+        expected = con.sql(topk.oracle_sql()).fetchall()
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(map(tuple, got)) == sorted(expected) and len(got) == 200
+
+
 # --- licences
 
 def test_licence_scan(spark):
