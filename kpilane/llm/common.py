@@ -64,6 +64,18 @@ def require_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(conf)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet under the shared checkpoint folder, and read from there.
+
+    Unlike ``checkpoint()``, which runs the last stage a second time to save it, the rows are made once.
+    """
+    from kpilane.session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def free_name(wanted: str, taken: list[str]) -> str:
     """``wanted``, with underscores appended until no column has that name."""
     lower = {c.lower() for c in taken}
