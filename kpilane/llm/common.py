@@ -146,6 +146,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of every run of bytes ``raw[start:end]``; case counts."""
+    up, down = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(_BYTE_VALUES[raw] * up[:len(raw)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * down[starts])
+
+
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, n + 1 word offsets of the documents).
 
