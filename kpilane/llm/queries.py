@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpilane.llm import (html_density, language_id, licenses, lz_fingerprint, maxent_lm, ngram_join, packing,
-                         phrase_mining, sentencepiece_viterbi, token_alignment, topk, toxicity)
+                         phrase_mining, quality_rules, sentencepiece_viterbi, token_alignment, topk, toxicity)
 from kpilane.llm.common import fold, ship_package, table
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -67,6 +67,11 @@ def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), BPE_FILE, PIECE_FILE)
 
@@ -82,6 +87,6 @@ def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[
 QUERIES = {q.__name__: _with_package(q) for q in (
     op1_lz_fingerprint, op2_toxicity, op3_html_density, op4_sentencepiece, op5_ngram_join, op6_language_id, op7_maxent_lm,
     op8_topk, op9_licenses, op10_packing, op11_phrase_mining,
-    op13_token_alignment)}
+    op12_quality_rules, op13_token_alignment)}
 ORACLE = {"op8_topk": topk.oracle_sql(), "op9_licenses": licenses.oracle_sql(),
-          "op11_phrase_mining": phrase_mining.oracle_sql()}
+          "op11_phrase_mining": phrase_mining.oracle_sql(), "op12_quality_rules": quality_rules.oracle_sql()}
