@@ -146,12 +146,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of every run of bytes ``raw[start:end]``; case counts."""
+_OTHER_VALUES = np.random.default_rng(31415926).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: bool = False) -> np.ndarray:
+    """The hash of every run of bytes ``raw[start:end]``; case counts. ``other``: a second, independent hash."""
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.cumsum(_BYTE_VALUES[raw] * up[:len(raw)], out=sums[1:])
+        np.cumsum((_OTHER_VALUES if other else _BYTE_VALUES)[raw] * up[:len(raw)], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * down[starts])
 
 

@@ -12,9 +12,9 @@ n-grams that start before its closing window; those that start in it are the nex
 
 *Levels.* A phrase of n words is counted only where both its phrases of n - 1 words occur often enough (a table of
 2**``FILTER_BITS`` bits per level says so by hash; a set bit may be of another phrase, a frequent phrase's
-bit is always set). Tasks sum their hashes before the shuffle. At the end the phrases that
-passed are counted by their text, so neither a chance hash nor a full table changes a result: the
-counts are exact.
+bit is always set, so a full table costs time and changes nothing). Phrases are counted under two independent
+64-bit hashes of their bytes, which tasks sum before the shuffle, with the number of a
+block that holds the phrase; that block gives the text of each frequent phrase, once.
 
 Scores are quotients of 38-digit decimals.
 
@@ -27,10 +27,11 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,36 +124,39 @@ def dictionary(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
 
 
 def pack_chunks(chunks: DataFrame) -> DataFrame:
-    """The dictionary in blocks, one language each: chunks line by line, their frequencies, the words they count."""
+    """The dictionary in numbered blocks of one language: chunks line by line, their frequencies, the words they count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        number = (context.partitionId() if context else 0) << 32
         for batch in batches:
             lang = np.array(batch.column(0).to_pylist(), object)
             times, texts = batch.column(2).to_numpy(), np.array(batch.column(1).to_pylist(), object)
             rows = []
             for own in dict.fromkeys(lang.tolist()):
                 here = np.flatnonzero(lang == own)
-                block = Block(own, b"\n".join(texts[here]), times[here].astype("<i8").tobytes())
-                rows.append((own, block.text, block.times, int(block.weight[block.owned].sum())))
-            names = ["lang", "text", "times", "words"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4,
-                                                (pa.string(), pa.binary(), pa.binary(), pa.int64()))], names=names)
+                block = Block(number, own, b"\n".join(texts[here]), times[here].astype("<i8").tobytes())
+                rows.append((number, own, block.text, block.times, int(block.weight[block.owned].sum())))
+                number += 1
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, kinds)],
+                                             names=["block", "lang", "text", "times", "words"])
 
-    return chunks.mapInArrow(run, "lang string, text binary, times binary, words long")
+    return chunks.mapInArrow(run, "block long, lang string, text binary, times binary, words long")
 
 
 class Block:
     """Some chunks of one language, word by word."""
 
-    def __init__(self, lang: str, text: bytes, times: bytes) -> None:
-        self.lang, self.text, self.times = lang, text, times
+    def __init__(self, number: int, lang: str, text: bytes, times: bytes) -> None:
+        self.number, self.lang, self.text, self.times = number, lang, text, times
         raw = np.frombuffer(text, np.uint8)
         self.starts, self.ends = _word_runs(raw)
         lines = np.concatenate(([0], np.cumsum(raw == 10)))
         chunk = lines[self.starts]
         n = len(chunk)
         self.hashes = run_hashes(raw, self.starts, self.ends)
+        self.others = run_hashes(raw, self.starts, self.ends, other=True)
         last = np.flatnonzero(np.append(chunk[1:] != chunk[:-1], True)) if n else np.zeros(0, int)
         self.chunk_end = np.repeat(last + 1, np.diff(np.concatenate(([-1], last)))) if n else last
         after = np.append(raw, np.uint8(10))[self.ends[last]] if n else raw[:0]  # a blank follows the last word of a closed chunk
@@ -161,18 +165,17 @@ class Block:
         self.weight = np.frombuffer(times, "<i8")[chunk]
         self.salt = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
-    def frequent(self, level: int, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Where phrases of ``level`` words start that the tables so far allow, and their hashes."""
+    def sweep(self, upto: int, tables: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per size up to ``upto`` where phrases start that the tables allow, with their hash."""
         total = self.hashes.copy()
         at = np.arange(len(total))
         passed = np.ones(len(total) + 1, bool)
         passed[-1] = False
-        for size in range(1, level + 1):
-            if size > 1:
-                at = at[passed[at + 1] & (self.chunk_end[at] - at >= size)]
-                with np.errstate(over="ignore"):
-                    total[at] = total[at] * _STEP + self.hashes[at + size - 1]
+        for size in range(1, upto + 1):
             with np.errstate(over="ignore"):
+                if size > 1:
+                    at = at[passed[at + 1] & (self.chunk_end[at] - at >= size)]
+                    total[at] = total[at] * _STEP + self.hashes[at + size - 1]
                 key = mix(total[at] + self.salt)
             if size <= len(tables):
                 cell = key & np.uint64((1 << FILTER_BITS) - 1)
@@ -181,45 +184,59 @@ class Block:
                 at, key = at[hit], key[hit]
                 passed[:] = False
                 passed[at] = True
-        mine = self.owned[at]
-        return at[mine], key[mine].astype(np.int64)
+            mine = self.owned[at]
+            yield size, at[mine], key[mine].astype(np.int64)
+
+    def second_hash(self, at: np.ndarray, size: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            total = self.others[at]
+            for k in range(1, size):
+                total = total * _STEP + self.others[at + k]
+            return mix(total + self.salt).astype(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
-        for lang, text, times in zip(*(c.to_pylist() for c in batch.columns)):
-            yield Block(lang, text, times)
+        for row in zip(*(c.to_pylist() for c in batch.columns[:4])):
+            yield Block(*row)
 
 
-def _summed(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, weight = np.concatenate(keys), np.concatenate(weights)
-    order = np.argsort(key)
-    key, weight = key[order], weight[order]
-    first = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
-    return key[first], np.add.reduceat(weight, first) if len(first) else weight
+def _summed(parts: list[np.ndarray]) -> np.ndarray:
+    """Rows (hash, second hash, count, block): equal hashes summed, with the least block."""
+    rows = np.concatenate(parts, axis=1)
+    rows = rows[:, np.argsort(rows[0])]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return rows
+    return np.stack((rows[0, first], rows[1, first], np.add.reduceat(rows[2], first), np.minimum.reduceat(rows[3], first)))
 
 
 def level_counts(packed: DataFrame, level: int, tables: Broadcast) -> DataFrame:
-    """key, n of the phrases of ``level`` words that may be frequent."""
+    """key, other, n, block of the phrases of ``level`` words that may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, weights, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        def batch_of(rows: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["key", "other", "n", "block"])
+
+        nothing = np.zeros((4, 0), np.int64)
+        parts, size = [nothing], 0
         for block in _blocks(batches):
-            at, key = block.frequent(level, tables.value)
-            keys.append(key)
-            weights.append(block.weight[at])
+            for _, at, key in block.sweep(level, tables.value):
+                pass  # the last size is the level's
+            parts.append(np.stack((key, block.second_hash(at, level), block.weight[at], np.full(len(at), block.number))))
             size += len(at)
             if size > FLUSH:
-                key, weight = _summed(keys, weights)
-                keys, weights, size = [key], [weight], len(key)
+                rows = _summed(parts)
+                parts, size = [rows], rows.shape[1]
                 if size > FLUSH // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(weight)], names=["key", "n"])
-                    keys, weights, size = [key[:0]], [weight[:0]], 0
-        key, weight = _summed(keys, weights)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(weight)], names=["key", "n"])
+                    yield batch_of(rows)
+                    parts, size = [nothing], 0
+        yield batch_of(_summed(parts))
 
-    return (packed.select("lang", "text", "times").mapInArrow(run, "key long, n long")
-            .groupBy("key").agg(F.sum("n").alias("n")))
+    return (packed.select("block", "lang", "text", "times").mapInArrow(run, "key long, other long, n long, block long")
+            .groupBy("key", "other").agg(F.sum("n").alias("n"), F.min("block").alias("block")))
 
 
 def bit_table(keys: DataFrame) -> np.ndarray:
@@ -233,45 +250,35 @@ def bit_table(keys: DataFrame) -> np.ndarray:
     return table
 
 
-def phrase_counts(packed: DataFrame, tables: Broadcast, min_count: int) -> DataFrame:
-    """lang, phrase, size, f: the phrases of up to LONGEST words with at least ``min_count`` places, counted by text."""
+def phrase_counts(packed: DataFrame, frequent: DataFrame, tables: Broadcast) -> DataFrame:
+    """lang, phrase, size, f of the frequent hashes (size, key, other, n, block), by the text in their block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[tuple, int] = {}
-
-        def rows() -> pa.RecordBatch:
-            names = ["lang", "phrase", "size", "f"]
-            columns = list(zip(*((*k, n) for k, n in found.items()))) or [[]] * 4
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
-
-        for block in _blocks(batches):
-            for size in range(1, LONGEST + 1):
-                at, key = block.frequent(size, tables.value[:size])
-                order = np.argsort(key, kind="stable")
-                at, key = at[order], key[order]
-                first = np.flatnonzero(np.concatenate((np.ones(min(len(key), 1), bool), key[1:] != key[:-1])))
-                # equal hashes may be different phrases: their texts decide
-                spans = list(zip(block.starts[at].tolist(), block.ends[at + size - 1].tolist()))
-                bounds = np.append(first, len(at)).tolist()
-                weight = block.weight[at]
-                for a, b in zip(bounds, bounds[1:]):
-                    texts = {block.text[x:y] for x, y in spans[a:b]} if b - a > 1 else None
-                    if texts is None or len(texts) == 1:
-                        x, y = spans[a]
-                        k = (block.lang, block.text[x:y].decode(), size)
-                        found[k] = found.get(k, 0) + int(weight[a:b].sum())
-                        continue
-                    for (x, y), w in zip(spans[a:b], weight[a:b].tolist()):
-                        k = (block.lang, block.text[x:y].decode(), size)
-                        found[k] = found.get(k, 0) + w
-            if len(found) > CHUNKS:
-                yield rows()
-                found.clear()
-        yield rows()
-
-    return (packed.select("lang", "text", "times").mapInArrow(run, "lang string, phrase string, size int, f long")
-            .groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count))
+        for batch in batches:
+            for block, wanted in zip(_blocks([batch]), batch.column(4)):
+                sizes, keys, others, counts = (np.asarray(wanted.values.field(c)) for c in ("size", "key", "other", "n"))
+                phrases, lengths, numbers = [], [], []
+                for size, at, key in block.sweep(LONGEST, tables.value):
+                    mine = np.flatnonzero(sizes == size)
+                    pairs = dict(zip(zip(keys[mine].tolist(), others[mine].tolist()), counts[mine].tolist()))
+                    hit = np.isin(key, keys[mine])
+                    at, key = at[hit], key[hit]
+                    other = block.second_hash(at, size)
+                    starts, ends = block.starts[at].tolist(), block.ends[at + size - 1].tolist()
+                    for k, o, x, y in zip(key.tolist(), other.tolist(), starts, ends):
+                        n = pairs.pop((k, o), None)
+                        if n is not None:
+                            phrases.append(block.text[x:y].decode())
+                            lengths.append(size)
+                            numbers.append(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block.lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()),
+                     pa.array(lengths, pa.int32()), pa.array(numbers, pa.int64())], names=["lang", "phrase", "size", "f"])
+
+    named = frequent.groupBy("block").agg(F.collect_list(F.struct("size", "key", "other", "n")).alias("wanted"))
+    return (packed.select("block", "lang", "text", "times").join(named, "block")
+            .select("block", "lang", "text", "times", "wanted")
+            .mapInArrow(run, "lang string, phrase string, size int, f long"))
 
 
 def score_cuts(counts: DataFrame, totals: DataFrame) -> DataFrame:
@@ -311,10 +318,12 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     context = docs.sparkSession.sparkContext
     packed = stored(pack_chunks(dictionary(docs, lang_col, text_col, period)), "chunks")
     tables: list[np.ndarray] = []
+    frequent = []
     for level in range(1, LONGEST + 1):
-        counted = level_counts(packed, level, context.broadcast(tables))
-        tables = [*tables, bit_table(counted.filter(F.col("n") >= min_count))]
-    counts = stored(phrase_counts(packed, context.broadcast(tables), min_count), "phrases")
+        counted = level_counts(packed, level, context.broadcast(tables)).filter(F.col("n") >= min_count)
+        frequent.append(stored(counted.select(F.lit(level).alias("size"), "key", "other", "n", "block"), f"level{level}"))
+        tables = [*tables, bit_table(frequent[-1])]
+    counts = stored(phrase_counts(packed, reduce(DataFrame.unionAll, frequent), context.broadcast(tables)), "phrases")
     totals = packed.groupBy("lang").agg(F.sum("words").alias("n"))
     kept = without_parts(score_cuts(counts, totals), counts)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
