@@ -28,6 +28,24 @@ def exact_sum(col: str | Column) -> Column:
     return F.when(F.bool_and(fits), F.sum(exact).cast("double")).otherwise(F.sum(c))
 
 
+class SumState:
+    """An :func:`exact_sum` in two steps: states of the rows of a group, then of groups of groups."""
+
+    def __init__(self, col: str) -> None:
+        self.col = col
+        self.exact, self.inexact, self.fits = f"{col}__exact", f"{col}__inexact", f"{col}__fits"
+
+    def of_rows(self) -> list[Column]:
+        c = F.col(self.col)
+        exact = c.try_cast(EXACT_SUM)
+        fits = c.isNull() | F.coalesce(exact.cast("double") == c, F.lit(False))
+        return [F.sum(exact).cast(EXACT_SUM).alias(self.exact), F.sum(c).alias(self.inexact),
+                F.bool_and(fits).alias(self.fits)]
+
+    def merged(self) -> Column:
+        return (F.when(F.bool_and(self.fits), F.sum(self.exact).cast("double")).otherwise(F.sum(self.inexact)))
+
+
 def branch_sales(fact_sales: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Σ actuals per branch and period (partial aggregate before the shuffle)."""
     keys = keys or ["branch_id", *period_columns(fact_sales)]

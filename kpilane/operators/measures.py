@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpilane.functions.scoring import pct_to_target, rag_status, weighted_total
-from kpilane.operators.branch import exact_sum
+from kpilane.operators.branch import SumState, exact_sum
 from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import role_weights_pivot, weight_scalars
 from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS
@@ -49,6 +49,9 @@ def measure_sums(star: Mapping[str, DataFrame], by: Sequence[str], where: Column
     own columns) and summed together, so there is one shuffle and no join.  A
     grain key is kept only when all three sources have rows for it, which is
     what joining three separate aggregates would give.
+
+    A rollup first sums to the finest grain, as mergeable states (:class:`~kpilane.operators.branch.SumState`),
+    and expands those few rows to the levels, not the facts' rows.
     """
     _check_grain(by)
     branches = star["dim_branch"]
@@ -67,11 +70,16 @@ def measure_sums(star: Mapping[str, DataFrame], by: Sequence[str], where: Column
     for p in parts[1:]:
         stacked = stacked.unionByName(p, allowMissingColumns=True)
     measures = [c for _, cols in inputs.values() for c in cols]
-    aggs = [exact_sum(c).alias(c) for c in measures] + [F.count(tag).alias(f"{tag}_rows") for tag in inputs]
     if grouping == "rollup":
-        g = stacked.rollup(*by).agg(*aggs, F.grouping_id().alias("grouping_level"))
+        states = {c: SumState(c) for c in measures}
+        finest = stacked.groupBy(*by).agg(*[a for s in states.values() for a in s.of_rows()],
+                                          *[F.count(tag).alias(f"{tag}_rows") for tag in inputs])
+        g = finest.rollup(*by).agg(*[s.merged().alias(c) for c, s in states.items()],
+                                   *[F.sum(f"{tag}_rows").alias(f"{tag}_rows") for tag in inputs],
+                                   F.grouping_id().alias("grouping_level"))
     else:
-        g = stacked.groupBy(*by).agg(*aggs)
+        g = stacked.groupBy(*by).agg(*[exact_sum(c).alias(c) for c in measures],
+                                     *[F.count(tag).alias(f"{tag}_rows") for tag in inputs])
     covered = (F.col("_a_rows") > 0) & (F.col("_t_rows") > 0) & (F.col("_c_rows") > 0)
     return g.filter(covered).drop(*[f"{tag}_rows" for tag in inputs])
 

@@ -49,22 +49,23 @@ def referential_integrity(pairs: Sequence[tuple[str, DataFrame, str, DataFrame,
     return _union(reports)
 
 
-def target_range_check(checks: Sequence[tuple[str, DataFrame, Sequence[tuple[str, float, float]]]]) -> DataFrame:
+def target_range_check(checks: Sequence[tuple[str, DataFrame, Sequence[tuple[str, float, float | None]]]]) -> DataFrame:
     """table_name, column_name, low, high, rows_checked, out_of_range, min_value, max_value.
 
-    One aggregate per table covers all its columns; rows are then unfolded.
+    One aggregate per table covers all its columns; rows are then unfolded.  A ``high`` of
+    None is no bound: what a usual amount is depends on tier and role (:func:`target_outliers`).
     """
     reports = []
     for table, df, bounds in checks:
         aggs = []
         for col, lo, hi in bounds:
             aggs += [F.count(F.col(col)).alias(f"{col}__n"),
-                     F.count_if(out_of_range(col, lo, hi)).alias(f"{col}__bad"),
+                     F.count_if(out_of_range(col, lo, hi) if hi is not None else F.col(col) < lo).alias(f"{col}__bad"),
                      F.min(col).cast("double").alias(f"{col}__min"),
                      F.max(col).cast("double").alias(f"{col}__max")]
         agg = df.agg(*aggs)
         rows = F.array(*[F.struct(F.lit(col).alias("column_name"), F.lit(float(lo)).alias("low"),
-                                  F.lit(float(hi)).alias("high"),
+                                  F.lit(hi).cast("double").alias("high"),
                                   F.col(f"{col}__n").alias("rows_checked"),
                                   F.col(f"{col}__bad").alias("out_of_range"),
                                   F.col(f"{col}__min").alias("min_value"),
@@ -74,13 +75,37 @@ def target_range_check(checks: Sequence[tuple[str, DataFrame, Sequence[tuple[str
     return _union(reports)
 
 
+def target_outliers(facts: DataFrame, columns: Sequence[str], groups: Sequence[str] = ("tier", "role"),
+                    fence: float = 3.0, accuracy: int = 10_000) -> DataFrame:
+    """column_name, the groups, low, high, rows_checked, out_of_range, min_value, max_value.
+
+    The usual range of a target lies within ``fence`` quartile distances of the quartiles of its own tier and role.
+    Quartiles come from a mergeable quantile sketch (``percentile_approx``: rank error at most 1 / ``accuracy``, exact
+    for fewer rows than that), so a group of any size is one small state per task.  The bounds, a
+    row per group, then join the facts, which are counted in one aggregate.
+    """
+    groups = list(groups)
+    rows = facts.select(*groups, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_m"))
+    rows = rows.select(*groups, "_m.*")
+    quartile = F.percentile_approx("value", F.array(F.lit(0.25), F.lit(0.75)), F.lit(accuracy))
+    bounds = rows.groupBy("column_name", *groups).agg(quartile.alias("_q")).select(
+        "column_name", *groups, (F.col("_q")[0] - fence * (F.col("_q")[1] - F.col("_q")[0])).alias("low"),
+        (F.col("_q")[1] + fence * (F.col("_q")[1] - F.col("_q")[0])).alias("high"))
+    checked = join_null_safe(rows, bounds, ["column_name", *groups], "inner")
+    return checked.groupBy("column_name", *groups).agg(
+        F.min("low").alias("low"), F.min("high").alias("high"), F.count("value").alias("rows_checked"),
+        F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("out_of_range"),
+        F.min("value").alias("min_value"), F.max("value").alias("max_value"))
+
+
 def key_uniqueness(checks: Sequence[tuple[str, DataFrame, Sequence[str]]]) -> DataFrame:
     """table_name, key_columns, total_rows, distinct_keys, duplicate_keys, rows_in_duplicates."""
     reports = []
     for name, df, keys in checks:
         per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         reports.append(per_key.agg(
-            F.sum("_n").cast("bigint").alias("total_rows"),
+            F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total_rows"),
             F.count(F.lit(1)).alias("distinct_keys"),
             F.count_if(F.col("_n") > 1).alias("duplicate_keys"),
             F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).cast("bigint").alias("rows_in_duplicates"),
@@ -101,27 +126,30 @@ def join_fanout(checks: Sequence[tuple[str, DataFrame, DataFrame, Sequence[str]]
         rc = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_r"))
         joined = lc.join(rc, list(keys), "left")
         reports.append(joined.agg(
-            F.sum("_l").cast("bigint").alias("left_rows"),
+            F.coalesce(F.sum("_l"), F.lit(0)).cast("bigint").alias("left_rows"),
             F.coalesce(F.sum(F.col("_l") * F.col("_r")), F.lit(0)).cast("bigint").alias("joined_rows"),
         ).select(F.lit(name).alias("check_name"), "left_rows", "joined_rows",
                  (F.col("joined_rows") - F.col("left_rows")).alias("extra_rows")))
     return _union(reports)
 
 
-def totals_reconciliation(checks: Sequence[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """check_name, total_a, total_b, difference for Σ a.col_a vs Σ b.col_b (exact sums).
+def totals_reconciliation(checks: Sequence[tuple[str, DataFrame, str, DataFrame, Sequence[str]]]) -> DataFrame:
+    """check_name, total_a, total_b, difference for Σ a.col vs Σ b.col (exact sums) of every
+    ``(name_a, a, name_b, b, columns)``.
 
-    Both sides are unioned and summed in one aggregate per check.
+    Each side is one global aggregate of all its columns (one scan, one row), unfolded after it.
     """
-    parts = []
-    for name, a, col_a, b, col_b in checks:
-        none = F.lit(None).cast("double")
-        parts.append(a.select(F.lit(name).alias("check_name"), F.col(col_a).cast("double").alias("_a"),
-                              none.alias("_b")))
-        parts.append(b.select(F.lit(name).alias("check_name"), none.alias("_a"),
-                              F.col(col_b).cast("double").alias("_b")))
-    sums = _union(parts).groupBy("check_name").agg(exact_sum("_a").alias("total_a"), exact_sum("_b").alias("total_b"))
-    return sums.withColumn("difference", F.coalesce("total_a", F.lit(0.0)) - F.coalesce("total_b", F.lit(0.0)))
+    totals = []
+    for name_a, a, name_b, b, columns in checks:
+        for side, df in (("a", a), ("b", b)):
+            sums = df.agg(*[exact_sum(F.col(c).cast("double")).alias(c) for c in columns])
+            rows = F.array(*[F.struct(F.lit(f"{c}: {name_a} vs {name_b}").alias("check_name"), F.col(c).alias("total"))
+                             for c in columns])
+            totals.append(sums.select(F.inline(rows)).withColumn("side", F.lit(side)))
+    both = _union(totals).groupBy("check_name").agg(
+        F.max(F.when(F.col("side") == "a", F.col("total"))).alias("total_a"),
+        F.max(F.when(F.col("side") == "b", F.col("total"))).alias("total_b"))
+    return both.withColumn("difference", F.coalesce("total_a", F.lit(0.0)) - F.coalesce("total_b", F.lit(0.0)))
 
 
 def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], cols: Sequence[str],
@@ -210,8 +238,17 @@ def weight_sum_check(weights: DataFrame, employees: DataFrame | None = None,
         F.coalesce(F.col("total_weight") == F.lit(expected), F.lit(False)).alias("sums_to_expected"))
 
 
+def active_staff(facts: Sequence[DataFrame]) -> DataFrame:
+    """employee_id, branch_id, role of everybody with a row in one of the facts, once each."""
+    return _union([f.select("employee_id", "branch_id", "role") for f in facts]).distinct()
+
+
 def headcount_check(branches: DataFrame, employees: DataFrame) -> DataFrame:
-    """Declared headcounts of each branch against the employees assigned to it."""
+    """Declared headcounts of each branch against its employees, one row each in ``employees``.
+
+    To check anything, the two must come from different sources: the people seen at work in the facts
+    (:func:`active_staff`) against the counts that the branch dimension declares.
+    """
     role = F.col("role")
     actual = employees.groupBy("branch_id").agg(
         F.count_if(role == "Manager").cast("int").alias("actual_managers"),

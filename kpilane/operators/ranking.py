@@ -19,6 +19,14 @@ tasks:
 5. ``rank = 1 + offset + ahead``; ``dense_rank`` uses distinct-score counts;
 6. join the per-score ranks back (AQE splits a hot score on the big side).
 
+``method="cells"`` gives the same numbers without a stored job, so a ranked
+view stays lazy: instead of pinned range partitions, a score falls into a cell by
+a fixed monotone function of its value (:func:`score_cell`), so any two runs
+agree on it.  The histogram's window runs per (key, cell), the running sum
+of step 4 over the cells of a key.  Only cells that hold a score are rows, at most
+``CELLS_PER_LOG`` for every e-fold of the scores' magnitude.  Filters on key columns
+(a period, say) reach the scans of both sides of the join back.
+
 ``method="window"`` is the plain window (fine when every partition key is
 small, and used by the tests as the reference for the range method).
 """
@@ -27,12 +35,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpilane.operators.joins import join_null_safe
+from kpilane.schemas import PERIOD_COLUMNS
 
 RANK_TIES = ("rank", "dense")
+CELLS_PER_LOG = 1 << 16
+MAX_CANDIDATES = 10_000  # rows that rank_of_rows may broadcast
 
 
 def _rank_fn(ties: str):
@@ -65,8 +76,13 @@ def rank_many(df: DataFrame, contexts: Mapping[str, Sequence[str]], score: str,
             w = Window.partitionBy(*keys).orderBy(F.col(score).desc_nulls_last())
             out = out.withColumn(col, _rank_fn(ties).over(w).cast("bigint"))
         return out
+    if method == "cells":
+        out = df
+        for col, keys in contexts.items():
+            out = _join_rows(out, cell_ranks(df, keys, score, col, ties), [*keys, score])
+        return out
     if method != "range":
-        raise ValueError(f"method must be 'range' or 'window', got {method!r}")
+        raise ValueError(f"method must be 'range', 'cells' or 'window', got {method!r}")
     # the histogram and the join back on the score both read the rows: store them once
     df = df.checkpoint(eager=True)
     tables = rank_tables(df, contexts, score, ties, num_partitions)
@@ -76,6 +92,41 @@ def rank_many(df: DataFrame, contexts: Mapping[str, Sequence[str]], score: str,
     return out
 
 
+def score_cell(score: str) -> Column:
+    """A whole number that never falls as the score rises; NULL for NULL, NaN with the highest.
+
+    ``log1p`` is semi-monotonic, so rounding can put two neighbouring scores in one cell but never swap them.
+    """
+    s = F.col(score).cast("double")
+    size = F.floor(F.log1p(F.abs(s)) * F.lit(float(CELLS_PER_LOG)))
+    return (F.when(s.isNull(), F.lit(None).cast("bigint")).when(F.isnan(s), F.lit((1 << 63) - 1))
+            .when(s < 0, -size).otherwise(size))
+
+
+def cell_ranks(df: DataFrame, keys: Sequence[str], score: str, out_col: str, ties: str = "rank") -> DataFrame:
+    """``(keys.., score, out_col)`` for every distinct key and score; lazy."""
+    keys = list(keys)
+    hist = df.groupBy(*keys, score).agg(F.count(F.lit(1)).alias("_n")).withColumn("_cell", score_cell(score))
+    measure = F.sum("_n") if ties == "rank" else F.count(F.lit(1))
+    ahead = (Window.partitionBy(*keys, "_cell").orderBy(F.col(score).desc_nulls_last())
+             .rowsBetween(Window.unboundedPreceding, -1))
+    local = hist.select(*keys, score, "_cell", F.coalesce(measure.over(ahead), F.lit(0)).alias("_ahead"))
+    before = (Window.partitionBy(*keys).orderBy(F.col("_cell").desc_nulls_last())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    offsets = (hist.groupBy(*keys, "_cell").agg(measure.alias("_in_cell"))
+               .select(*keys, "_cell", F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_before")))
+    return _join_rows(local, offsets, [*keys, "_cell"]).select(
+        *keys, score, (F.lit(1) + F.col("_before") + F.col("_ahead")).cast("bigint").alias(out_col))
+
+
+def _join_rows(rows: DataFrame, table: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Every row with its (one) row of the table, NULL-safe; the periods of scored rows are never
+    NULL and meet by plain equality, which is what the optimizer infers filters through."""
+    renamed = table.withColumnsRenamed({k: f"__r_{k}" for k in on})
+    same = [F.col(k) == F.col(f"__r_{k}") if k in PERIOD_COLUMNS else F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in on]
+    return rows.join(renamed, same, "left").drop(*[f"__r_{k}" for k in on])
+
+
 def rank_tables(df: DataFrame, contexts: Mapping[str, Sequence[str]], score: str, ties: str = "rank",
                 num_partitions: int | None = None) -> dict[str, DataFrame]:
     """Per context: ``(keys.., score, out_col)`` for every distinct key and score.
@@ -158,16 +209,20 @@ def score_rank_table(df: DataFrame, contexts: Sequence[Sequence[str]], score: st
 
 
 def rank_of_rows(candidates: DataFrame, population: DataFrame, contexts: Mapping[str, Sequence[str]],
-                 score: str, id_cols: Sequence[str], ties: str = "rank") -> DataFrame:
+                 score: str, id_cols: Sequence[str], ties: str = "rank",
+                 at_most: int = MAX_CANDIDATES) -> DataFrame:
     """RANK/DENSE_RANK of a few ``candidates`` rows within ``population``, per context.
 
     ``rank = 1 + #rows of the same keys whose score comes strictly first``
     (DESC NULLS LAST); ``dense`` counts distinct such scores.  The candidates
-    must be a small, bounded set (e.g. the output of a ``limit``): they are
+    are ``at_most`` rows (itself at most ``MAX_CANDIDATES``), e.g. the output of a ``limit``;
+    the job fails if there are more.  They are
     broadcast and joined on the keys all contexts share, so the population is
     scanned once, never shuffled by key, and each row meets only the
     candidates of its shared keys.  ``id_cols`` identify a candidate row.
     """
+    if not 0 < at_most <= MAX_CANDIDATES:
+        raise ValueError(f"at_most must lie between 1 and {MAX_CANDIDATES}, got {at_most}")
     if ties not in RANK_TIES:
         raise ValueError(f"ties must be one of {RANK_TIES}, got {ties!r}")
     id_cols = list(id_cols)
@@ -175,9 +230,12 @@ def rank_of_rows(candidates: DataFrame, population: DataFrame, contexts: Mapping
     if not shared:
         raise ValueError("rank contexts share no key; rank them one context at a time")
     used = sorted({k for ks in contexts.values() for k in ks})
-    cand = F.broadcast(candidates.select(*[F.col(c).alias(f"_id_{c}") for c in id_cols],
-                                         *[F.col(k).alias(f"_c_{k}") for k in used],
-                                         F.col(score).alias("_c_score")))
+    counted = candidates.limit(at_most + 1).agg(F.count(F.lit(1)).alias("n")).scalar()
+    guard = F.when(counted <= at_most, F.lit(True)).otherwise(
+        F.raise_error(F.lit(f"more than {at_most} candidates to rank")).cast("boolean"))
+    cand = F.broadcast(candidates.filter(guard).limit(at_most).select(
+        *[F.col(c).alias(f"_id_{c}") for c in id_cols], *[F.col(k).alias(f"_c_{k}") for k in used],
+        F.col(score).alias("_c_score")))
     pop = population.select(*used, F.col(score).alias("_p_score"))
     first = F.col("_p_score").isNotNull() & (F.col("_c_score").isNull() | (F.col("_p_score") > F.col("_c_score")))
     joined = pop.join(cand, [pop[k].eqNullSafe(F.col(f"_c_{k}")) for k in shared], "inner").filter(first)

@@ -21,17 +21,20 @@ from kpilane.operators import quality as qa
 from kpilane.operators.ranking import rank_by
 from kpilane.operators.weights import manager_weights, role_weights_pivot, workforce_weights
 from kpilane.plans import reports as rp
-from kpilane.plans.views import build_views
+from kpilane.plans.views import build_views, register_views, top_advisors_sql
 from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS, PERIOD_COLUMNS
 from kpilane.session import scratch_path
 from kpilane.sources.adapter import star_coverage, star_from_tpch
-from kpilane.sources.star import materialize_star, read_csv_typed, write_csv
+from kpilane.sources.star import (export_views, load_star, materialize_star, read_csv_typed, read_role_weights,
+                                  replace_periods, role_weights_frame, save_star, write_csv)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _STARS: dict[tuple[str, int, str, bool], tuple[SparkSession, dict[str, DataFrame]]] = {}
 
 LEADERBOARD_N = 10
 H1 = (1, 6)
+REPORT_PERIOD = (1997, 6)
+REFRESHED_YEAR = 1997
 PERIOD = list(PERIOD_COLUMNS)
 
 
@@ -55,11 +58,27 @@ def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
             tables = star_from_tpch(spark, sf_dir)
         else:
             folder = scratch_path(spark, "star")
-            tables = materialize_star(spark, star_from_tpch(spark, sf_dir, stage_dir=f"{folder}/_stage"), folder)
+            write_csv(role_weights_frame(spark), f"{folder}/_config/role_weights")
+            weights = read_role_weights(spark, f"{folder}/_config/role_weights")
+            raw = star_from_tpch(spark, sf_dir, stage_dir=f"{folder}/_stage", weights=weights)
+            tables = materialize_star(spark, raw, folder)
         cached = _STARS[key] = (spark, tables)
     return cached[1]
 
 
+def period_star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The star with its facts stored in folders by year and month, once per session, for reports of one period."""
+    tables = star(spark, sf_dir)
+    if os.environ.get("KPILANE_LAZY_STAR") == "1":
+        return tables
+    key = ("by period", id(spark), sf_dir, False)
+    cached = _STARS.get(key)
+    if cached is None or cached[0] is not spark:
+        by_period = materialize_star(spark, tables, scratch_path(spark, "star-by-period"), by_period=True)
+        cached = _STARS[key] = (spark, by_period)
+    return cached[1]
+
+
 def _scores(spark, d, **kw):
     return emp.employee_monthly_score(star(spark, d), period_cols=PERIOD, **kw)
 
@@ -106,7 +125,20 @@ def q_safe_divide(spark, d):
 # --- reports ------------------------------------------------------------------
 
 def q_top3_advisors(spark, d):
-    return rp.top_advisors(_scores(spark, d), n=3)
+    scores = emp.employee_monthly_score(period_star(spark, d), period_cols=PERIOD)
+    return rp.top_advisors(scores, n=3)
+
+
+def q_top_advisors_of_period(spark, d):
+    # the bound-parameter report over the named views
+    register_views(spark, star(spark, d))
+    return top_advisors_sql(spark, REPORT_PERIOD[1], n=LEADERBOARD_N, year=REPORT_PERIOD[0])
+
+
+def q_lazy_employee_rank(spark, d):
+    # the ranked view as ad-hoc SQL meets it: a plan without a stored job
+    register_views(spark, star(spark, d))
+    return spark.sql("SELECT * FROM vw_employee_rank")
 
 
 def q_pillar_detail(spark, d):
@@ -115,7 +147,17 @@ def q_pillar_detail(spark, d):
 
 
 def q_branch_team(spark, d):
-    return rp.branch_team(_ranked(spark, d), br.branch_rank(_pacing(spark, d)))
+    page = rp.branch_team(_ranked(spark, d), br.branch_rank(_pacing(spark, d)),
+                          weights=star(spark, d)["dim_role_weights"])
+    ratios = [F.col("pillars")[i]["pct_to_target"].alias(f"{p.key}_pct_to_target") for i, p in enumerate(BRANCH_PILLARS)]
+    return page.select(*[c for c in page.columns if c != "pillars"], *ratios)
+
+
+def q_branch_page_pillars(spark, d):
+    # the branch page's pillars, one row each
+    page = br.branch_rank(_pacing(spark, d)).select(
+        "branch_id", *PERIOD, "branch_rank", rp.branch_pillars(star(spark, d)["dim_role_weights"]).alias("pillars"))
+    return page.select("branch_id", *PERIOD, "branch_rank", F.inline("pillars"))
 
 
 def q_province_performance(spark, d):
@@ -185,8 +227,8 @@ def q_referential_integrity(spark, d):
 
 
 RANGE_CHECKS = {
-    "fact_targets": [("target_lending", 0.0, 1e9), ("target_investing", 0.0, 1e9),
-                     ("target_banking_units", 0.0, 1e9), ("target_lei", 1.0, 5.0),
+    "fact_targets": [("target_lending", 0.0, None), ("target_investing", 0.0, None),
+                     ("target_banking_units", 0.0, None), ("target_lei", 1.0, 5.0),
                      ("target_compliance", 0.0, 100.0)],
     "fact_sales": [("lei_actual", 1.0, 5.0)],
     "fact_lei_survey": [("lei_score", 1.0, 5.0)],
@@ -199,6 +241,11 @@ def q_target_range_check(spark, d):
     return qa.target_range_check([(t, s[t], b) for t, b in RANGE_CHECKS.items()])
 
 
+def q_target_outliers(spark, d):
+    return qa.target_outliers(star(spark, d)["fact_targets"],
+                              ["target_lending", "target_investing", "target_banking_units"])
+
+
 def q_key_uniqueness(spark, d):
     s = star(spark, d)
     lineitem = spark.read.parquet(f"{d.rstrip('/')}/lineitem.parquet")
@@ -226,10 +273,10 @@ def q_join_fanout(spark, d):
 
 def q_totals_reconciliation(spark, d):
     s = star(spark, d)
-    sides = [("fact_sales", "branch_sales", br.branch_sales(s["fact_sales"]), [p.actual for p in EMPLOYEE_PILLARS]),
-             ("fact_targets", "branch_targets", br.branch_targets(s["fact_targets"]), [p.target for p in BRANCH_PILLARS])]
+    sales, targets = s["fact_sales"], s["fact_targets"]
     return qa.totals_reconciliation([
-        (f"{c}: {fact} vs {total}", s[fact], c, totals, c) for fact, total, totals, columns in sides for c in columns])
+        ("fact_sales", sales, "branch_sales", br.branch_sales(sales), [p.actual for p in EMPLOYEE_PILLARS]),
+        ("fact_targets", targets, "branch_targets", br.branch_targets(targets), [p.target for p in BRANCH_PILLARS])])
 
 
 def q_reconcile_4dp(spark, d):
@@ -280,7 +327,8 @@ def q_weight_sum_check(spark, d):
 
 def q_headcount_check(spark, d):
     s = star(spark, d)
-    return qa.headcount_check(s["dim_branch"], s["dim_employee"])
+    # declared by the branch dimension, against the people at work in the facts
+    return qa.headcount_check(s["dim_branch"], qa.active_staff([s["fact_sales"], s["fact_targets"]]))
 
 
 # --- planning and I/O ---------------------------------------------------------------
@@ -322,6 +370,43 @@ def q_csv_roundtrip(spark, d):
     return read_csv_typed(spark, path, "fact_sales")
 
 
+def q_csv_typed_load(spark, d):
+    # employees in two extracts whose headers differ in order
+    people = star(spark, d)["dim_employee"]
+    path = scratch_path(spark, "csv-employees")
+    write_csv(people.filter("employee_id % 2 = 0"), f"{path}/even")
+    write_csv(people.filter("employee_id % 2 <> 0"), f"{path}/odd", columns=people.columns[::-1])
+    return read_csv_typed(spark, f"{path}/*", "dim_employee")
+
+
+def q_csv_empty_load(spark, d):
+    # an extract without rows is a table without rows
+    path = scratch_path(spark, "csv-empty")
+    write_csv(star(spark, d)["fact_compliance"].filter("branch_id < 0"), path)
+    return read_csv_typed(spark, path, "fact_compliance")
+
+
+def q_star_period_refresh(spark, d):
+    # sales of one year arrive late: their periods are replaced, those of other years stay
+    s = star(spark, d)
+    late = F.col("year") == REFRESHED_YEAR
+    early = s["fact_sales"].withColumn("lending_actual", F.when(late, 0.0).otherwise(F.col("lending_actual")))
+    folder = scratch_path(spark, "star-refreshed")
+    save_star(s | {"fact_sales": early}, folder, by_period=True)
+    replace_periods({"fact_sales": s["fact_sales"].filter(late)}, folder)
+    return load_star(spark, folder)["fact_sales"]
+
+
+def q_view_export_refresh(spark, d):
+    # the branch view exported for all periods, then again for one year
+    view = _pacing(spark, d)
+    folder = scratch_path(spark, "export-refreshed")
+    export_views({"vw_branch_pacing": view.withColumn("rag_status", F.lit("stale"))}, folder)
+    export_views({"vw_branch_pacing": view.filter(F.col("year") != REFRESHED_YEAR)}, folder, dynamic=True)
+    paths = export_views({"vw_branch_pacing": view.filter(F.col("year") == REFRESHED_YEAR)}, folder, dynamic=True)
+    return spark.read.schema(view.schema).parquet(paths["vw_branch_pacing"])
+
+
 QUERIES: dict[str, QueryFn] = {
     # sources: the adapted star
     "dim_branch": _table("dim_branch"),
@@ -353,7 +438,10 @@ QUERIES: dict[str, QueryFn] = {
     "leaderboard_employees": lambda s, d: rp.leaderboard_employees(_scores(s, d), LEADERBOARD_N),
     "leaderboard_branches": lambda s, d: rp.leaderboard_branches(_branch(s, d), LEADERBOARD_N),
     "pillar_detail": q_pillar_detail,
+    "top_advisors_of_period": q_top_advisors_of_period,
+    "lazy_employee_rank": q_lazy_employee_rank,
     "branch_team": q_branch_team,
+    "branch_page_pillars": q_branch_page_pillars,
     "province_performance": q_province_performance,
     "branch_rank_in_province": q_branch_rank_in_province,
     # measures and rank contexts
@@ -368,6 +456,7 @@ QUERIES: dict[str, QueryFn] = {
     "view_row_counts": q_view_row_counts,
     "referential_integrity": q_referential_integrity,
     "target_range_check": q_target_range_check,
+    "target_outliers": q_target_outliers,
     "key_uniqueness": q_key_uniqueness,
     "join_fanout": q_join_fanout,
     "totals_reconciliation": q_totals_reconciliation,
@@ -387,4 +476,8 @@ QUERIES: dict[str, QueryFn] = {
     "clamp_survey": q_clamp_survey,
     "sales_without_targets": q_sales_without_targets,
     "csv_roundtrip": q_csv_roundtrip,
+    "csv_typed_load": q_csv_typed_load,
+    "csv_empty_load": q_csv_empty_load,
+    "star_period_refresh": q_star_period_refresh,
+    "view_export_refresh": q_view_export_refresh,
 }

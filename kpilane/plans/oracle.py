@@ -14,8 +14,9 @@ from kpilane.schemas import BASE_TARGETS, PILLARS, SEASONAL_AMPLITUDE
 # stated here, not taken from the engine
 LEADERBOARD_N = 10
 H1 = (1, 6)
+REPORT_PERIOD = (1997, 6)
 RANGE_CHECKS = {
-    "fact_targets": [("target_lending", 0, 1e9), ("target_investing", 0, 1e9), ("target_banking_units", 0, 1e9),
+    "fact_targets": [("target_lending", 0, None), ("target_investing", 0, None), ("target_banking_units", 0, None),
                      ("target_lei", 1, 5), ("target_compliance", 0, 100)],
     "fact_sales": [("lei_actual", 1, 5)],
     "fact_lei_survey": [("lei_score", 1, 5)],
@@ -189,14 +190,30 @@ def _range_sql() -> str:
     for table, bounds in RANGE_CHECKS.items():
         for col, lo, hi in bounds:
             parts.append(
-                f"SELECT '{table}' AS table_name, '{col}' AS column_name, {_lit(lo)} AS low, {_lit(hi)} AS high, "
-                f"COUNT({col}) AS rows_checked, "
-                f"CAST(COUNT_IF({col} IS NOT NULL AND NOT ({col} BETWEEN {_lit(lo)} AND {_lit(hi)})) AS BIGINT) "
+                f"SELECT '{table}' AS table_name, '{col}' AS column_name, {_lit(lo)} AS low, "
+                f"CAST({_lit(hi)} AS DOUBLE) AS high, COUNT({col}) AS rows_checked, "
+                f"CAST(COUNT_IF({col} < {_lit(lo)}{f' OR {col} > {_lit(hi)}' if hi is not None else ''}) AS BIGINT) "
                 f"AS out_of_range, "
                 f"CAST(MIN({col}) AS DOUBLE) AS min_value, CAST(MAX({col}) AS DOUBLE) AS max_value FROM {table}")
     return with_views("\nUNION ALL\n".join(parts))
 
 
+def _outliers_sql() -> str:
+    measured = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, tier, role, {c} AS value FROM fact_targets"
+        for c in ("target_lending", "target_investing", "target_banking_units"))
+    return with_views("""
+SELECT m.column_name, m.tier, m.role, MIN(q.q1 - 3.0e0 * (q.q3 - q.q1)) AS low, MIN(q.q3 + 3.0e0 * (q.q3 - q.q1)) AS high,
+       COUNT(value) AS rows_checked,
+       CAST(COUNT_IF(value < q.q1 - 3.0e0 * (q.q3 - q.q1) OR value > q.q3 + 3.0e0 * (q.q3 - q.q1)) AS BIGINT) AS out_of_range,
+       MIN(value) AS min_value, MAX(value) AS max_value
+FROM measured m JOIN (
+  SELECT column_name, tier, role, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3
+  FROM measured GROUP BY column_name, tier, role) q
+  ON (q.column_name, q.tier, q.role) IS NOT DISTINCT FROM (m.column_name, m.tier, m.role)
+GROUP BY m.column_name, m.tier, m.role""", extra_ctes=f"measured AS ({measured})")
+
+
 _UNIQ = [("dim_branch", ["branch_id"]), ("dim_employee", ["employee_id"]),
          ("fact_sales", ["employee_id", "year", "month_number"]), ("fact_targets", ["employee_id", "year", "month_number"]),
          ("fact_compliance", ["branch_id", "year", "month_number"]), ("lineitem", ["l_orderkey", "l_linenumber"])]
@@ -402,9 +419,20 @@ ORACLE: dict[str, str] = {
     "branch_team": with_views(
         "SELECT b.branch_id, b.year, b.month_number, b.branch_code, b.branch_name, b.tier, b.rag_status, "
         "b.weighted_total_score AS branch_score, b.branch_rank, e.employee_id, e.role, e.first_name, "
-        "e.last_name, e.weighted_total_score AS employee_score, e.rank_within_branch "
+        "e.last_name, e.weighted_total_score AS employee_score, e.rank_within_branch, "
+        + ", ".join(f"b.{k}_pct_to_target" for k in _PCT5) + " "
         "FROM vw_branch_rank b JOIN vw_employee_rank e ON e.branch_id = b.branch_id "
         "AND e.year = b.year AND e.month_number = b.month_number"),
+    "branch_page_pillars": with_views("\nUNION ALL\n".join(
+        f"SELECT branch_id, year, month_number, branch_rank, '{label}' AS pillar_name, {k}_pct_to_target AS pct_to_target, "
+        f"(SELECT {k}_weight FROM manager_weights) AS weight_pct, CASE WHEN {k}_pct_to_target >= 1.0e0 THEN 'Green' "
+        f"WHEN {k}_pct_to_target >= 0.9e0 THEN 'Amber' ELSE 'Red' END AS rag_status FROM vw_branch_rank"
+        for k, label in zip(_PCT5, ("Lending", "Investing", "Banking", "LEI", "Compliance")))),
+    "top_advisors_of_period": with_views(
+        "SELECT employee_id, branch_id, branch_code, first_name, last_name, weighted_total_score, rank_within_role, "
+        f"rank_within_branch FROM vw_employee_rank WHERE year = {REPORT_PERIOD[0]} AND month_number = {REPORT_PERIOD[1]} "
+        f"AND role = 'Advisor' ORDER BY weighted_total_score DESC, employee_id LIMIT {LEADERBOARD_N}"),
+    "lazy_employee_rank": _all("vw_employee_rank"),
     "province_performance": with_views(measure_sql(["province", "year", "month_number"])),
     "branch_rank_in_province": with_views(
         "SELECT db.province, p.year, p.month_number, RANK() OVER (PARTITION BY db.province, p.year, p.month_number "
@@ -426,6 +454,7 @@ ORACLE: dict[str, str] = {
          "vw_branch_monthly_score", "vw_branch_pacing"))),
     "referential_integrity": _ri_sql(),
     "target_range_check": _range_sql(),
+    "target_outliers": _outliers_sql(),
     "key_uniqueness": _uniq_sql(),
     "join_fanout": _fanout_sql(),
     "totals_reconciliation": _totals_sql(),
@@ -471,7 +500,8 @@ ORACLE: dict[str, str] = {
         "FROM dim_branch b LEFT JOIN (SELECT branch_id, CAST(count_if(role = 'Manager') AS INTEGER) AS actual_managers, "
         "CAST(count_if(role = 'Advisor') AS INTEGER) AS actual_advisors, "
         "CAST(count_if(role = 'Teller') AS INTEGER) AS actual_tellers, CAST(count(*) AS INTEGER) AS actual_employees "
-        "FROM dim_employee GROUP BY branch_id) a ON a.branch_id = b.branch_id"),
+        "FROM (SELECT employee_id, branch_id, role FROM fact_sales UNION SELECT employee_id, branch_id, role FROM fact_targets) "
+        "GROUP BY branch_id) a ON a.branch_id = b.branch_id"),
     "target_plan": TARGET_PLAN,
     "month_calendar": MONTH_CALENDAR,
     "branch_labels": with_views(
@@ -487,4 +517,8 @@ ORACLE: dict[str, str] = {
         "SELECT s.* FROM fact_sales s WHERE NOT EXISTS (SELECT 1 FROM fact_targets t "
         "WHERE t.employee_id = s.employee_id AND t.year = s.year AND t.month_number = s.month_number)"),
     "csv_roundtrip": _all("fact_sales"),
+    "csv_typed_load": _all("dim_employee"),
+    "csv_empty_load": with_views("SELECT * FROM fact_compliance WHERE FALSE"),
+    "star_period_refresh": _all("fact_sales"),
+    "view_export_refresh": _all("vw_branch_pacing"),
 }

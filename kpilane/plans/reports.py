@@ -5,36 +5,48 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kpilane.operators.ranking import rank_by, rank_of_rows, top_n_by_rank
+from kpilane.functions.scoring import rag_status
+from kpilane.operators.ranking import MAX_CANDIDATES, rank_by, rank_of_rows, top_n_by_rank
+from kpilane.operators.weights import weight_scalars
 from kpilane.operators.weights_long import weights_long
-from kpilane.schemas import period_columns
+from kpilane.schemas import BRANCH_PILLARS, period_columns
 
 
 TOP_ADVISOR_COLUMNS = ("employee_id", "branch_id", "branch_code", "first_name", "last_name",
                        "weighted_total_score", "rank_within_role", "rank_within_branch")
 
 
+def latest_period(scores: DataFrame) -> dict[str, Column]:
+    """The last period that ``scores`` has rows of, one scalar-subquery column per period column."""
+    period = period_columns(scores)
+    last = scores.agg(F.max(F.struct(*period))).scalar()
+    return {c: last.getField(c) for c in period}
+
+
 def top_advisors(scores: DataFrame, n: int = 3, role: str = "Advisor") -> DataFrame:
     """Top ``n`` of ``role`` in the latest period that role has scores for, with both ranks.
 
-    The latest (year and) month is a scalar subquery and the top-k a ``TakeOrderedAndProject``
+    The latest (year and) month is a scalar subquery over the key columns. Each period column is compared with its
+    part of it, so that a star stored by period is read in that period's folders only. The top-k is a
+    ``TakeOrderedAndProject``
     (each task keeps ``n`` rows; ties broken by employee id).  The two ranks of
-    those ``n`` rows are then counted against the whole month (a broadcast of
-    ``n`` rows), so no full ranking of the workforce is needed.
+    those ``n`` rows are then counted against the period (a broadcast of
+    ``n`` rows, ``MAX_CANDIDATES`` at most), so no full ranking of the workforce is needed and nothing is stored.
     """
-    # read three times (latest month, top-k, rank counts): materialise once
-    scores = scores.checkpoint(eager=True)
-    of_role = scores.filter(F.col("role") == role)
+    if not 0 < n <= MAX_CANDIDATES:
+        raise ValueError(f"n must lie between 1 and {MAX_CANDIDATES}, got {n}")
     period = period_columns(scores)
-    latest = of_role.agg(F.max(F.struct(*period))).scalar()
-    top = (of_role.filter(F.struct(*period) == latest)
+    latest = latest_period(scores.filter(F.col("role") == role))
+    for c in period:
+        scores = scores.filter(F.col(c) == latest[c])
+    top = (scores.filter(F.col("role") == role)
            .orderBy(F.col("weighted_total_score").desc_nulls_last(), F.col("employee_id").asc())
            .limit(n))
     contexts = {"rank_within_role": ["role", *period], "rank_within_branch": ["branch_id", *period]}
-    ranked = rank_of_rows(top, scores, contexts, "weighted_total_score", ["employee_id", *period])
+    ranked = rank_of_rows(top, scores, contexts, "weighted_total_score", ["employee_id", *period], at_most=n)
     return ranked.select(*TOP_ADVISOR_COLUMNS)
 
 
@@ -51,15 +63,26 @@ def pillar_detail(long: DataFrame, weights: DataFrame) -> DataFrame:
         "weighted_total_score")
 
 
-def branch_team(ranked: DataFrame, branch_ranked: DataFrame, branch_id: int | None = None) -> DataFrame:
+def branch_pillars(weights: DataFrame) -> Column:
+    """The branch's five pillars as one column: pillar_name, pct_to_target, weight_pct, rag_status in pillar order."""
+    w = weight_scalars(weights)
+    return F.array(*[F.struct(F.lit(p.long_label).alias("pillar_name"),
+                              F.col(f"{p.key}_pct_to_target").alias("pct_to_target"), w[p.key].alias("weight_pct"),
+                              rag_status(f"{p.key}_pct_to_target").alias("rag_status")) for p in BRANCH_PILLARS])
+
+
+def branch_team(ranked: DataFrame, branch_ranked: DataFrame, branch_id: int | None = None,
+                weights: DataFrame | None = None) -> DataFrame:
     """Branch page: the branch's band, score and rank next to each team member.
 
+    With ``weights`` the page also has the branch's ``pillars`` (:func:`branch_pillars`).
     Both sides are keyed by (branch, period), so this is one co-partitioned join.
     """
     period = period_columns(ranked)
+    pillars = [branch_pillars(weights).alias("pillars")] if weights is not None else []
     b = branch_ranked.select(
         "branch_id", *period, "branch_code", "branch_name", "tier", "rag_status",
-        F.col("weighted_total_score").alias("branch_score"), "branch_rank")
+        F.col("weighted_total_score").alias("branch_score"), "branch_rank", *pillars)
     e = ranked.select("branch_id", *period, "employee_id", "role", "first_name", "last_name",
                       F.col("weighted_total_score").alias("employee_score"), "rank_within_branch")
     if branch_id is not None:

@@ -16,10 +16,14 @@ VIEW_NAMES = ("vw_employee_monthly_score", "vw_employee_rank", "vw_employee_scor
 
 
 def build_views(star: Mapping[str, DataFrame], ties: str = "rank") -> dict[str, DataFrame]:
-    """The five views, layered: score -> rank -> long; branch score -> pacing."""
+    """The five views, layered: score -> rank -> long; branch score -> pacing.
+
+    They are plans: nothing runs until one is queried, and each query sees the star's rows of
+    that time. Ranks are found by fixed cells of the score, which need no stored job.
+    """
     period = period_columns(star["fact_sales"])
     scores = emp.employee_monthly_score(star, period_cols=period)
-    ranked = emp.employee_rank(scores, ties=ties, period_cols=period)
+    ranked = emp.employee_rank(scores, ties=ties, method="cells", period_cols=period)
     branch = br.branch_monthly_score(star, period_cols=period)
     return {
         "vw_employee_monthly_score": scores,
@@ -41,8 +45,17 @@ def register_views(spark: SparkSession, star: Mapping[str, DataFrame], ties: str
     return views
 
 
-def top_advisors_sql(spark: SparkSession, month: int, role: str = "Advisor", n: int = 3) -> DataFrame:
-    """The best ``n`` of a role in a month, with bound parameters over the registered views."""
+def top_advisors_sql(spark: SparkSession, month: int, role: str = "Advisor", n: int = 3,
+                     year: int | None = None) -> DataFrame:
+    """The best ``n`` of a role in a period, with bound parameters over the registered views.
+
+    Views that carry a year need one: a month of all years together has no ranking.
+    """
+    columns = spark.table("vw_employee_rank").columns
+    if ("year" in columns) != (year is not None):
+        raise ValueError("the views carry a year: give one" if year is None else "the views carry no year")
+    period = "month_number = :month" + ("" if year is None else " AND year = :year")
+    args = {"role": role, "month": month, "n": n} | ({} if year is None else {"year": year})
     return spark.sql(
-        f"SELECT {', '.join(TOP_ADVISOR_COLUMNS)} FROM vw_employee_rank WHERE month_number = :month AND role = :role "
-        "ORDER BY weighted_total_score DESC, employee_id LIMIT :n", args={"role": role, "month": month, "n": n})
+        f"SELECT {', '.join(TOP_ADVISOR_COLUMNS)} FROM vw_employee_rank WHERE {period} AND role = :role "
+        "ORDER BY weighted_total_score DESC, employee_id LIMIT :n", args=args)

@@ -142,6 +142,9 @@ BASE_TARGETS_SCHEMA = _schema(
 INTEGER_COLUMNS = frozenset(f.name for schema in SCHEMAS.values() for f in schema.fields
                             if f.dataType.typeName() in ("integer", "long")) | {"year"}
 
+# The facts that are kept by period.
+PERIOD_TABLES = tuple(t for t in STAR_TABLES if "month_number" in SCHEMAS[t].fieldNames())
+
 # Months of several years carry a year before the month number.
 PERIOD_COLUMNS = ("year", "month_number")
 

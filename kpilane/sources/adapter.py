@@ -212,9 +212,12 @@ def fact_compliance(tables: dict[str, DataFrame], branches: DataFrame) -> DataFr
         F.col("_exceptions").cast("int").alias("exceptions_count"))
 
 
-def star_from_tpch(spark: SparkSession, sf_dir: str, stage_dir: str | None = None) -> dict[str, DataFrame]:
+def star_from_tpch(spark: SparkSession, sf_dir: str, stage_dir: str | None = None,
+                   weights: DataFrame | None = None) -> dict[str, DataFrame]:
     """The seven scorecard tables as lazy DataFrames over the driver tables.
 
+    ``weights`` are the role weights, e.g. a stored table (``read_role_weights``); by default the fixed ones.
+
     With ``stage_dir`` (shared storage) the supplier x month aggregate is written
     there first, so sales, targets and survey facts share one scan of lineitem.
     """
@@ -232,7 +235,7 @@ def star_from_tpch(spark: SparkSession, sf_dir: str, stage_dir: str | None = Non
     return {
         "dim_branch": branches,
         "dim_employee": employees,
-        "dim_role_weights": role_weights_frame(spark),
+        "dim_role_weights": role_weights_frame(spark) if weights is None else weights,
         "fact_sales": fact_sales(sales_months, employees),
         "fact_targets": fact_targets(sales_months, employees),
         "fact_lei_survey": fact_lei_survey(sales_months, employees),

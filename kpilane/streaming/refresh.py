@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from kpilane.operators import branch as br
 from kpilane.operators import employee as emp
-from kpilane.schemas import table_schema
+from kpilane.schemas import PERIOD_TABLES, table_schema
 from kpilane.sources.star import load_star
 
-MONTH_TABLES = ("fact_sales", "fact_targets", "fact_lei_survey", "fact_compliance")
-
 
 def _restrict(star: Mapping[str, DataFrame], periods: DataFrame, period_cols) -> dict[str, DataFrame]:
     """The star with every fact limited to ``periods`` (a left-semi join; no collect)."""
     out = dict(star)
-    for t in MONTH_TABLES:
+    for t in PERIOD_TABLES:
         out[t] = star[t].join(periods, list(period_cols), "left_semi")
     return out
 
@@ -46,16 +45,20 @@ def refresh_months(star: Mapping[str, DataFrame], months: DataFrame, out_dir: st
 
 
 def start_monthly_refresh(spark: SparkSession, star_dir: str, out_dir: str, checkpoint: str,
-                          landing_table: str = "fact_sales", available_now: bool = True,
+                          landing_table: str | Sequence[str] = PERIOD_TABLES, available_now: bool = True,
                           period_cols=("month_number",)) -> StreamingQuery:
-    """Stream new ``landing_table`` Parquet files under ``star_dir``; refresh their periods.
+    """Stream new Parquet files of the facts (all, or those named) under ``star_dir``; refresh their periods.
 
-    Each micro-batch reduces to its distinct months (at most the number of
+    The facts' streams are one stream of period keys, so new sales, targets, survey or compliance rows of a
+    period each refresh it.  Each micro-batch reduces to its distinct months (at most the number of
     periods), reloads the star (which now includes the new files) and rewrites
     those month partitions of every view.  ``checkpoint`` must be on shared
     storage; the stream then restarts where it stopped after a failure.
     """
-    stream = spark.readStream.schema(table_schema(landing_table, period_cols)).parquet(f"{star_dir.rstrip('/')}/{landing_table}")
+    tables = [landing_table] if isinstance(landing_table, str) else list(landing_table)
+    landed = [spark.readStream.schema(table_schema(t, period_cols)).parquet(f"{star_dir.rstrip('/')}/{t}")
+              .select(*period_cols) for t in tables]
+    stream = reduce(DataFrame.unionAll, landed)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         refresh_months(load_star(spark, star_dir), batch, out_dir, period_cols=period_cols)

@@ -99,12 +99,33 @@ def test_csv_text_round_trips_as_written(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
 
 
-def test_csv_files_with_other_headers_fail(spark, tmp_path):
-    import pytest
+def test_csv_cells_go_to_columns_by_each_files_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("role,metric_name,weight_pct\nr,m,1\n")
+    (tmp_path / "b.csv").write_text('\ufeffmetric_name,"weight_pct",role\r\nn,2,"s, ""x"""\r\n')
+    rows = read_csv_typed(spark, str(tmp_path), "dim_role_weights").collect()
+    assert sorted(map(tuple, rows)) == [("r", "m", 1.0), ('s, "x"', "n", 2.0)]
 
-    from kpilane.sources.star import read_csv_typed
 
+def test_csv_file_with_another_column_fails(spark, tmp_path):
     (tmp_path / "a.csv").write_text("role,metric_name,weight_pct\nr,m,1\n")
-    (tmp_path / "b.csv").write_text("metric_name,role,weight_pct\nm,r,1\n")
-    with pytest.raises(Exception):
+    (tmp_path / "b.csv").write_text("role,metric,weight_pct\nr,m,1\n")
+    with pytest.raises(Exception, match="other columns"):
         read_csv_typed(spark, str(tmp_path), "dim_role_weights").collect()
+
+
+def test_large_csv_is_read_in_splits_unless_a_cell_has_line_breaks(spark, tmp_path):
+    head = "employee_id,branch_id,month_number,month_name,survey_response_count,lei_score\n"
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    body = "".join(f"{i},1,1,January,2,3.5\n" for i in range(4000))
+    plain.write_text(head + body)
+    broken.write_text(head + body + '4000,1,1,"Jan\nuary",2,3.5\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = read_csv_typed(spark, str(plain), "fact_lei_survey")
+        assert rows.rdd.getNumPartitions() > 3 and rows.count() == rows.distinct().count() == 4000
+        whole = read_csv_typed(spark, str(broken), "fact_lei_survey")
+        assert whole.rdd.getNumPartitions() == 1 and whole.count() == 4001
+        assert whole.filter("employee_id = 4000").collect()[0].month_name == "Jan\nuary"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

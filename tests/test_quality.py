@@ -32,9 +32,13 @@ def test_range_check(spark):
 
 
 def test_totals_and_reconcile(golden):
-    tot = qa.totals_reconciliation([("lend", golden["fact_sales"], "lending_actual",
-                                     br.branch_sales(golden["fact_sales"]), "lending_actual")]).collect()[0]
-    assert tot.total_a == tot.total_b == 11660.0 and tot.difference == 0.0
+    sides = [("fact_sales", golden["fact_sales"], "branch_sales", br.branch_sales(golden["fact_sales"]),
+              ["lending_actual", "investing_actual"])]
+    tot = {r.check_name: r for r in qa.totals_reconciliation(sides).collect()}
+    lend = tot["lending_actual: fact_sales vs branch_sales"]
+    assert len(tot) == 2 and lend.total_a == lend.total_b == 11660.0 and lend.difference == 0.0
+    plan = qa.totals_reconciliation(sides)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 1  # a leg for each side, whatever the number of columns
     keys = ["branch_id", "month_number"]
     rec = qa.reconcile(ms.measure_by_grain(golden, keys), br.branch_monthly_score(golden), keys,
                        ms.MEASURE_COLUMNS)
@@ -63,6 +67,49 @@ def test_weight_and_headcount_checks(golden):
     assert hc == {1: False, 2: False, 3: False}  # the fixture declares 1/1/1 per branch
 
 
+def test_headcounts_come_from_the_facts(golden):
+    staff = qa.active_staff([golden["fact_sales"], golden["fact_targets"]])
+    assert staff.count() == staff.select("employee_id").distinct().count()
+    counted = {(r.branch_id, r.role): r["count"] for r in staff.groupBy("branch_id", "role").count().collect()}
+    declared = golden["dim_branch"]
+    for role in ("Manager", "Advisor", "Teller"):
+        of = F.create_map(*[F.lit(x) for b in (1, 2, 3) for x in (b, counted.get((b, role), 0))])
+        declared = declared.withColumn(f"{role.lower()}_count", of[F.col("branch_id")].cast("int"))
+    totals = F.create_map(*[F.lit(x) for b in (1, 2, 3) for x in (b, sum(n for (k, _), n in counted.items() if k == b))])
+    declared = declared.withColumn("employee_count", totals[F.col("branch_id")].cast("int"))
+    ok = {r.branch_id: r.headcount_matches for r in qa.headcount_check(declared, staff).collect()}
+    assert ok == {1: True, 2: True, 3: True}
+    # a planted mismatch: branch 2 declares one Advisor more than is seen at work
+    planted = declared.withColumn("advisor_count", F.col("advisor_count") + F.when(F.col("branch_id") == 2, 1).otherwise(0))
+    ok = {r.branch_id: r.headcount_matches for r in qa.headcount_check(planted, staff).collect()}
+    assert ok == {1: True, 2: False, 3: True}
+
+
+def test_planted_target_is_an_outlier_of_its_tier_and_role(spark):
+    rows = [("Small", "Advisor", 100.0 + i) for i in range(40)] + [("Large", "Advisor", 9000.0 + i) for i in range(40)]
+    rows += [("Small", "Advisor", 9010.0), (None, "Teller", 5.0), (None, "Teller", None)]
+    df = spark.createDataFrame(rows, "tier string, role string, target double")
+    got = {(r.tier, r.role): r for r in qa.target_outliers(df, ["target"]).collect()}
+    assert got["Small", "Advisor"].out_of_range == 1 and got["Small", "Advisor"].max_value == 9010.0
+    assert got["Large", "Advisor"].out_of_range == 0  # the same amount is usual there
+    assert got[None, "Teller"].rows_checked == 1
+    assert qa.target_outliers(df.limit(0), ["target"]).collect() == []
+
+
+def test_a_range_without_upper_bound(spark):
+    df = spark.createDataFrame([(-1.0,), (1e12,), (None,)], "x double")
+    r = qa.target_range_check([("t", df, [("x", 0.0, None)])]).collect()[0]
+    assert (r.high, r.rows_checked, r.out_of_range) == (None, 2, 1)
+
+
+def test_empty_tables_count_zero(spark):
+    none = spark.createDataFrame([], "k int, v int")
+    r = qa.key_uniqueness([("t", none, ["k"])]).collect()[0]
+    assert (r.total_rows, r.distinct_keys, r.duplicate_keys, r.rows_in_duplicates) == (0, 0, 0, 0)
+    f = qa.join_fanout([("t", none, none, ["k"])]).collect()[0]
+    assert (f.left_rows, f.joined_rows, f.extra_rows) == (0, 0, 0)
+
+
 def test_measure_at_branch_grain_equals_branch_view(golden):
     keys = ["branch_id", "month_number"]
     m = {r.branch_id: r.weighted_total_score for r in ms.measure_by_grain(golden, keys).collect()}
