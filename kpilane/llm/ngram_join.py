@@ -23,13 +23,15 @@ block: one matrix product counts the common shingles of all their pairs, of whic
 spanning forest of the links leaves the task.
 
 *One-deletion neighbourhoods.* Two sets whose equal segments are all empty have more
-than SLACK empty ones each. Of such sets every segment is indexed in full and with each
+than SLACK empty ones each, and no more others than the shingles in which they differ. Of such sets every segment is indexed in full and with each
 one shingle left out, and a subset meets the neighbourhoods it equals: if fewer than
 H / 2 segments are empty, one of the others differs in at most one shingle. Sets
 with more empty ones are paired by every segment in full.
 
-Every candidate pair is verified on the whole sets, and verified links give the
-components. No candidate is dropped. Candidates travel as pairs of set ids and
+Partners share more than SLACK segments, so a pair that shares fewer (empty segments and those in subsets
+that make no pairs taken into account) is no candidate. Every candidate pair is verified on the whole
+sets, and verified links give the
+components. Candidates travel as pairs of set ids and
 as the sets that some pair needs; these are picked by a bit table of fixed size.
 
 A set's id is 64 bits: 46 of a hash of its shingles, 18 of its size.
@@ -49,7 +51,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpilane.llm.common import distinct, mix, require_checkpoint_dir, shuffle_partitions, slices, utf8_buffer, word_hashes
+from kpilane.llm.common import (distinct, mix, require_checkpoint_dir, shuffle_partitions, slices, stored, utf8_buffer,
+                                word_hashes)
 from kpilane.llm.components import components
 
 SHINGLE = 4
@@ -196,70 +199,74 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, sizes, np.cumsum(new) - 1
 
 
-def _counted(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Different pairs of a partition with how often they occur."""
+_ROW = ["kind", "a", "b", "times", "need_a", "need_b"]
+
+
+def _counted(kind: int, a: np.ndarray, b: np.ndarray, need_a: np.ndarray, need_b: np.ndarray) -> pa.RecordBatch:
+    """Different pairs of a partition with how often they occur, and what each side needs of its partners."""
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     at = np.flatnonzero(new)
     times = np.diff(np.append(at, len(a)))
-    return _batch(["kind", "a", "b", "times"], np.full(len(at), kind), a[at], b[at], times)
+    return _batch(_ROW, np.full(len(at), kind), a[at], b[at], times, need_a[order][at], need_b[order][at])
 
 
 PAIR, PIVOT, SHARED = 0, 1, 2
 
 
 def _allocate(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
-    """A partition of (subset hash, set): pairs of small groups, pivot pairs and rows of larger ones."""
-    key, ids = _gather(batches, 2)
+    """A partition of (subset hash, set, need): pairs of small groups, pivot pairs and rows of larger ones."""
+    key, ids, need = _gather(batches, 3)
     order = np.lexsort((ids, key))
-    key, ids = key[order], ids[order]
+    key, ids, need = key[order], ids[order], need[order]
     once = np.ones(len(key), bool)
     once[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-    key, ids = key[once], ids[once]
+    key, ids, need = key[once], ids[once], need[once]
     starts, sizes, run = _runs(key)
     small = sizes[run] <= PAIRED
-    a, b = [], []
+    left, right = [], []
     for gap in range(1, PAIRED):
         at = np.flatnonzero(small[:-gap] & (key[:-gap] == key[gap:])) if len(key) > gap else np.zeros(0, int)
         at = at[_similar_sizes(ids[at], ids[at + gap], similarity)]
-        a.append(ids[at])
-        b.append(ids[at + gap])
-    yield _counted(PAIR, np.concatenate(a), np.concatenate(b))
+        left.append(at)
+        right.append(at + gap)
+    left, right = np.concatenate(left), np.concatenate(right)
+    yield _counted(PAIR, ids[left], ids[right], need[left], need[right])
     large = np.flatnonzero(~small)
-    pivots = ids[starts[run[large]]]
-    tried = (pivots != ids[large]) & _similar_sizes(pivots, ids[large], similarity)
-    yield _counted(PIVOT, pivots[tried], ids[large][tried])
-    yield _batch(["kind", "a", "b", "times"], np.full(len(large), SHARED), key[large], ids[large],
-                 np.ones(len(large), int))
+    pivots = starts[run[large]]
+    tried = (pivots != large) & _similar_sizes(ids[pivots], ids[large], similarity)
+    yield _counted(PIVOT, ids[pivots[tried]], ids[large[tried]], need[pivots[tried]], need[large[tried]])
+    yield _batch(_ROW, np.full(len(large), SHARED), key[large], ids[large], np.ones(len(large), int), need[large], need[large])
 
 
 def _cross(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
-    """A partition of (subset hash, set, component): pairs from different components, and rows of costly subsets."""
-    key, ids, component = _gather(batches, 3)
+    """A partition of (subset hash, set, component, need): pairs from different components, and rows of costly subsets."""
+    key, ids, component, need = _gather(batches, 4)
     order = np.lexsort((ids, component, key))
-    key, ids, component = key[order], ids[order], component[order]
+    key, ids, component, need = key[order], ids[order], component[order], need[order]
     starts, sizes, _ = _runs(key)
-    a, b, costly = [], [], np.zeros(len(key), bool)
+    left, right, costly = [np.zeros(0, int)], [np.zeros(0, int)], np.zeros(len(key), bool)
     for start, size in zip(starts.tolist(), sizes.tolist()):
         if component[start] == component[start + size - 1]:
             continue
-        mine = ids[start:start + size]
         _, part_sizes, part = _runs(component[start:start + size])
         if (size * size - int((part_sizes ** 2).sum())) // 2 > CROSS_PAIRS * size:
             costly[start:start + size] = True
             continue
         ends = np.cumsum(part_sizes)[part]
         for row in range(size):  # with the rows of the components after its own
-            a.append(np.full(size - ends[row], mine[row]))
-            b.append(mine[ends[row]:])
-    if a:
-        a, b = np.concatenate(a), np.concatenate(b)
-        near = _similar_sizes(a, b, similarity)
-        yield _counted(PAIR, np.minimum(a, b)[near], np.maximum(a, b)[near])
+            left.append(np.full(size - ends[row], start + row))
+            right.append(np.arange(start + ends[row], start + size))
+    left, right = np.concatenate(left), np.concatenate(right)
+    near = _similar_sizes(ids[left], ids[right], similarity)
+    left, right = left[near], right[near]
+    swap = ids[left] > ids[right]
+    left, right = np.where(swap, right, left), np.where(swap, left, right)
+    yield _counted(PAIR, ids[left], ids[right], need[left], need[right])
     lost = np.flatnonzero(costly)
-    yield _batch(["kind", "a", "b", "times"], np.full(len(lost), SHARED), key[lost], ids[lost], np.ones(len(lost), int))
+    yield _batch(_ROW, np.full(len(lost), SHARED), key[lost], ids[lost], np.ones(len(lost), int), need[lost], need[lost])
 
 
 def _meet(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
@@ -279,22 +286,30 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.Rec
     if a:
         a, b = np.concatenate(a), np.concatenate(b)
         near = _similar_sizes(a, b, similarity) & (a != b)
-        yield _counted(PAIR, np.minimum(a, b)[near], np.maximum(a, b)[near])
+        none = np.zeros(int(near.sum()), int)
+        yield _counted(PAIR, np.minimum(a, b)[near], np.maximum(a, b)[near], none, none)
 
 
 FULL, DELETED, BOTH = 0, 1, 2
 
 
 def _neighbourhoods(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, kind) of every segment of one set, full and with each one shingle left out."""
-    hashes, kinds = [], []
+    """(hash, kind) of every segment of one set, full and with each one shingle left out.
+
+    Of the bands only those where all segments can differ: more than SLACK are empty, and the others no more than the
+    shingles in which a partner of a set of this size can differ. Elsewhere some equal segment is not empty.
+    """
+    hashes, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, int)]
     offsets = np.array([0, len(tokens)])
+    most = (100 - bands.similarity) * (len(tokens) + len(tokens) * 100 // bands.similarity) // (100 + bands.similarity)
     with np.errstate(over="ignore"):
         for places, band in bands.memberships(np.diff(offsets)):
             if not len(places):
                 continue
             count = int(bands.segments[band[0]])
             _, segment, bounds, own = _segments(tokens, offsets, places, band, bands)
+            if count - len(segment) <= bands.slack[band[0]] or len(segment) > most:
+                continue
             space = _space(np.full(count, band[0]), np.arange(count))
             sums = np.zeros(count, np.uint64)
             sums[segment] = _sums(mix(own), bounds)
@@ -318,7 +333,6 @@ class Join:
         self.texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.shingle, self.similarity, self.bands = shingle, similarity, Bands(similarity)
         self.parts = shuffle_partitions(self.spark)
-        self.few = -(-self.parts // 8)  # for pairs of ids, which are far smaller than the texts
 
     def documents(self) -> DataFrame:
         """doc_id, size and set id of every row, and the slack its set has left by its empty segments."""
@@ -340,20 +354,21 @@ class Join:
         return self.texts.mapInArrow(run, "doc_id long, n_shingles long, set long, left long")
 
     def index(self) -> DataFrame:
-        """(subset hash, set id) of every non-empty segment."""
+        """Subset hash, set id and the set's need (:meth:`possible`) of every non-empty segment."""
         shingle, bands = self.shingle, self.bands
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches):
                 tokens, offsets = token_sets(batch.column(0), shingle)
                 ids = set_ids(tokens, offsets)
-                hashes, owners, _ = subset_hashes(tokens, offsets, bands)
+                hashes, owners, left = subset_hashes(tokens, offsets, bands)
                 first = np.zeros(len(ids), bool)  # equal sets of a batch are indexed once
                 first[np.unique(ids, return_index=True)[1]] = True
                 keep = first[owners]
-                yield _batch(["key", "set"], hashes[keep].astype(np.int64), ids[owners[keep]])
+                yield _batch(["key", "set", "need"], hashes[keep].astype(np.int64), ids[owners[keep]],
+                             left[owners[keep]] + 1)
 
-        return self.texts.select("text").mapInArrow(run, "key long, set long")
+        return self.texts.select("text").mapInArrow(run, "key long, set long, need long")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(set, payload) of the sets whose ids are in the column ``set`` of ``wanted``; some more may come along."""
@@ -380,8 +395,24 @@ class Join:
                 yield pa.RecordBatch.from_arrays([pa.array(ids[rows], pa.int64()), pa.array(payloads, pa.binary())],
                                                  names=["set", "payload"])
 
-        return self.texts.select("text").mapInArrow(run, "set long, payload binary").dropDuplicates(["set"]).coalesce(
-            self.few).checkpoint()
+        return self.texts.select("text").mapInArrow(run, "set long, payload binary").dropDuplicates(["set"])
+
+    def possible(self, pairs: DataFrame, unseen: DataFrame) -> DataFrame:
+        """The pairs (a, b, times, need_a, need_b) that can be links.
+
+        Partners share more than SLACK segments. Those that are empty, and those in subsets that make no pairs (a set has
+        ``unseen`` many), may be among them; the others make the pair once each. A pair that was made less often than
+        one of its sets needs is no link. The pairs are dealt by a, counted and met by what a lacks in one
+        shuffle of ids; what is left meets what b lacks.
+        """
+        lacks = unseen.groupBy("set").agg(F.count("*").alias("lacks"))
+        of_a = lacks.toDF("a", "lacks_a")
+        of_b = lacks.toDF("b", "lacks_b")
+        counted = (pairs.repartition(self.parts, "a").groupBy("a", "b")
+                   .agg(F.sum("times").alias("times"), F.max("need_a").alias("need_a"), F.max("need_b").alias("need_b")))
+        return (counted.join(of_a, "a", "left").filter(F.col("times") >= F.col("need_a") - F.coalesce("lacks_a", F.lit(0)))
+                .join(of_b, "b", "left").filter(F.col("times") >= F.col("need_b") - F.coalesce("lacks_b", F.lit(0)))
+                .select("a", "b"))
 
     def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are similar, as links (u, v)."""
@@ -401,38 +432,40 @@ class Join:
 
     def links(self, documents: DataFrame) -> DataFrame:
         similarity, parts = self.similarity, self.parts
-        row = "kind long, a long, b long, times long"
-        allocated = (self.index().repartition(parts, "key")
-                     .mapInArrow(lambda b: _allocate(b, similarity), row).checkpoint().coalesce(self.few))
-        pairs = (allocated.filter(F.col("kind") != SHARED).groupBy("a", "b")
-                 .agg(F.min("kind").alias("kind"), F.sum("times").alias("times"))
-                 .filter((F.col("kind") == PAIR) | (F.col("times") >= PIVOT_SHARED)).select("a", "b")
-                 .coalesce(self.few).checkpoint())
-        shared = allocated.filter(F.col("kind") == SHARED).select(F.col("a").alias("key"), F.col("b").alias("set"))
+        row = ", ".join(f"{c} long" for c in _ROW)
+        allocated = stored(self.index().repartition(parts, "key").mapInArrow(lambda b: _allocate(b, similarity), row), "allocated")
+        shared = allocated.filter(F.col("kind") == SHARED).select(F.col("a").alias("key"), F.col("b").alias("set"),
+                                                                  F.col("need_b").alias("need"))
+        made = allocated.filter(F.col("kind") == PAIR)
+        often = (allocated.filter(F.col("kind") == PIVOT).groupBy("a", "b").agg(F.sum("times").alias("times"))
+                 .filter(F.col("times") >= PIVOT_SHARED).select("a", "b"))
+        pairs = stored(self.possible(made, shared).union(often).distinct(), "pairs")
         sets = self.sets(pairs.select(F.col("a").alias("set")).union(pairs.select("b")))
-        links = self.verify(pairs, sets).coalesce(self.few).checkpoint()
+        links = stored(self.verify(pairs, sets), "links")
 
         # subsets that many sets share: what the links so far leave open
-        crossed = (self._with_components(shared, links).repartition(parts, "key")
-                   .mapInArrow(lambda b: _cross(b, similarity), row).checkpoint().coalesce(self.few))
-        more = crossed.filter(F.col("kind") == PAIR).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-        # sets that lost more segments than their slack, by costly subsets or by empty segments alone
+        crossed = stored(self._with_components(shared, links).repartition(parts, "key")
+                         .mapInArrow(lambda b: _cross(b, similarity), row), "crossed")
         costly = crossed.filter(F.col("kind") == SHARED).select(F.col("a").alias("key"), F.col("b").alias("set"))
+        # new pairs, with the times that small subsets made them
+        new = crossed.filter(F.col("kind") == PAIR)
+        again = made.join(new.select("a", "b").distinct(), ["a", "b"], "left_semi")
+        more = (self.possible(new.select(_ROW).union(again.select(_ROW)), costly).join(pairs, ["a", "b"], "left_anti"))
+        # sets that lost more segments than their slack, by costly subsets or by empty segments alone
         left = documents.filter(F.col("left") < UNBANDED).groupBy("set").agg(F.min("left").alias("left"))
         poor = (costly.groupBy("set").agg(F.count("*").alias("lost")).join(left, "set")
                 .filter(F.col("lost") > F.col("left")).select("set"))
-        costly = costly.join(poor, "set", "left_semi").select("key", "set").coalesce(self.few).checkpoint()
+        costly = stored(costly.join(poor, "set", "left_semi").select("key", "set"), "costly")
         bare = documents.filter("left < 0").select("set").distinct()
-        more = more.coalesce(self.few).checkpoint()
-        sets = self.sets(more.select(F.col("a").alias("set")).union(more.select("b")).union(costly.select("set"))
-                         .union(bare))
+        more = stored(more, "more")
+        sets = stored(self.sets(more.select(F.col("a").alias("set")).union(more.select("b")).union(costly.select("set"))
+                                .union(bare)), "sets")
         more = more.union(self._neighbours(bare, sets)).distinct()
-        return links.union(self.verify(more, sets).coalesce(self.few)).union(
-            self._block_links(costly, sets).coalesce(self.few))
+        return links.union(self.verify(more, sets)).union(self._block_links(costly, sets))
 
     def _with_components(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         known = components(links).withColumnRenamed("node", "set")
-        return rows.join(known, "set", "left").select("key", "set", F.coalesce("component", "set").alias("component"))
+        return rows.join(known, "set", "left").select("key", "set", F.coalesce("component", "set").alias("component"), "need")
 
     def _neighbours(self, bare: DataFrame, sets: DataFrame) -> DataFrame:
         """Candidate pairs of the sets with many empty segments."""
@@ -446,7 +479,7 @@ class Join:
 
         return (sets.join(bare, "set", "left_semi").select("set", "payload")
                 .mapInArrow(neighbourhoods, "key long, set long, kind long").repartition(self.parts, "key")
-                .mapInArrow(lambda b: _meet(b, similarity), "kind long, a long, b long, times long")
+                .mapInArrow(lambda b: _meet(b, similarity), ", ".join(f"{c} long" for c in _ROW))
                 .select("a", "b"))
 
     def _block_links(self, rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -467,7 +500,8 @@ class Join:
                   .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
                   .join(sets, "set").select("cluster", "band", "block", "set", "payload")
                   .groupBy("cluster", "band", "block").applyInArrow(_pack_block, "cluster long, band int, block int, "
-                                                                                 "packed binary").checkpoint())
+                                                                                 "packed binary"))
+        blocks = stored(blocks, "blocks")
         numbered = sizes.select("cluster", "band", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "blocks")
         same = numbered.select("cluster", "band", "block", F.col("band").alias("band_b"),
                                F.explode(F.expr("sequence(block, blocks - 1)")).alias("block_b"))
@@ -569,7 +603,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
     join = Join(docs, id_col, text_col, shingle, similarity)
-    documents = join.documents().checkpoint()
+    documents = stored(join.documents(), "documents")
     known = components(join.links(documents)).withColumnRenamed("node", "set")
     filled = (documents.filter("n_shingles > 0").join(known, "set", "left")
               .select("doc_id", "n_shingles", F.coalesce("component", "set").alias("component")))
