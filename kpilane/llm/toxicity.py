@@ -1,21 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, one for toxic and one for ordinary documents, give the probability of
-an expression (a word) character by character. In class k, after the beginning h
-of a word, with absolute discount D:
+Whole texts are read, as words: runs of letters, runs of digits, single signs. Two models, one for toxic and one for
+ordinary documents, give the probability of a word character by character, to its end. In class k, after the
+history h, with absolute discount D:
 
     P_k(c | h) = (max(n_k(hc) - D, 0) + D * followers_k(h) * P(c | h)) / n_k(h)
     P(c | h)   = kinds(hc) / kinds(h)
 
-``n_k`` counts occurrences, ``followers_k`` the different characters seen after h,
+The history is the word's beginning, and slides from the character after ``BEGINNING`` on: it then holds the
+``BEGINNING`` - 1 characters before. ``n_k`` counts occurrences, ``followers_k`` the different characters seen after h,
 and P is the backoff shared by both classes: Kneser-Ney continuation counts, the
-number of different words through hc. Where a class has not seen h, P_k is P, so
-a rare expression moves the comparison only through the beginnings that it
-shares with others. An expression's evidence is the difference of its two
+number of places in different words with hc. Where a class has not seen h, P_k is P, so
+a rare expression moves the comparison only through the histories that it
+shares with others. A word's evidence is the difference of its two
 log-likelihoods.
 
+The same formula over words gives expressions of two: h is the word before, c the word, and kinds counts different
+words before c. Their order counts.
+
 A document's log-likelihoods are compared length-normalised: the mean evidence
-over all its words, and the mean over the few words with the most evidence,
+over all its words, and the mean over the few words with the most evidence, of single words and of pairs,
 since a short insult in a long text is toxic too. A logistic regression on these
 means and the logarithm of the number of words (the largest of many values is
 large by chance), fitted on labelled rows that the models have not counted, turns them
@@ -23,10 +27,11 @@ into a score.
 
 Both models are fitted on at most ``TRAIN_ROWS`` labelled rows, those with the smallest
 id hashes; the counts are Spark aggregates, and what the tasks get is the table
-of word beginnings of those rows. Scoring is one pass over all documents.
+of histories and pairs that those rows hold ``MIN_COUNT`` times or more; the evidence of others is nought. Scoring is
+one pass over all documents.
 
 Defined results: null and empty texts have no evidence and get the score of
-none; labels other than 0 and 1 (null too) are not learned from; a row is
+none; labels other than 0 and 1 (null too) are not learned from, nor are ids with both; a row is
 scored each time it appears; without both labels every score is 0.
 """
 
@@ -41,95 +46,154 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpilane.llm.common import slices, texts_of
+from kpilane.llm.common import slices, stored, texts_of
 
 TRAIN_ROWS = 24_000
 HELD_BACK = 4  # every fourth training row fits the regression instead of the counts
 DISCOUNT = 0.75
-BEGINNING = 8  # characters of a word that the models look at
-MIN_COUNT = 2  # beginnings seen once in the training rows are left to the backoff
+BEGINNING = 8  # characters; from there on the history slides
+MIN_COUNT = 2  # histories and pairs seen once in the training rows are left to the backoff
 STRONGEST = (1, 2, 4)
-FEATURES = 2 + len(STRONGEST)
+FEATURES = 3 + 2 * len(STRONGEST)
 MEMO = 300_000
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 END = "\n"
+INNER = "\t"  # before the histories that slide
 
 
 def _words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, ordinary, toxic) counts of each Arrow batch."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(before, word, ordinary, toxic) counts of each Arrow batch; nothing stands before a text's first word."""
     for batch in slices(batches):
-        counts: dict[str, list[int]] = {}
+        counts: dict[tuple[str, str], list[int]] = {}
         for text, toxic in zip(texts_of(batch.column(0)), batch.column(1).to_pylist()):
-            for word in _words(text):
-                word = word[:BEGINNING] if len(word) >= BEGINNING else word + END
-                counts.setdefault(word, [0, 0])[toxic] += 1
+            words = _words(text)
+            for pair in zip(["", *words], words):
+                counts.setdefault(pair, [0, 0])[toxic] += 1
         yield pa.RecordBatch.from_arrays(
-            [pa.array(counts, pa.string()), *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))],
-            names=["word", "ordinary", "toxic"])
-
-
-def count_beginnings(labelled: DataFrame, text_col: str, toxic_col: str) -> DataFrame:
-    """Counts of every word beginning: per class, and of different words; followers per class."""
-    words = (labelled.select(F.col(text_col).cast("string"), F.col(toxic_col).cast("int"))
-             .mapInArrow(_beginnings, "word string, ordinary long, toxic long")
-             .groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
-    parts = (words.select(F.explode(F.expr("transform(sequence(0, length(word)), i -> left(word, i))")).alias("part"),
-                          "ordinary", "toxic")
+            [*(pa.array([p[i] for p in counts], pa.string()) for i in (0, 1)),
+             *(pa.array([c[k] for c in counts.values()], pa.int64()) for k in (0, 1))],
+            names=["before", "word", "ordinary", "toxic"])
+
+
+def count_pairs(labelled: DataFrame, text_col: str, toxic_col: str) -> DataFrame:
+    """Per class how often each word follows each other."""
+    return (labelled.select(F.col(text_col).cast("string"), F.col(toxic_col).cast("int"))
+            .mapInArrow(_pairs, "before string, word string, ordinary long, toxic long")
+            .groupBy("before", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")))
+
+
+def count_histories(pairs: DataFrame) -> DataFrame:
+    """Counts of every history with and without the character after it: per class, and of different words' places."""
+    words = (pairs.groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+             .withColumn("s", F.concat("word", F.lit(END))))
+    beginnings = F.expr(f"transform(sequence(0, least(length(s), {BEGINNING})), i -> left(s, i))")
+    sliding = F.expr(f"""flatten(transform(sequence({BEGINNING + 1}, greatest(length(s), {BEGINNING + 1})), i -> array(
+        concat('{INNER}', substring(s, i - {BEGINNING - 1}, {BEGINNING - 1})),
+        concat('{INNER}', substring(s, i - {BEGINNING - 1}, {BEGINNING})))))""")
+    none = F.array().cast("array<string>")
+    parts = (words.select(F.explode(F.concat(beginnings, F.when(F.length("s") > BEGINNING, sliding).otherwise(none)))
+                          .alias("part"), "ordinary", "toxic")
              .groupBy("part").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"),
                                   F.count("*").alias("kinds")))
-    followers = (parts.filter("part != ''").groupBy(F.expr("left(part, length(part) - 1)").alias("part"))
+    # a sliding history alone has BEGINNING characters with its mark, and follows nothing
+    follows = F.when(F.col("part").startswith(INNER), F.length("part") > BEGINNING).otherwise(F.col("part") != "")
+    followers = (parts.filter(follows).groupBy(F.expr("left(part, length(part) - 1)").alias("part"))
                  .agg(F.count_if(F.col("ordinary") > 0).alias("after_ordinary"),
                       F.count_if(F.col("toxic") > 0).alias("after_toxic")))
     return parts.join(followers, "part", "left")
 
 
+def count_befores(pairs: DataFrame) -> DataFrame:
+    """Per word before: counts and different followers in each class."""
+    return pairs.groupBy("before").agg(
+        F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"),
+        F.count_if(F.col("ordinary") > 0).alias("after_ordinary"), F.count_if(F.col("toxic") > 0).alias("after_toxic"))
+
+
+def _evidence(counts: tuple[int, int], totals: tuple[int, int], followers: tuple[int, int], shared: float) -> float:
+    """log P_1(c | h) - log P_0(c | h) from n_k(hc), n_k(h), followers_k(h) and P(c | h)."""
+    logs = []
+    for k in (0, 1):
+        if totals[k]:
+            logs.append(math.log((max(counts[k] - DISCOUNT, 0) + DISCOUNT * followers[k] * shared) / totals[k]))
+        else:
+            logs.append(math.log(shared))
+    return logs[1] - logs[0]
+
+
 class Models:
-    """Evidence of words, from the counts of their beginnings."""
+    """Evidence of words and of pairs, from the counts of histories and of pairs."""
 
-    def __init__(self, counted: pa.Table) -> None:
+    def __init__(self, histories: pa.Table, pairs: pa.Table, befores: pa.Table) -> None:
         columns = ("ordinary", "toxic", "kinds", "after_ordinary", "after_toxic")
-        counts = dict(zip(counted["part"].to_pylist(), zip(*(counted[c].to_pylist() for c in columns))))
-        self.evidence: dict[str, float] = {"": 0.0}
+        counts = dict(zip(histories["part"].to_pylist(), zip(*(histories[c].to_pylist() for c in columns))))
+        self.evidence: dict[str, float] = {"": 0.0}  # of a beginning all of it, of a sliding history its last character
         for part in sorted(counts, key=len):
-            if not part:
+            inner = part.startswith(INNER)
+            if not part or inner and len(part) <= BEGINNING:
                 continue
-            before = part[:-1]
-            shared = counts[part][2] / counts[before][2]
-            logs = []
-            for k in (0, 1):
-                total = counts[before][k]
-                if total:
-                    kept = max(counts[part][k] - DISCOUNT, 0) + DISCOUNT * counts[before][3 + k] * shared
-                    logs.append(math.log(kept / total))
-                else:
-                    logs.append(math.log(shared))
-            self.evidence[part] = self.evidence[before] + logs[1] - logs[0]
-        self.memo: dict[str, float] = {}
+            own, before = counts[part], counts[part[:-1]]
+            found = _evidence(own[:2], before[:2], before[3:], own[2] / before[2])
+            self.evidence[part] = found if inner else self.evidence[part[:-1]] + found
+        self.number = {w: i for i, w in enumerate(sorted({*pairs["before"].to_pylist(), *pairs["word"].to_pylist()}))}
+        names = ("ordinary", "toxic", "after_ordinary", "after_toxic")
+        totals = dict(zip(befores["before"].to_pylist(), zip(*(befores[c].to_pylist() for c in names))))
+        columns = ("before", "word", "ordinary", "toxic", "kinds", "all_kinds")
+        rows = sorted((self.code(v, w), _evidence((a, b), totals[v][:2], totals[v][2:], kinds / all_kinds))
+                      for v, w, a, b, kinds, all_kinds in zip(*(pairs[c].to_pylist() for c in columns)))
+        self.codes = np.array([c for c, _ in rows], np.int64)
+        self.pairs = np.array([x for _, x in rows], np.float64)
+        self.clear()
+
+    def code(self, before: str, word: str) -> int:
+        return self.number[before] * (len(self.number) + 1) + self.number[word]
+
+    def clear(self) -> None:
+        self.memo: dict[str, tuple[float, int]] = {}
 
     def of_word(self, word: str) -> float:
-        """The evidence of the longest beginning that is known; what follows it is the shared backoff."""
-        full = word[:BEGINNING] if len(word) >= BEGINNING else word + END
+        """The evidence of the longest beginning that is known, and of all known histories that slide after it."""
+        full = word + END
         known = self.evidence
-        for size in range(len(full), -1, -1):
+        for size in range(min(len(full), BEGINNING), -1, -1):
             if (found := known.get(full[:size])) is not None:
                 break
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[word] = found
+        for end in range(BEGINNING + 1, len(full) + 1):
+            found += known.get(INNER + full[end - BEGINNING:end], 0.0)
         return found
 
+    def of_pairs(self, numbers: np.ndarray) -> np.ndarray:
+        """The evidence of every word after the one before it, by their numbers."""
+        before = np.concatenate(([self.number.get("", len(self.number))], numbers[:-1]))
+        code = before * (len(self.number) + 1) + numbers
+        place = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
+        out = np.zeros(len(code))
+        if len(self.codes):
+            hit = self.codes[place] == code
+            out[hit] = self.pairs[place[hit]]
+        return out
+
     def features(self, text: str) -> list[float]:
-        memo, of_word = self.memo.get, self.of_word
-        values = [v if (v := memo(w)) is not None else of_word(w) for w in _words(text)]
-        if not values:
+        words = _words(text)
+        if not words:
             return [0.0] * FEATURES
-        strongest = sorted(values, reverse=True)[:max(STRONGEST)] if len(values) < 64 else \
-            np.sort(np.partition(values, -max(STRONGEST))[-max(STRONGEST):])[::-1].tolist()
-        return [sum(values) / len(values), *(sum(strongest[:n]) / n for n in STRONGEST), math.log(len(values))]
+        memo = self.memo
+        if len(memo) >= MEMO:
+            memo.clear()
+        for word in {*words}:
+            if word not in memo:
+                memo[word] = self.of_word(word), self.number.get(word, len(self.number))
+        values, numbers = zip(*map(memo.__getitem__, words))
+        out = []
+        for of in (np.array(values), self.of_pairs(np.array(numbers))):
+            most = min(max(STRONGEST), len(of))
+            strongest = np.sort(np.partition(of, -most)[-most:])[::-1].tolist()
+            out += [float(of.mean()), *(sum(strongest[:n]) / n for n in STRONGEST)]
+        return [*out, math.log(len(words))]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
@@ -149,6 +213,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60
     return w
 
 
+def models_of(pairs: DataFrame) -> Models | None:
+    """The models of counted pairs; None without any word."""
+    often = F.col("ordinary") + F.col("toxic") >= MIN_COUNT
+    histories = count_histories(pairs).filter(often).toArrow()
+    if not histories.num_rows:
+        return None
+    kinds = pairs.groupBy("word").agg(F.count("*").alias("kinds"))
+    known = (pairs.filter(often).join(kinds, "word")
+             .withColumn("all_kinds", F.lit(pairs.count())))
+    befores = count_befores(pairs).join(pairs.filter(often).select("before").distinct(), "before", "left_semi")
+    return Models(histories, known.toArrow(), befores.toArrow())
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> tuple[Models, np.ndarray] | None:
     """The two models and the regression; None where a class is missing.
@@ -157,15 +234,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labels, at most ``train_rows`` pairs of numbers, are broadcast.
     """
     chosen = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic_label"))
-              .filter("toxic_label in (0, 1) and id is not null").dropDuplicates(["id"])
+              .filter("toxic_label in (0, 1) and id is not null").groupBy("id")
+              .agg(F.min("toxic_label").alias("toxic_label"), F.max("toxic_label").alias("other"))
+              .filter("toxic_label = other").drop("other")
               .withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(train_rows)
               .withColumn("held_back", F.pmod("place", F.lit(HELD_BACK)) == 0))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    counted = (count_beginnings(rows.filter("not held_back"), "text", "toxic_label")
-               .filter((F.col("ordinary") + F.col("toxic") >= MIN_COUNT)).toArrow())
-    if not counted.num_rows:
+    pairs = stored(count_pairs(rows.filter("not held_back"), "text", "toxic_label"), "pairs")
+    models = models_of(pairs)
+    if models is None:
         return None
-    models = Models(counted)
     features = [f"f{i}" for i in range(FEATURES)]
     fitted_on = _apply(rows.filter("held_back").select("text", "toxic_label"), models, features).toArrow()
     y = fitted_on["toxic_label"].to_numpy().astype(float)
