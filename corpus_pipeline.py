@@ -7,8 +7,9 @@ but the last return the rows they keep with the columns of ``docs``, extra ones
   ``docs`` outside label fold 0. Without both labels nothing is dropped.
 - ``language_id`` drops rows without a letter and rows whose language is ambiguous.
 - ``near_duplicates`` keeps of every group of near duplicates (Jaccard similarity of five-word
-  shingles at least 0.8) the row with the smallest id (one row, where that id occurs more than once). Rows without words are in no group. A row without an id
-  can't be told from another such row: all of them stay.
+  shingles at least 0.8) one row, that with the smallest id; rows without an id come last, and among
+  equal ids any one stays. Groups are of rows, so rows that share an id without being
+  alike each stay. Rows without words are in no group.
 - ``packing`` returns the pieces of the packed sequences.
 
 An empty table passes through every stage.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kpilane.llm import language_id, ngram_join, packing, toxicity
-from kpilane.llm.common import fold, free_name, require_checkpoint_dir, ship_package, table
+from kpilane.llm.common import fold, free_name, require_checkpoint_dir, ship_package, stored, table
 from kpilane.llm.queries import BPE_FILE
 
 TOXIC_FROM = 0.5
@@ -50,10 +51,14 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    groups = ngram_join.near_duplicates(docs, shingle=SHINGLE, similarity=SIMILARITY)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    row = free_name("row", docs.columns)
+    # numbered once and written, so that every pass below sees the same numbers
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = ngram_join.near_duplicates(numbered, id_col=row, shingle=SHINGLE, similarity=SIMILARITY)
+    members = groups.select(F.col("doc_id").alias(row), F.col("component_id").alias("group")).join(
+        numbered.select(F.col("doc_id").alias("id"), row), row)
+    first = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("first"))
+    return numbered.join(first.select(F.col("first")[row].alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
