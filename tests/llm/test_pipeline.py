@@ -55,3 +55,15 @@ def test_near_duplicates_of_five_words_from_080(spark):
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
     assert between >= 5 and {x["doc_id"] for x in kept.collect()} == {i for i, _ in rows} - dropped
     assert len(dropped) < 40
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    r = random.Random(5)
+    a, b = (" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(200)) for _ in "ab")
+    near = a.replace(a.split()[100], "changed", 1)
+    rows = [(3, a, "x"), (5, near, "x"), (5, b, "x"), (None, a, "x"), (None, "alone " + b[::-1], "x"), (7, None, "x")]
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, row string").repartition(2)
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+        assert kept.columns == docs.columns
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (rows[0], rows[2], rows[4], rows[5])))
