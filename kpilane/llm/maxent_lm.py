@@ -51,7 +51,7 @@ TOP_WORDS = 8  # most frequent words that are a class of their own
 PRIOR = 4.0  # expected count added to a feature's class counts
 SMOOTHING = 0.1  # of the base score
 MERGE_AT = 1 << 21
-BATCH = 512
+BATCH = 128  # texts; their class scores stay in the processor's cache
 _SALTS = [np.uint64(s) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1)]
 
 
@@ -158,30 +158,43 @@ class Model:
         classes[known] = self.classes[place[known]]
         return place, classes
 
-    def log_softmax(self, features: list[np.ndarray]) -> np.ndarray:
+    def logits(self, features: list[np.ndarray]) -> np.ndarray:
+        """Of every class after every history, up to a term that all classes share; 0 at most."""
         logits = self.weights[features[0]]
         for f in features[1:]:
             logits += self.weights[f]
         logits += np.log(self.share).astype(np.float32)
         logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return logits
 
+    def log_softmax(self, features: list[np.ndarray]) -> np.ndarray:
+        logits = self.logits(features)
+        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+    def log_likelihood(self, features: list[np.ndarray], classes: np.ndarray) -> np.ndarray:
+        """log P of each token's class after its history."""
+        logits = self.logits(features)
+        own = logits[np.arange(len(classes)), classes]
+        return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+
     def gradient(self, tokens: Tokens, total: np.ndarray, seen: np.ndarray) -> None:
-        """Add a batch's gradient of the log-likelihood to ``total`` and its feature counts to ``seen``."""
+        """Add a batch's gradient of the log-likelihood to ``total`` (class by class) and its feature counts to ``seen``."""
         features = tokens.features()
         _, classes = self.find(tokens)
-        error = -np.exp(self.log_softmax(features))
+        error = self.logits(features)
+        np.exp(error, out=error)
+        error /= -error.sum(axis=1, keepdims=True)
         error[np.arange(len(classes)), classes] += 1
-        weight = np.where(classes == CLASSES - 1, self.last_weight, 1.0)
-        error *= weight[:, None].astype(np.float32)
-        for f in features:
-            order = np.argsort(f, kind="stable")
-            ordered = f[order]
-            first = np.flatnonzero(np.concatenate([np.ones(min(len(f), 1), bool), ordered[1:] != ordered[:-1]]))
-            if len(first):
-                total[ordered[first]] += np.add.reduceat(error[order], first, axis=0)
-                seen[ordered[first]] += np.add.reduceat(weight[order], first)
+        last = classes == CLASSES - 1
+        weight = np.where(last, self.last_weight, 1.0)
+        error[last] *= np.float32(self.last_weight)
+        by_class = np.ascontiguousarray(error.T)
+        for kind, f in enumerate(features):
+            own = slice(kind * FEATURES, (kind + 1) * FEATURES)
+            local = f - kind * FEATURES
+            for k in range(CLASSES):
+                total[k, own] += np.bincount(local, by_class[k], FEATURES)
+            seen[own] += np.bincount(local, weight, FEATURES)
 
     def update(self, gradient: np.ndarray, seen: np.ndarray) -> None:
         expected = seen[:, None] * self.share[None] + PRIOR
@@ -213,13 +226,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         shared = spark.sparkContext.broadcast(model)
 
         def gradients(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((KINDS * FEATURES, CLASSES))
+            total = np.zeros((CLASSES, KINDS * FEATURES))
             seen = np.zeros(KINDS * FEATURES)
             for batch in slices(batches, BATCH):
                 shared.value.gradient(Tokens(batch.column(0)), total, seen)
             rows = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(seen[rows]), *(pa.array(total[rows, k]) for k in range(CLASSES))],
+                [pa.array(rows, pa.int64()), pa.array(seen[rows]), *(pa.array(total[k, rows]) for k in range(CLASSES))],
                 names=["feature", "seen", *columns])
 
         summed = (texts.filter(F.col("part") == step).select("text").mapInArrow(
@@ -246,7 +259,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
             tokens = Tokens(batch.column(1))
             place, classes = known.find(tokens)
             rows = batch.num_rows
-            logs = known.log_softmax(tokens.features())[np.arange(len(classes)), classes] / np.log(10)
+            logs = known.log_likelihood(tokens.features(), classes) / np.log(10)
             head = place >= 0
             logs[head] += known.within[place[head]]
             n = np.where(tokens.is_end, known.texts, 0).astype(np.float64)
