@@ -2,7 +2,7 @@
 
 A text is parsed left to right into phrases: the shortest prefix of what is
 left that no earlier phrase equals becomes a new phrase of the dictionary
-(Lempel-Ziv 78). A phrase ends at a line end, so that the parses of two texts
+(Lempel-Ziv 78). A phrase ends with a line end, which is its last character, so that the parses of two texts
 that differ in one place meet again on the next line. The fingerprint is the
 ``SIGNATURE`` smallest 32-bit hashes of the dictionary's phrases; the likeness of two
 fingerprints is the share of hashes that both hold among the smallest of their
@@ -46,6 +46,7 @@ def parse(text: str, phrases: set[str], open_phrase: str = "") -> str:
     phrase = open_phrase
     for k, line in enumerate(text.split("\n")):
         if k:
+            add(phrase + "\n")
             phrase = ""
         for char in line:
             phrase += char
