@@ -12,9 +12,12 @@ subtree with the largest density sum is the core of the page; the smallest
 density on the path from it up to body is the threshold; every subtree off that path
 whose density reaches the threshold is kept too, and so is all of an
 article or main element that encloses the core. Menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, scripts and styles are taken
-out before, by their element, role, or class and id: by a listed word that is a whole
-token, and by one that is part of a token (``post-header``, ``has-sidebar``) where the element
+sidebars, notices, adverts, form fields, scripts and styles are taken
+out before, by their element or role. Forms, and elements whose class or id names such a part or reader comments (a listed
+word as a whole token, or one of ``TELLING`` as part of one: ``comment-list``, ``siteFooter``) go too, unless
+they enclose the main text: they hold the page's largest article or main element, or its only h1 or one in an
+article, or, where the page has none of these elsewhere, most of its text. By another listed word
+that is part of a token (``post-header``) an element goes where it
 neither encloses the core nor holds an h1 and its text is less than ``SPARSE`` times as
 dense as the core's (characters outside links per block, a mean weighted by characters); inline ones stay.
 
@@ -49,7 +52,7 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small "
     "span strike strong sub sup time tt u var wbr nobr".split())
 DROPPED = frozenset(
-    "nav footer aside form button select option optgroup fieldset input dialog menu svg canvas audio video object "
+    "nav footer aside button select option optgroup fieldset input dialog menu svg canvas audio video object "
     "applet map head".split()) | RAW
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar "
                           "toolbar alertdialog advertisement".split())
@@ -59,6 +62,9 @@ DROPPED_WORDS = frozenset(
     "sponsor sponsored promo promoted promotion comment comments commentlist disqus reply replies respondform form "
     "search share sharing social related recommended newsletter subscribe subscription signup login toolbar widget "
     "widgets pagination pager skip hidden".split())
+# words that name their part also inside a longer name
+TELLING = frozenset("comment comments commentlist disqus reply replies footer sidebar notice notices cookie cookies consent "
+                    "gdpr".split())
 # a new element of the left kind ends an open one of the right kinds, up to the named barriers: fixed values
 CLOSES = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
@@ -89,7 +95,7 @@ class Node:
         self.parts: list = []  # text and child nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = self.own_tags = self.own_link_tags = 0
         self.density = self.total = 0.0
-        self.suspect = False  # a listed word is part of a token of its class or id
+        self.suspect = 0  # how a listed word is in its class or id: SUSPECT or TOLD
 
 
 def _is_boilerplate(tag: str, attributes: str, parent: Node) -> bool:
@@ -112,17 +118,28 @@ def _is_boilerplate(tag: str, attributes: str, parent: Node) -> bool:
         elif name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return True
-        elif tag not in ("body", "html", "article", "main"):
-            if not DROPPED_WORDS.isdisjoint(value.lower().split()):
-                return True
     return False
 
 
-def _is_suspect(tag: str, attributes: str) -> bool:
+SUSPECT, TOLD = 1, 2
+
+
+def _suspicion(tag: str, attributes: str) -> int:
+    """TOLD where the class or id names a part that goes, SUSPECT where a listed word is part of a name, else 0."""
+    if tag == "form":
+        return TOLD
     if "=" not in attributes or tag in ("body", "html", "article", "main"):
-        return False
-    return any(name.lower() in ("class", "id") and not DROPPED_WORDS.isdisjoint(
-        _NAME_WORD.findall(_CAMEL.sub(" ", value.strip("\"'")).lower())) for name, value in _ATTRIBUTE.findall(attributes))
+        return 0
+    found = 0
+    for name, value in _ATTRIBUTE.findall(attributes):
+        if name.lower() in ("class", "id"):
+            value = value.strip("\"'")
+            parts = _NAME_WORD.findall(_CAMEL.sub(" ", value).lower())
+            if not DROPPED_WORDS.isdisjoint(value.lower().split()) or not TELLING.isdisjoint(parts):
+                return TOLD
+            if not DROPPED_WORDS.isdisjoint(parts):
+                found = SUSPECT
+    return found
 
 
 def parse(page: str) -> Node:
@@ -160,7 +177,7 @@ def parse(page: str) -> Node:
                 del stack[depth:]
             continue
         if tag in VOID:
-            node.parts.append((" ", False) if not node.dropped else ("", False))
+            node.parts.append(("", False) if node.dropped or tag in ("wbr", "img") else (" ", False))
             node.own_tags += 1
             continue
         if tag not in INLINE:
@@ -176,7 +193,8 @@ def parse(page: str) -> Node:
                     break
         attributes = found[3] or ""
         dropped = node.dropped or _is_boilerplate(tag, attributes, node)
-        if tag in INLINE and not (dropped and not node.dropped):
+        suspicion = 0 if dropped else _suspicion(tag, attributes)
+        if tag in INLINE and suspicion != TOLD and not (dropped and not node.dropped):
             stack.append((tag, node))
             node.own_tags += 1
             if tag == "a":
@@ -184,7 +202,7 @@ def parse(page: str) -> Node:
                 node.own_link_tags += 1
         elif not attributes.endswith("/") or tag in RAW:
             child = Node(tag, node, dropped)
-            child.suspect = not dropped and tag not in INLINE and _is_suspect(tag, attributes)
+            child.suspect = suspicion
             node.parts.append(child)
             stack.append((tag, node))
             node = child
@@ -240,6 +258,49 @@ def _core(order: list[Node]) -> tuple[Node, list[Node]]:
     return core, path
 
 
+def _drop_told(root: Node) -> None:
+    """Drop the elements that their names tell to be no main text, from the outermost in, but not what encloses it."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.parts if isinstance(c, Node) and not c.dropped]
+    # of every subtree: text outside links, the text of its largest article or main, its number of h1
+    size, largest, titles = ({id(n): 0 for n in order} for _ in range(3))
+    for node in reversed(order):
+        key = id(node)
+        size[key] += sum(len(" ".join(x[0].split())) for x in node.parts if not isinstance(x, Node) and not x[1])
+        if node.tag in ("article", "main"):
+            largest[key] = max(largest[key], size[key], 1)
+        titles[key] += node.tag == "h1"
+        if node.parent is not None:
+            above = id(node.parent)
+            size[above] += size[key]
+            largest[above] = max(largest[above], largest[key])
+            titles[above] += titles[key]
+    whole, most, all_titles = size[id(root)], largest[id(root)], titles[id(root)]
+
+    def encloses(node: Node) -> bool:
+        key, up = id(node), node.parent
+        if largest[key]:
+            return largest[key] == most
+        while up is not None and up.tag not in ("article", "main"):
+            up = up.parent
+        if titles[key]:
+            return up is not None or not most and titles[key] == all_titles
+        return up is None and not most and not all_titles and 5 * size[key] > 4 * whole
+
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        for child in node.parts:
+            if isinstance(child, Node) and not child.dropped:
+                if child.suspect == TOLD and not encloses(child):
+                    child.dropped = True
+                else:
+                    stack.append(child)
+
+
 def _drop_suspects(order: list[Node], core: Node, path: list[Node]) -> None:
     """Drop the elements that a part of a name and their density both speak against."""
     around = {id(n) for n in path}
@@ -262,16 +323,17 @@ def _drop_suspects(order: list[Node], core: Node, path: list[Node]) -> None:
         return squares / max(total, 1)
 
     for node in order:
-        if node.suspect and id(node) not in around and id(node) not in titled and node.tag != "h1" \
+        if node.suspect == SUSPECT and id(node) not in around and id(node) not in titled and node.tag != "h1" \
                 and usual(node) < SPARSE * usual(core):
             node.dropped = True
 
 
 def _select(root: Node) -> list[Node]:
     """The subtrees to keep, in page order."""
+    _drop_told(root)
     order = _measure(root)
     core, path = _core(order)
-    if any(n.suspect for n in order):
+    if any(n.suspect == SUSPECT for n in order):
         _drop_suspects(order, core, path)
         order = _measure(root)
         core, path = _core(order)

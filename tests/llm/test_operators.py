@@ -62,6 +62,8 @@ def test_empty_tables(odd):
     assert packing.pack(none, BPE).count() == 0
     assert ngram_join.near_duplicates(none).count() == 0
     assert licenses.scan(none).count() == 0
+    pages = odd.sparkSession.createDataFrame([], "page_id long, url string, html string")
+    assert html_density.main_text(pages).collect() == []
     assert maxent_lm.held_out_scores(none).count() == 0
     assert language_id.fit(none) is None
     assert language_id.identify(none, None).count() == 0
@@ -69,6 +71,16 @@ def test_empty_tables(odd):
     assert toxicity.score(none, None).count() == 0
 
 
+def test_line_ends_are_characters_of_the_parse():
+    texts = ["abcd", "ab\ncd", "", "\n\n\n", "abab", "aba\nb", "ab\nab"]
+    assert len({lz_fingerprint.fingerprint(t) for t in texts}) == len(texts)
+    for t in ("ab\ncd ef\n\ngh", "\n\nab"):
+        for cut in range(len(t) + 1):  # a parse that goes on from where it stopped
+            phrases = set()
+            lz_fingerprint.parse(t[cut:], phrases, lz_fingerprint.parse(t[:cut], phrases))
+            assert lz_fingerprint.encode(lz_fingerprint.hashes(phrases)) == lz_fingerprint.fingerprint(t)
+
+
 # --- toxicity and language
 
 def test_toxicity_finds_held_out_insults(spark):
@@ -160,6 +172,48 @@ def test_sibling_articles_and_parts_of_names():
         assert html_density.extract(dense) == "\n\n".join(["A title"] + one + two)
 
 
+_THREE = [" ".join(invented(700 + i, 60)) + "." for i in range(3)]
+_BODY = "".join(f"<p>{t}</p>" for t in _THREE)
+_MAIN = "\n\n".join(["A title"] + _THREE)
+_ARTICLE = f"<article><h1>A title</h1>{_BODY}</article>"
+
+
+@pytest.mark.parametrize("name", ["comment-list", "user-comments", "reader-comment", "comments-area", "commentSection",
+                                  "site-footer", "left-sidebar", "cookie-bar", "comments", "Sidebar", "page_notice"])
+def test_parts_that_a_name_tells_go_inside_and_outside_the_article(name):
+    other = f'<div class="{name}">' + "".join(f"<p>{' '.join(invented(900 + i, 60))}.</p>" for i in range(2)) + "</div>"
+    for page in (f"<body>{_ARTICLE}{other}</body>", f"<body><article><h1>A title</h1>{_BODY}{other}</article></body>",
+                 f"<body>{other}<div><h1>A title</h1>{_BODY}</div></body>"):
+        assert html_density.extract(page) == _MAIN
+
+
+@pytest.mark.parametrize("name", ["widget", "share", "header", "search", "form", "banner", "has-sidebar", "no-comments", "with-footer"])
+def test_no_name_drops_what_encloses_the_text(name):
+    for inside in (_ARTICLE, f"<h1>A title</h1>{_BODY}", f"<div><h1>A title</h1>{_BODY}</div>"):
+        assert html_density.extract(f'<body><div class="{name}">{inside}</div></body>') == _MAIN
+    assert html_density.extract(f'<body><div class="{name}">{_BODY}</div></body>') == "\n\n".join(_THREE)
+
+
+def test_forms_lose_their_fields_only_where_they_hold_the_text():
+    fields = "<label>Name</label><input value=x><select><option>one</select><textarea>y</textarea><button>Send</button>"
+    assert html_density.extract(f"<body><form action=x>{_ARTICLE}<input><button>Go</button></form></body>") == _MAIN
+    assert html_density.extract(f"<body>{_ARTICLE}<form>{fields}</form></body>") == _MAIN
+
+
+def test_titles_in_headers_and_pages_headers():
+    assert html_density.extract(
+        f'<body><article><div class="header"><h1>A title</h1></div>{_BODY}</article></body>') == _MAIN
+    assert html_density.extract(
+        f'<body><div class="header"><h1>The site</h1><a href=/>Home</a></div>{_ARTICLE}</body>') == _MAIN
+    assert html_density.extract(
+        f'<body>{_ARTICLE}<div class="sidebar"><article><h2>Teaser</h2><p>Read this too.</p></article></div></body>') == _MAIN
+
+
+def test_empty_elements_inside_words():
+    text = html_density.extract("<p>a long<wbr>word and an im<img src=x>age, one<br>two<hr>three</p>")
+    assert text.startswith("a longword and an image, one two")
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)]
     got = html_density.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
