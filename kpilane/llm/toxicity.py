@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,44 +115,54 @@ def count_befores(pairs: DataFrame) -> DataFrame:
         F.count_if(F.col("ordinary") > 0).alias("after_ordinary"), F.count_if(F.col("toxic") > 0).alias("after_toxic"))
 
 
-def _evidence(counts: tuple[int, int], totals: tuple[int, int], followers: tuple[int, int], shared: float) -> float:
-    """log P_1(c | h) - log P_0(c | h) from n_k(hc), n_k(h), followers_k(h) and P(c | h)."""
-    logs = []
-    for k in (0, 1):
-        if totals[k]:
-            logs.append(math.log((max(counts[k] - DISCOUNT, 0) + DISCOUNT * followers[k] * shared) / totals[k]))
-        else:
-            logs.append(math.log(shared))
+def _evidence(counts: np.ndarray, totals: np.ndarray, followers: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """log P_1(c | h) - log P_0(c | h) from n_k(hc), n_k(h) and followers_k(h), a row for each class, and P(c | h)."""
+    seen = totals > 0
+    kept = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * followers * shared) / np.where(seen, totals, 1)
+    logs = np.log(np.where(seen, kept, shared))
     return logs[1] - logs[0]
 
 
+def _numbers(table: pa.Table, *columns: str) -> np.ndarray:
+    return np.stack([table[c].to_numpy() for c in columns]).astype(np.float64)
+
+
 class Models:
     """Evidence of words and of pairs, from the counts of histories and of pairs."""
 
     def __init__(self, histories: pa.Table, pairs: pa.Table, befores: pa.Table) -> None:
-        columns = ("ordinary", "toxic", "kinds", "after_ordinary", "after_toxic")
-        counts = dict(zip(histories["part"].to_pylist(), zip(*(histories[c].to_pylist() for c in columns))))
-        self.evidence: dict[str, float] = {"": 0.0}  # of a beginning all of it, of a sliding history its last character
-        for part in sorted(counts, key=len):
-            inner = part.startswith(INNER)
-            if not part or inner and len(part) <= BEGINNING:
-                continue
-            own, before = counts[part], counts[part[:-1]]
-            found = _evidence(own[:2], before[:2], before[3:], own[2] / before[2])
-            self.evidence[part] = found if inner else self.evidence[part[:-1]] + found
-        self.number = {w: i for i, w in enumerate(sorted({*pairs["before"].to_pylist(), *pairs["word"].to_pylist()}))}
-        names = ("ordinary", "toxic", "after_ordinary", "after_toxic")
-        totals = dict(zip(befores["before"].to_pylist(), zip(*(befores[c].to_pylist() for c in names))))
-        columns = ("before", "word", "ordinary", "toxic", "kinds", "all_kinds")
-        rows = sorted((self.code(v, w), _evidence((a, b), totals[v][:2], totals[v][2:], kinds / all_kinds))
-                      for v, w, a, b, kinds, all_kinds in zip(*(pairs[c].to_pylist() for c in columns)))
-        self.codes = np.array([c for c, _ in rows], np.int64)
-        self.pairs = np.array([x for _, x in rows], np.float64)
+        # of a beginning the evidence of all of it, of a sliding history that of its last character
+        parts = histories["part"].to_pylist()
+        place = {part: i for i, part in enumerate(parts)}
+        n, kinds = _numbers(histories, "ordinary", "toxic"), histories["kinds"].to_numpy()
+        followers = np.nan_to_num(_numbers(histories, "after_ordinary", "after_toxic"))
+        inner = np.array([p.startswith(INNER) for p in parts], bool)
+        length = np.array([len(p) for p in parts])
+        ends = np.flatnonzero(np.where(inner, length > BEGINNING, length > 0))
+        before = np.array([place[parts[i][:-1]] for i in ends.tolist()], np.int64)
+        values = np.zeros(len(parts))
+        values[ends] = _evidence(n[:, ends], n[:, before], followers[:, before], kinds[ends] / kinds[before])
+        for size in range(1, BEGINNING + 1):
+            own = ~inner[ends] & (length[ends] == size)
+            values[ends[own]] += values[before[own]]
+        whole = np.zeros(len(parts), bool)
+        whole[ends] = True
+        whole[~inner] = True
+        self.evidence: dict[str, float] = {"": 0.0}
+        for i in np.flatnonzero(whole).tolist():
+            self.evidence[parts[i]] = float(values[i])
+        words = pa.chunked_array([*pairs["before"].chunks, *pairs["word"].chunks], pa.string()).unique()
+        self.number = {w: i for i, w in enumerate(words.to_pylist())}
+        at, after = (pc.index_in(pairs[c], words).to_numpy().astype(np.int64) for c in ("before", "word"))
+        known = pc.index_in(pairs["before"], befores["before"].combine_chunks()).to_numpy()
+        evidence = _evidence(_numbers(pairs, "ordinary", "toxic"), _numbers(befores, "ordinary", "toxic")[:, known],
+                             _numbers(befores, "after_ordinary", "after_toxic")[:, known],
+                             pairs["kinds"].to_numpy() / pairs["all_kinds"].to_numpy())
+        codes = at * (len(self.number) + 1) + after
+        order = np.argsort(codes)
+        self.codes, self.pairs = codes[order], evidence[order]
         self.clear()
 
-    def code(self, before: str, word: str) -> int:
-        return self.number[before] * (len(self.number) + 1) + self.number[word]
-
     def clear(self) -> None:
         self.memo: dict[str, tuple[float, int]] = {}
 
