@@ -93,15 +93,6 @@ def _long_keep(pillar_key: str, pct: str, excluded_role: str):
     return keep
 
 
-def long_rows_per_score(excluded_role: str = "Teller"):
-    """Number of long-view rows one score row turns into (for counting without unpivoting)."""
-    total = None
-    for p in EMPLOYEE_PILLARS:
-        one = F.when(_long_keep(p.key, f"{p.key}_pct_to_target", excluded_role), F.lit(1)).otherwise(F.lit(0))
-        total = one if total is None else total + one
-    return total
-
-
 def employee_scorecard_long(ranked: DataFrame, excluded_role: str = "Teller") -> DataFrame:
     """One row per employee, month and pillar with a non-NULL ratio.
 

@@ -9,9 +9,26 @@ from __future__ import annotations
 import math
 
 from kpilane.plans.oracle_star import month_name_sql, with_views
-from kpilane.schemas import BASE_TARGETS, PILLARS, SEASONAL_AMPLITUDE
-
-# stated here, not taken from the engine
+# Fixed values, stated here apart from the engine, so that a wrong one there shows.
+SEASONAL_AMPLITUDE = 0.06
+# tier, role, base lending, investing, banking units, compliance
+BASE_TARGETS = [
+    ("Small", "Advisor", 1800.0, 1400.0, 420.0, None),
+    ("Small", "Teller", None, None, 560.0, None),
+    ("Small", "Manager", 2500.0, 1800.0, 600.0, 88.0),
+    ("Medium", "Advisor", 2400.0, 1800.0, 560.0, None),
+    ("Medium", "Teller", None, None, 740.0, None),
+    ("Medium", "Manager", 3200.0, 2300.0, 740.0, 90.0),
+    ("Large", "Advisor", 3200.0, 2400.0, 740.0, None),
+    ("Large", "Teller", None, None, 920.0, None),
+    ("Large", "Manager", 4200.0, 3000.0, 920.0, 92.0),
+]
+# column stem, pillar_name of the long view, metric_name of the weights
+PILLAR_NAMES = [
+    ("lending", "Lending", "Lending"), ("investing", "Investing", "Investing"),
+    ("banking_units", "Banking", "Banking units"), ("lei", "LEI", "LEI customer score"),
+    ("compliance", "Compliance", "Compliance / Risk"),
+]
 LEADERBOARD_N = 10
 H1 = (1, 6)
 REPORT_PERIOD = (1997, 6)
@@ -133,7 +150,7 @@ def measure_role_sql(by: list[str]) -> str:
 
 # --- reports ------------------------------------------------------------------------
 
-_PILLAR_LABELS = ", ".join(f"('{p.key}', '{p.long_label}', '{p.weight_metric}')" for p in PILLARS)
+_PILLAR_LABELS = ", ".join(f"('{key}', '{name}', '{metric}')" for key, name, metric in PILLAR_NAMES)
 
 PILLAR_DETAIL = with_views("""
 SELECT l.employee_id, l.branch_id, l.role, l.year, l.month_number, l.pillar_name, l.pct_to_target,
@@ -379,8 +396,8 @@ ORACLE: dict[str, str] = {
     "role_weights_pivot": with_views(
         "SELECT * FROM kp_role_weights WHERE role IN (SELECT role FROM dim_employee)"),
     "manager_weights": with_views(
-        "SELECT " + ", ".join(f"max(weight_pct) FILTER (WHERE metric_name = '{p.weight_metric}') AS {p.key}_weight"
-                              for p in PILLARS)
+        "SELECT " + ", ".join(f"max(weight_pct) FILTER (WHERE metric_name = '{metric}') AS {key}_weight"
+                              for key, _, metric in PILLAR_NAMES)
         + " FROM dim_role_weights WHERE role = 'Manager' AND role IN (SELECT role FROM dim_employee)"),
     "branch_sales": _all("branch_sales"),
     "branch_targets": _all("branch_targets"),

@@ -8,16 +8,24 @@ Spark yields int.
 
 from __future__ import annotations
 
-from kpilane.schemas import MONTH_NAMES, ROLE_WEIGHTS
+# Fixed values of the scorecard, stated here apart from the engine, so that a wrong one there shows.
+MONTHS = "January February March April May June July August September October November December".split()
+WEIGHTS = [
+    ("Advisor", "Lending", 35.0), ("Advisor", "Investing", 35.0),
+    ("Advisor", "Banking units", 15.0), ("Advisor", "LEI customer score", 15.0),
+    ("Teller", "Banking units", 70.0), ("Teller", "LEI customer score", 30.0),
+    ("Manager", "Lending", 30.0), ("Manager", "Investing", 30.0), ("Manager", "Banking units", 15.0),
+    ("Manager", "LEI customer score", 10.0), ("Manager", "Compliance / Risk", 15.0),
+]
 
-_MONTHS = "[" + ", ".join(f"'{m}'" for m in MONTH_NAMES) + "]"
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in MONTHS) + "]"
 
 
 def month_name_sql(col: str) -> str:
     return f"CASE WHEN {col} BETWEEN 1 AND 12 THEN {_MONTHS}[{col}] END"
 
 
-_WEIGHT_ROWS = ",\n    ".join(f"('{r}', '{m}', {w!r}e0)" for r, m, w in ROLE_WEIGHTS)
+_WEIGHT_ROWS = ",\n    ".join(f"('{r}', '{m}', {w!r}e0)" for r, m, w in WEIGHTS)
 
 STAR_CTES = f"""
 kp_branch_base AS (
