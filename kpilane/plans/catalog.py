@@ -25,8 +25,8 @@ from kpilane.plans.views import build_views, register_views, top_advisors_sql
 from kpilane.schemas import BRANCH_PILLARS, EMPLOYEE_PILLARS, PERIOD_COLUMNS
 from kpilane.session import scratch_path
 from kpilane.sources.adapter import star_coverage, star_from_tpch
-from kpilane.sources.star import (export_views, load_star, materialize_star, read_csv_typed, read_role_weights,
-                                  replace_periods, role_weights_frame, save_star, write_csv)
+from kpilane.sources.star import (export_views, load_star, materialize_star, read_csv_typed, read_ordered,
+                                  read_role_weights, replace_periods, role_weights_frame, save_star, write_csv)
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _STARS: dict[tuple[str, int, str, bool], tuple[SparkSession, dict[str, DataFrame]]] = {}
@@ -407,6 +407,14 @@ def q_view_export_refresh(spark, d):
     return spark.read.schema(view.schema).parquet(paths["vw_branch_pacing"])
 
 
+def q_ordered_view_export(spark, d):
+    # the score view in its presentation order: where each employee stands in the stored period
+    view = _scores(spark, d).select("employee_id", "role", *PERIOD, "weighted_total_score")
+    paths = export_views({"scores": view}, scratch_path(spark, "export-ordered"),
+                         order_by={"scores": ["employee_id", "year", "month_number"]})
+    return read_ordered(spark, paths["scores"], PERIOD).select(*view.columns, "position")
+
+
 QUERIES: dict[str, QueryFn] = {
     # sources: the adapted star
     "dim_branch": _table("dim_branch"),
@@ -480,4 +488,5 @@ QUERIES: dict[str, QueryFn] = {
     "csv_empty_load": q_csv_empty_load,
     "star_period_refresh": q_star_period_refresh,
     "view_export_refresh": q_view_export_refresh,
+    "ordered_view_export": q_ordered_view_export,
 }

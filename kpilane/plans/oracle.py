@@ -538,4 +538,8 @@ ORACLE: dict[str, str] = {
     "csv_empty_load": with_views("SELECT * FROM fact_compliance WHERE FALSE"),
     "star_period_refresh": _all("fact_sales"),
     "view_export_refresh": _all("vw_branch_pacing"),
+    "ordered_view_export": with_views(
+        "SELECT employee_id, role, year, month_number, weighted_total_score, "
+        "ROW_NUMBER() OVER (PARTITION BY year, month_number ORDER BY employee_id) AS position "
+        "FROM vw_employee_monthly_score"),
 }

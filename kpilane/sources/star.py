@@ -251,3 +251,19 @@ def export_views(views: Mapping[str, DataFrame], folder: str,
         w.parquet(path)
         paths[name] = path
     return paths
+
+
+def read_ordered(spark: SparkSession, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    """An export in its stored order: every row with its ``position`` (from 1) in its folder.
+
+    Files of an ordered export follow each other by name, rows in a file by their index, so a position is the
+    row's index plus the rows of the files before: a sum over files, not over rows.
+    """
+    folder = list(partition_by)
+    rows = spark.read.parquet(path).select("*", F.col("_metadata.file_name").alias("_file"),
+                                           F.col("_metadata.row_index").alias("_row"))
+    before = Window.partitionBy(*folder).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy(*folder, "_file").agg(F.count(F.lit(1)).alias("_rows")).select(
+        *folder, "_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return (rows.join(files, [*folder, "_file"])
+            .withColumn("position", F.col("_before") + F.col("_row") + 1).drop("_file", "_row", "_before"))

@@ -35,6 +35,22 @@ def test_export_refresh_keeps_the_same_month_of_another_year(spark, golden, tmp_
     assert "late" not in {v for (y, _), v in back.items() if y == 2024}
 
 
+def test_positions_of_an_ordered_export(spark, tmp_path):
+    from kpilane.sources.star import read_ordered
+
+    rows = [(2024 + i % 2, (i * 7919) % 1000, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "year int, k int, v int").repartition(7)
+    paths = export_views({"v": df, "w": df}, str(tmp_path), order_by={"v": ["k"], "w": ["k"]})
+    got = read_ordered(spark, paths["v"], ["year"]).collect()
+    assert len(got) == 1000
+    for year in (2024, 2025):
+        own = sorted((r.k, r.position) for r in got if r.year == year)
+        assert [p for _, p in own] == list(range(1, len(own) + 1))
+    export_views({"w": df}, str(tmp_path), partition_by=None, order_by={"w": ["k"]})
+    flat = sorted((r.k, r.position) for r in read_ordered(spark, paths["w"]).collect())
+    assert [p for _, p in flat] == list(range(1, 1001))
+
+
 def test_star_refresh_replaces_one_period(spark, golden, tmp_path):
     star, folder = _two_years(golden), str(tmp_path)
     save_star(star, folder, by_period=True)
