@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from kpilane.llm.common import slices, stored, texts_of
 
-TRAIN_ROWS = 24_000
+TRAIN_ROWS = 16_000
 HELD_BACK = 4  # every fourth training row fits the regression instead of the counts
 DISCOUNT = 0.75
 BEGINNING = 8  # characters; from there on the history slides
