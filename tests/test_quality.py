@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 from kpilane.operators import branch as br
 from kpilane.operators import measures as ms
 from kpilane.operators import quality as qa
+from kpilane.plans.catalog import RANGE_CHECKS
+from kpilane.plans.oracle import RANGE_CHECKS as ORACLE_RANGES
 
 
 def test_referential_integrity_finds_orphans(golden):
@@ -102,6 +104,19 @@ def test_a_range_without_upper_bound(spark):
     assert (r.high, r.rows_checked, r.out_of_range) == (None, 2, 1)
 
 
+def test_every_registered_range_has_two_ends(spark):
+    wide = [(None,), (-1.0,), (0.0,), (1e9,), (2e9,), (float("nan"),)]
+    for table, bounds in RANGE_CHECKS.items():
+        columns = [c for c, _, _ in bounds]
+        df = spark.createDataFrame(wide, "x double").select(*[F.col("x").alias(c) for c in columns])
+        for r in qa.target_range_check([(table, df, bounds)]).collect():
+            money = r.column_name in ("target_lending", "target_investing", "target_banking_units")
+            assert r.high is not None and r.rows_checked == 5
+            if money:
+                assert (r.low, r.high, r.out_of_range) == (0.0, 1e9, 3), r  # below, above and NaN
+    assert {t: [(c, float(lo), float(hi)) for c, lo, hi in b] for t, b in ORACLE_RANGES.items()} == RANGE_CHECKS
+
+
 def test_empty_tables_count_zero(spark):
     none = spark.createDataFrame([], "k int, v int")
     r = qa.key_uniqueness([("t", none, ["k"])]).collect()[0]
