@@ -51,6 +51,7 @@ TOP_WORDS = 8  # most frequent words that are a class of their own
 PRIOR = 4.0  # expected count added to a feature's class counts
 SMOOTHING = 0.1  # of the base score
 MERGE_AT = 1 << 21
+TASK_TOKENS = 1 << 24  # training tokens, over all updates, to a gradient task; each hands on a row per feature, whatever it read
 BATCH = 128  # texts; their class scores stay in the processor's cache
 _SALTS = [np.uint64(s) for s in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1)]
 
@@ -206,6 +207,12 @@ def part_of(id_col: str, text_col: str) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")), F.lit(UPDATES))
 
 
+def gradient_tasks(tokens: int, cores: int) -> int:
+    """The most tasks that an update's gradient is summed in: many small input splits share one, so that what they
+    shuffle follows the tokens and not the number of splits; every core has one."""
+    return max(cores, -(-tokens // TASK_TOKENS), 1)
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
     """The model of all texts of ``docs``, and the counts (word, n) of their whole vocabulary."""
     spark = docs.sparkSession
@@ -222,6 +229,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
         "texts": texts.count(), "words": found["words"] or 0, "kinds": found["kinds"], "tail": rest[0] or 0,
         "once": rest[1] or 0, "least": least})
     columns = [f"g{k}" for k in range(CLASSES)]
+    tasks = gradient_tasks(model.tokens, spark.sparkContext.defaultParallelism)
     for step in range(UPDATES):
         shared = spark.sparkContext.broadcast(model)
 
@@ -235,7 +243,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
                 [pa.array(rows, pa.int64()), pa.array(seen[rows]), *(pa.array(total[k, rows]) for k in range(CLASSES))],
                 names=["feature", "seen", *columns])
 
-        summed = (texts.filter(F.col("part") == step).select("text").mapInArrow(
+        summed = (texts.filter(F.col("part") == step).select("text").coalesce(tasks).mapInArrow(
             gradients, "feature long, seen double, " + ", ".join(f"{c} double" for c in columns))
             .groupBy("feature").agg(F.sum("seen").alias("seen"), *[F.sum(c).alias(c) for c in columns]).toArrow())
         gradient, seen = np.zeros((KINDS * FEATURES, CLASSES)), np.zeros(KINDS * FEATURES)

@@ -337,6 +337,24 @@ def test_updates_take_every_training_row_once(spark, monkeypatch):
     assert len(hot) == maxent_lm.UPDATES and max(r[1] for r in hot) < 100
 
 
+def test_gradient_rows_do_not_grow_with_the_input_splits(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(invented(i, 9))) for i in range(400)], "doc_id long, text string")
+    tasks, real = [], type(docs).mapInArrow
+
+    def spied(self, run, schema, *a, **k):
+        if "seen" in str(schema):
+            tasks.append(self.rdd.getNumPartitions())
+        return real(self, run, schema, *a, **k)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", spied)
+    cores = spark.sparkContext.defaultParallelism
+    many, _ = maxent_lm.train(docs.repartition(9 * cores))
+    few, _ = maxent_lm.train(docs.coalesce(1))
+    assert len(tasks) == 2 * maxent_lm.UPDATES and max(tasks) <= cores
+    assert np.allclose(many.weights, few.weights, atol=1e-5)
+    assert [maxent_lm.gradient_tasks(n, 6) for n in (0, 1 << 24, 70 << 24)] == [6, 6, 70]
+
+
 def test_scores_do_not_depend_on_head(spark, monkeypatch):
     r = random.Random(8)
     often, rare = sorted(set(invented(1, 60))), itertools.count()
