@@ -47,6 +47,8 @@ UNKNOWN = "und"
 FILTER_BITS = 25
 CHUNKS = 1 << 18  # different chunks that a task gathers before it hands them on
 FLUSH = 1 << 21  # the same of n-grams
+OUTPUT = 1 << 16  # rows of an Arrow batch that a task hands on
+PARSED = 256  # texts that are parsed at once
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _CLASS = np.zeros(256, np.uint8)  # 0: in a word, 1: blank, 2: ends a piece
@@ -107,7 +109,7 @@ def dictionary(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = {}
-        for batch in slices(batches):
+        for batch in slices(batches, PARSED):
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
                 by_lang.setdefault(lang, []).append(text)
@@ -197,43 +199,62 @@ class Block:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns[:4])):
-            yield Block(*row)
+        for place in range(batch.num_rows):  # one block's bytes at a time
+            yield Block(*(c[place].as_py() for c in batch.columns[:4]))
 
 
-def _summed(parts: list[np.ndarray]) -> np.ndarray:
-    """Rows (hash, second hash, count, block): equal hashes summed, with the least block."""
-    rows = np.concatenate(parts, axis=1)
-    rows = rows[:, np.argsort(rows[0])]
-    new = np.ones(rows.shape[1], bool)
-    new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
+def _summed(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns (hash, second hash, count, block): equal hashes summed, with the least block. Empties ``parts``.
+
+    Made column by column, so that beside the parts there is one column more at a time and not the rows twice.
+    """
+    columns = [[p[i] for p in parts] for i in range(4)]
+    parts.clear()
+    key = np.concatenate(columns[0])
+    columns[0] = []
+    order = np.argsort(key)
+    key = key[order]
+
+    def ordered(i: int) -> np.ndarray:
+        column = np.concatenate(columns[i])
+        columns[i] = []
+        return column[order]
+
+    other = ordered(1)
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
     first = np.flatnonzero(new)
     if not len(first):
-        return rows
-    return np.stack((rows[0, first], rows[1, first], np.add.reduceat(rows[2], first), np.minimum.reduceat(rows[3], first)))
+        return [key, other, ordered(2), ordered(3)]
+    key, other = key[first], other[first]
+    return [key, other, np.add.reduceat(ordered(2), first), np.minimum.reduceat(ordered(3), first)]
+
+
+def _batches(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The columns as short Arrow batches."""
+    for start in range(0, max(len(rows[0]), 1), OUTPUT):
+        yield pa.RecordBatch.from_arrays([pa.array(c[start:start + OUTPUT]) for c in rows], names=["key", "other", "n", "block"])
 
 
 def level_counts(packed: DataFrame, level: int, tables: Broadcast) -> DataFrame:
     """key, other, n, block of the phrases of ``level`` words that may be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(rows: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names=["key", "other", "n", "block"])
-
-        nothing = np.zeros((4, 0), np.int64)
+        nothing = [np.zeros(0, np.int64)] * 4
         parts, size = [nothing], 0
         for block in _blocks(batches):
             for _, at, key in block.sweep(level, tables.value):
                 pass  # the last size is the level's
-            parts.append(np.stack((key, block.second_hash(at, level), block.weight[at], np.full(len(at), block.number))))
+            parts.append([key, block.second_hash(at, level), block.weight[at], np.full(len(at), block.number)])
             size += len(at)
             if size > FLUSH:
                 rows = _summed(parts)
-                parts, size = [rows], rows.shape[1]
+                parts, size = [rows], len(rows[0])
                 if size > FLUSH // 2:
-                    yield batch_of(rows)
                     parts, size = [nothing], 0
-        yield batch_of(_summed(parts))
+                    yield from _batches(rows)
+                del rows
+        yield from _batches(_summed(parts))
 
     return (packed.select("block", "lang", "text", "times").mapInArrow(run, "key long, other long, n long, block long")
             .groupBy("key", "other").agg(F.sum("n").alias("n"), F.min("block").alias("block")))

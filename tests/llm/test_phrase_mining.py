@@ -1,6 +1,7 @@
 """Collocations against brute force, and the parse they are counted on."""
 
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -103,3 +104,29 @@ def test_odd_rows_and_columns(spark, odd):
     clash = odd.withColumnsRenamed({"score": "times", "part": "chunk", "source": "n"})
     assert sorted(map(tuple, pm.collocations(clash, min_count=2).collect())) == got
     assert pm.collocations(odd.limit(0)).collect() == []
+
+
+def test_counts_are_summed_without_a_second_copy_of_the_rows():
+    r = np.random.default_rng(1)
+    want = {}
+
+    def parts():
+        for i in range(8):
+            key, n = r.integers(0, 60_000, 100_000), r.integers(1, 9, 100_000)
+            for k, x in zip(key.tolist(), n.tolist()):
+                f, b = want.get((k, k % 3), (0, i))
+                want[k, k % 3] = f + x, min(b, i)
+            yield [key, key % 3, n, np.full(len(key), i)]
+
+    tracemalloc.start()
+    try:
+        made = list(parts())
+        held = tracemalloc.get_traced_memory()[0]
+        size = 8 * 4 * 100_000 * 8
+        tracemalloc.reset_peak()
+        got = pm._summed(made)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {(k, o): (n, b) for k, o, n, b in zip(*(c.tolist() for c in got))} == want
+    assert peak - held < 1.2 * size
