@@ -40,10 +40,12 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +59,7 @@ MIN_COUNT = 2  # histories and pairs seen once in the training rows are left to
 STRONGEST = (1, 2, 4)
 FEATURES = 3 + 2 * len(STRONGEST)
 MEMO = 300_000
+SLICE = 1 << 16  # rows whose evidence is computed at once on the driver
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 END = "\n"
 INNER = "\t"  # before the histories that slide
@@ -123,46 +126,70 @@ def _evidence(counts: np.ndarray, totals: np.ndarray, followers: np.ndarray, sha
     return logs[1] - logs[0]
 
 
-def _numbers(table: pa.Table, *columns: str) -> np.ndarray:
-    return np.stack([table[c].to_numpy() for c in columns]).astype(np.float64)
+def _columns(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [pc.fill_null(table[c].combine_chunks(), 0).to_numpy() for c in columns]
+
+
+def _all_evidence(counts: list[np.ndarray], totals: list[np.ndarray], followers: list[np.ndarray], shared: np.ndarray,
+                  at: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The evidence of rows ``at`` after the histories in rows ``before``, ``SLICE`` rows at a time."""
+    out = np.empty(len(at))
+    for start in range(0, len(at), SLICE):
+        own = slice(start, start + SLICE)
+        n, total, after = (np.stack([c[rows] for c in columns]).astype(np.float64) for columns, rows in (
+            (counts, at[own]), (totals, before[own]), (followers, before[own])))
+        out[own] = _evidence(n, total, after, shared[own])
+    return out
 
 
 class Models:
-    """Evidence of words and of pairs, from the counts of histories and of pairs."""
+    """Evidence of words and of pairs, from the counts of histories and of pairs.
+
+    What is kept and broadcast are columns; the tables to look words up in are made of them where texts are
+    scored, so the driver holds no Python object per history or word.
+    """
 
     def __init__(self, histories: pa.Table, pairs: pa.Table, befores: pa.Table) -> None:
         # of a beginning the evidence of all of it, of a sliding history that of its last character
-        parts = histories["part"].to_pylist()
-        place = {part: i for i, part in enumerate(parts)}
-        n, kinds = _numbers(histories, "ordinary", "toxic"), histories["kinds"].to_numpy()
-        followers = np.nan_to_num(_numbers(histories, "after_ordinary", "after_toxic"))
-        inner = np.array([p.startswith(INNER) for p in parts], bool)
-        length = np.array([len(p) for p in parts])
+        parts = histories["part"].combine_chunks()
+        inner = pc.starts_with(parts, INNER).to_numpy(zero_copy_only=False)
+        length = pc.utf8_length(parts).to_numpy()
         ends = np.flatnonzero(np.where(inner, length > BEGINNING, length > 0))
-        before = np.array([place[parts[i][:-1]] for i in ends.tolist()], np.int64)
+        before = pc.index_in(pc.utf8_slice_codeunits(parts.take(pa.array(ends)), 0, -1), parts).to_numpy()
+        n, followers = _columns(histories, "ordinary", "toxic"), _columns(histories, "after_ordinary", "after_toxic")
+        kinds, = _columns(histories, "kinds")
         values = np.zeros(len(parts))
-        values[ends] = _evidence(n[:, ends], n[:, before], followers[:, before], kinds[ends] / kinds[before])
+        values[ends] = _all_evidence(n, n, followers, kinds[ends] / kinds[before], ends, before)
         for size in range(1, BEGINNING + 1):
             own = ~inner[ends] & (length[ends] == size)
             values[ends[own]] += values[before[own]]
-        whole = np.zeros(len(parts), bool)
+        whole = ~inner
         whole[ends] = True
-        whole[~inner] = True
-        self.evidence: dict[str, float] = {"": 0.0}
-        for i in np.flatnonzero(whole).tolist():
-            self.evidence[parts[i]] = float(values[i])
+        self.parts, self.part_evidence = parts.filter(pa.array(whole)), values[whole]
         words = pa.chunked_array([*pairs["before"].chunks, *pairs["word"].chunks], pa.string()).unique()
-        self.number = {w: i for i, w in enumerate(words.to_pylist())}
         at, after = (pc.index_in(pairs[c], words).to_numpy().astype(np.int64) for c in ("before", "word"))
         known = pc.index_in(pairs["before"], befores["before"].combine_chunks()).to_numpy()
-        evidence = _evidence(_numbers(pairs, "ordinary", "toxic"), _numbers(befores, "ordinary", "toxic")[:, known],
-                             _numbers(befores, "after_ordinary", "after_toxic")[:, known],
-                             pairs["kinds"].to_numpy() / pairs["all_kinds"].to_numpy())
-        codes = at * (len(self.number) + 1) + after
+        kinds, all_kinds = _columns(pairs, "kinds", "all_kinds")
+        evidence = _all_evidence(_columns(pairs, "ordinary", "toxic"), _columns(befores, "ordinary", "toxic"),
+                                 _columns(befores, "after_ordinary", "after_toxic"), kinds / all_kinds,
+                                 np.arange(len(at)), known)
+        self.words = words
+        codes = at * (len(words) + 1) + after
         order = np.argsort(codes)
         self.codes, self.pairs = codes[order], evidence[order]
         self.clear()
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("evidence", "number")} | {"memo": {}}
+
+    @cached_property
+    def evidence(self) -> dict[str, float]:
+        return {"": 0.0} | dict(zip(self.parts.to_pylist(), self.part_evidence.tolist()))
+
+    @cached_property
+    def number(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.to_pylist())}
+
     def clear(self) -> None:
         self.memo: dict[str, tuple[float, int]] = {}
 
@@ -256,16 +283,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if models is None:
         return None
     features = [f"f{i}" for i in range(FEATURES)]
-    fitted_on = _apply(rows.filter("held_back").select("text", "toxic_label"), models, features).toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+    fitted_on = _apply(rows.filter("held_back").select("text", "toxic_label"), shared, features).toArrow()
+    shared.destroy()  # the scoring pass has its own, with the regression
     y = fitted_on["toxic_label"].to_numpy().astype(float)
     if not 0 < y.sum() < len(y):
         return None
     return models, _logistic(np.column_stack([fitted_on[f].to_numpy() for f in features]), y)
 
 
-def _apply(rows: DataFrame, models: Models, features: list[str]) -> DataFrame:
-    """The features of (text, label) rows; the text is not returned."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+def _apply(rows: DataFrame, shared: Broadcast, features: list[str]) -> DataFrame:
+    """The features of (text, label) rows by broadcast models; the text is not returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.features

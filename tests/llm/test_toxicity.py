@@ -1,6 +1,7 @@
 """The toxicity models against a plain computation, and what they can tell apart."""
 
 import math
+import pickle
 import random
 from collections import Counter
 
@@ -75,6 +76,15 @@ def test_evidence_equals_the_formula(spark):
         assert np.allclose(got, [pair(v, w) for v, w in zip(["", *words], words)])
 
 
+def test_the_driver_keeps_columns_and_no_object_per_word(spark):
+    models = tx.models_of(tx.count_pairs(spark.createDataFrame(DOCS, "text string, toxic int"), "text", "toxic"))
+    assert not [k for k, v in vars(models).items() if isinstance(v, (dict, list, tuple, set)) and v]
+    sent = pickle.dumps(models)
+    before = models.features("drop dead you rat, äöü 中文 wasserscheusal!")
+    assert "evidence" in vars(models) and len(pickle.dumps(models)) == len(sent)
+    assert pickle.loads(sent).features("drop dead you rat, äöü 中文 wasserscheusal!") == before
+
+
 def _accuracy(spark, texts, labels):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
