@@ -39,6 +39,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -49,7 +50,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kpilane.llm.common import slices, stored, texts_of
+from kpilane.llm.common import mix, slices, stored, texts_of
 
 TRAIN_ROWS = 16_000
 HELD_BACK = 4  # every fourth training row fits the regression instead of the counts
@@ -58,7 +59,8 @@ BEGINNING = 8  # characters; from there on the history slides
 MIN_COUNT = 2  # histories and pairs seen once in the training rows are left to the backoff
 STRONGEST = (1, 2, 4)
 FEATURES = 3 + 2 * len(STRONGEST)
-MEMO = 300_000
+MEMO = 300_000  # words whose evidence a task keeps
+BATCH_CHARS = 1 << 18  # characters of the texts that are scored together; a longer text is alone
 SLICE = 1 << 16  # rows whose evidence is computed at once on the driver
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 END = "\n"
@@ -142,45 +144,65 @@ def _all_evidence(counts: list[np.ndarray], totals: list[np.ndarray], followers:
     return out
 
 
+def _history_evidence(histories: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """Histories and their evidence: of a beginning that of all of it, of a sliding history that of its last character."""
+    parts = histories["part"].combine_chunks()
+    inner = pc.starts_with(parts, INNER).to_numpy(zero_copy_only=False)
+    length = pc.utf8_length(parts).to_numpy()
+    ends = np.flatnonzero(np.where(inner, length > BEGINNING, length > 0))
+    before = pc.index_in(pc.utf8_slice_codeunits(parts.take(pa.array(ends)), 0, -1), parts).to_numpy()
+    n, followers = _columns(histories, "ordinary", "toxic"), _columns(histories, "after_ordinary", "after_toxic")
+    kinds, = _columns(histories, "kinds")
+    values = np.zeros(len(parts))
+    values[ends] = _all_evidence(n, n, followers, kinds[ends] / kinds[before], ends, before)
+    for size in range(1, BEGINNING + 1):
+        own = ~inner[ends] & (length[ends] == size)
+        values[ends[own]] += values[before[own]]
+    whole = ~inner
+    whole[ends] = True
+    return parts.filter(pa.array(whole)), values[whole]
+
+
+def _pair_evidence(pairs: pa.Table, befores: pa.Table, all_kinds: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of the pairs, each pair's code by its words' places, and its evidence; ``all_kinds``: of different pairs."""
+    words = pa.chunked_array([*pairs["before"].chunks, *pairs["word"].chunks], pa.string()).unique()
+    at, after = (pc.index_in(pairs[c], words).to_numpy().astype(np.int64) for c in ("before", "word"))
+    known = pc.index_in(pairs["before"], befores["before"].combine_chunks()).to_numpy()
+    kinds, = _columns(pairs, "kinds")
+    evidence = _all_evidence(_columns(pairs, "ordinary", "toxic"), _columns(befores, "ordinary", "toxic"),
+                             _columns(befores, "after_ordinary", "after_toxic"), kinds / all_kinds,
+                             np.arange(len(at)), known)
+    return words, at * (len(words) + 1) + after, evidence
+
+
+class _Seen(dict):
+    """Word -> its place in columns of evidence and number; a word not met before is added on lookup."""
+
+    def __init__(self, models: Models) -> None:
+        self.models, self.evidence, self.numbers = models, array("d"), array("q")
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.evidence.append(self.models.of_word(word))
+        self.numbers.append(self.models.number.get(word, len(self.models.number)))
+        return place
+
+
 class Models:
-    """Evidence of words and of pairs, from the counts of histories and of pairs.
+    """Evidence of words and of pairs.
 
     What is kept and broadcast are columns; the tables to look words up in are made of them where texts are
     scored, so the driver holds no Python object per history or word.
     """
 
-    def __init__(self, histories: pa.Table, pairs: pa.Table, befores: pa.Table) -> None:
-        # of a beginning the evidence of all of it, of a sliding history that of its last character
-        parts = histories["part"].combine_chunks()
-        inner = pc.starts_with(parts, INNER).to_numpy(zero_copy_only=False)
-        length = pc.utf8_length(parts).to_numpy()
-        ends = np.flatnonzero(np.where(inner, length > BEGINNING, length > 0))
-        before = pc.index_in(pc.utf8_slice_codeunits(parts.take(pa.array(ends)), 0, -1), parts).to_numpy()
-        n, followers = _columns(histories, "ordinary", "toxic"), _columns(histories, "after_ordinary", "after_toxic")
-        kinds, = _columns(histories, "kinds")
-        values = np.zeros(len(parts))
-        values[ends] = _all_evidence(n, n, followers, kinds[ends] / kinds[before], ends, before)
-        for size in range(1, BEGINNING + 1):
-            own = ~inner[ends] & (length[ends] == size)
-            values[ends[own]] += values[before[own]]
-        whole = ~inner
-        whole[ends] = True
-        self.parts, self.part_evidence = parts.filter(pa.array(whole)), values[whole]
-        words = pa.chunked_array([*pairs["before"].chunks, *pairs["word"].chunks], pa.string()).unique()
-        at, after = (pc.index_in(pairs[c], words).to_numpy().astype(np.int64) for c in ("before", "word"))
-        known = pc.index_in(pairs["before"], befores["before"].combine_chunks()).to_numpy()
-        kinds, all_kinds = _columns(pairs, "kinds", "all_kinds")
-        evidence = _all_evidence(_columns(pairs, "ordinary", "toxic"), _columns(befores, "ordinary", "toxic"),
-                                 _columns(befores, "after_ordinary", "after_toxic"), kinds / all_kinds,
-                                 np.arange(len(at)), known)
-        self.words = words
-        codes = at * (len(words) + 1) + after
-        order = np.argsort(codes)
-        self.codes, self.pairs = codes[order], evidence[order]
-        self.clear()
+    TABLES = ("evidence", "number", "slots", "seen")
+
+    def __init__(self, histories: tuple[pa.Array, np.ndarray], pairs: tuple[pa.Array, np.ndarray, np.ndarray]) -> None:
+        self.parts, self.part_evidence = histories
+        self.words, self.codes, self.pairs = pairs
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("evidence", "number")} | {"memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in self.TABLES}
 
     @cached_property
     def evidence(self) -> dict[str, float]:
@@ -190,8 +212,27 @@ class Models:
     def number(self) -> dict[str, int]:
         return {w: i for i, w in enumerate(self.words.to_pylist())}
 
-    def clear(self) -> None:
-        self.memo: dict[str, tuple[float, int]] = {}
+    @cached_property
+    def seen(self) -> _Seen:
+        return _Seen(self)
+
+    @cached_property
+    def slots(self) -> np.ndarray:
+        """A hash table of the codes: the place of each stands in its slot or in the next free one (-1: free)."""
+        size = 1 << (2 * len(self.codes)).bit_length()
+        slots = np.full(size, -1, np.int32)
+        waiting = np.arange(len(self.codes))
+        at = self._slot(self.codes, size)
+        while len(waiting):
+            free = slots[at] < 0
+            slots[at[free]] = waiting[free]  # of several for one slot the last gets it
+            left = slots[at] != waiting
+            waiting, at = waiting[left], (at[left] + 1) & (size - 1)
+        return slots
+
+    @staticmethod
+    def _slot(codes: np.ndarray, size: int) -> np.ndarray:
+        return (mix(codes) & np.uint64(size - 1)).astype(np.int64)
 
     def of_word(self, word: str) -> float:
         """The evidence of the longest beginning that is known, and of all known histories that slide after it."""
@@ -204,34 +245,65 @@ class Models:
             found += known.get(INNER + full[end - BEGINNING:end], 0.0)
         return found
 
-    def of_pairs(self, numbers: np.ndarray) -> np.ndarray:
-        """The evidence of every word after the one before it, by their numbers."""
-        before = np.concatenate(([self.number.get("", len(self.number))], numbers[:-1]))
+    def of_pairs(self, numbers: np.ndarray, starts: np.ndarray | int = 0) -> np.ndarray:
+        """The evidence of every word after the one before it, by their numbers; texts begin at ``starts``."""
+        before = np.roll(numbers, 1)
+        before[starts] = self.number.get("", len(self.number))
         code = before * (len(self.number) + 1) + numbers
-        place = np.minimum(np.searchsorted(self.codes, code), max(len(self.codes) - 1, 0))
         out = np.zeros(len(code))
-        if len(self.codes):
-            hit = self.codes[place] == code
-            out[hit] = self.pairs[place[hit]]
+        if not len(self.codes):
+            return out
+        rest = np.arange(len(code))
+        at = self._slot(code, len(self.slots))
+        while len(rest):
+            place = self.slots[at]
+            taken = place >= 0
+            hit = taken & (self.codes[place] == code[rest])
+            out[rest[hit]] = self.pairs[place[hit]]
+            on = taken & ~hit
+            rest, at = rest[on], (at[on] + 1) & (len(self.slots) - 1)
         return out
 
     def features(self, text: str) -> list[float]:
-        words = _words(text)
+        return self.features_of([text])[0]
+
+    def features_of(self, texts: list[str]) -> list[list[float]]:
+        """Per text its features; words and pairs of texts of ``BATCH_CHARS`` characters are looked up together."""
+        out, batch, chars = [], [], 0
+        for text in texts:
+            if batch and chars + len(text) > BATCH_CHARS:
+                out += self._features(batch)
+                batch, chars = [], 0
+            batch.append(text)
+            chars += len(text)
+        return out + self._features(batch) if batch else out
+
+    def _features(self, texts: list[str]) -> list[list[float]]:
+        if len(self.seen) >= MEMO:
+            del self.seen
+        words, bounds = [], [0]
+        for text in texts:
+            words += _words(text)
+            bounds.append(len(words))
         if not words:
-            return [0.0] * FEATURES
-        memo = self.memo
-        if len(memo) >= MEMO:
-            memo.clear()
-        for word in {*words}:
-            if word not in memo:
-                memo[word] = self.of_word(word), self.number.get(word, len(self.number))
-        values, numbers = zip(*map(memo.__getitem__, words))
+            return [[0.0] * FEATURES for _ in texts]
+        seen = self.seen
+        places = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        starts = [at for at, end in zip(bounds, bounds[1:]) if at < end]
+        values = np.frombuffer(seen.evidence)[places]
+        of_pairs = self.of_pairs(np.frombuffer(seen.numbers, np.int64)[places], np.array(starts))
         out = []
-        for of in (np.array(values), self.of_pairs(np.array(numbers))):
-            most = min(max(STRONGEST), len(of))
-            strongest = np.sort(np.partition(of, -most)[-most:])[::-1].tolist()
-            out += [float(of.mean()), *(sum(strongest[:n]) / n for n in STRONGEST)]
-        return [*out, math.log(len(words))]
+        for at, end in zip(bounds, bounds[1:]):
+            if at == end:
+                out.append([0.0] * FEATURES)
+                continue
+            row = []
+            for of in (values[at:end], of_pairs[at:end]):
+                most = min(max(STRONGEST), len(of))
+                strongest = np.sort(np.partition(of, -most)[-most:])[::-1].tolist()
+                row += [float(of.mean()), *(sum(strongest[:n]) / n for n in STRONGEST)]
+            out.append([*row, math.log(end - at)])
+        return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> np.ndarray:
@@ -254,14 +326,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60
 def models_of(pairs: DataFrame) -> Models | None:
     """The models of counted pairs; None without any word."""
     often = F.col("ordinary") + F.col("toxic") >= MIN_COUNT
-    histories = count_histories(pairs).filter(often).toArrow()
-    if not histories.num_rows:
+    # one after the other: the driver holds the counts of one kind at a time, those of different ones in 4 bytes
+    narrow = ("kinds", "after_ordinary", "after_toxic")
+
+    def fetched(counts: DataFrame) -> pa.Table:
+        return counts.withColumns({c: F.col(c).cast("int") for c in narrow if c in counts.columns}).toArrow()
+
+    histories = _history_evidence(fetched(count_histories(pairs).filter(often)))
+    if not len(histories[0]):
         return None
     kinds = pairs.groupBy("word").agg(F.count("*").alias("kinds"))
-    known = (pairs.filter(often).join(kinds, "word")
-             .withColumn("all_kinds", F.lit(pairs.count())))
+    known = pairs.filter(often).join(kinds, "word")
     befores = count_befores(pairs).join(pairs.filter(often).select("before").distinct(), "before", "left_semi")
-    return Models(histories, known.toArrow(), befores.toArrow())
+    return Models(histories, _pair_evidence(fetched(known), fetched(befores), pairs.count()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -296,9 +373,9 @@ def _apply(rows: DataFrame, shared: Broadcast, features: list[str]) -> DataFrame
     """The features of (text, label) rows by broadcast models; the text is not returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shared.value.features
+        of = shared.value.features_of
         for batch in slices(batches):
-            values = list(zip(*map(of, texts_of(batch.column(0))))) or [[]] * len(features)
+            values = list(zip(*of(texts_of(batch.column(0))))) or [[]] * len(features)
             yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(v, pa.float64()) for v in values)],
                                              names=["toxic_label", *features])
 
@@ -318,7 +395,7 @@ def score(docs: DataFrame, fitted: tuple[Models, np.ndarray] | None, text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models, weights = shared.value
         for batch in slices(batches):
-            x = np.array([models.features(t) for t in texts_of(batch.column(place))]).reshape(batch.num_rows, -1)
+            x = np.array(models.features_of(texts_of(batch.column(place)))).reshape(batch.num_rows, FEATURES)
             p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30))) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())],
                                              names=[*batch.schema.names, into])

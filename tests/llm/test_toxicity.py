@@ -137,3 +137,29 @@ def test_labels_that_contradict_each_other_teach_nothing(spark):
     docs = spark.createDataFrame([(i, "same text here") for i in range(50)], "doc_id long, text string")
     both = spark.createDataFrame([(i, k) for i in range(50) for k in (0, 1)], "doc_id long, toxic int")
     assert tx.fit(docs, both) is None
+
+
+def test_texts_scored_together_equal_texts_scored_alone(spark, monkeypatch):
+    models = tx.models_of(tx.count_pairs(spark.createDataFrame(DOCS, "text string, toxic int"), "text", "toxic"))
+    texts = [t for t, _ in DOCS] + ["", "drop", " \n", "dead you rat", "unseen 12 words", "!", ""]
+    alone = [models.features(t) for t in texts]
+    assert alone[len(DOCS)] == [0.0] * tx.FEATURES
+    for chars, memo in ((1 << 18, 300_000), (30, 300_000), (1, 1), (60, 3)):
+        monkeypatch.setattr(tx, "BATCH_CHARS", chars)
+        monkeypatch.setattr(tx, "MEMO", memo)
+        assert models.features_of(texts) == alone
+    assert models.features_of([]) == []
+    # the first word of a text follows nothing, also where a text with words stands before it
+    word, pair = _plain()
+    after = models.features_of(["drop", "dead"])[1]
+    assert math.isclose(after[4], pair("", "dead"), abs_tol=1e-9)
+
+
+def test_every_pair_is_found_by_its_slot(spark):
+    models = tx.Models((None, None), (None, np.random.default_rng(3).permutation(5000) * 977, np.arange(1.0, 5001)))
+    where = models._slot(models.codes, len(models.slots))
+    assert len(models.slots) >= 2 * 5000 and sorted(models.slots[models.slots >= 0]) == list(range(5000))
+    for code, at in zip(models.codes[:500].tolist(), where[:500].tolist()):
+        while models.codes[models.slots[at]] != code:
+            assert models.slots[at] >= 0
+            at = (at + 1) % len(models.slots)
