@@ -58,7 +58,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     members = groups.select(F.col("doc_id").alias(row), F.col("component_id").alias("group")).join(
         numbered.select(F.col("doc_id").alias("id"), row), row)
     first = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", row)).alias("first"))
-    return numbered.join(first.select(F.col("first")[row].alias(row)), row, "left_semi").select(*docs.columns)
+    kept = stored(first.select(F.col("first")[row].alias(row)), "kept")
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

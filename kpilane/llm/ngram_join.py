@@ -461,7 +461,9 @@ class Join:
         sets = stored(self.sets(more.select(F.col("a").alias("set")).union(more.select("b")).union(costly.select("set"))
                                 .union(bare)), "sets")
         more = more.union(self._neighbours(bare, sets)).distinct()
-        return links.union(self.verify(more, sets)).union(self._block_links(costly, sets))
+        # each written by a job of its own: the driver holds one short plan at a time
+        more = stored(self.verify(more, sets), "more_links")
+        return links.union(more).union(stored(self._block_links(costly, sets), "block_links"))
 
     def _with_components(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         known = components(links).withColumnRenamed("node", "set")
@@ -493,9 +495,10 @@ class Join:
                     .select("cluster", "set").distinct())
         band = F.size(F.filter(F.array(*[F.lit(int(f)) for f in first if f < _SIZE_MASK]),
                                lambda f: f <= F.col("size")))
-        members = gathered.withColumn("size", F.col("set").bitwiseAND(F.lit(_SIZE_MASK))).withColumn("band", band)
-        sizes = members.groupBy("cluster", "band").agg(F.ceil(F.greatest(
-            F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        members = stored(gathered.withColumn("size", F.col("set").bitwiseAND(F.lit(_SIZE_MASK))).withColumn("band", band),
+                         "members")
+        sizes = stored(members.groupBy("cluster", "band").agg(F.ceil(F.greatest(
+            F.count("*") / BLOCK_SETS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "sizes")
         blocks = (members.join(sizes, ["cluster", "band"])
                   .withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
                   .join(sets, "set").select("cluster", "band", "block", "set", "payload")
@@ -605,8 +608,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     join = Join(docs, id_col, text_col, shingle, similarity)
     documents = stored(join.documents(), "documents")
     known = components(join.links(documents)).withColumnRenamed("node", "set")
-    filled = (documents.filter("n_shingles > 0").join(known, "set", "left")
-              .select("doc_id", "n_shingles", F.coalesce("component", "set").alias("component")))
+    filled = stored(documents.filter("n_shingles > 0").join(known, "set", "left")
+                    .select("doc_id", "n_shingles", F.coalesce("component", "set").alias("component")), "filled")
     least = filled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (filled.join(least, "component").select("doc_id", "n_shingles", "component_id")
             .union(documents.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))))

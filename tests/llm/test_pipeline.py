@@ -67,3 +67,19 @@ def test_rows_that_share_an_id_are_told_apart(spark):
         kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
         assert kept.columns == docs.columns
         assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, (rows[0], rows[2], rows[4], rows[5])))
+
+
+def test_a_step_of_the_components_plans_its_links_once(spark):
+    from kpilane.llm import components as c
+
+    r = random.Random(8)
+    rows = [(r.randrange(200), r.randrange(200)) for _ in range(170)]
+    links = spark.createDataFrame(rows, "u long, v long").filter("u <> v")
+    plan = c._small_star(c._large_star(links))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("LogicalRDD") <= 4
+    least = {x: x for pair in rows for x in pair}
+    while any(least[a] != least[b] for a, b in rows):
+        for a, b in rows:
+            least[a] = least[b] = min(least[a], least[b])
+    linked = {x for a, b in rows if a != b for x in (a, b)}
+    assert sorted(map(tuple, c.components(links).collect())) == sorted((x, least[x]) for x in linked)
